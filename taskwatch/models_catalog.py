@@ -1,3 +1,87 @@
-"""Registered model queries (filled in below as the models land)."""
+"""Registered queries that need fitted models (no SQL oracle: the forest is
+randomised and the reconstruction needs an eigen-decomposition). They are
+checked by row counts here and by unit tests against brute-force numpy on
+small fixtures.
 
-MODEL_QUERIES = {}
+The fit (split, features, scaler, forest, reconstruction, thresholds) runs
+once per session and data folder; every query below reuses it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from taskwatch.catalog import rounded, tasks
+from taskwatch.config import Params
+from taskwatch.operators import metrics as M
+from taskwatch.operators.explain import explanation_rows, top_feature_summary
+from taskwatch.plans.jobs import Fitted, evaluation_tables, fit_and_score, training_metrics
+
+_FITS: dict[tuple[str, str], Fitted] = {}
+
+
+def fitted(spark: SparkSession, sf: str, params: Params | None = None) -> Fitted:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        _FITS[key] = fit_and_score(tasks(spark, sf), params or Params())
+    return _FITS[key]
+
+
+def q_iforest_scores(spark, sf):
+    s = fitted(spark, sf).scored
+    return rounded(s.select("task_id", "if_score", "if_flag"))
+
+
+def q_reconstruction_scores(spark, sf):
+    s = fitted(spark, sf).scored
+    return rounded(s.select("task_id", "ae_score", "ae_flag"))
+
+
+def q_hybrid_scores(spark, sf):
+    s = fitted(spark, sf).scored
+    return rounded(s.select("task_id", "engine_id", "is_train", "is_anomaly", "if_score_norm",
+                            "ae_score_norm", "if_flag", "ae_flag", "anomaly_score", "primary_flag",
+                            "agreement_flag", "anomaly_flag"))
+
+
+def _explained(spark, sf) -> DataFrame:
+    f = fitted(spark, sf)
+    flagged = f.scored.where(F.col("anomaly_flag") == 1)
+    return explanation_rows(f.detector.explain(flagged))
+
+
+def q_explanations(spark, sf):
+    return rounded(_explained(spark, sf))
+
+
+def q_feature_contributions(spark, sf):
+    return rounded(top_feature_summary(_explained(spark, sf), 10))
+
+
+def q_training_metrics(spark, sf):
+    return rounded(training_metrics(fitted(spark, sf).scored))
+
+
+def q_evaluation_metrics(spark, sf):
+    tables = evaluation_tables(fitted(spark, sf).scored)
+    return rounded(tables["rank"].join(
+        tables["classification"].select(F.inline(F.array(*[
+            F.struct(F.lit(m).alias("model"), F.col("precision"), F.col("recall"), F.col("f1_score"),
+                     F.col("alert_rate"))
+            for m in ("ensemble",)]))), "model", "left"))
+
+
+def q_model_calibration(spark, sf):
+    return rounded(M.calibration(fitted(spark, sf).scored.where(F.col("is_train") == 0)))
+
+
+MODEL_QUERIES = {
+    "iforest_scores": q_iforest_scores,
+    "reconstruction_scores": q_reconstruction_scores,
+    "hybrid_scores": q_hybrid_scores,
+    "explanations": q_explanations,
+    "feature_contributions": q_feature_contributions,
+    "training_metrics": q_training_metrics,
+    "evaluation_metrics": q_evaluation_metrics,
+    "model_calibration": q_model_calibration,
+}

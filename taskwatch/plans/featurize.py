@@ -42,7 +42,8 @@ def engineered(df: DataFrame, categories, group_tables, global_means, params: Pa
     return apply_group_means(rows, group_tables, global_means, params.broadcast_limit_bytes)
 
 
-def select_features(df: DataFrame, features: list[str], strict: bool = True) -> DataFrame:
+def select_features(df: DataFrame, features: list[str], strict: bool = True,
+                    extra: list[str] | None = None) -> DataFrame:
     """Identity + label + ordered features, missing -> 0.
 
     The reference drops unknown names silently (F2); here a missing feature is
@@ -57,6 +58,7 @@ def select_features(df: DataFrame, features: list[str], strict: bool = True) ->
         keep.append(LABEL)
     if "planned_start_ts" in df.columns:
         keep.append("planned_start_ts")
+    keep += [c for c in (extra or []) if c in df.columns and c not in keep]
     return df.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
                               for f in present])
 
@@ -70,17 +72,17 @@ class FeatureModel:
     scaler: dict[str, tuple[float, float]]
     features: list[str] = field(default_factory=list)
 
-    def raw(self, df: DataFrame) -> DataFrame:
+    def raw(self, df: DataFrame, extra: list[str] | None = None) -> DataFrame:
         eng = engineered(df, self.categories, self.group_tables, self.global_means, self.params)
-        return select_features(eng, self.features)
+        return select_features(eng, self.features, extra=extra)
 
     def scale(self, raw: DataFrame) -> DataFrame:
         keep = [c for c in raw.columns if c not in self.features]
         return apply_robust_scaler(raw, self.scaler, self.features, keep)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, extra: list[str] | None = None) -> DataFrame:
         """scaled feature table keyed by task_id."""
-        return self.scale(self.raw(df))
+        return self.scale(self.raw(df, extra))
 
     # Fitted state on disk
     def save(self, path: str) -> None:
