@@ -46,9 +46,19 @@ def tasks(spark: SparkSession, sf: str) -> DataFrame:
     return tasks_from_events(spark, sf)
 
 
+_CATEGORIES: dict[tuple[str, str], dict] = {}
+
+
+def categories(spark: SparkSession, sf: str) -> dict[str, list[str]]:
+    """Category lists of the task view, fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CATEGORIES:
+        _CATEGORIES[key] = fit_categories(tasks(spark, sf), LABEL_COLUMNS + ONE_HOT_COLUMNS)
+    return _CATEGORIES[key]
+
+
 def rows(spark: SparkSession, sf: str) -> DataFrame:
-    t = tasks(spark, sf)
-    return row_features(t, fit_categories(t, LABEL_COLUMNS + ONE_HOT_COLUMNS))
+    return row_features(tasks(spark, sf), categories(spark, sf))
 
 
 def engineered_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,9 +68,7 @@ def engineered_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    t = tasks(spark, sf)
-    cats = fit_categories(t, LABEL_COLUMNS + ONE_HOT_COLUMNS)
-    names = feature_names(cats["shift"])
+    names = feature_names(categories(spark, sf)["shift"])
     return select_features(engineered_all(spark, sf), names), names
 
 
@@ -227,7 +235,7 @@ def q_metric_bands(spark, sf):
 
 def q_training_summary(spark, sf):
     t = tasks(spark, sf)
-    fm_names = feature_names(fit_categories(t, ["shift"])["shift"])
+    fm_names = feature_names(categories(spark, sf)["shift"])
     n = F.count(F.lit(1))
     k = F.floor(n * F.lit(1 - P.test_size)).cast("bigint")
     return rounded(t.agg(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from taskwatch.operators.joins import attach
+from taskwatch.session import pin
 
 # Fixed values: (output column, key, averaged column) of the reference.
 GROUP_MEANS = [
@@ -21,9 +22,20 @@ GROUP_MEANS = [
 
 
 def fit_group_means(df: DataFrame) -> dict[str, DataFrame]:
-    """One small table per output column: (key, mean)."""
-    return {out: df.groupBy(key).agg(F.avg(F.col(val).cast("double")).alias(out))
-            for out, key, val in GROUP_MEANS}
+    """One small table per output column: (key, mean).
+
+    All three come from one GROUPING SETS aggregation (one scan, one
+    shuffle), pinned once in the shared checkpoint folder.
+    """
+    keys = list(dict.fromkeys(k for _, k, _ in GROUP_MEANS))
+    aggs = [F.avg(F.col(val).cast("double")).alias(out) for out, _, val in GROUP_MEANS]
+    table = pin(df.groupingSets([[k] for k in keys], *keys)
+                .agg(*aggs, F.grouping_id().alias("__g")), "group-means")
+    out = {}
+    for name, key, _ in GROUP_MEANS:
+        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k != key)
+        out[name] = table.where(F.col("__g") == gid).select(key, name)
+    return out
 
 
 def fit_global_means(df: DataFrame) -> dict[str, float]:
@@ -37,7 +49,8 @@ def apply_group_means(df: DataFrame, tables: dict[str, DataFrame],
                       broadcast_limit_bytes: int = 64 << 20) -> DataFrame:
     out = df
     for name, key, _ in GROUP_MEANS:
-        out = attach(out, tables[name], [key], broadcast_limit_bytes)
+        # fitted tables are pinned (or read from disk): counting them is cheap
+        out = attach(out, tables[name], [key], broadcast_limit_bytes, rows=tables[name].count())
         if global_means is not None and global_means.get(name) is not None:
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(float(global_means[name]))))
     return out

@@ -37,8 +37,14 @@ def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str],
-           broadcast_limit_bytes: int = 64 << 20, how: str = "left") -> DataFrame:
-    right, _, size = measured(right)
+           broadcast_limit_bytes: int = 64 << 20, how: str = "left",
+           rows: int | None = None) -> DataFrame:
+    """Join ``right`` onto ``left``; ``rows`` is the exact row count of ``right``
+    when the caller already measured it (then ``right`` is not pinned again)."""
+    if rows is None:
+        right, rows, size = measured(right)
+    else:
+        size = rows * row_width(right.schema)
     if size <= broadcast_limit_bytes:
         right = F.broadcast(right)
     return left.join(right, keys, how)

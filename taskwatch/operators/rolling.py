@@ -6,19 +6,22 @@ included, so the result does not depend on row order.
 
 Plan (built for a hot key holding a large share of all rows):
 
-1. Partial aggregation per ``(key, start)``: count, sum, sum of squares, min
-   and max of every value column. This is a hash aggregate with map-side
-   combine, so no task ever sees all rows of one key.
-2. A RANGE window over those buckets, partitioned by key. Its size is bounded
+1. One scan, one shuffle: a GROUPING SETS aggregation produces, for every
+   key, the buckets ``(key, start)`` with count, sum, sum of squares, min
+   and max of each value column, and for median columns the triples
+   ``(key, start, value)`` with their frequency. Partial aggregation runs
+   map-side, so no task ever sees all rows of one key. The result is pinned
+   (written once to the shared checkpoint folder) and counted per set.
+2. A RANGE window over the buckets, partitioned by key. Its size is bounded
    by the number of distinct start times per key, not by the number of rows.
-3. Medians: exact, from ``percentile(value, 0.5, frequency)`` over distinct
-   ``(key, start, value)`` triples with their counts, so a frame costs its
-   distinct values, not its rows.
+3. Medians: exact, from ``percentile(value, 0.5, frequency)`` over the
+   triples, so a frame costs its distinct values, not its rows.
 4. Empty results (e.g. the std of a one-task frame) are forward filled from
    the previous bucket of the same key, then the caller fills 0.
 
-The stats table is keyed by ``(key, start)`` and joined back to the rows;
-``attach`` broadcasts it only after counting it.
+Each stats table is keyed by ``(key, start)`` and joined back to the rows.
+Its exact row count is the bucket count from step 1, so the broadcast
+decision is made on a measured size.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taskwatch.functions.time import US_PER_DAY, epoch_us
 from taskwatch.operators.joins import attach
+from taskwatch.session import pin
 
 # Rolling aggregates per key, in the reference's column order.
 ROLLING_SPEC: dict[str, tuple[str, list[tuple[str, list[str]]]]] = {
@@ -71,84 +75,119 @@ def _frame(key: str, days: int, order: Column) -> Window:
             .rangeBetween(-(days * US_PER_DAY - 1), 0))
 
 
+def _needs(aggs: list[str]) -> set[str]:
+    need = {"n"}
+    for a in aggs:
+        need |= {"mean": {"s"}, "sum": {"s"}, "min": {"lo"}, "max": {"hi"},
+                 "std": {"s", "q", "lo", "hi"}, "median": set()}[a]
+    return need
+
+
+def _gid(group_cols: list[str], grouped: list[str]) -> int:
+    n = len(group_cols)
+    return sum(1 << (n - 1 - i) for i, c in enumerate(group_cols) if c not in grouped)
+
+
+def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int = 7,
+                   time_col: str = TIME_COL) -> dict[str, tuple[DataFrame, int, str]]:
+    """{prefix: (stats table, exact row count, key)} for several keys from one scan."""
+    keys = list(dict.fromkeys(k for k, _ in specs.values()))
+    need: dict[str, set[str]] = {}
+    medians: list[tuple[str, str, str]] = []
+    for prefix, (key, items) in specs.items():
+        for c, aggs in items:
+            need.setdefault(c, set()).update(_needs(aggs))
+            if "median" in aggs:
+                medians.append((prefix, key, c))
+    med_cols = list(dict.fromkeys(c for _, _, c in medians))
+    base = df.select(*keys, time_col, *[F.col(c).cast("double").alias(c) for c in need],
+                     *[F.col(c).cast("double").alias(f"__m_{c}") for c in med_cols])
+    group_cols = keys + [time_col] + [f"__m_{c}" for c in med_cols]
+    sets = [[k, time_col] for k in keys]
+    sets += [list(s) for s in dict.fromkeys((k, time_col, f"__m_{c}") for _, k, c in medians)]
+    parts = [F.count(F.lit(1)).alias("__f"), F.grouping_id().alias("__g")]
+    for c, wants in need.items():
+        if "n" in wants:
+            parts.append(F.count(c).alias(f"n__{c}"))
+        if "s" in wants:
+            parts.append(F.sum(c).alias(f"s__{c}"))
+        if "q" in wants:
+            parts.append(F.sum(F.col(c) * F.col(c)).alias(f"q__{c}"))
+        if "lo" in wants:
+            parts.append(F.min(c).alias(f"lo__{c}"))
+        if "hi" in wants:
+            parts.append(F.max(c).alias(f"hi__{c}"))
+    unified = pin(base.groupingSets(sets, *group_cols).agg(*parts), "rolling-buckets")
+    counts = {r["__g"]: r["n"] for r in unified.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unified = unified.withColumn("__t", epoch_us(time_col))
+    # The windows below are CPU-heavy for their size; hash-partition by key
+    # with an explicit count (this is the window's own exchange, so no extra
+    # shuffle) so that AQE does not coalesce all keys into one task.
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    out = {}
+    for prefix, (key, items) in specs.items():
+        gid = _gid(group_cols, [key, time_col])
+        buckets = unified.where(F.col("__g") == gid).repartition(n_parts, key)
+        w = _frame(key, days, F.col("__t"))
+        cols = []
+        for c, aggs in items:
+            n = F.sum(f"n__{c}").over(w)
+            for agg in aggs:
+                name = f"{prefix}_{c}_{agg}"
+                if agg == "mean":
+                    e = F.when(n > 0, F.sum(f"s__{c}").over(w) / n)
+                elif agg == "sum":
+                    e = F.when(n > 0, F.sum(f"s__{c}").over(w))
+                elif agg == "min":
+                    e = F.min(f"lo__{c}").over(w)
+                elif agg == "max":
+                    e = F.max(f"hi__{c}").over(w)
+                elif agg == "std":
+                    s_, q_ = F.sum(f"s__{c}").over(w), F.sum(f"q__{c}").over(w)
+                    lo, hi = F.min(f"lo__{c}").over(w), F.max(f"hi__{c}").over(w)
+                    var = (q_ - s_ * s_ / n) / (n - 1)
+                    # a constant frame has std 0 exactly; rounding must not say otherwise
+                    e = (F.when(n < 2, F.lit(None).cast("double"))
+                         .when(lo == hi, F.lit(0.0))
+                         .otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
+                elif agg == "median":
+                    continue
+                else:
+                    raise ValueError(f"unknown rolling aggregate {agg}")
+                cols.append(e.alias(name))
+        stats = buckets.select(key, time_col, "__t", *cols)
+        for p2, k2, c in medians:
+            if p2 != prefix:
+                continue
+            name = f"{prefix}_{c}_median"
+            tgid = _gid(group_cols, [key, time_col, f"__m_{c}"])
+            triples = unified.where(F.col("__g") == tgid).repartition(n_parts, key)
+            med = (triples.withColumn(name, F.percentile(F.col(f"__m_{c}"), F.lit(0.5), F.col("__f"))
+                                      .over(_frame(key, days, F.col("__t"))))
+                   .groupBy(key, time_col).agg(F.max(name).alias(name)))
+            stats = stats.join(med, [key, time_col], "left")
+        names = [f"{prefix}_{c}_{a}" for c, aggs in items for a in aggs]
+        prev = Window.partitionBy(key).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+        stats = stats.select(key, time_col, *[
+            F.coalesce(F.col(n), F.last(n, ignorenulls=True).over(prev)).alias(n) for n in names])
+        out[prefix] = (stats, counts.get(gid, 0), key)
+    return out
+
+
 def rolling_stats(df: DataFrame, prefix: str, days: int = 7,
                   time_col: str = TIME_COL, spec=None) -> DataFrame:
     """Stats table ``(key, time_col, <prefix>_<col>_<agg>...)`` for one key."""
-    key, default_spec = ROLLING_SPEC[prefix] if prefix in ROLLING_SPEC else (None, None)
-    if spec is not None:
-        key, spec_items = spec
-    else:
-        spec_items = default_spec
-    values = [c for c, _ in spec_items]
-    base = df.select(key, time_col, *[F.col(c).cast("double").alias(c) for c in values])
-
-    # 1. partial aggregate per (key, start)
-    parts = []
-    for c in values:
-        parts += [F.count(c).alias(f"n__{c}"), F.sum(c).alias(f"s__{c}"),
-                  F.sum(F.col(c) * F.col(c)).alias(f"q__{c}"),
-                  F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}")]
-    buckets = base.groupBy(key, time_col).agg(*parts).withColumn("__t", epoch_us(time_col))
-
-    # 2. sliding frame over buckets
-    w = _frame(key, days, F.col("__t"))
-    out_cols = []
-    for c, aggs in spec_items:
-        n = F.sum(f"n__{c}").over(w)
-        s = F.sum(f"s__{c}").over(w)
-        q = F.sum(f"q__{c}").over(w)
-        lo = F.min(f"lo__{c}").over(w)
-        hi = F.max(f"hi__{c}").over(w)
-        for agg in aggs:
-            name = f"{prefix}_{c}_{agg}"
-            if agg == "mean":
-                e = F.when(n > 0, s / n)
-            elif agg == "sum":
-                e = F.when(n > 0, s)
-            elif agg == "min":
-                e = lo
-            elif agg == "max":
-                e = hi
-            elif agg == "std":
-                var = (q - s * s / n) / (n - 1)
-                # a constant frame has std 0 exactly; rounding must not say otherwise
-                e = (F.when(n < 2, F.lit(None).cast("double"))
-                     .when(lo == hi, F.lit(0.0))
-                     .otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
-            elif agg == "median":
-                continue
-            else:
-                raise ValueError(f"unknown rolling aggregate {agg}")
-            out_cols.append(e.alias(name))
-    stats = buckets.select(key, time_col, "__t", *out_cols)
-
-    # 3. exact medians from (key, start, value) frequencies
-    for c, aggs in spec_items:
-        if "median" not in aggs:
-            continue
-        name = f"{prefix}_{c}_median"
-        triples = (base.where(F.col(c).isNotNull()).groupBy(key, time_col, c)
-                   .agg(F.count(F.lit(1)).alias("__f"))
-                   .withColumn("__t", epoch_us(time_col)))
-        med = (triples.withColumn(name, F.percentile(F.col(c), F.lit(0.5), F.col("__f"))
-                                  .over(_frame(key, days, F.col("__t"))))
-               .groupBy(key, time_col).agg(F.max(name).alias(name)))
-        stats = stats.join(med, [key, time_col], "left")
-
-    # 4. forward fill empty results within the key, in time order
-    names = [f"{prefix}_{c}_{a}" for c, aggs in spec_items for a in aggs]
-    prev = Window.partitionBy(key).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.select(key, time_col, *[
-        F.coalesce(F.col(n), F.last(n, ignorenulls=True).over(prev)).alias(n) for n in names])
-    return stats
+    spec = spec if spec is not None else ROLLING_SPEC[prefix]
+    return rolling_tables(df, {prefix: spec}, days, time_col)[prefix][0]
 
 
 def with_rolling_features(df: DataFrame, prefixes=("task", "module", "tech"), days: int = 7,
-                          time_col: str = TIME_COL, broadcast_limit_bytes: int = 64 << 20) -> DataFrame:
+                          time_col: str = TIME_COL, broadcast_limit_bytes: int = 64 << 20,
+                          specs: dict | None = None) -> DataFrame:
     """Attach every rolling column to its own row (joined on key + start)."""
+    specs = specs or {p: ROLLING_SPEC[p] for p in prefixes}
     out = df
-    for p in prefixes:
-        key, _ = ROLLING_SPEC[p]
-        stats = rolling_stats(df, p, days, time_col)
-        out = attach(out, stats, [key, time_col], broadcast_limit_bytes)
+    for prefix, (stats, rows, key) in rolling_tables(df, specs, days, time_col).items():
+        out = attach(out, stats, [key, time_col], broadcast_limit_bytes, rows=rows)
     return out

@@ -118,7 +118,7 @@ class FeaturePipeline:
     def fit(self, train: DataFrame, engineered_train: DataFrame | None = None) -> FeatureModel:
         p = self.params
         categories = fit_categories(train, LABEL_COLUMNS + ONE_HOT_COLUMNS)
-        group_tables = {k: pin(v) for k, v in fit_group_means(train).items()}
+        group_tables = fit_group_means(train)
         global_means = fit_global_means(train)
         features = feature_names(categories.get("shift", []))
         if engineered_train is None:

@@ -47,7 +47,7 @@ def fit_and_score(tasks: DataFrame, params: Params | None = None) -> Fitted:
     split = pin(time_split(tasks, p.test_size))
     train_rows = split.where(F.col("is_train") == 1)
     cats = fit_categories(train_rows, LABEL_COLUMNS + ONE_HOT_COLUMNS)
-    groups = {k: pin(v) for k, v in fit_group_means(train_rows).items()}
+    groups = fit_group_means(train_rows)
     gmeans = fit_global_means(train_rows)
     names = feature_names(cats.get("shift", []))
     eng = engineered(split, cats, groups, gmeans, p)

@@ -55,12 +55,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """Cut lineage with a table written to the shared checkpoint folder.
 
     Used where a result is read twice and must be identical both times
     (for example after range partitioning) or where recomputation after a
-    lost executor would be expensive.
+    lost executor would be expensive. Written as Parquet and read back: the
+    plan runs once (``Dataset.checkpoint`` on an unpersisted plan runs it
+    twice), survives executor loss, and the reader gets real file sizes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
