@@ -15,7 +15,12 @@ from taskwatch.catalog import rounded, tasks
 from taskwatch.config import Params
 from taskwatch.operators import metrics as M
 from taskwatch.operators.explain import explanation_rows, top_feature_summary
+from taskwatch.operators.cooldown import cooldown_batch
 from taskwatch.plans.jobs import Fitted, evaluation_tables, fit_and_score, training_metrics
+from taskwatch.session import scratch_path
+from taskwatch.sources.readers import newest_file
+from taskwatch.streaming.cooldown import alert_rows, cooldown_stream
+from taskwatch.streaming.scoring import publish_fitted, run_scoring_stream
 
 _FITS: dict[tuple[str, str], Fitted] = {}
 
@@ -75,6 +80,60 @@ def q_model_calibration(spark, sf):
     return rounded(M.calibration(fitted(spark, sf).scored.where(F.col("is_train") == 0)))
 
 
+def q_cooldown_alerts(spark, sf):
+    """Q1 batch: flagged tasks with the 30-minute per-engine cooldown applied."""
+    f = fitted(spark, sf)
+    alerts = f.scored.where(F.col("anomaly_flag") == 1).select(
+        "engine_id", "task_id", F.col("planned_start_ts").alias("alert_time"), "anomaly_score")
+    return rounded(cooldown_batch(alerts, f.detector.params.alert_cooldown_minutes))
+
+
+def write_stream_source(spark, sf, n_files: int = 4) -> str:
+    """The task view as time-ordered Parquet files, written one after another
+    (file streams pick files up in modification order). Files split on whole
+    weeks, so tasks with the same start never straddle two files."""
+    t = tasks(spark, sf)
+    src = scratch_path(spark, "stream-source")
+    week = F.floor(F.datediff(F.to_date("planned_start_ts"), F.lit("1970-01-05")) / 7)
+    weeks = sorted(r[0] for r in t.select(week.alias("w")).distinct().collect())
+    chunk = max(1, -(-len(weeks) // n_files))
+    for i in range(0, len(weeks), chunk):
+        part = weeks[i:i + chunk]
+        t.where(week.isin(part)).coalesce(1).write.mode("append").parquet(src)
+    return src
+
+
+def q_stream_scores(spark, sf):
+    """The task view replayed as a file stream through the scoring stream."""
+    f = fitted(spark, sf)
+    root = scratch_path(spark, "models")
+    publish_fitted(spark, f.features, f.detector, root)
+    src = write_stream_source(spark, sf)
+    paths = run_scoring_stream(spark, src, root, scratch_path(spark, "stream-work"),
+                               max_files_per_trigger=2)
+    return rounded(spark.read.parquet(paths["scores"]).drop("batch"))
+
+
+def q_stream_cooldown(spark, sf):
+    """Q1 stream: scored tasks as an alert stream through the stateful cooldown."""
+    f = fitted(spark, sf)
+    src = scratch_path(spark, "alert-source")
+    alert_rows(f.scored).write.parquet(src)
+    stream = spark.readStream.schema("engine_id string, task_id string, alert_time timestamp, "
+                                     "anomaly_score double").parquet(src)
+    out = scratch_path(spark, "alert-sink")
+    q = (cooldown_stream(stream, f.detector.params.alert_cooldown_minutes).writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", out + "-ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out))
+
+
+def q_newest_table(spark, sf):
+    """The newest Parquet file in the data folder."""
+    return newest_file(spark, sf)
+
+
 MODEL_QUERIES = {
     "iforest_scores": q_iforest_scores,
     "reconstruction_scores": q_reconstruction_scores,
@@ -84,4 +143,8 @@ MODEL_QUERIES = {
     "training_metrics": q_training_metrics,
     "evaluation_metrics": q_evaluation_metrics,
     "model_calibration": q_model_calibration,
+    "cooldown_alerts": q_cooldown_alerts,
+    "stream_scores": q_stream_scores,
+    "stream_cooldown": q_stream_cooldown,
+    "newest_table": q_newest_table,
 }

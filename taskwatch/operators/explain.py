@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from taskwatch.session import broadcast_model
 from taskwatch.sources.schema import CONTRIBUTION_TYPE
 
 
@@ -30,7 +31,7 @@ def _top_k(values: np.ndarray, signed: np.ndarray, names: list[str], k: int) ->
 
 
 def forest_top_column(model, features: list[str], k: int = 5) -> Column:
-    bc = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    bc = broadcast_model(model)
 
     @F.pandas_udf(CONTRIBUTION_TYPE)
     def if_top(*cols: pd.Series) -> pd.Series:
@@ -42,7 +43,7 @@ def forest_top_column(model, features: list[str], k: int = 5) -> Column:
 
 
 def reconstruction_top_column(model, features: list[str], k: int = 5) -> Column:
-    bc = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    bc = broadcast_model(model)
 
     @F.pandas_udf(CONTRIBUTION_TYPE)
     def ae_top(*cols: pd.Series) -> pd.Series:

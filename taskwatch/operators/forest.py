@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from taskwatch.config import Params
+from taskwatch.session import broadcast_model, ship_package
 
 EULER = 0.5772156649
 
@@ -235,6 +236,7 @@ def fit_forest(X: DataFrame, features: list[str], params: Params | None = None,
     if n_rows is None:
         n_rows = X.count()
     psi = min(p.max_samples, n_rows)
+    ship_package(X.sparkSession)
     sample = bootstrap_sample(X, features, n_rows, p, id_col)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,6 +263,4 @@ def score_column(model: ForestModel, features: list[str]) -> Column:
 
 
 def _broadcast(model):
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    return spark.sparkContext.broadcast(model)
+    return broadcast_model(model)

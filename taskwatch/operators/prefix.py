@@ -14,6 +14,11 @@ task. Instead:
 
 The order columns must form a unique key (callers first group by the score
 or add a tie-breaker), so the result is deterministic.
+
+Inputs with a counted, bounded number of rows (``small_rows``, default
+200,000: distinct scores or start times, usually) take a plain window: its
+one task then holds a proven-small table, and the range machinery would only
+add jobs.
 """
 
 from __future__ import annotations
@@ -27,9 +32,13 @@ def _order_exprs(order_cols: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
 
 
+SMALL_ROWS = 200_000
+
+
 def global_prefix(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                   descending: bool = False, n_parts: int | None = None,
-                  prefix: str = "cum_", group_cols: list[str] | None = None) -> DataFrame:
+                  prefix: str = "cum_", group_cols: list[str] | None = None,
+                  small_rows: int = SMALL_ROWS) -> DataFrame:
     """Add ``cum_<c>``: the sum of ``c`` over all rows up to and including this one.
 
     With ``group_cols`` the running totals restart for every group (for
@@ -37,6 +46,10 @@ def global_prefix(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     """
     spark = df.sparkSession
     groups = list(group_cols or [])
+    if small_rows and df.count() <= small_rows:
+        w = (Window.partitionBy(*groups).orderBy(*_order_exprs(order_cols, descending))
+             .rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols})
     if n_parts is None:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _order_exprs(order_cols, descending)

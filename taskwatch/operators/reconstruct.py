@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from taskwatch.config import Params
+from taskwatch.session import broadcast_model
 
 
 @dataclass
@@ -61,8 +62,7 @@ def fit_reconstruction(X: DataFrame, features: list[str], params: Params | None
 
 def error_column(model: ReconstructionModel, features: list[str]) -> Column:
     """R4 as a pandas UDF over the feature columns."""
-    from pyspark.sql import SparkSession
-    bc = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    bc = broadcast_model(model)
 
     @F.pandas_udf(T.DoubleType())
     def ae_error(*cols: pd.Series) -> pd.Series:

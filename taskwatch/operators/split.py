@@ -47,9 +47,10 @@ def time_split(df: DataFrame, test_size: float = 0.2, time_col: str = TIME_COL,
     cutoff, cum_n, n_at = cut[time_col], cut["cum_n"], cut["n"]
     remaining = k - (cum_n - n_at)
     ts = F.col(time_col)
-    before = df.where(ts < F.lit(cutoff)).withColumn("is_train", F.lit(1))
-    after = df.where(ts > F.lit(cutoff)).withColumn("is_train", F.lit(0))
-    tied = global_row_number(df.where(ts == F.lit(cutoff)), [id_col], "__rn")
+    cutoff = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")  # no driver time zone
+    before = df.where(ts < cutoff).withColumn("is_train", F.lit(1))
+    after = df.where(ts > cutoff).withColumn("is_train", F.lit(0))
+    tied = global_row_number(df.where(ts == cutoff), [id_col], "__rn")
     tied = tied.withColumn("is_train", (F.col("__rn") <= remaining).cast("int")).drop("__rn")
     return before.unionByName(tied).unionByName(after)
 
