@@ -3,10 +3,12 @@
 The reference trains a dense autoencoder with an 8-unit bottleneck. Here the
 default is its linear counterpart: the top-8 principal subspace of the
 centred training features (Baldi and Hornik 1989: a linear autoencoder with
-squared loss learns exactly this subspace). Fit is distributed: the mean is
-one aggregation and ``pyspark.ml.feature.PCA`` builds the covariance with a
-tree aggregate of Gramians, so only a d x d matrix (d = 96) reaches the
-driver.
+squared loss learns exactly this subspace). Fit is one distributed pass:
+every partition computes (n, sum x, X^T X) with numpy in ``mapInPandas``;
+the partials are summed in a two-level tree (``coalesce`` without shuffle,
+then a final sum), so only d x d numbers per level move (d = 96). The
+eigen-decomposition of the d x d covariance runs on the driver.
+``fit_reconstruction_ml`` does the same with ``pyspark.ml.feature.PCA``.
 
 Row error (R4) = mean over features of (x - x_hat)^2 with
 x_hat = mu + V V^T (x - mu). Eigenvector signs do not change it.
@@ -48,7 +50,54 @@ class ReconstructionModel:
         return X - self.reconstruct(X)
 
 
+def gram_stats(X: DataFrame, features: list[str], fan_in: int = 64) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, sum x, X^T X) of the feature columns in one pass."""
+    d = len(features)
+
+    def partial(batches):
+        n, s, g = 0, np.zeros(d), np.zeros((d, d))
+        for pdf in batches:
+            M = pdf[features].to_numpy(dtype=float)
+            n += M.shape[0]
+            s += M.sum(axis=0)
+            g += M.T @ M
+        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
+
+    def combine(batches):
+        n, s, g = 0, np.zeros(d), np.zeros(d * d)
+        for pdf in batches:
+            n += int(pdf["n"].sum())
+            for a, b in zip(pdf["s"], pdf["g"]):
+                s += np.asarray(a)
+                g += np.asarray(b)
+        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.tolist()]})
+
+    schema = "n long, s array<double>, g array<double>"
+    parts = X.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]) \
+        .mapInPandas(partial, schema)
+    level = parts.coalesce(fan_in).mapInPandas(combine, schema)   # no shuffle
+    n, s, g = 0, np.zeros(d), np.zeros(d * d)
+    for r in level.collect():                                      # at most fan_in rows
+        n += r["n"]
+        s += np.asarray(r["s"])
+        g += np.asarray(r["g"])
+    return n, s, g.reshape(d, d)
+
+
 def fit_reconstruction(X: DataFrame, features: list[str], params: Params | None = None) -> ReconstructionModel:
+    p = params or Params()
+    from taskwatch.session import ship_package
+    ship_package(X.sparkSession)
+    n, s, g = gram_stats(X, features)
+    mean = s / max(n, 1)
+    cov = (g - n * np.outer(mean, mean)) / max(n - 1, 1)
+    w, V = np.linalg.eigh(cov)
+    k = min(p.n_components, len(features))
+    comps = V[:, np.argsort(w)[::-1][:k]]
+    return ReconstructionModel(features, mean, comps)
+
+
+def fit_reconstruction_ml(X: DataFrame, features: list[str], params: Params | None = None) -> ReconstructionModel:
     p = params or Params()
     row = X.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
     mean = np.array([row[f] or 0.0 for f in features], dtype=float)
