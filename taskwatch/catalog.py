@@ -27,6 +27,7 @@ from taskwatch.operators.split import time_split, train_size
 from taskwatch.plans.featurize import row_features, select_features
 from taskwatch.functions.features import feature_names
 from taskwatch.sources.readers import tasks_from_events
+from taskwatch.session import pin
 from taskwatch.sources.schema import TASK_COLUMNS
 
 P = Params()
@@ -128,10 +129,10 @@ def q_dataset_profile(spark, sf):
 def _q_rolling(prefix):
     def build(spark, sf):
         r = rows(spark, sf)
-        key, _ = ROLLING_SPEC[prefix]
-        stats = rolling_stats(r, prefix, P.rolling_window_days)
-        out = attach(r.select("task_id", key, "planned_start_ts"), stats, [key, "planned_start_ts"],
-                     P.broadcast_limit_bytes)
+        out = with_rolling_features(r.select("task_id", *{ROLLING_SPEC[prefix][0]}, "planned_start_ts",
+                                             *[c for c, _ in ROLLING_SPEC[prefix][1]]),
+                                    prefixes=(prefix,), days=P.rolling_window_days,
+                                    broadcast_limit_bytes=P.broadcast_limit_bytes)
         return rounded(out.select("task_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
                                                for c in rolling_columns(prefix)]))
     return build
@@ -144,6 +145,7 @@ def q_feature_matrix(spark, sf):
 
 def q_scaler_fit(spark, sf):
     fm, names = features(spark, sf)
+    fm = pin(fm, "feature-matrix")
     params = fit_robust_scaler(fm, names, "exact")
     rows_ = [(k, float(m), float(s)) for k, (m, s) in params.items()]
     return rounded(spark.createDataFrame(rows_, "feature string, median double, scale double"))
@@ -151,6 +153,7 @@ def q_scaler_fit(spark, sf):
 
 def q_scaled_features(spark, sf):
     fm, names = features(spark, sf)
+    fm = pin(fm, "feature-matrix")   # read twice: fit, then apply
     params = fit_robust_scaler(fm, names, "exact")
     return rounded(apply_robust_scaler(fm, params, names, ["task_id"]))
 
@@ -268,9 +271,8 @@ KPI_SPEC = ("engine_id", [("tat_hours_engine", ["sum", "max"]), ("wip_count_shop
 
 def q_kpi_rolling(spark, sf):
     r = rows(spark, sf)
-    stats = rolling_stats(r, "kpi", P.kpi_rolling_window_days, spec=KPI_SPEC)
-    out = attach(r.select("task_id", "engine_id", "planned_start_ts"), stats,
-                 ["engine_id", "planned_start_ts"], P.broadcast_limit_bytes)
+    out = with_rolling_features(r, days=P.kpi_rolling_window_days, specs={"kpi": KPI_SPEC},
+                                broadcast_limit_bytes=P.broadcast_limit_bytes)
     cols = [f"kpi_{c}_{a}" for c, aggs in KPI_SPEC[1] for a in aggs]
     return rounded(out.select("task_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]))
 
