@@ -14,8 +14,14 @@ Plan (built for a hot key holding a large share of all rows):
    (written once to the shared checkpoint folder) and counted per set.
 2. A RANGE window over the buckets, partitioned by key. Its size is bounded
    by the number of distinct start times per key, not by the number of rows.
-3. Medians: exact, from ``percentile(value, 0.5, frequency)`` over the
-   triples, so a frame costs its distinct values, not its rows.
+3. Medians: exact, from the triples. Groups are (key, 7-day chunk) and hold
+   their own chunk plus a copy of the previous one, so every frame is whole
+   inside one group and a group is bounded by two weeks of one key's
+   distinct values, never by the key's full history. Inside ``applyInPandas``
+   a cumulative (bucket x value) count matrix gives every frame's counts by
+   one subtraction; the median follows Spark's ``percentile`` rule (linear
+   interpolation between the two middle ranks). ``median_mode="window"``
+   uses ``percentile(value, 0.5, frequency)`` over a RANGE window instead.
 4. Empty results (e.g. the std of a one-task frame) are forward filled from
    the previous bucket of the same key, then the caller fills 0.
 
@@ -26,11 +32,15 @@ decision is made on a measured size.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taskwatch.functions.time import US_PER_DAY, epoch_us
 from taskwatch.operators.joins import attach
-from taskwatch.session import pin
+from taskwatch.session import pin, ship_package
 
 # Rolling aggregates per key, in the reference's column order.
 ROLLING_SPEC: dict[str, tuple[str, list[tuple[str, list[str]]]]] = {
@@ -88,8 +98,82 @@ def _gid(group_cols: list[str], grouped: list[str]) -> int:
     return sum(1 << (n - 1 - i) for i, c in enumerate(group_cols) if c not in grouped)
 
 
+MEDIAN_DENSE_CELLS = 4_000_000
+
+
+def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int,
+                  n_buckets: int | None = None) -> DataFrame:
+    """(key, __t, name): exact frame median per bucket from (key, __t, val, __f) triples.
+
+    Groups are (hash bucket of key, chunk): many small keys share one group
+    (one pandas call), a hot key still only brings two weeks of its values.
+    """
+    width = days * US_PER_DAY
+    if n_buckets is None:
+        n_buckets = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.floor(F.col("__t") / F.lit(width))
+    copies = (triples.where(F.col(val).isNotNull())
+              .select(key, "__t", val, "__f", chunk.alias("__own"),
+                      F.pmod(F.hash(F.col(key)), F.lit(n_buckets)).alias("__b"))
+              .withColumn("__c", F.explode(F.array(F.col("__own"), F.col("__own") + 1))))
+    key_type = triples.schema[key].dataType.simpleString()
+    schema = f"{key} {key_type}, __t long, {name} double"
+
+    def one_key(t, v, f, c):
+        ts = np.unique(t)
+        own = ts[np.floor_divide(ts, width) == c]
+        if len(own) == 0:
+            return own, np.empty(0)
+        start = np.searchsorted(ts, own - width, side="right")
+        end = np.searchsorted(ts, own, side="right")
+        vals = np.unique(v)
+        frame = None
+        if len(ts) * len(vals) <= MEDIAN_DENSE_CELLS:
+            m = np.zeros((len(ts) + 1, len(vals)))
+            np.add.at(m, (np.searchsorted(ts, t) + 1, np.searchsorted(vals, v)), f)
+            cum = np.cumsum(m, axis=0)
+            frame = np.cumsum(cum[end] - cum[start], axis=1)
+        else:  # many distinct values: one sorted frame at a time
+            order = np.argsort(t, kind="stable")
+            t, v, f = t[order], v[order], f[order]
+        out = np.empty(len(own))
+        for i in range(len(own)):
+            if frame is not None:
+                cnt, values = frame[i], vals
+            else:
+                lo, hi = np.searchsorted(t, own[i] - width, "right"), np.searchsorted(t, own[i], "right")
+                o = np.argsort(v[lo:hi], kind="stable")
+                values, cnt = v[lo:hi][o], np.cumsum(f[lo:hi][o])
+            n = cnt[-1] if len(cnt) else 0
+            if n <= 0:
+                out[i] = np.nan
+                continue
+            pos = (n - 1) * 0.5
+            lower, higher = math.floor(pos), math.ceil(pos)
+            lo_v = values[np.argmax(cnt > lower)]
+            hi_v = values[np.argmax(cnt > higher)]
+            out[i] = lo_v if (higher == lower or lo_v == hi_v) else \
+                (higher - pos) * lo_v + (pos - lower) * hi_v
+        return own, out
+
+    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf["__c"].iloc[0]
+        keys, times, meds = [], [], []
+        for k, sub in pdf.groupby(key, sort=False):
+            own, out = one_key(sub["__t"].to_numpy(), sub[val].to_numpy(dtype=float),
+                               sub["__f"].to_numpy(dtype=float), c)
+            keys.extend([k] * len(own))
+            times.append(own)
+            meds.append(out)
+        return pd.DataFrame({key: pd.Series(keys, dtype=object),
+                             "__t": np.concatenate(times).astype("int64") if times else np.empty(0, "int64"),
+                             name: np.concatenate(meds) if meds else np.empty(0)})
+
+    return copies.groupBy("__b", "__c").applyInPandas(medians, schema)
+
+
 def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int = 7,
-                   time_col: str = TIME_COL) -> dict[str, tuple[DataFrame, int, str]]:
+                   time_col: str = TIME_COL, median_mode: str = "chunks") -> dict[str, tuple[DataFrame, int, str]]:
     """{prefix: (stats table, exact row count, key)} for several keys from one scan."""
     keys = list(dict.fromkeys(k for k, _ in specs.values()))
     need: dict[str, set[str]] = {}
@@ -117,6 +201,8 @@ def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int
             parts.append(F.min(c).alias(f"lo__{c}"))
         if "hi" in wants:
             parts.append(F.max(c).alias(f"hi__{c}"))
+    if medians:
+        ship_package(df.sparkSession)
     unified = pin(base.groupingSets(sets, *group_cols).agg(*parts), "rolling-buckets")
     counts = {r["__g"]: r["n"] for r in unified.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
     unified = unified.withColumn("__t", epoch_us(time_col))
@@ -162,11 +248,15 @@ def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int
                 continue
             name = f"{prefix}_{c}_median"
             tgid = _gid(group_cols, [key, time_col, f"__m_{c}"])
-            triples = unified.where(F.col("__g") == tgid).repartition(n_parts, key)
-            med = (triples.withColumn(name, F.percentile(F.col(f"__m_{c}"), F.lit(0.5), F.col("__f"))
-                                      .over(_frame(key, days, F.col("__t"))))
-                   .groupBy(key, time_col).agg(F.max(name).alias(name)))
-            stats = stats.join(med, [key, time_col], "left")
+            triples = unified.where(F.col("__g") == tgid)
+            if median_mode == "window":
+                med = (triples.repartition(n_parts, key)
+                       .withColumn(name, F.percentile(F.col(f"__m_{c}"), F.lit(0.5), F.col("__f"))
+                                   .over(_frame(key, days, F.col("__t"))))
+                       .groupBy(key, "__t").agg(F.max(name).alias(name)))
+            else:
+                med = frame_medians(triples, key, f"__m_{c}", name, days)
+            stats = stats.join(med, [key, "__t"], "left")
         names = [f"{prefix}_{c}_{a}" for c, aggs in items for a in aggs]
         prev = Window.partitionBy(key).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
         stats = stats.select(key, time_col, *[

@@ -42,9 +42,10 @@ class DetectorModel:
             "ae_score": error_column(self.recon, self.features),
         })
 
-    def score(self, X: DataFrame) -> DataFrame:
-        """I2/I4, R4/R6, then E1-E7. Keeps every input column."""
-        s = self.raw_scores(X)
+    def score(self, X: DataFrame, raw: bool = True) -> DataFrame:
+        """I2/I4, R4/R6, then E1-E7. Keeps every input column. ``raw=False``
+        when ``X`` already carries ``if_score`` and ``ae_score``."""
+        s = self.raw_scores(X) if raw else X
         s = s.withColumns({
             "if_flag": (F.col("if_score") > F.lit(self.if_threshold)).cast("int"),
             "ae_flag": (F.col("ae_score") > F.lit(self.ae_threshold)).cast("int"),
@@ -93,13 +94,23 @@ class HybridDetector:
 
     def fit(self, X_train: DataFrame, features: list[str], id_col: str = "task_id") -> DetectorModel:
         """Both fits on one pinned matrix, thresholds from one scored table."""
+        model, _ = self.fit_scored(X_train, features, None, id_col)
+        return model
+
+    def fit_scored(self, X: DataFrame, features: list[str], train_col: str | None = "is_train",
+                   id_col: str = "task_id") -> tuple[DetectorModel, DataFrame]:
+        """Fit on the rows with ``train_col == 1`` (all rows if None) and score
+        every row of ``X`` once; thresholds and ranges come from the training
+        part of that one scored table. Returns (model, raw scores of all rows)."""
         p = self.params
-        X = pin(X_train.select(id_col, *features))
-        n = X.count()
-        forest = fit_forest(X, features, p, n, id_col)
-        recon = fit_reconstruction(X, features, p)
+        train = X if train_col is None else X.where(F.col(train_col) == 1)
+        Xt = pin(train.select(id_col, *features))
+        n = Xt.count()
+        forest = fit_forest(Xt, features, p, n, id_col)
+        recon = fit_reconstruction(Xt, features, p)
         partial = DetectorModel(p, features, forest, recon, float("inf"), float("inf"), {})
-        train_scores = pin(partial.raw_scores(X).select(id_col, "if_score", "ae_score"))
+        scored_all = pin(partial.raw_scores(X if train_col is not None else Xt))
+        train_scores = scored_all if train_col is None else scored_all.where(F.col(train_col) == 1)
         q = 1.0 - p.contamination
         if p.quantile_mode == "exact":
             if_q = F.percentile("if_score", F.lit(q))
@@ -112,5 +123,5 @@ class HybridDetector:
         forest.threshold_score = float(row["if_thr"])
         recon.threshold = ae_thr
         ranges = {"if_score": (row["if_lo"], row["if_hi"]), "ae_score": (row["ae_lo"], row["ae_hi"])}
-        return DetectorModel(p, features, forest, recon, float(row["if_thr"]), ae_thr, ranges)
+        return DetectorModel(p, features, forest, recon, float(row["if_thr"]), ae_thr, ranges), scored_all
 

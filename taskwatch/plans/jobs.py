@@ -56,8 +56,8 @@ def fit_and_score(tasks: DataFrame, params: Params | None = None) -> Fitted:
                                p.quantile_accuracy)
     fm = FeatureModel(p, cats, groups, gmeans, scaler, names)
     X = pin(fm.scale(raw))
-    det = HybridDetector(p).fit(X.where(F.col("is_train") == 1), names)
-    scored = pin(det.score(X))
+    det, raw_scores = HybridDetector(p).fit_scored(X, names, "is_train")
+    scored = det.score(raw_scores, raw=False)   # flags and ensemble: projections only
     return Fitted(fm, det, scored, X)
 
 
@@ -79,8 +79,9 @@ def _with_auc(cls: DataFrame, auc: DataFrame) -> DataFrame:
     return c.unionByName(a).groupBy().pivot("k", names).agg(F.first("v"))
 
 
-def evaluation_tables(scored: DataFrame) -> dict[str, DataFrame]:
+def evaluation_tables(scored: DataFrame, params: Params | None = None) -> dict[str, DataFrame]:
     """Everything the evaluation report and its charts need, on held-out rows."""
+    p = params or Params()
     test = scored.where((F.col("is_train") == 0) & F.col("is_anomaly").isNotNull())
     long = M.long_scores(test, {"ensemble": "anomaly_score", "isolation_forest": "if_score_norm",
                                 "autoencoder": "ae_score_norm"})
@@ -91,7 +92,7 @@ def evaluation_tables(scored: DataFrame) -> dict[str, DataFrame]:
         "roc": M.roc_curve(long),
         "pr": M.pr_curve(long),
         "histogram": M.histogram(long),
-        "boxplot": M.boxplot(long),
+        "boxplot": M.boxplot(long, p.quantile_mode, p.quantile_accuracy),
         "calibration": M.calibration(test),
     }
 
