@@ -198,13 +198,30 @@ class ForestModel:
                 node = np.where(internal, nxt, node)
             yield t, node
 
-    def path_length(self, X: np.ndarray) -> np.ndarray:
-        total = np.zeros(X.shape[0])
-        trees = 0
-        for t, node in self._leaves(X):
-            total += self.leaf_h[t, node]
-            trees += 1
-        return total / max(trees, 1)
+    def path_length(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Mean path length over all trees, walking every tree at once per level
+        on a (rows x trees) index matrix; rows go in chunks to bound memory."""
+        T, M = self.feature_idx.shape
+        if T == 0:
+            return np.zeros(X.shape[0])
+        fi, th = self.feature_idx.ravel(), self.threshold.ravel()
+        le, ri, lh = self.left.ravel(), self.right.ravel(), self.leaf_h.ravel()
+        base = (np.arange(T, dtype=np.int64) * M)[None, :]
+        out = np.empty(X.shape[0])
+        for s0 in range(0, X.shape[0], chunk):
+            Xc = X[s0:s0 + chunk]
+            rows = np.arange(Xc.shape[0])[:, None]
+            node = np.zeros((Xc.shape[0], T), dtype=np.int64)
+            for _ in range(self.max_depth):
+                g = base + node
+                f = fi[g]
+                internal = f >= 0
+                if not internal.any():
+                    break
+                x = Xc[rows, np.where(internal, f, 0)]
+                node = np.where(internal, np.where(x <= th[g], le[g], ri[g]), node)
+            out[s0:s0 + chunk] = lh[base + node].mean(axis=1)
+        return out
 
     def score(self, X: np.ndarray) -> np.ndarray:
         return np.power(2.0, -self.path_length(X) / c_factor([self.psi])[0])

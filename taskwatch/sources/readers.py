@@ -62,6 +62,19 @@ def conform(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def validate_records(df: DataFrame, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split records into (valid, rejected); a record is rejected when a
+    required request field is missing or a timestamp did not parse. The
+    rejected side carries the list of offending fields."""
+    from taskwatch.sources.schema import REQUEST_COLUMNS
+    required = [c for c in (required or REQUEST_COLUMNS) if c in df.columns]
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    tagged = df.withColumn("__missing", missing)
+    valid = tagged.where(F.size("__missing") == 0).drop("__missing")
+    rejected = tagged.where(F.size("__missing") > 0).withColumnRenamed("__missing", "missing_fields")
+    return valid, rejected
+
+
 def newest_file(spark: SparkSession, directory: str, suffix: str = ".parquet") -> DataFrame:
     """The most recently modified file in a folder, as a one-row table.
 

@@ -27,7 +27,7 @@ from taskwatch.config import Params
 from taskwatch.plans.detector import DetectorModel
 from taskwatch.plans.featurize import FeatureModel
 from taskwatch.plans.jobs import train_job
-from taskwatch.sources.readers import conform
+from taskwatch.sources.readers import conform, validate_records
 from taskwatch.sources.schema import TASK_SCHEMA, TASK_TEXT_SCHEMA
 
 READY = "_READY"
@@ -102,8 +102,9 @@ class BatchScorer:
     """The ``foreachBatch`` function of T1-T4."""
 
     def __init__(self, spark: SparkSession, model_root: str, history: str, scores: str,
-                 alert_sinks: list[str], days: int = 7):
+                 alert_sinks: list[str], days: int = 7, rejects: str | None = None):
         self.spark, self.history, self.scores, self.alert_sinks = spark, history, scores, alert_sinks
+        self.rejects = rejects
         self.models = ModelCache(spark, model_root)
         self.days = days
 
@@ -122,7 +123,10 @@ class BatchScorer:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
-        tasks = batch.drop("event_time").dropDuplicates(["task_id"])
+        tasks, rejected = validate_records(batch.drop("event_time"))       # S15
+        if self.rejects:
+            rejected.write.mode("overwrite").parquet(os.path.join(self.rejects, f"batch={batch_id}"))
+        tasks = tasks.dropDuplicates(["task_id"])
         span = tasks.agg(F.min("planned_start_ts").alias("lo"), F.max("planned_start_ts").alias("hi")).first()
         if span is None or span["lo"] is None:
             return
@@ -167,10 +171,12 @@ def run_scoring_stream(spark: SparkSession, source: str, model_root: str, work:
                        n_alert_sinks: int = 2) -> dict[str, str]:
     """Run T1-T4 over everything in ``source`` (availableNow) and return the output paths."""
     paths = {"scores": os.path.join(work, "scores"), "history": os.path.join(work, "history"),
+             "rejects": os.path.join(work, "rejects"),
              "checkpoint": os.path.join(work, "checkpoint"),
              "alerts": [os.path.join(work, f"alerts_{i}") for i in range(n_alert_sinks)]}
     stream = deduplicated(read_task_stream(spark, source, fmt, max_files_per_trigger))
-    scorer = BatchScorer(spark, model_root, paths["history"], paths["scores"], paths["alerts"])
+    scorer = BatchScorer(spark, model_root, paths["history"], paths["scores"], paths["alerts"],
+                         rejects=paths["rejects"])
     q = (stream.writeStream.foreachBatch(scorer).option("checkpointLocation", paths["checkpoint"])
          .trigger(availableNow=True).start())
     q.awaitTermination()

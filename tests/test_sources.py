@@ -31,3 +31,14 @@ def test_read_report_defaults(spark):
     spark.createDataFrame([(json.dumps(doc),)], "value string").write.text(path)
     r = read_report(spark, path).first()
     assert r["precision"] == 0.5 and r["recall"] == 0.0 and r["auc_roc"] == 0.0
+
+
+def test_validate_records(spark):
+    from taskwatch.sources.readers import validate_records
+    t = C.tasks(spark, SF0001).limit(5)
+    from pyspark.sql import functions as F
+    broken = t.withColumn("engine_id", F.when(F.col("task_id") == "WO1", F.lit(None)).otherwise(F.col("engine_id")))
+    valid, rejected = validate_records(broken)
+    assert valid.count() + rejected.count() == 5
+    r = rejected.collect()
+    assert all("engine_id" in x["missing_fields"] for x in r)
