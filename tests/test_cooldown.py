@@ -34,3 +34,12 @@ def test_random_against_greedy(spark):
     for _, g in pdf.sort_values(["engine_id", "m", "task_id"]).groupby("engine_id"):
         exp.update(zip(g["task_id"], cooldown_reference(list(g["m"]), 30)))
     assert got == exp
+
+
+def test_stream_cooldown_matches_batch(spark):
+    from conftest import SF0001
+    from taskwatch import models_catalog as MC
+    batch = MC.q_cooldown_alerts(spark, SF0001).where("sent = 1").select("task_id")
+    stream = MC.q_stream_cooldown(spark, SF0001).select("task_id")
+    assert batch.count() == stream.count()
+    assert batch.exceptAll(stream).count() == 0
