@@ -5,7 +5,8 @@ features, thresholds and flags mean the same thing.
     rolling window 7 days; KPI rolling window 30 days
     isolation forest: 500 trees, 256 rows per tree ("auto"), 80 % of features
         per tree, bootstrap sampling, contamination 0.07, seed 42
-    autoencoder bottleneck 8 (replaced by an 8-component linear reconstruction)
+    autoencoder 128-64-32-8 (ReLU, dropout 0.3, Adam 5e-4, batch 64, 150 epochs,
+        patience 15); default model is its 8-component linear counterpart
     ensemble weights 0.5 / 0.5; anomaly score threshold 0.2;
         agreement threshold factor 0.7
     reconstruction threshold: max(90th percentile, mean + 2 population std)
@@ -30,6 +31,12 @@ class Params:
     seed: int = 42
 
     n_components: int = 8
+    recon_model: str = "pca"            # "pca" (linear autoencoder) or "mlp"
+    ae_epochs: int = 150
+    ae_patience: int = 15
+    ae_batch_size: int = 64
+    ae_learning_rate: float = 0.0005
+    ae_dropout: float = 0.3
     recon_percentile: float = 0.90
     recon_std_factor: float = 2.0
 

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskwatch.config import Params
+from taskwatch.operators.autoencoder import AutoencoderModel, fit_autoencoder, flatten, unflatten
 from taskwatch.operators.ensemble import ensemble
 from taskwatch.operators.explain import forest_top_column, reconstruction_top_column
 from taskwatch.operators.forest import ForestModel, fit_forest, score_column
@@ -65,7 +66,12 @@ class DetectorModel:
         meta = {"params": self.params.to_dict(), "features": self.features,
                 "if_threshold": self.if_threshold, "ae_threshold": self.ae_threshold,
                 "ranges": self.ranges, "psi": self.forest.psi, "max_depth": self.forest.max_depth,
-                "recon_mean": self.recon.mean.tolist(), "recon_components": self.recon.components.tolist()}
+                "recon_kind": "mlp" if isinstance(self.recon, AutoencoderModel) else "pca"}
+        if isinstance(self.recon, AutoencoderModel):
+            meta["recon_weights"] = flatten(self.recon.weights).tolist()
+        else:
+            meta["recon_mean"] = self.recon.mean.tolist()
+            meta["recon_components"] = self.recon.components.tolist()
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "detector_metadata"))
         spark.createDataFrame(self.forest.to_nodes()).write.mode("overwrite") \
@@ -81,8 +87,12 @@ class DetectorModel:
         forest = ForestModel(meta["features"], meta["psi"], arr("feature", np.int32), arr("threshold", float),
                              arr("left", np.int32), arr("right", np.int32), arr("leaf_h", float),
                              arr("value", float), meta["max_depth"], meta["if_threshold"])
-        recon = ReconstructionModel(meta["features"], np.array(meta["recon_mean"]),
-                                    np.array(meta["recon_components"]), meta["ae_threshold"])
+        if meta.get("recon_kind") == "mlp":
+            recon = AutoencoderModel(meta["features"], unflatten(np.array(meta["recon_weights"]),
+                                                                 len(meta["features"])), meta["ae_threshold"])
+        else:
+            recon = ReconstructionModel(meta["features"], np.array(meta["recon_mean"]),
+                                        np.array(meta["recon_components"]), meta["ae_threshold"])
         ranges = {k: tuple(v) for k, v in meta["ranges"].items()}
         return cls(Params(**meta["params"]), meta["features"], forest, recon,
                    meta["if_threshold"], meta["ae_threshold"], ranges)
@@ -104,10 +114,14 @@ class HybridDetector:
         part of that one scored table. Returns (model, raw scores of all rows)."""
         p = self.params
         train = X if train_col is None else X.where(F.col(train_col) == 1)
-        Xt = pin(train.select(id_col, *features))
+        extra = ["planned_start_ts"] if "planned_start_ts" in X.columns else []
+        Xt = pin(train.select(id_col, *extra, *features))
         n = Xt.count()
         forest = fit_forest(Xt, features, p, n, id_col)
-        recon = fit_reconstruction(Xt, features, p)
+        if p.recon_model == "mlp":
+            recon = fit_autoencoder(Xt, features, p)
+        else:
+            recon = fit_reconstruction(Xt, features, p)
         partial = DetectorModel(p, features, forest, recon, float("inf"), float("inf"), {})
         scored_all = pin(partial.raw_scores(X if train_col is not None else Xt))
         train_scores = scored_all if train_col is None else scored_all.where(F.col(train_col) == 1)
