@@ -38,6 +38,15 @@ def fit_group_means(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def table_sizes(tables: dict[str, DataFrame]) -> dict[str, int]:
+    parts = [t.select(F.lit(name).alias("t")) for name, t in tables.items()]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    counts = {r["t"]: r["n"] for r in union.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {name: counts.get(name, 0) for name in tables}
+
+
 def fit_global_means(df: DataFrame) -> dict[str, float]:
     row = df.agg(*[F.avg(F.col(val).cast("double")).alias(out)
                    for out, _, val in GROUP_MEANS]).first()
@@ -48,9 +57,10 @@ def apply_group_means(df: DataFrame, tables: dict[str, DataFrame],
                       global_means: dict[str, float] | None = None,
                       broadcast_limit_bytes: int = 64 << 20) -> DataFrame:
     out = df
+    # fitted tables are pinned (or read from disk): one small job counts all of them
+    sizes = table_sizes(tables)
     for name, key, _ in GROUP_MEANS:
-        # fitted tables are pinned (or read from disk): counting them is cheap
-        out = attach(out, tables[name], [key], broadcast_limit_bytes, rows=tables[name].count())
+        out = attach(out, tables[name], [key], broadcast_limit_bytes, rows=sizes[name])
         if global_means is not None and global_means.get(name) is not None:
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(float(global_means[name]))))
     return out
