@@ -1,8 +1,11 @@
 """Structured Streaming scoring and alerting (T1-T5, Q1 stream side).
 
 T1  ``readStream`` of task records (Parquet or JSON) -> watermark on the planned
-    start -> ``dropDuplicatesWithinWatermark(task_id)`` (re-sent records and
-    records older than the watermark are dropped) -> ``foreachBatch``:
+    start -> ``dropDuplicatesWithinWatermark(task_id)`` (re-sent records are
+    dropped; state is bounded by the watermark) -> ``foreachBatch``, which
+    also sets aside records older than the watermark of the earlier batches
+    (latest processed start minus the delay; ``dropDuplicatesWithinWatermark``
+    only evicts state, it does not filter late rows) into a late sink:
     rolling features need history, so each micro-batch is unioned with the
     stored tasks of the seven days before it (partition-pruned by start date),
     transformed with the fitted feature model, scored, and only the new rows
@@ -102,9 +105,11 @@ class BatchScorer:
     """The ``foreachBatch`` function of T1-T4."""
 
     def __init__(self, spark: SparkSession, model_root: str, history: str, scores: str,
-                 alert_sinks: list[str], days: int = 7, rejects: str | None = None):
+                 alert_sinks: list[str], days: int = 7, rejects: str | None = None,
+                 late: str | None = None, delay_days: int = 7):
         self.spark, self.history, self.scores, self.alert_sinks = spark, history, scores, alert_sinks
-        self.rejects = rejects
+        self.rejects, self.late, self.delay_days = rejects, late, delay_days
+        self.max_seen = None   # latest planned start processed so far
         self.models = ModelCache(spark, model_root)
         self.days = days
 
@@ -121,11 +126,31 @@ class BatchScorer:
                           & (F.col("planned_start_ts") > lo_ts - F.expr(f"INTERVAL {self.days} DAYS"))
                           & (F.col("planned_start_ts") <= hi_ts))
 
+    def _recover_max_seen(self):
+        """After a restart: the latest start in the stored history (partition-pruned)."""
+        try:
+            hist = self.spark.read.parquet(self.history)
+        except Exception:  # noqa: BLE001 - nothing stored yet
+            return None
+        last = hist.agg(F.max("start_date")).first()[0]
+        if last is None:
+            return None
+        return hist.where(F.col("start_date") == F.lit(last)).agg(F.max("planned_start_ts")).first()[0]
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
         tasks, rejected = validate_records(batch.drop("event_time"))       # S15
         if self.rejects:
             rejected.write.mode("overwrite").parquet(os.path.join(self.rejects, f"batch={batch_id}"))
+        if self.max_seen is None:
+            self.max_seen = self._recover_max_seen()
+        if self.max_seen is not None:
+            limit = ntz_literal(self.max_seen) - F.expr(f"INTERVAL {self.delay_days} DAYS")
+            too_late = F.col("planned_start_ts") < limit
+            if self.late:
+                tasks.where(too_late).write.mode("overwrite").parquet(
+                    os.path.join(self.late, f"batch={batch_id}"))
+            tasks = tasks.where(~too_late)
         tasks = tasks.dropDuplicates(["task_id"])
         span = tasks.agg(F.min("planned_start_ts").alias("lo"), F.max("planned_start_ts").alias("hi")).first()
         if span is None or span["lo"] is None:
@@ -152,6 +177,8 @@ class BatchScorer:
         (new.drop("__new").withColumn("start_date", F.to_date("planned_start_ts"))
          .write.mode("overwrite").partitionBy("start_date")
          .parquet(os.path.join(self.history, f"batch={batch_id}")))
+        hi = span["hi"]
+        self.max_seen = hi if self.max_seen is None else max(self.max_seen, hi)
 
 
 def ntz_literal(value):
@@ -171,12 +198,12 @@ def run_scoring_stream(spark: SparkSession, source: str, model_root: str, work:
                        n_alert_sinks: int = 2) -> dict[str, str]:
     """Run T1-T4 over everything in ``source`` (availableNow) and return the output paths."""
     paths = {"scores": os.path.join(work, "scores"), "history": os.path.join(work, "history"),
-             "rejects": os.path.join(work, "rejects"),
+             "rejects": os.path.join(work, "rejects"), "late": os.path.join(work, "late"),
              "checkpoint": os.path.join(work, "checkpoint"),
              "alerts": [os.path.join(work, f"alerts_{i}") for i in range(n_alert_sinks)]}
     stream = deduplicated(read_task_stream(spark, source, fmt, max_files_per_trigger))
     scorer = BatchScorer(spark, model_root, paths["history"], paths["scores"], paths["alerts"],
-                         rejects=paths["rejects"])
+                         rejects=paths["rejects"], late=paths["late"])
     q = (stream.writeStream.foreachBatch(scorer).option("checkpointLocation", paths["checkpoint"])
          .trigger(availableNow=True).start())
     q.awaitTermination()
