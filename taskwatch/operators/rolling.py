@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taskwatch.functions.time import US_PER_DAY, epoch_us
 from taskwatch.operators.joins import attach
-from taskwatch.session import pin, ship_package
+from taskwatch.session import parts_for, pin, ship_package
 
 # Rolling aggregates per key, in the reference's column order.
 ROLLING_SPEC: dict[str, tuple[str, list[tuple[str, list[str]]]]] = {
@@ -208,13 +208,14 @@ def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int
     unified = unified.withColumn("__t", epoch_us(time_col))
     # The windows below are CPU-heavy for their size; hash-partition by key
     # with an explicit count (this is the window's own exchange, so no extra
-    # shuffle) so that AQE does not coalesce all keys into one task.
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # shuffle) so that AQE does not coalesce all keys into one task. The count
+    # follows the measured bucket count.
+    spark = df.sparkSession
 
     out = {}
     for prefix, (key, items) in specs.items():
         gid = _gid(group_cols, [key, time_col])
-        buckets = unified.where(F.col("__g") == gid).repartition(n_parts, key)
+        buckets = unified.where(F.col("__g") == gid).repartition(parts_for(spark, counts.get(gid, 0)), key)
         w = _frame(key, days, F.col("__t"))
         cols = []
         for c, aggs in items:
@@ -249,13 +250,14 @@ def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int
             name = f"{prefix}_{c}_median"
             tgid = _gid(group_cols, [key, time_col, f"__m_{c}"])
             triples = unified.where(F.col("__g") == tgid)
+            n_parts = parts_for(spark, counts.get(tgid, 0))
             if median_mode == "window":
                 med = (triples.repartition(n_parts, key)
                        .withColumn(name, F.percentile(F.col(f"__m_{c}"), F.lit(0.5), F.col("__f"))
                                    .over(_frame(key, days, F.col("__t"))))
                        .groupBy(key, "__t").agg(F.max(name).alias(name)))
             else:
-                med = frame_medians(triples, key, f"__m_{c}", name, days)
+                med = frame_medians(triples, key, f"__m_{c}", name, days, n_parts)
             stats = stats.join(med, [key, "__t"], "left")
         names = [f"{prefix}_{c}_{a}" for c, aggs in items for a in aggs]
         prev = Window.partitionBy(key).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)

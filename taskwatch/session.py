@@ -99,3 +99,12 @@ def broadcast_model(model):
     spark = SparkSession.getActiveSession()
     ship_package(spark)
     return spark.sparkContext.broadcast(model)
+
+
+def parts_for(spark: SparkSession, rows: int, rows_per_task: int = 20_000) -> int:
+    """Partitions for an explicit repartition of ``rows`` measured rows: enough
+    for every core, about ``rows_per_task`` rows each, at most the configured
+    shuffle partitions (so a large input keeps the cluster's setting)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(shuffle, max(cores, -(-int(rows) // rows_per_task))))
