@@ -79,6 +79,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+_PIN_LOGS: list[list[str]] = []
+
+
+class pinned_scope:
+    """Collect the paths pinned inside a block, e.g. one stream micro-batch,
+    so they can be dropped once the block's outputs are written."""
+
+    def __enter__(self) -> list[str]:
+        self.paths: list[str] = []
+        _PIN_LOGS.append(self.paths)
+        return self.paths
+
+    def __exit__(self, *exc) -> None:
+        _PIN_LOGS.remove(self.paths)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete pinned tables through the Hadoop FileSystem of their location."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Cut lineage with a table written to the shared checkpoint folder.
 
@@ -91,6 +116,8 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    for log in _PIN_LOGS:
+        log.append(path)
     return spark.read.parquet(path)
 
 

@@ -30,6 +30,7 @@ from taskwatch.config import Params
 from taskwatch.plans.detector import DetectorModel
 from taskwatch.plans.featurize import FeatureModel
 from taskwatch.plans.jobs import train_job
+from taskwatch.session import drop_paths, pinned_scope
 from taskwatch.sources.readers import conform, validate_records
 from taskwatch.sources.schema import TASK_SCHEMA, TASK_TEXT_SCHEMA
 
@@ -138,6 +139,12 @@ class BatchScorer:
         return hist.where(F.col("start_date") == F.lit(last)).agg(F.max("planned_start_ts")).first()[0]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        # intermediate tables pinned for this batch are dropped once its outputs exist
+        with pinned_scope() as pinned:
+            self._process(batch, batch_id)
+        drop_paths(self.spark, pinned)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
         tasks, rejected = validate_records(batch.drop("event_time"))       # S15
         if self.rejects:
