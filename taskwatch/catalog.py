@@ -20,10 +20,9 @@ from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, fit_categ
 from taskwatch.operators import metrics as M
 from taskwatch.operators.ensemble import anomaly_summary, ensemble, fit_score_range
 from taskwatch.operators.groups import GROUP_MEANS, apply_group_means, dataset_profile, fit_group_means
-from taskwatch.operators.rolling import ROLLING_SPEC, rolling_columns, rolling_stats, with_rolling_features
-from taskwatch.operators.joins import attach
+from taskwatch.operators.rolling import ROLLING_SPEC, rolling_columns, with_rolling_features
 from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
-from taskwatch.operators.split import time_split, train_size
+from taskwatch.operators.split import time_split
 from taskwatch.plans.featurize import row_features, select_features
 from taskwatch.functions.features import feature_names
 from taskwatch.sources.readers import tasks_from_events
@@ -323,8 +322,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _sql() -> dict[str, str]:
     B = S.BASE
-    D = set()
-    dbl = lambda cols: set(cols)
     out: dict[str, str] = {}
     task_doubles = {"tat_hours_engine", "mttr_hours_engine"}
     out["task_view"] = S.with_ctes(S.TASKS, body=f"SELECT {S.rounded(TASK_COLUMNS, task_doubles)} FROM tasks")
@@ -477,7 +474,6 @@ FROM scored WHERE is_anomaly IS NOT NULL AND anomaly_score IS NOT NULL GROUP BY
     out["scoring_results"] = S.with_ctes(*E, body="""
 SELECT task_id, engine_id, anomaly_flag, round(anomaly_score, 6) + 0.0 AS anomaly_score,
        round(if_n, 6) + 0.0 AS if_score, round(ae_n, 6) + 0.0 AS ae_score, if_flag, ae_flag FROM scored""")
-    del D, dbl
     return out
 
 

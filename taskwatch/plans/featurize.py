@@ -21,7 +21,6 @@ from taskwatch.functions.time import with_time_features
 from taskwatch.operators.groups import apply_group_means, fit_global_means, fit_group_means
 from taskwatch.operators.rolling import with_rolling_features
 from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
-from taskwatch.session import pin
 from taskwatch.sources.schema import IDENTITY_COLUMNS
 
 LABEL = "is_anomaly"
