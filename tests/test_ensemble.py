@@ -37,3 +37,13 @@ def test_fit_range_clips_single_row(spark):
     one = ensemble(batch.where("task_id = 'b'"), rng).first()["anomaly_score"]
     assert one == pytest.approx(full["b"])
     assert ensemble(batch.where("task_id = 'b'"), None, Params(normalize_mode="batch")).first()["anomaly_score"] == 0.0
+
+
+def test_single_task_lookup(spark):
+    from taskwatch.operators.ensemble import single
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "task_id string, x double")
+    assert single(df, "a").first()["x"] == 1.0
+    with pytest.raises(ValueError):
+        single(df, "b")          # two rows
+    with pytest.raises(ValueError):
+        single(df, "zzz")        # none
