@@ -26,7 +26,7 @@ from taskwatch.operators.scaling import fit_robust_scaler
 from taskwatch.operators.split import time_split
 from taskwatch.plans.detector import DetectorModel, HybridDetector
 from taskwatch.plans.featurize import FeatureModel, engineered, select_features
-from taskwatch.session import pin
+from taskwatch.session import drop_paths, pin, pinned_scope
 from taskwatch.sources.readers import conform, load_tasks
 
 SCORE_COLUMNS = ["task_id", "engine_id", "anomaly_flag", "anomaly_score", "if_score", "ae_score",
@@ -98,7 +98,15 @@ def evaluation_tables(scored: DataFrame, params: Params | None = None) -> dict[s
 
 
 def train_job(spark: SparkSession, data_path: str, artifacts: str, params: Params | None = None) -> dict:
-    """T7 train: fit, save every artifact, return the training summary."""
+    """T7 train: fit, save every artifact, return the training summary.
+    Intermediate tables pinned on the way are dropped once the artifacts exist."""
+    with pinned_scope() as pinned:
+        summary = _train(spark, data_path, artifacts, params)
+    drop_paths(spark, pinned)
+    return summary
+
+
+def _train(spark: SparkSession, data_path: str, artifacts: str, params: Params | None) -> dict:
     p = params or Params()
     fitted = fit_and_score(load_tasks(spark, data_path), p)
     fitted.features.save(os.path.join(artifacts, "features"))
@@ -121,6 +129,13 @@ def train_job(spark: SparkSession, data_path: str, artifacts: str, params: Param
 
 def evaluate_job(spark: SparkSession, data_path: str, artifacts: str, out_dir: str) -> dict:
     """T7 evaluate: score held-out rows with saved models, write report (S13) and summary."""
+    with pinned_scope() as pinned:
+        report = _evaluate(spark, data_path, artifacts, out_dir)
+    drop_paths(spark, pinned)
+    return report
+
+
+def _evaluate(spark: SparkSession, data_path: str, artifacts: str, out_dir: str) -> dict:
     fm = FeatureModel.load(spark, os.path.join(artifacts, "features"))
     det = DetectorModel.load(spark, os.path.join(artifacts, "detector"))
     tasks = pin(time_split(conform(load_tasks(spark, data_path)), fm.params.test_size))
@@ -185,6 +200,13 @@ def summary_text(report: dict) -> str:
 
 def score_file_job(spark: SparkSession, data_path: str, artifacts: str, out_path: str) -> dict:
     """S1/S2 -> F10 -> score -> S6 CSV with the reference's 8 columns, plus M21."""
+    with pinned_scope() as pinned:
+        result = _score_file(spark, data_path, artifacts, out_path)
+    drop_paths(spark, pinned)
+    return result
+
+
+def _score_file(spark: SparkSession, data_path: str, artifacts: str, out_path: str) -> dict:
     fm = FeatureModel.load(spark, os.path.join(artifacts, "features"))
     det = DetectorModel.load(spark, os.path.join(artifacts, "detector"))
     scored = pin(det.score(fm.transform(load_tasks(spark, data_path))))
