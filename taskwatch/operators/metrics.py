@@ -22,7 +22,14 @@ def _i(col: str) -> Column:
     return F.coalesce(F.col(col).cast("bigint"), F.lit(0))
 
 
+def require_label(df: DataFrame, label: str = "is_anomaly") -> None:
+    """Metrics need labels; scoring does not. Refuse clearly when they are absent."""
+    if label not in df.columns:
+        raise ValueError(f"metrics need the label column {label!r}; the input has none")
+
+
 def confusion_counts(df: DataFrame, label: str = "is_anomaly", pred: str = "anomaly_flag") -> DataFrame:
+    require_label(df, label)
     y, p = F.col(label), F.col(pred)
     labelled = df.where(y.isNotNull())
     return labelled.agg(
@@ -64,6 +71,7 @@ def confusion_matrix(df: DataFrame, label: str = "is_anomaly", pred: str = "anom
 
 def long_scores(df: DataFrame, score_cols: dict[str, str], label: str = "is_anomaly") -> DataFrame:
     """(model, score, label) rows for every named score column (M10 unpivot)."""
+    require_label(df, label)
     parts = F.array(*[F.struct(F.lit(name).alias("model"), F.col(col).cast("double").alias("score"))
                       for name, col in score_cols.items()])
     return (df.select(F.col(label).cast("bigint").alias("label"), F.inline(parts))
@@ -152,6 +160,7 @@ def boxplot(long: DataFrame, mode: str = "exact", accuracy: int = 100000) -> Dat
 def calibration(df: DataFrame, score: str = "anomaly_score", label: str = "is_anomaly",
                 bins: int = 10) -> DataFrame:
     """Q2: reliability table over equal-width score bins on [0, 1]."""
+    require_label(df, label)
     s = F.col(score).cast("double")
     b = F.least(F.greatest(F.floor(s * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     return (df.where(F.col(label).isNotNull() & s.isNotNull()).withColumn("bin", b)

@@ -58,3 +58,15 @@ def test_jobs_roundtrip(spark, tmp_path):
     assert report["evaluation_summary"]["metrics"]["total_samples"] == 200
     res = score_file_job(spark, src + "/tasks.parquet", art, scratch_path(spark, "scores"))
     assert res["total_tasks"] == 1000
+
+
+def test_missing_label_scores_but_refuses_metrics(spark):
+    from taskwatch import models_catalog as MC
+    from taskwatch.catalog import tasks
+    from taskwatch.operators import metrics as M
+    f = MC.fitted(spark, SF0001)
+    unlabelled = tasks(spark, SF0001).drop("is_anomaly")
+    scored = f.detector.score(f.features.transform(unlabelled))
+    assert scored.count() == 1000 and "is_anomaly" not in scored.columns
+    with pytest.raises(ValueError):
+        M.classification_metrics(scored)
