@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from taskwatch.llm import chat, linedup, mixing, pages, quality, tokens, toxicity
+from taskwatch.llm import (chat, decontaminate, linedup, mixing, pages, quality, simjoin, tokens,
+                           toxicity)
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op3_chat_format": chat.query,
+    "op4_decontamination": decontaminate.query,
     "op5_mixing": mixing.query,
     "op6_line_dedup": linedup.query,
     "op7_token_counts": tokens.query,
     "op8_toxicity": toxicity.query,
     "op9_html_text": pages.query,
+    "op10_ngram_jaccard": simjoin.query,
 }
 
 ORACLE: dict[str, str] = {}

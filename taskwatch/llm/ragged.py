@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 SLICE = 2 << 20
 
@@ -136,6 +137,20 @@ def _slice_by_text(b, at, bounds, gaps, lower):
     return s - shift + at, h
 
 
+def row_slices(texts: pa.Array, limit: int = 2 * SLICE):
+    """``(first, array)`` of consecutive rows of about ``limit`` bytes at most,
+    one row at least: working memory follows the slice, not the batch."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    sizes = np.array(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
+
+
 def windows(hashes: np.ndarray, offsets: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the word windows that ``mask`` marks (1 counts, 0 is ignored):
     ``(hash, text, position)`` with the position counted in words of the text."""
