@@ -37,3 +37,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: column that carries an input row whole where an operator needs names of its own
+REC = "_rec"
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column, so that no column of it can clash with an
+    operator's; ``REC + ".name"`` reads a column, ``REC + ".*"`` gives all back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(REC))

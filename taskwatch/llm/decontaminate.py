@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taskwatch.llm import ragged
+from taskwatch.llm.common import fresh
 from taskwatch.session import ship_package
 
 #: 1: the token counts, 0: it is ignored (fixed seeds, weight 6)
@@ -146,7 +147,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a leak, with the columns they came with."""
     ship_package(docs.sparkSession)
-    columns = docs.columns
+    columns, lowered = docs.columns, fresh(docs, "_lowered")
     for block in blocks(items):
         def run(batches, block=block):
             for b in batches:
@@ -154,7 +155,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
                 keep[[f[0] for f in block.value.leaks(b.column(b.num_columns - 1))]] = False
                 yield b.select(columns).filter(pa.array(keep))
 
-        docs = docs.withColumn("_lowered", F.lower(F.col(text))).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(lowered, F.lower(F.col(text))).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taskwatch.llm.common import NOT_WS, fresh, read, words
+from taskwatch.llm.common import NOT_WS, REC, carried, fresh, read, words
 from taskwatch.session import pin
 
 #: lines on at least so many different sites are boilerplate
@@ -70,38 +70,37 @@ def boilerplate(hashes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source",
            min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and ``_lines`` (worded lines before),
-    ``_removed`` (lines taken out)."""
-    k = fresh(docs, "_key")
+    """``docs`` with ``clean_text``, ``n_lines`` (worded lines before) and
+    ``n_removed`` (lines taken out)."""
     hashes = pin(docs.select(F.col(key).alias("key"), F.col(site).cast("string").alias("site"),
                              F.explode(line_hashes(F.col(text))).alias("line")), "line-hashes")
     found = pin(boilerplate(hashes, min_sites), "line-found")
+    k, h, b, g = (fresh(docs, x) for x in ("_key", "_hits", "_bad", "_goes"))
     hits = (hashes.select("key", F.col("line.a").alias("a"), F.col("line.b").alias("b"))
-            .join(found, ["a", "b"]).groupBy(F.col("key").alias(k)).agg(F.collect_set(F.struct("a", "b")).alias("_hits")))
+            .join(found, ["a", "b"]).groupBy(F.col("key").alias(k)).agg(F.collect_set(F.struct("a", "b")).alias(h)))
     out = docs.join(hits, docs[key].eqNullSafe(hits[k]), "left").drop(k)
     lines = F.split(F.col(text), "\n")
-    bad = F.filter(lines, lambda x: x.rlike(NOT_WS) & F.array_contains("_hits", _line_key(_trim(x))))
-    out = out.withColumn("_bad", F.when(F.col("_hits").isNull() | F.col(text).isNull(), F.array().cast("array<string>")).otherwise(bad))
-    lost = F.size(words(F.array_join("_bad", "\n")))
-    goes = (F.size("_bad") > 0) & (lost <= MAX_SHARE * F.size(words(F.col(text))))
-    left = F.array_join(F.filter(lines, lambda x: ~F.array_contains("_bad", x)), "\n")
-    return (out.withColumn("_lines", F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(NOT_WS))), F.lit(0)).cast("long"))
-            .withColumn("_goes", goes)
-            .withColumn("_removed", F.when(F.col("_goes"), F.size("_bad")).otherwise(0).cast("long"))
-            .withColumn(text, F.when(F.col("_goes"), left).otherwise(F.col(text)))
-            .drop("_hits", "_bad", "_goes"))
+    bad = F.filter(lines, lambda x: x.rlike(NOT_WS) & F.array_contains(h, _line_key(_trim(x))))
+    out = out.withColumn(b, F.when(F.col(h).isNull() | F.col(text).isNull(), F.array().cast("array<string>")).otherwise(bad))
+    lost = F.size(words(F.array_join(b, "\n")))
+    out = out.withColumn(g, (F.size(b) > 0) & (lost <= MAX_SHARE * F.size(words(F.col(text)))))
+    left = F.array_join(F.filter(lines, lambda x: ~F.array_contains(b, x)), "\n")
+    return out.withColumns({
+        "n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(NOT_WS))), F.lit(0)).cast("long"),
+        "n_removed": F.when(F.col(g), F.size(b)).otherwise(0).cast("long"),
+        "clean_text": F.when(F.col(g), left).otherwise(F.col(text))}).drop(h, b, g)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = remove(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-                      F.length("text").cast("long").alias("n_chars"),
-                      F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("n_chars"),
+                      F.sha2(F.encode("clean_text", "UTF-8"), 256).alias("text_sha256"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Documents with boilerplate lines taken out, with the columns they came
     with; ``n_chars`` follows the text."""
-    out = remove(docs)
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(
-        F.col("n_chars"))).select(*docs.columns)
+    out = remove(carried(docs), f"{REC}.doc_id", f"{REC}.text", f"{REC}.source")
+    changed = {"text": F.col("clean_text"), "n_chars": F.when(
+        F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col(f"{REC}.n_chars"))}
+    return out.select(*[changed.get(c, F.col(f"{REC}.`{c}`")).alias(c) for c in docs.columns])

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from taskwatch.llm.common import fresh, let, read, words
+from taskwatch.llm.common import REC, carried, fresh, read, words
 from taskwatch.operators.joins import attach
 from taskwatch.session import pin
 
@@ -198,5 +198,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with their copies: those taken at least once."""
-    return mix(docs).where(F.col("copies") > 0)
+    """The documents of the mix, those taken at least once, with the columns
+    they came with and the copies taken (``mix_copies``)."""
+    out = mix(carried(docs), f"{REC}.doc_id", f"{REC}.text", f"{REC}.source")
+    return out.where(F.col("copies") > 0).select(f"{REC}.*", F.col("copies").alias(fresh(docs, "mix_copies")))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from taskwatch.llm.common import NOT_WS, count_of, fresh, let, words
+from taskwatch.llm.common import NOT_WS, REC, carried, count_of, fresh, let, words
 from taskwatch.operators.joins import attach
 from taskwatch.session import pin
 
@@ -195,7 +195,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def rejecting(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents the rules keep, with the columns they came with."""
-    columns = docs.columns
     measured = pin(signals(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
     cutoffs = fit(measured, labels)
-    return judge(signals(docs), cutoffs).where("kept").select(*columns)
+    return judge(signals(carried(docs), f"{REC}.text"), cutoffs, f"{REC}.lang").where("kept").select(f"{REC}.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from taskwatch.llm import (chat, decontaminate, linedup, mixing, pages, quality, simjoin, tokens,
                            toxicity)
+from taskwatch.llm.sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -17,4 +18,3 @@ QUERIES = {
     "op10_ngram_jaccard": simjoin.query,
 }
 
-ORACLE: dict[str, str] = {}

@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from taskwatch.llm import ragged
+from taskwatch.llm.common import REC, carried
 from taskwatch.llm.components import components
 from taskwatch.operators.joins import attach
 from taskwatch.session import pin, ship_package
@@ -388,14 +389,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of every component, the one with the smallest key, with
     the columns it came with. Rows that repeat key and text count as one."""
-    columns = docs.columns
     rows = pin(cluster(docs.select("doc_id", "text"), width, percent), "ngram-rows")
     seen = rows.groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("first"),
                                    F.max("n_shingles").alias("n"))
     # rows that go, and rows that come more than once, of which one stays
-    odd = seen.where("(not first) or (k > 1 and n > 0)").select("row", F.col("first").alias("_one"), F.lit(True).alias("_odd"))
-    marked = attach(docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text")), odd, ["row"])
-    marked = marked.where(F.col("_odd").isNull() | F.col("_one"))
-    rest = marked.where(F.col("_odd").isNull()).select(*columns)
-    once = marked.where("_one").dropDuplicates(["row"]).select(*columns)
+    odd = seen.where("(not first) or (k > 1 and n > 0)").select("row", F.col("first").alias("one"), F.lit(True).alias("odd"))
+    row = F.xxhash64(F.col(f"{REC}.doc_id").cast("long"), f"{REC}.text")
+    marked = attach(carried(docs).withColumn("row", row), odd, ["row"]).where("odd is null or one")
+    rest = marked.where("odd is null").select(f"{REC}.*")
+    once = marked.where("one").dropDuplicates(["row"]).select(f"{REC}.*")
     return rest.unionByName(once)
