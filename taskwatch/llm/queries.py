@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from taskwatch.llm import (chat, decontaminate, linedup, mixing, pages, quality, simjoin, tokens,
+from taskwatch.llm import (chat, decontaminate, licenses, linedup, mixing, pages, quality, simjoin, tokens,
                            toxicity)
 from taskwatch.llm.sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_license_scan": licenses.query,
     "op3_chat_format": chat.query,
     "op4_decontamination": decontaminate.query,
     "op5_mixing": mixing.query,

@@ -1,5 +1,8 @@
 """SQL (DuckDB) for the queries that SQL can express, written apart from the
-operators: parameters and tables of fixed values are restated here."""
+operators: parameters are restated here; the license notices, which are data,
+are taken from their table."""
+
+from taskwatch.llm.licenses import TEMPLATES
 
 WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -130,8 +133,39 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.othe
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS other FROM reach GROUP BY 1) m USING (doc_id)
 """
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(*[x.replace("'", "''") for x in t]) for t in TEMPLATES)
+
+LICENSES = r"""
+WITH k(license, text) AS (VALUES """ + _TEMPLATES + r"""),
+n AS (
+  SELECT license, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM k),
+t AS (
+  SELECT DISTINCT license, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS theirs FROM n),
+wide AS (SELECT max(floor(len(theirs) * 1.5 + 1e-9)) AS widest FROM t),
+l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+u AS (
+  SELECT doc_id, hash(text) AS h, unnest(list_concat(ls, CASE WHEN len(ls) > 1 THEN [text] ELSE [] END)) AS raw,
+         unnest(range(len(ls) + (len(ls) > 1)::INT)) AS pos FROM l),
+v AS (
+  SELECT doc_id, h, pos, string_split(trim(regexp_replace(lower(raw), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM u, wide WHERE length(raw) - length(replace(raw, ' ', '')) <= 4 * (widest + 1)),
+o AS (
+  SELECT doc_id, h, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ours FROM v),
+m AS (
+  SELECT doc_id, h, pos, license, len(list_intersect(ours, theirs)) AS shared, len(ours) + len(theirs) AS total
+  FROM o JOIN t ON len(ours) BETWEEN ceil(len(theirs) * 0.8 / 1.2 - 1e-9) AND floor(len(theirs) * 1.2 / 0.8 + 1e-9) AND len(ours) > 0),
+b AS (
+  SELECT * FROM m WHERE 2 * shared >= 0.8 * total
+  QUALIFY row_number() OVER (PARTITION BY doc_id, h, pos ORDER BY shared / total DESC, license, total) = 1)
+SELECT doc_id, license, n_hits, shared, total FROM (
+  SELECT doc_id, license, count(*) OVER w AS n_hits, shared, total,
+         row_number() OVER (PARTITION BY doc_id, license ORDER BY shared / total DESC, total DESC) AS r
+  FROM b WINDOW w AS (PARTITION BY doc_id, license)) WHERE r = 1
+"""
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
+    "op2_license_scan": LICENSES,
     "op3_chat_format": CHAT,
     "op6_line_dedup": LINES,
     "op9_html_text": PAGES,
