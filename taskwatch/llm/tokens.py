@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from taskwatch.llm.common import fresh
 from taskwatch.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -174,7 +175,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     schema = T.StructType([docs.schema[c] for c in keep] + [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     source = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-                         F.col(text).alias("_counted"))
+                         F.col(text).alias(fresh(docs, "_counted")))
 
     def run(batches):
         counter = Counter(table.value)

@@ -93,7 +93,7 @@ def test_required_overlap_and_boundary():
                 assert c in S.subset_sizes(n, 90) and c in S.subset_sizes(m, 90)
                 assert n - c + 1 <= S.posted(n, 90)
     assert S.boundary({n: 10 for n in range(1, 49)}, 1.5, 90) >= 8
-    assert S.boundary({n: 10 for n in range(1, 49)}, 50.0, 90) >= 19
+    assert S.boundary({n: 10 for n in range(1, 49)}, 50.0, 90) >= 18
     assert S.boundary({}, 1.0, 90) == 0
 
 
