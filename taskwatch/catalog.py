@@ -63,8 +63,8 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def engineered_all(spark: SparkSession, sf: str) -> DataFrame:
     r = rows(spark, sf)
-    r = with_rolling_features(r, broadcast_limit_bytes=P.broadcast_limit_bytes)
-    return apply_group_means(r, fit_group_means(r), None, P.broadcast_limit_bytes)
+    out = with_rolling_features(r, broadcast_limit_bytes=P.broadcast_limit_bytes)
+    return apply_group_means(out, fit_group_means(r), None, P.broadcast_limit_bytes)
 
 
 def features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -145,7 +145,7 @@ def q_feature_matrix(spark, sf):
 def q_scaler_fit(spark, sf):
     fm, names = features(spark, sf)
     fm = pin(fm, "feature-matrix")
-    params = fit_robust_scaler(fm, names, "exact")
+    params = fit_robust_scaler(fm, names)
     rows_ = [(k, float(m), float(s)) for k, (m, s) in params.items()]
     return rounded(spark.createDataFrame(rows_, "feature string, median double, scale double"))
 
@@ -153,7 +153,7 @@ def q_scaler_fit(spark, sf):
 def q_scaled_features(spark, sf):
     fm, names = features(spark, sf)
     fm = pin(fm, "feature-matrix")   # read twice: fit, then apply
-    params = fit_robust_scaler(fm, names, "exact")
+    params = fit_robust_scaler(fm, names)
     return rounded(apply_robust_scaler(fm, params, names, ["task_id"]))
 
 

@@ -51,10 +51,6 @@ class Params:
     alert_cooldown_minutes: int = 30
     top_k: int = 5
 
-    # "exact" percentiles for checks at small scale, "approx" (GK sketch) at scale
-    quantile_mode: str = "approx"
-    quantile_accuracy: int = 100000
-
     # largest side (bytes, estimated) we are willing to broadcast after checking
     broadcast_limit_bytes: int = 64 * 1024 * 1024
     extra: dict = field(default_factory=dict)

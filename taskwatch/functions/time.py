@@ -46,7 +46,7 @@ def parse_timestamps(df: DataFrame) -> DataFrame:
     """ISO-8601 strings (or zoned timestamps) to wall-clock timestamps.
 
     Strings that do not parse become NULL instead of failing the job; the
-    caller can route them to a reject table with ``rejected_timestamps``.
+    callers put them into a reject table (``validate_records``).
     """
     out = {}
     for name in TIMESTAMP_COLUMNS:
@@ -60,15 +60,6 @@ def parse_timestamps(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def rejected_timestamps(raw: DataFrame) -> DataFrame:
-    """Rows whose timestamp strings are present but unparseable."""
-    cond = F.lit(False)
-    for name in TIMESTAMP_COLUMNS:
-        if name in raw.columns and raw.schema[name].dataType.typeName() == "string":
-            cond = cond | (F.col(name).isNotNull() & F.try_to_timestamp(F.col(name)).isNull())
-    return raw.filter(cond)
-
-
 def time_features() -> dict[str, Column]:
     """P2-P11 as named expressions over a parsed task table."""
     return {

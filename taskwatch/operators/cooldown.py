@@ -43,9 +43,10 @@ def next_alert(alerts: DataFrame, minutes: int, engine: str = "engine_id", time_
     both = (a.select("engine", "bucket", "t", F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("src"))
             .unionByName(probes.select("engine", "bucket", "t", F.lit(0).alias("kind"),
                                        F.lit(None).cast("string").alias("id"), "src")))
-    after = (Window.partitionBy("engine", "bucket").orderBy("t", "kind", "id")
-             .rowsBetween(0, Window.unboundedFollowing))
-    inside = (both.withColumn("hit", F.first(F.when(F.col("kind") == 1, _first_struct(F.col("t"), F.col("id"))),
+    # walking back in time, the last alert seen is the first one at or after the probe
+    after = (Window.partitionBy("engine", "bucket").orderBy(F.desc("t"), F.desc("kind"), F.desc("id"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+    inside = (both.withColumn("hit", F.last(F.when(F.col("kind") == 1, _first_struct(F.col("t"), F.col("id"))),
                                              ignorenulls=True).over(after))
               .where(F.col("kind") == 0).select("engine", "bucket", "src", "hit"))
     # otherwise: first alert of the next non-empty bucket after the target bucket
@@ -54,9 +55,9 @@ def next_alert(alerts: DataFrame, minutes: int, engine: str = "engine_id", time_
     grid = (firsts.select("engine", "bucket", F.lit(0).alias("kind"), "first")
             .unionByName(wanted.select("engine", "bucket", F.lit(1).alias("kind"),
                                        F.lit(None).cast(firsts.schema["first"].dataType).alias("first"))))
-    later = (Window.partitionBy("engine").orderBy("bucket", "kind")
-             .rowsBetween(1, Window.unboundedFollowing))
-    spill = (grid.withColumn("nxt", F.first("first", ignorenulls=True).over(later))
+    later = (Window.partitionBy("engine").orderBy(F.desc("bucket"), F.desc("kind"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    spill = (grid.withColumn("nxt", F.last("first", ignorenulls=True).over(later))
              .where(F.col("kind") == 1).select("engine", "bucket", "nxt"))
     res = inside.join(spill, ["engine", "bucket"], "left")
     res = res.select(F.col("src").alias("id"), F.coalesce(F.col("hit"), F.col("nxt"))["id"].alias("nid"))
@@ -64,15 +65,14 @@ def next_alert(alerts: DataFrame, minutes: int, engine: str = "engine_id", time_
 
 
 def cooldown_batch(alerts: DataFrame, minutes: int = 30, engine: str = "engine_id",
-                   time_col: str = "alert_time", id_col: str = "task_id",
-                   max_rounds: int = 64) -> DataFrame:
+                   time_col: str = "alert_time", id_col: str = "task_id") -> DataFrame:
     """Input alerts; output the same rows with ``sent`` (1 kept, 0 suppressed)."""
     ptr = pin(next_alert(alerts, minutes, engine, time_col, id_col).select("id", "nid"), "cooldown-next")
     base = alerts.select(F.col(engine).alias("engine"), epoch_us(time_col).alias("t"), F.col(id_col).alias("id"))
     sent = pin(base.groupBy("engine").agg(F.min(_first_struct(F.col("t"), F.col("id"))).alias("f"))
                .select(F.col("f")["id"].alias("id")), "cooldown-sent")
     size = sent.count()
-    for _ in range(max_rounds):
+    while True:
         # chain positions [0, 2^k) are in ``sent``; add [2^k, 2^(k+1))
         reached = sent.join(ptr, "id").where(F.col("nid").isNotNull()).select(F.col("nid").alias("id"))
         grown = pin(sent.unionByName(reached).distinct(), "cooldown-sent")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taskwatch.operators.prefix import global_prefix
+from taskwatch.operators.quantiles import exact_quantiles
 
 
 def _i(col: str) -> Column:
@@ -138,13 +139,9 @@ def histogram(long: DataFrame, bins: int = 50) -> DataFrame:
                       "n")
 
 
-def boxplot(long: DataFrame, mode: str = "exact", accuracy: int = 100000) -> DataFrame:
+def boxplot(long: DataFrame) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme data inside) and outlier count."""
-    if mode == "exact":
-        q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        q = F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-    qs = long.groupBy("model").agg(q.alias("q"))
+    qs = exact_quantiles(long, [0.25, 0.5, 0.75], "model", "score")
     qs = qs.select("model", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                    F.col("q")[2].alias("q3"))
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1"))

@@ -8,7 +8,6 @@ every partition computes (n, sum x, X^T X) with numpy in ``mapInPandas``;
 the partials are summed in a two-level tree (``coalesce`` without shuffle,
 then a final sum), so only d x d numbers per level move (d = 96). The
 eigen-decomposition of the d x d covariance runs on the driver.
-``fit_reconstruction_ml`` does the same with ``pyspark.ml.feature.PCA``.
 
 Row error (R4) = mean over features of (x - x_hat)^2 with
 x_hat = mu + V V^T (x - mu). Eigenvector signs do not change it.
@@ -23,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from taskwatch.config import Params
+from taskwatch.operators.quantiles import quantile_of
 from taskwatch.session import broadcast_model
 
 
@@ -97,18 +96,6 @@ def fit_reconstruction(X: DataFrame, features: list[str], params: Params | None
     return ReconstructionModel(features, mean, comps)
 
 
-def fit_reconstruction_ml(X: DataFrame, features: list[str], params: Params | None = None) -> ReconstructionModel:
-    p = params or Params()
-    row = X.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
-    mean = np.array([row[f] or 0.0 for f in features], dtype=float)
-    k = min(p.n_components, len(features))
-    vec = VectorAssembler(inputCols=features, outputCol="__v", handleInvalid="keep").transform(
-        X.select(*[F.col(f).cast("double") for f in features]))
-    model = PCA(k=k, inputCol="__v", outputCol="__pc").fit(vec)
-    comps = model.pc.toArray()  # d x k, orthonormal columns
-    return ReconstructionModel(features, mean, comps)
-
-
 def error_column(model: ReconstructionModel, features: list[str]) -> Column:
     """R4 as a pandas UDF over the feature columns."""
     bc = broadcast_model(model)
@@ -124,10 +111,8 @@ def error_column(model: ReconstructionModel, features: list[str]) -> Column:
 def fit_error_threshold(scored: DataFrame, col: str = "ae_score", params: Params | None = None) -> float:
     """R5 = greatest(percentile(e, 0.9), avg(e) + 2 * stddev_pop(e))."""
     p = params or Params()
-    if p.quantile_mode == "exact":
-        q = F.percentile(F.col(col), F.lit(p.recon_percentile))
-    else:
-        q = F.percentile_approx(F.col(col), F.lit(p.recon_percentile), p.quantile_accuracy)
-    row = scored.agg(F.greatest(q, F.avg(col) + F.lit(p.recon_std_factor) * F.stddev_pop(col))
-                     .alias("t")).first()
-    return float(row["t"]) if row["t"] is not None else float("inf")
+    q = quantile_of(scored, col, p.recon_percentile)
+    if q is None:
+        return float("inf")
+    row = scored.agg((F.avg(col) + F.lit(p.recon_std_factor) * F.stddev_pop(col)).alias("t")).first()
+    return max(q, float(row["t"]))

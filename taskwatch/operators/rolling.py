@@ -6,34 +6,33 @@ included, so the result does not depend on row order.
 
 Plan (built for a hot key holding a large share of all rows):
 
-1. One scan, one shuffle: a GROUPING SETS aggregation produces, for every
-   key, the buckets ``(key, start)`` with count, sum, sum of squares, min
-   and max of each value column, and for median columns the triples
-   ``(key, start, value)`` with their frequency. Partial aggregation runs
-   map-side, so no task ever sees all rows of one key. The result is pinned
-   (written once to the shared checkpoint folder) and counted per set.
-2. A RANGE window over the buckets, partitioned by key. Its size is bounded
-   by the number of distinct start times per key, not by the number of rows.
-3. Medians: exact, from the triples. Groups are (key, 7-day chunk) and hold
-   their own chunk plus a copy of the previous one, so every frame is whole
-   inside one group and a group is bounded by two weeks of one key's
-   distinct values, never by the key's full history. Inside ``applyInPandas``
-   a cumulative (bucket x value) count matrix gives every frame's counts by
-   one subtraction; the median follows Spark's ``percentile`` rule (linear
-   interpolation between the two middle ranks). ``median_mode="window"``
-   uses ``percentile(value, 0.5, frequency)`` over a RANGE window instead.
+1. Per key, one narrow aggregation gives the buckets ``(key, start)`` with
+   count, sum, squared deviations from the bucket's mean, min and max of the
+   columns this key needs, and, for medians, the triples ``(key, start,
+   value)`` with their frequency. Partial aggregation runs map-side, so no task
+   ever sees all rows of one key. The result is pinned and counted.
+2. RANGE windows over (key, 7-day chunk): a chunk holds its own buckets and a
+   copy of the previous chunk's, so every frame is whole inside one chunk, and
+   a key with few values still spreads over as many tasks as it has weeks.
+   Standard deviations add the buckets' squared deviations around one value
+   of the chunk, so large means do not cancel.
+3. Medians: exact, from the triples, in the same chunks. Inside
+   ``applyInPandas`` all frames of a group are sorted together, in blocks of
+   bounded size, and the middle ranks are read off the running frequencies
+   (linear interpolation between the two middle ranks, as ``percentile``).
 4. Empty results (e.g. the std of a one-task frame) are forward filled from
-   the previous bucket of the same key, then the caller fills 0.
+   the previous bucket of the same key: inside the chunk by a window, and
+   across chunks by each chunk's last values, one row per key and chunk.
+   Then the caller fills 0.
 
 Each stats table is keyed by ``(key, start)`` and joined back to the rows.
 Its exact row count is the bucket count from step 1, so the broadcast
-decision is made on a measured size.
+decision is made on a measured size. Tasks without a planned start are in no
+frame and get no statistics.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -80,191 +79,148 @@ def all_rolling_columns() -> list[str]:
     return [c for p in ROLLING_SPEC for c in rolling_columns(p)]
 
 
-def _frame(key: str, days: int, order: Column) -> Window:
-    return (Window.partitionBy(key).orderBy(order)
-            .rangeBetween(-(days * US_PER_DAY - 1), 0))
-
-
 def _needs(aggs: list[str]) -> set[str]:
     need = {"n"}
     for a in aggs:
         need |= {"mean": {"s"}, "sum": {"s"}, "min": {"lo"}, "max": {"hi"},
-                 "std": {"s", "q", "lo", "hi"}, "median": set()}[a]
+                 "std": {"s", "m2", "lo", "hi"}, "median": set()}[a]
     return need
 
 
-def _gid(group_cols: list[str], grouped: list[str]) -> int:
-    n = len(group_cols)
-    return sum(1 << (n - 1 - i) for i, c in enumerate(group_cols) if c not in grouped)
-
-
-MEDIAN_DENSE_CELLS = 4_000_000
-
-
-def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int,
-                  n_buckets: int | None = None) -> DataFrame:
+def _parts(col: str, needs: set[str]) -> list[Column]:
+    found = {"n": F.count(col), "s": F.sum(col), "m2": F.var_pop(col) * F.count(col), "lo": F.min(col), "hi": F.max(col)}
+    return [e.alias(f"{k}__{col}") for k, e in found.items() if k in needs]
+
+
+def chunked(df: DataFrame, width: int) -> DataFrame:
+    """Every row in its own chunk (``__own``) and, as history, in the next one (``__c``)."""
+    return (df.withColumn("__own", F.floor(F.col("__t") / F.lit(width)))
+            .withColumn("__c", F.explode(F.array(F.col("__own"), F.col("__own") + 1))))
+
+
+def _rolled(col: str, agg: str, frame) -> Column:
+    """One aggregate of one column over a frame of buckets."""
+    n = F.sum(f"n__{col}").over(frame)
+    if agg == "mean":
+        return F.when(n > 0, F.sum(f"s__{col}").over(frame) / n)
+    if agg == "sum":
+        return F.when(n > 0, F.sum(f"s__{col}").over(frame))
+    if agg == "min":
+        return F.min(f"lo__{col}").over(frame)
+    if agg == "max":
+        return F.max(f"hi__{col}").over(frame)
+    if agg == "std":
+        s = F.sum(f"__d__{col}").over(frame)
+        q = F.sum(f"__sq__{col}").over(frame)
+        lo, hi = F.min(f"lo__{col}").over(frame), F.max(f"hi__{col}").over(frame)
+        # a constant frame has std 0 exactly; rounding must not say otherwise
+        return (F.when(n < 2, F.lit(None).cast("double")).when(lo == hi, F.lit(0.0))
+                .otherwise(F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))))
+    raise ValueError(f"unknown rolling aggregate {agg}")
+
+
+#: triples of all frames that are sorted at once
+MEDIAN_BLOCK = 2_000_000
+
+
+def _medians(k, t, v, f, chunk: int, width: int):
+    """``(row of the bucket, median)`` of the buckets of ``chunk``; the arrays
+    are sorted by (k, t)."""
+    base = t.min()
+    at = k * (t.max() - base + width + 1) + (t - base)   # one order over (key, time)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    own = first[np.floor_divide(t[first], width) == chunk]
+    start = np.maximum(np.searchsorted(at, at[own] - width, side="right"), np.searchsorted(k, k[own], side="left"))
+    end = np.searchsorted(at, at[own], side="right")
+    size, out = end - start, np.empty(len(own))
+    ends, lo = np.cumsum(size), 0
+    while lo < len(own):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + MEDIAN_BLOCK, side="right")))
+        part = size[lo:hi]
+        frame = np.repeat(np.arange(hi - lo), part)
+        idx = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part) + np.repeat(start[lo:hi], part)
+        order = np.lexsort((v[idx], frame))
+        values, cum = v[idx][order], np.cumsum(f[idx][order])
+        last = np.cumsum(part)
+        before = np.concatenate(([0], cum[last[:-1] - 1]))
+        middle = (cum[last - 1] - before - 1) / 2
+        a = values[np.searchsorted(cum, before + np.floor(middle), side="right")]
+        b = values[np.searchsorted(cum, before + np.ceil(middle), side="right")]
+        out[lo:hi] = np.where(a == b, a, (np.ceil(middle) - middle) * a + (middle - np.floor(middle)) * b)
+        lo = hi
+    return own, out
+
+
+def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int, n_buckets: int) -> DataFrame:
     """(key, __t, name): exact frame median per bucket from (key, __t, val, __f) triples.
 
     Groups are (hash bucket of key, chunk): many small keys share one group
     (one pandas call), a hot key still only brings two weeks of its values.
     """
     width = days * US_PER_DAY
-    if n_buckets is None:
-        n_buckets = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = F.floor(F.col("__t") / F.lit(width))
-    copies = (triples.where(F.col(val).isNotNull())
-              .select(key, "__t", val, "__f", chunk.alias("__own"),
-                      F.pmod(F.hash(F.col(key)), F.lit(n_buckets)).alias("__b"))
-              .withColumn("__c", F.explode(F.array(F.col("__own"), F.col("__own") + 1))))
+    copies = chunked(triples.where(F.col(val).isNotNull() & F.col("__t").isNotNull() & F.col(key).isNotNull()), width)
+    copies = copies.select(key, "__t", val, "__f", "__c", F.pmod(F.hash(F.col(key)), F.lit(n_buckets)).alias("__b"))
     key_type = triples.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, __t long, {name} double"
-
-    def one_key(t, v, f, c):
-        ts = np.unique(t)
-        own = ts[np.floor_divide(ts, width) == c]
-        if len(own) == 0:
-            return own, np.empty(0)
-        start = np.searchsorted(ts, own - width, side="right")
-        end = np.searchsorted(ts, own, side="right")
-        vals = np.unique(v)
-        frame = None
-        if len(ts) * len(vals) <= MEDIAN_DENSE_CELLS:
-            m = np.zeros((len(ts) + 1, len(vals)))
-            np.add.at(m, (np.searchsorted(ts, t) + 1, np.searchsorted(vals, v)), f)
-            cum = np.cumsum(m, axis=0)
-            frame = np.cumsum(cum[end] - cum[start], axis=1)
-        else:  # many distinct values: one sorted frame at a time
-            order = np.argsort(t, kind="stable")
-            t, v, f = t[order], v[order], f[order]
-        out = np.empty(len(own))
-        for i in range(len(own)):
-            if frame is not None:
-                cnt, values = frame[i], vals
-            else:
-                lo, hi = np.searchsorted(t, own[i] - width, "right"), np.searchsorted(t, own[i], "right")
-                o = np.argsort(v[lo:hi], kind="stable")
-                values, cnt = v[lo:hi][o], np.cumsum(f[lo:hi][o])
-            n = cnt[-1] if len(cnt) else 0
-            if n <= 0:
-                out[i] = np.nan
-                continue
-            pos = (n - 1) * 0.5
-            lower, higher = math.floor(pos), math.ceil(pos)
-            lo_v = values[np.argmax(cnt > lower)]
-            hi_v = values[np.argmax(cnt > higher)]
-            out[i] = lo_v if (higher == lower or lo_v == hi_v) else \
-                (higher - pos) * lo_v + (pos - lower) * hi_v
-        return own, out
 
     def medians(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf["__c"].iloc[0]
-        keys, times, meds = [], [], []
-        for k, sub in pdf.groupby(key, sort=False):
-            own, out = one_key(sub["__t"].to_numpy(), sub[val].to_numpy(dtype=float),
-                               sub["__f"].to_numpy(dtype=float), c)
-            keys.extend([k] * len(own))
-            times.append(own)
-            meds.append(out)
-        return pd.DataFrame({key: pd.Series(keys, dtype=object),
-                             "__t": np.concatenate(times).astype("int64") if times else np.empty(0, "int64"),
-                             name: np.concatenate(meds) if meds else np.empty(0)})
+        codes, names = pd.factorize(pdf[key])
+        t = pdf["__t"].to_numpy()
+        order = np.lexsort((t, codes))
+        k, t = codes[order].astype("int64"), t[order]
+        own, out = _medians(k, t, pdf[val].to_numpy(dtype=float)[order], pdf["__f"].to_numpy(dtype=float)[order],
+                            int(pdf["__c"].iloc[0]), width)
+        return pd.DataFrame({key: pd.Series(names.take(k[own]), dtype=object), "__t": t[own], name: out})
 
-    return copies.groupBy("__b", "__c").applyInPandas(medians, schema)
+    return copies.groupBy("__b", "__c").applyInPandas(medians, f"{key} {key_type}, __t long, {name} double")
 
 
-def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int = 7,
-                   time_col: str = TIME_COL, median_mode: str = "chunks") -> dict[str, tuple[DataFrame, int, str]]:
-    """{prefix: (stats table, exact row count, key)} for several keys from one scan."""
-    keys = list(dict.fromkeys(k for k, _ in specs.values()))
+def _stats(df: DataFrame, prefix: str, key: str, items: list, days: int, time_col: str) -> tuple[DataFrame, int]:
+    """(stats table, exact number of buckets) of one key."""
+    spark, width = df.sparkSession, days * US_PER_DAY
     need: dict[str, set[str]] = {}
-    medians: list[tuple[str, str, str]] = []
-    for prefix, (key, items) in specs.items():
-        for c, aggs in items:
-            need.setdefault(c, set()).update(_needs(aggs))
-            if "median" in aggs:
-                medians.append((prefix, key, c))
-    med_cols = list(dict.fromkeys(c for _, _, c in medians))
-    base = df.select(*keys, time_col, *[F.col(c).cast("double").alias(c) for c in need],
-                     *[F.col(c).cast("double").alias(f"__m_{c}") for c in med_cols])
-    group_cols = keys + [time_col] + [f"__m_{c}" for c in med_cols]
-    sets = [[k, time_col] for k in keys]
-    sets += [list(s) for s in dict.fromkeys((k, time_col, f"__m_{c}") for _, k, c in medians)]
-    parts = [F.count(F.lit(1)).alias("__f"), F.grouping_id().alias("__g")]
-    for c, wants in need.items():
-        if "n" in wants:
-            parts.append(F.count(c).alias(f"n__{c}"))
-        if "s" in wants:
-            parts.append(F.sum(c).alias(f"s__{c}"))
-        if "q" in wants:
-            parts.append(F.sum(F.col(c) * F.col(c)).alias(f"q__{c}"))
-        if "lo" in wants:
-            parts.append(F.min(c).alias(f"lo__{c}"))
-        if "hi" in wants:
-            parts.append(F.max(c).alias(f"hi__{c}"))
-    if medians:
-        ship_package(df.sparkSession)
-    unified = pin(base.groupingSets(sets, *group_cols).agg(*parts), "rolling-buckets")
-    counts = {r["__g"]: r["n"] for r in unified.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    unified = unified.withColumn("__t", epoch_us(time_col))
-    # The windows below are CPU-heavy for their size; hash-partition by key
-    # with an explicit count (this is the window's own exchange, so no extra
-    # shuffle) so that AQE does not coalesce all keys into one task. The count
-    # follows the measured bucket count.
-    spark = df.sparkSession
-
-    out = {}
-    for prefix, (key, items) in specs.items():
-        gid = _gid(group_cols, [key, time_col])
-        buckets = unified.where(F.col("__g") == gid).repartition(parts_for(spark, counts.get(gid, 0)), key)
-        w = _frame(key, days, F.col("__t"))
-        cols = []
-        for c, aggs in items:
-            n = F.sum(f"n__{c}").over(w)
-            for agg in aggs:
-                name = f"{prefix}_{c}_{agg}"
-                if agg == "mean":
-                    e = F.when(n > 0, F.sum(f"s__{c}").over(w) / n)
-                elif agg == "sum":
-                    e = F.when(n > 0, F.sum(f"s__{c}").over(w))
-                elif agg == "min":
-                    e = F.min(f"lo__{c}").over(w)
-                elif agg == "max":
-                    e = F.max(f"hi__{c}").over(w)
-                elif agg == "std":
-                    s_, q_ = F.sum(f"s__{c}").over(w), F.sum(f"q__{c}").over(w)
-                    lo, hi = F.min(f"lo__{c}").over(w), F.max(f"hi__{c}").over(w)
-                    var = (q_ - s_ * s_ / n) / (n - 1)
-                    # a constant frame has std 0 exactly; rounding must not say otherwise
-                    e = (F.when(n < 2, F.lit(None).cast("double"))
-                         .when(lo == hi, F.lit(0.0))
-                         .otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
-                elif agg == "median":
-                    continue
-                else:
-                    raise ValueError(f"unknown rolling aggregate {agg}")
-                cols.append(e.alias(name))
-        stats = buckets.select(key, time_col, "__t", *cols)
-        for p2, k2, c in medians:
-            if p2 != prefix:
-                continue
-            name = f"{prefix}_{c}_median"
-            tgid = _gid(group_cols, [key, time_col, f"__m_{c}"])
-            triples = unified.where(F.col("__g") == tgid)
-            n_parts = parts_for(spark, counts.get(tgid, 0))
-            if median_mode == "window":
-                med = (triples.repartition(n_parts, key)
-                       .withColumn(name, F.percentile(F.col(f"__m_{c}"), F.lit(0.5), F.col("__f"))
-                                   .over(_frame(key, days, F.col("__t"))))
-                       .groupBy(key, "__t").agg(F.max(name).alias(name)))
-            else:
-                med = frame_medians(triples, key, f"__m_{c}", name, days, n_parts)
-            stats = stats.join(med, [key, "__t"], "left")
-        names = [f"{prefix}_{c}_{a}" for c, aggs in items for a in aggs]
-        prev = Window.partitionBy(key).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-        stats = stats.select(key, time_col, *[
-            F.coalesce(F.col(n), F.last(n, ignorenulls=True).over(prev)).alias(n) for n in names])
-        out[prefix] = (stats, counts.get(gid, 0), key)
-    return out
+    for c, aggs in items:
+        need.setdefault(c, set()).update(_needs(aggs))
+    narrow = df.select(key, time_col, *[F.col(c).cast("double").alias(c) for c in need])
+    buckets = pin(narrow.groupBy(key, time_col).agg(*[e for c, n in need.items() for e in _parts(c, n)]), "rolling-buckets")
+    rows = buckets.count()
+    n_parts = parts_for(spark, 2 * rows)
+    # this is the windows' own exchange; the explicit count keeps AQE from
+    # coalescing the CPU-heavy windows into few tasks
+    t = chunked(buckets.withColumn("__t", epoch_us(time_col)), width).repartition(n_parts, key, "__c")
+    chunk = Window.partitionBy(key, "__c")
+    frame = chunk.orderBy("__t").rangeBetween(-(width - 1), 0)
+    squared = [c for c, n in need.items() if "m2" in n]
+    t = t.withColumns({f"__d__{c}": F.col(f"s__{c}") - F.col(f"n__{c}") * F.min(f"lo__{c}").over(chunk) for c in squared})
+    t = t.withColumns({
+        f"__sq__{c}": F.col(f"m2__{c}") + F.try_divide(F.col(f"__d__{c}") * F.col(f"__d__{c}"), F.col(f"n__{c}")) for c in squared})
+    names = [f"{prefix}_{c}_{a}" for c, aggs in items for a in aggs]
+    t = t.withColumns({f"{prefix}_{c}_{a}": _rolled(c, a, frame) for c, aggs in items for a in aggs if a != "median"})
+    t = t.where(F.col("__own") == F.col("__c")).select(key, time_col, "__t", "__c", *[n for n in names if n in t.columns])
+    for c, aggs in items:
+        if "median" in aggs:
+            ship_package(spark)
+            triples = (narrow.groupBy(key, time_col, c).agg(F.count(F.lit(1)).alias("__f"))
+                       .withColumn("__t", epoch_us(time_col)))
+            med = frame_medians(triples, key, c, f"{prefix}_{c}_median", days, n_parts)
+            t = t.join(med, [key, "__t"], "left")
+    return _filled(pin(t, "rolling-stats"), key, time_col, names), rows
+
+
+def _filled(t: DataFrame, key: str, time_col: str, names: list[str]) -> DataFrame:
+    """Empty values take the key's latest earlier one."""
+    ends = t.groupBy(key, "__c").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("__t"))).alias(n) for n in names])
+    ahead = Window.partitionBy(key).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(key, "__c", *[F.last(n, ignorenulls=True).over(ahead).alias(f"__before_{n}") for n in names])
+    prev = Window.partitionBy(key, "__c").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    return t.join(carry, [key, "__c"], "left").select(key, time_col, *[
+        F.coalesce(F.col(n), F.last(n, ignorenulls=True).over(prev), F.col(f"__before_{n}")).alias(n) for n in names])
+
+
+def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int = 7,
+                   time_col: str = TIME_COL) -> dict[str, tuple[DataFrame, int, str]]:
+    """{prefix: (stats table, exact row count, key)}."""
+    return {p: (*_stats(df, p, key, items, days, time_col), key) for p, (key, items) in specs.items()}
 
 
 def rolling_stats(df: DataFrame, prefix: str, days: int = 7,

@@ -1,36 +1,22 @@
 """Robust scaler (F7 fit, F8 apply): (x - median) / IQR, IQR 0 -> divide by 1.
 
-Fit is one aggregation over all feature columns. ``exact`` uses Spark's
-``percentile`` (linear interpolation, as numpy); ``approx`` uses
-``percentile_approx`` (a mergeable quantile sketch of bounded size), which is
-the right choice when a column has billions of distinct values. Only the
-fitted numbers (three per feature) reach the driver.
+The fit unpivots the columns to (feature, value) and takes the exact quantiles
+of every feature (``quantiles.exact_quantiles``), so no task holds all values
+of a feature. Only the fitted numbers (two per feature) reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from taskwatch.operators.quantiles import exact_quantiles
 
-def quantile_expr(col: str, probs: list[float], mode: str, accuracy: int):
-    c = F.col(col).cast("double")
-    if mode == "exact":
-        return F.percentile(c, F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(c, F.array(*[F.lit(p) for p in probs]), accuracy)
 
-
-def fit_robust_scaler(df: DataFrame, columns: list[str], mode: str = "exact",
-                      accuracy: int = 100000) -> dict[str, tuple[float, float]]:
-    """Return {feature: (median, scale)} where scale = IQR, or 1 when IQR is 0.
-
-    The columns are unpivoted to (feature, value) and the quantiles grouped by
-    feature, so the final merges of the 96 quantile states run in parallel
-    tasks instead of one. Partial aggregation still happens map-side.
-    """
+def fit_robust_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Return {feature: (median, scale)} where scale = IQR, or 1 when IQR is 0."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
         .unpivot([], columns, "feature", "value")
-    rows = long.groupBy("feature").agg(quantile_expr("value", [0.25, 0.5, 0.75], mode, accuracy)
-                                       .alias("q")).collect()
+    rows = exact_quantiles(long, [0.25, 0.5, 0.75]).collect()
     found = {r["feature"]: r["q"] for r in rows}
     out = {}
     for c in columns:
@@ -44,12 +30,6 @@ def fit_robust_scaler(df: DataFrame, columns: list[str], mode: str = "exact",
     return out
 
 
-def scaler_table(spark: SparkSession, params: dict[str, tuple[float, float]]) -> DataFrame:
-    """The fitted scaler as a table (feature, median, scale)."""
-    rows = [(k, float(m), float(s)) for k, (m, s) in params.items()]
-    return spark.createDataFrame(rows, "feature string, median double, scale double")
-
-
 def scaled_columns(params: dict[str, tuple[float, float]], columns: list[str]) -> list:
     return [((F.col(c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c)
             for c in columns]

@@ -11,8 +11,9 @@ The reference sorts by planned start and keeps the first
   train. Only rows of one start time go through that ranking, and even those
   are range-partitioned, never gathered in one task.
 
-``cutoff_split`` is the cheap variant: one approximate quantile of the start
-time, ties kept on the training side.
+A task without a planned start has no place in time: it belongs to neither
+part (``is_train`` is NULL) and does not count towards the sizes. The jobs
+write such tasks to their reject table before they split.
 """
 
 from __future__ import annotations
@@ -32,31 +33,26 @@ def train_size(n: int, test_size: float) -> int:
 def time_split(df: DataFrame, test_size: float = 0.2, time_col: str = TIME_COL,
                id_col: str = "task_id") -> DataFrame:
     """Add ``is_train`` (1 for the earliest rows, 0 for the rest)."""
-    per_time = df.groupBy(time_col).agg(F.count(F.lit(1)).alias("n"))
+    ts = F.col(time_col)
+    per_time = df.where(ts.isNotNull()).groupBy(time_col).agg(F.count(F.lit(1)).alias("n"))
     cum = pin(global_prefix(per_time, [time_col], ["n"]))
     total = cum.agg(F.sum("n")).first()[0] or 0
     k = train_size(total, test_size)
-    if k <= 0:
-        return df.withColumn("is_train", F.lit(0))
-    if k >= total:
-        return df.withColumn("is_train", F.lit(1))
+    if k <= 0 or k >= total:
+        return df.withColumn("is_train", F.when(ts.isNotNull(), F.lit(int(k > 0))))
     # first distinct time whose running count reaches k
     cut = (cum.where(F.col("cum_n") >= k)
            .agg(F.min_by(F.struct(time_col, "cum_n", "n"), F.col(time_col)).alias("c"))
            .first()["c"])
     cutoff, cum_n, n_at = cut[time_col], cut["cum_n"], cut["n"]
     remaining = k - (cum_n - n_at)
-    ts = F.col(time_col)
     cutoff = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")  # no driver time zone
-    before = df.where(ts < cutoff).withColumn("is_train", F.lit(1))
-    after = df.where(ts > cutoff).withColumn("is_train", F.lit(0))
     tied = global_row_number(df.where(ts == cutoff), [id_col], "__rn")
     tied = tied.withColumn("is_train", (F.col("__rn") <= remaining).cast("int")).drop("__rn")
-    return before.unionByName(tied).unionByName(after)
+    apart = df.where(ts.isNull() | (ts != cutoff)).withColumn("is_train", (ts < cutoff).cast("int"))
+    return apart.unionByName(tied)
 
 
-def cutoff_split(df: DataFrame, test_size: float = 0.2, time_col: str = TIME_COL,
-                 accuracy: int = 100000) -> DataFrame:
-    us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(time_col))
-    q = df.agg(F.percentile_approx(us, 1 - test_size, accuracy)).first()[0]
-    return df.withColumn("is_train", (us <= F.lit(q)).cast("int"))
+def without_start(df: DataFrame, time_col: str = TIME_COL) -> DataFrame:
+    """The tasks that ``time_split`` can put into neither part."""
+    return df.where(F.col(time_col).isNull())

@@ -22,6 +22,7 @@ from taskwatch.operators.autoencoder import AutoencoderModel, fit_autoencoder, f
 from taskwatch.operators.ensemble import ensemble
 from taskwatch.operators.explain import forest_top_column, reconstruction_top_column
 from taskwatch.operators.forest import ForestModel, fit_forest, score_column
+from taskwatch.operators.quantiles import quantile_of
 from taskwatch.operators.reconstruct import (ReconstructionModel, error_column, fit_error_threshold,
                                              fit_reconstruction)
 from taskwatch.session import pin
@@ -126,16 +127,12 @@ class HybridDetector:
         scored_all = pin(partial.raw_scores(X if train_col is not None else Xt))
         train_scores = scored_all if train_col is None else scored_all.where(F.col(train_col) == 1)
         q = 1.0 - p.contamination
-        if p.quantile_mode == "exact":
-            if_q = F.percentile("if_score", F.lit(q))
-        else:
-            if_q = F.percentile_approx("if_score", F.lit(q), p.quantile_accuracy)
-        row = train_scores.agg(if_q.alias("if_thr"),
-                               F.min("if_score").alias("if_lo"), F.max("if_score").alias("if_hi"),
+        if_thr = quantile_of(train_scores, "if_score", q)
+        row = train_scores.agg(F.min("if_score").alias("if_lo"), F.max("if_score").alias("if_hi"),
                                F.min("ae_score").alias("ae_lo"), F.max("ae_score").alias("ae_hi")).first()
         ae_thr = fit_error_threshold(train_scores, "ae_score", p)
-        forest.threshold_score = float(row["if_thr"])
+        forest.threshold_score = if_thr
         recon.threshold = ae_thr
         ranges = {"if_score": (row["if_lo"], row["if_hi"]), "ae_score": (row["ae_lo"], row["ae_hi"])}
-        return DetectorModel(p, features, forest, recon, float(row["if_thr"]), ae_thr, ranges), scored_all
+        return DetectorModel(p, features, forest, recon, if_thr, ae_thr, ranges), scored_all
 

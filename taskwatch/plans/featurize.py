@@ -123,5 +123,9 @@ class FeaturePipeline:
         if engineered_train is None:
             engineered_train = engineered(train, categories, group_tables, global_means, p)
         raw = select_features(engineered_train, features)
-        scaler = fit_robust_scaler(raw, features, p.quantile_mode, p.quantile_accuracy)
+        scaler = fit_robust_scaler(raw, features)
         return FeatureModel(p, categories, group_tables, global_means, scaler, features)
+
+    def fit_transform(self, train: DataFrame) -> tuple[FeatureModel, DataFrame]:
+        model = self.fit(train)
+        return model, model.transform(train)

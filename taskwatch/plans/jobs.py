@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,10 +28,7 @@ from taskwatch.operators.split import time_split
 from taskwatch.plans.detector import DetectorModel, HybridDetector
 from taskwatch.plans.featurize import FeatureModel, engineered, select_features
 from taskwatch.session import drop_paths, pin, pinned_scope
-from taskwatch.sources.readers import conform, load_tasks
-
-SCORE_COLUMNS = ["task_id", "engine_id", "anomaly_flag", "anomaly_score", "if_score", "ae_score",
-                 "if_flag", "ae_flag"]
+from taskwatch.sources.readers import conform, load_tasks, validate_records
 
 
 @dataclass
@@ -52,8 +50,7 @@ def fit_and_score(tasks: DataFrame, params: Params | None = None) -> Fitted:
     names = feature_names(cats.get("shift", []))
     eng = engineered(split, cats, groups, gmeans, p)
     raw = pin(select_features(eng, names, extra=["is_train"]))
-    scaler = fit_robust_scaler(raw.where(F.col("is_train") == 1), names, p.quantile_mode,
-                               p.quantile_accuracy)
+    scaler = fit_robust_scaler(raw.where(F.col("is_train") == 1), names)
     fm = FeatureModel(p, cats, groups, gmeans, scaler, names)
     X = pin(fm.scale(raw))
     det, raw_scores = HybridDetector(p).fit_scored(X, names, "is_train")
@@ -92,7 +89,7 @@ def evaluation_tables(scored: DataFrame, params: Params | None = None) -> dict[s
         "roc": M.roc_curve(long),
         "pr": M.pr_curve(long),
         "histogram": M.histogram(long),
-        "boxplot": M.boxplot(long, p.quantile_mode, p.quantile_accuracy),
+        "boxplot": M.boxplot(long),
         "calibration": M.calibration(test),
     }
 
@@ -108,7 +105,8 @@ def train_job(spark: SparkSession, data_path: str, artifacts: str, params: Param
 
 def _train(spark: SparkSession, data_path: str, artifacts: str, params: Params | None) -> dict:
     p = params or Params()
-    fitted = fit_and_score(load_tasks(spark, data_path), p)
+    valid = _accepted(load_tasks(spark, data_path), os.path.join(artifacts, "rejects"))
+    fitted = fit_and_score(valid, p)
     fitted.features.save(os.path.join(artifacts, "features"))
     fitted.detector.save(spark, os.path.join(artifacts, "detector"))
     tm = training_metrics(fitted.scored).first().asDict()
@@ -138,13 +136,19 @@ def evaluate_job(spark: SparkSession, data_path: str, artifacts: str, out_dir: s
 def _evaluate(spark: SparkSession, data_path: str, artifacts: str, out_dir: str) -> dict:
     fm = FeatureModel.load(spark, os.path.join(artifacts, "features"))
     det = DetectorModel.load(spark, os.path.join(artifacts, "detector"))
-    tasks = pin(time_split(conform(load_tasks(spark, data_path)), fm.params.test_size))
+    valid = _accepted(load_tasks(spark, data_path), os.path.join(out_dir, "rejects"))
+    tasks = pin(time_split(valid, fm.params.test_size))
     X = fm.transform(tasks, extra=["is_train"])
     scored = pin(det.score(X))
     tables = evaluation_tables(scored)
     for name, t in tables.items():
         t.write.mode("overwrite").parquet(os.path.join(out_dir, name))
-    report = report_document(tables)
+    report = report_document(tables) | {
+        "timestamp": datetime.now(timezone.utc).isoformat(timespec="seconds"),
+        "model_info": {"weights": {"isolation_forest": fm.params.if_weight, "autoencoder": fm.params.ae_weight},
+                       "thresholds": {"anomaly_score": fm.params.anomaly_score_threshold,
+                                      "isolation_forest": det.if_threshold, "reconstruction_error": det.ae_threshold}},
+        "data_info": {"path": data_path, "features": len(fm.features), "test_size": fm.params.test_size}}
     _write_json(spark, report, os.path.join(out_dir, "evaluation_report"))
     spark.createDataFrame([(summary_text(report),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(os.path.join(out_dir, "metrics_summary"))
@@ -167,21 +171,16 @@ def report_document(tables: dict[str, DataFrame]) -> dict:
         "total_samples": cls["total_samples"], "anomalies_detected": cls["anomalies_detected"],
         "true_anomalies": cls["true_anomalies"],
     }
-    recs = []
-    c, mc = metrics["classification"], metrics["model_comparison"]
-    if c["precision"] < 0.5:
-        recs.append(M.REC_LOW_PRECISION)
-    if c["recall"] < 0.7:
-        recs.append(M.REC_LOW_RECALL)
-    if (c["alert_rate"] or 0) > 0.2:
-        recs.append(M.REC_HIGH_ALERTS)
-    if abs(mc["isolation_forest_auc"] - mc["autoencoder_auc"]) > 0.1:
-        recs.append(M.REC_MODEL_GAP)
-    return {"evaluation_summary": {"metrics": metrics}, "recommendations": recs or [M.REC_OK]}
+    models = metrics["model_comparison"]
+    advised = tables["classification"].withColumns({
+        "if_auc": F.lit(float(models["isolation_forest_auc"])), "ae_auc": F.lit(float(models["autoencoder_auc"]))})
+    recs = advised.select(M.recommendations(advised).alias("r")).first()["r"]
+    return {"evaluation_summary": {"metrics": metrics}, "recommendations": list(recs)}
 
 
 def summary_text(report: dict) -> str:
     """The plain-text metrics summary."""
+    # The labels of the reference's text report.
     m = report["evaluation_summary"]["metrics"]
     c, a, mc = m["classification"], m["auc_metrics"], m["model_comparison"]
     lines = [
@@ -209,7 +208,8 @@ def score_file_job(spark: SparkSession, data_path: str, artifacts: str, out_path
 def _score_file(spark: SparkSession, data_path: str, artifacts: str, out_path: str) -> dict:
     fm = FeatureModel.load(spark, os.path.join(artifacts, "features"))
     det = DetectorModel.load(spark, os.path.join(artifacts, "detector"))
-    scored = pin(det.score(fm.transform(load_tasks(spark, data_path))))
+    valid = _accepted(load_tasks(spark, data_path), out_path + "_rejects")
+    scored = pin(det.score(fm.transform(valid)))
     out = scored.select("task_id", "engine_id", "anomaly_flag", "anomaly_score",
                         F.col("if_score_norm").alias("if_score"), F.col("ae_score_norm").alias("ae_score"),
                         "if_flag", "ae_flag")
@@ -217,6 +217,22 @@ def _score_file(spark: SparkSession, data_path: str, artifacts: str, out_path: s
     return anomaly_summary(scored).first().asDict()
 
 
+def _accepted(tasks: DataFrame, rejects: str) -> DataFrame:
+    """The valid records of ``tasks``; the others, with the names of the fields
+    that are missing or did not parse, are written to ``rejects`` (S15)."""
+    valid, rejected = validate_records(tasks)
+    rejected.write.mode("overwrite").parquet(rejects)
+    return valid
+
+
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """The task table as Parquet partitioned by start date, and as CSV with
+    a header, under ``path``."""
+    dated = tasks.withColumn("start_date", F.to_date("planned_start_ts"))
+    dated.write.mode("overwrite").partitionBy("start_date").parquet(os.path.join(path, "tasks.parquet"))
+    tasks.write.mode("overwrite").option("header", True).csv(os.path.join(path, "tasks_csv"))
+
+
 def _write_json(spark: SparkSession, doc: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(doc, default=str),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(path)

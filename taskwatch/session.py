@@ -9,6 +9,7 @@ as in tests and local runs, do we create one under ``/tmp``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -68,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="taskwatch-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()

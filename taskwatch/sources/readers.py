@@ -1,7 +1,8 @@
 """Readers: task tables (S1-S4) and the task view over the driver's tables.
 
-The schema is always given, never inferred: inference costs a pass over the
-data and can change between files.
+Text files are read with the task schema, never an inferred one: inference
+costs a pass over the data and can change between files. Parquet files bring
+their own schema; ``conform`` casts it.
 """
 
 from __future__ import annotations
@@ -16,35 +17,17 @@ from taskwatch.functions.time import parse_timestamps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A small file with one row group is read by one task, and every per-row
-    stage before the first shuffle would run on one core. Only then is the
-    scan round-robin repartitioned to the default parallelism. A large input
-    already has more splits than cores, so at scale this is a no-op and adds
-    no shuffle.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def read_parquet_tasks(spark: SparkSession, path: str) -> DataFrame:
     """S1. Parquet files may store timestamps as strings or zoned values."""
-    df = balanced(spark.read.parquet(path))
-    return conform(df)
+    return conform(spark.read.parquet(path))
 
 
 def read_csv_tasks(spark: SparkSession, path: str) -> DataFrame:
     """S2. Header CSV with ISO-8601 timestamp strings."""
-    df = balanced(spark.read.schema(TASK_TEXT_SCHEMA).option("header", True).csv(path))
-    return conform(df)
+    return conform(spark.read.schema(TASK_TEXT_SCHEMA).option("header", True).csv(path))
 
 
 def load_tasks(spark: SparkSession, path: str) -> DataFrame:

@@ -22,15 +22,16 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from taskwatch.config import Params
 from taskwatch.plans.detector import DetectorModel
 from taskwatch.plans.featurize import FeatureModel
 from taskwatch.plans.jobs import train_job
-from taskwatch.session import drop_paths, pinned_scope
+from taskwatch.session import drop_paths, pin, pinned_scope
 from taskwatch.sources.readers import conform, validate_records
 from taskwatch.sources.schema import TASK_SCHEMA, TASK_TEXT_SCHEMA
 
@@ -42,7 +43,7 @@ READY = "_READY"
 def publish_model(spark: SparkSession, data_path: str, model_root: str,
                   params: Params | None = None, version: str | None = None) -> str:
     """Train into a new version folder, then write its ready marker last."""
-    version = version or time.strftime("%Y%m%d%H%M%S")
+    version = version or _new_version()
     path = os.path.join(model_root, f"version={version}")
     train_job(spark, data_path, path, params)
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite") \
@@ -50,10 +51,15 @@ def publish_model(spark: SparkSession, data_path: str, model_root: str,
     return path
 
 
+def _new_version() -> str:
+    """Ordered by time, and never the same for two publishes."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def publish_fitted(spark: SparkSession, features: FeatureModel, detector: DetectorModel,
                    model_root: str, version: str | None = None) -> str:
     """Publish already-fitted models as a new version (ready marker last)."""
-    version = version or time.strftime("%Y%m%d%H%M%S")
+    version = version or _new_version()
     path = os.path.join(model_root, f"version={version}")
     features.save(os.path.join(path, "features"))
     detector.save(spark, os.path.join(path, "detector"))
@@ -106,8 +112,7 @@ class BatchScorer:
     """The ``foreachBatch`` function of T1-T4."""
 
     def __init__(self, spark: SparkSession, model_root: str, history: str, scores: str,
-                 alert_sinks: list[str], days: int = 7, rejects: str | None = None,
-                 late: str | None = None, delay_days: int = 7):
+                 alert_sinks: list[str], rejects: str, late: str, days: int = 7, delay_days: int = 7):
         self.spark, self.history, self.scores, self.alert_sinks = spark, history, scores, alert_sinks
         self.rejects, self.late, self.delay_days = rejects, late, delay_days
         self.max_seen = None   # latest planned start processed so far
@@ -115,12 +120,11 @@ class BatchScorer:
         self.days = days
 
     def _history(self, lo, hi) -> DataFrame | None:
-        try:
-            schema = T.StructType(TASK_SCHEMA.fields + [T.StructField("batch", T.LongType()),
-                                                        T.StructField("start_date", T.DateType())])
-            hist = self.spark.read.schema(schema).parquet(self.history)
-        except Exception:  # noqa: BLE001 - no history written yet
-            return None
+        if not path_exists(self.spark, self.history):
+            return None   # nothing stored yet; any other failure is raised
+        schema = T.StructType(TASK_SCHEMA.fields + [T.StructField("batch", T.LongType()),
+                                                    T.StructField("start_date", T.DateType())])
+        hist = self.spark.read.schema(schema).parquet(self.history)
         lo_ts, hi_ts = ntz_literal(lo), ntz_literal(hi)
         lo_date = F.date_sub(lo_ts.cast("date"), self.days)
         return hist.where((F.col("start_date") >= lo_date) & (F.col("start_date") <= hi_ts.cast("date"))
@@ -129,10 +133,9 @@ class BatchScorer:
 
     def _recover_max_seen(self):
         """After a restart: the latest start in the stored history (partition-pruned)."""
-        try:
-            hist = self.spark.read.parquet(self.history)
-        except Exception:  # noqa: BLE001 - nothing stored yet
+        if not path_exists(self.spark, self.history):
             return None
+        hist = self.spark.read.parquet(self.history)
         last = hist.agg(F.max("start_date")).first()[0]
         if last is None:
             return None
@@ -146,19 +149,21 @@ class BatchScorer:
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
-        tasks, rejected = validate_records(batch.drop("event_time"))       # S15
-        if self.rejects:
-            rejected.write.mode("overwrite").parquet(os.path.join(self.rejects, f"batch={batch_id}"))
+        # one evaluation of the micro-batch: what is scored, stored and rejected is the same
+        batch = pin(batch.drop("event_time"), "stream-batch")
+        tasks, rejected = validate_records(batch)                          # S15
+        rejected.write.mode("overwrite").parquet(os.path.join(self.rejects, f"batch={batch_id}"))
         if self.max_seen is None:
             self.max_seen = self._recover_max_seen()
         if self.max_seen is not None:
             limit = ntz_literal(self.max_seen) - F.expr(f"INTERVAL {self.delay_days} DAYS")
             too_late = F.col("planned_start_ts") < limit
-            if self.late:
-                tasks.where(too_late).write.mode("overwrite").parquet(
-                    os.path.join(self.late, f"batch={batch_id}"))
+            tasks.where(too_late).write.mode("overwrite").parquet(os.path.join(self.late, f"batch={batch_id}"))
             tasks = tasks.where(~too_late)
-        tasks = tasks.dropDuplicates(["task_id"])
+        # of several records of one task the one that ended last counts, ties by all its fields
+        order = [F.col("actual_end_ts").desc(), F.xxhash64(*tasks.columns)]
+        tasks = pin(tasks.withColumn("__rn", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
+                    .where("__rn = 1").drop("__rn"), "stream-tasks")
         span = tasks.agg(F.min("planned_start_ts").alias("lo"), F.max("planned_start_ts").alias("hi")).first()
         if span is None or span["lo"] is None:
             return
@@ -188,6 +193,11 @@ class BatchScorer:
         self.max_seen = hi if self.max_seen is None else max(self.max_seen, hi)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def ntz_literal(value):
     """A wall-clock literal that does not pass through the driver's time zone."""
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -52,7 +52,7 @@ def test_auc_and_ap_match_brute_force(spark, seed):
 def test_range_partitioned_prefix_matches_numpy(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.permutation(5000).astype(float), "v": rng.integers(0, 5, 5000)})
-    out = global_prefix(spark.createDataFrame(pdf), ["k"], ["v"], small_rows=0).toPandas()
+    out = global_prefix(spark.createDataFrame(pdf), ["k"], ["v"]).toPandas()
     out = out.sort_values("k")
     assert (out["cum_v"].to_numpy() == np.cumsum(out["v"].to_numpy())).all()
 

@@ -23,11 +23,29 @@ def test_scaler_constant_feature_and_numpy(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"a": rng.normal(size=501), "c": np.full(501, 3.0)})
     df = spark.createDataFrame(pdf)
-    params = fit_robust_scaler(df, ["a", "c"], "exact")
+    params = fit_robust_scaler(df, ["a", "c"])
     q1, med, q3 = np.percentile(pdf["a"], [25, 50, 75])
     assert params["a"] == (pytest.approx(med), pytest.approx(q3 - q1))
     assert params["c"] == (3.0, 1.0)                       # IQR 0 -> divide by 1
     out = apply_robust_scaler(df, params, ["a", "c"]).toPandas()
     assert np.allclose(out["c"], 0.0)
-    approx = fit_robust_scaler(df, ["a"], "approx", 10000)
-    assert approx["a"][0] == pytest.approx(med, abs=0.05)
+
+
+def test_tasks_without_start_are_in_neither_part(spark):
+    rows = [(f"t{i:03d}", T0 + dt.timedelta(hours=i) if i % 10 else None) for i in range(100)]
+    out = time_split(spark.createDataFrame(rows, "task_id string, planned_start_ts timestamp_ntz"), 0.2).toPandas()
+    assert len(out) == 100 and (out["is_train"] == 1).sum() == 72 and (out["is_train"] == 0).sum() == 18
+    assert out.loc[out["planned_start_ts"].isna(), "is_train"].isna().all()
+
+
+def test_exact_quantiles_of_groups_with_ties_and_nulls(spark):
+    from taskwatch.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"feature": rng.choice(["a", "b", "c"], 3000, p=[.8, .19, .01]),
+                        "value": rng.integers(0, 40, 3000).astype(float)})
+    pdf.loc[::17, "value"] = None
+    df = spark.createDataFrame(pdf.astype({"value": object}).where(pdf.notna(), None), "feature string, value double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.93, 1.0]
+    got = {r["feature"]: r["q"] for r in exact_quantiles(df, probs).collect()}
+    for f, x in pdf.dropna().groupby("feature")["value"]:
+        assert got[f] == pytest.approx(list(np.quantile(x, probs)))
