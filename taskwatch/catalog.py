@@ -18,16 +18,19 @@ from taskwatch import catalog_sql as S
 from taskwatch.config import Params
 from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, fit_categories
 from taskwatch.operators import metrics as M
+from taskwatch.operators.cooldown import cooldown_batch
 from taskwatch.operators.ensemble import anomaly_summary, ensemble, fit_score_range
 from taskwatch.operators.groups import GROUP_MEANS, apply_group_means, dataset_profile, fit_group_means
+from taskwatch.operators.quantiles import quantile_of
+from taskwatch.operators.reconstruct import fit_error_threshold
 from taskwatch.operators.rolling import ROLLING_SPEC, rolling_columns, with_rolling_features
 from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
-from taskwatch.operators.split import time_split
+from taskwatch.operators.split import time_split, without_start
 from taskwatch.plans.featurize import row_features, select_features
 from taskwatch.functions.features import feature_names
-from taskwatch.sources.readers import tasks_from_events
+from taskwatch.sources.readers import conform, tasks_from_events, validate_records
 from taskwatch.session import pin
-from taskwatch.sources.schema import TASK_COLUMNS
+from taskwatch.sources.schema import TASK_COLUMNS, TIMESTAMP_COLUMNS
 
 P = Params()
 
@@ -276,6 +279,52 @@ def q_kpi_rolling(spark, sf):
     return rounded(out.select("task_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]))
 
 
+def q_score_thresholds(spark, sf):
+    """I3, R5 on the rule scores."""
+    s = pin(rule_scores(spark, sf).select("if_score", "ae_score"), "rule-scores")
+    return rounded(spark.createDataFrame(
+        [(quantile_of(s, "if_score", 1 - P.contamination), fit_error_threshold(s, "ae_score", P))],
+        "if_threshold double, ae_threshold double"))
+
+
+def text_tasks(spark, sf) -> DataFrame:
+    """The task view as a text file would bring it: ISO strings, some broken or empty."""
+    t = tasks(spark, sf)
+    iso = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c in TIMESTAMP_COLUMNS}
+    n = F.substring("task_id", 3, 20).cast("long")
+    iso["planned_start_ts"] = F.when(n % 11 == 0, F.lit("not a time")).otherwise(iso["planned_start_ts"])
+    iso["actual_end_ts"] = F.when(n % 17 != 0, iso["actual_end_ts"])
+    return t.withColumns(iso)
+
+
+def q_parsed_tasks(spark, sf):
+    """The records whose timestamps all parse."""
+    return validate_records(conform(text_tasks(spark, sf)))[0].select("task_id", *TIMESTAMP_COLUMNS)
+
+
+def q_rejected_tasks(spark, sf):
+    """The others, with the fields that are missing or did not parse."""
+    return validate_records(conform(text_tasks(spark, sf)))[1].select(
+        "task_id", F.concat_ws(",", "missing_fields").alias("missing_fields"))
+
+
+def q_parsed_split(spark, sf):
+    """F13 where some tasks have no start: they are in neither part."""
+    part = F.when(F.col("is_train") == 1, "train").when(F.col("is_train") == 0, "test").otherwise("none")
+    return time_split(conform(text_tasks(spark, sf)), P.test_size).select("task_id", part.alias("part"))
+
+
+def q_time_split_rejects(spark, sf):
+    return without_start(conform(text_tasks(spark, sf))).select("task_id")
+
+
+def q_cooldown_rules(spark, sf):
+    """Q1 batch on the alerts of the rule scores."""
+    alerts = scored(spark, sf).where(F.col("anomaly_flag") == 1).select(
+        "engine_id", "task_id", F.col("actual_end_ts").alias("alert_time"))
+    return cooldown_batch(pin(alerts, "rule-alerts"), P.alert_cooldown_minutes).select("task_id", "engine_id", "sent")
+
+
 def q_scoring_results(spark, sf):
     s = scored(spark, sf)
     return rounded(s.select("task_id", "engine_id", "anomaly_flag", "anomaly_score",
@@ -297,6 +346,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scaler_fit": q_scaler_fit,
     "scaled_features": q_scaled_features,
     "time_split": q_time_split,
+    "score_thresholds": q_score_thresholds,
+    "parsed_tasks": q_parsed_tasks,
+    "rejected_tasks": q_rejected_tasks,
+    "parsed_split": q_parsed_split,
+    "time_split_rejects": q_time_split_rejects,
+    "cooldown_rules": q_cooldown_rules,
     "rule_scores": q_rule_scores,
     "ensemble": q_ensemble,
     "ensemble_static": q_ensemble_static,
@@ -399,19 +454,24 @@ GROUP BY a.actual, a.predicted""")
     out["roc_curve"] = S.with_ctes(*L, body="""
 SELECT model, round(score, 6) + 0.0 AS threshold,
        round(coalesce(CAST(cum_neg AS DOUBLE) / NULLIF(N, 0), 0.0), 6) + 0.0 AS fpr,
-       round(coalesce(CAST(cum_pos AS DOUBLE) / NULLIF(P, 0), 0.0), 6) + 0.0 AS tpr FROM cum""")
+       round(coalesce(CAST(cum_pos AS DOUBLE) / NULLIF(P, 0), 0.0), 6) + 0.0 AS tpr FROM cum
+UNION ALL SELECT DISTINCT model, NULL, 0.0::DOUBLE, 0.0::DOUBLE FROM cum""")
     out["pr_curve"] = S.with_ctes(*L, body="""
 SELECT model, round(score, 6) + 0.0 AS threshold,
        round(CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg), 6) + 0.0 AS precision,
-       round(coalesce(CAST(cum_pos AS DOUBLE) / NULLIF(P, 0), 0.0), 6) + 0.0 AS recall FROM cum""")
+       round(coalesce(CAST(cum_pos AS DOUBLE) / NULLIF(P, 0), 0.0), 6) + 0.0 AS recall FROM cum
+UNION ALL SELECT DISTINCT model, NULL, 1.0::DOUBLE, 0.0::DOUBLE FROM cum""")
     out["score_histogram"] = S.with_ctes(*L, body="""
-SELECT model, bin, round(lo + bin * (hi - lo) / 50.0::DOUBLE, 6) + 0.0 AS lower, count(*) AS n
-FROM (SELECT lg.model, lo, hi,
+SELECT g.model, g.bin, round(any_value(g.lo) + g.bin * (any_value(g.hi) - any_value(g.lo)) / 50.0::DOUBLE, 6) + 0.0 AS lower,
+       count(h.model) AS n
+FROM (SELECT model, min(score) AS lo, max(score) AS hi, CAST(unnest(range(50)) AS INTEGER) AS bin FROM lg
+      WHERE model <> 'flags' AND label IS NOT NULL AND score IS NOT NULL GROUP BY model) g
+LEFT JOIN (SELECT lg.model, lo, hi,
              CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((score - lo) / ((hi - lo) / 50.0::DOUBLE)), 49) END AS INTEGER) AS bin
       FROM lg JOIN (SELECT model, min(score) AS lo, max(score) AS hi FROM lg
                     WHERE model <> 'flags' AND label IS NOT NULL AND score IS NOT NULL GROUP BY model) r USING (model)
-      WHERE lg.label IS NOT NULL AND lg.score IS NOT NULL)
-GROUP BY model, bin, lo, hi""")
+      WHERE lg.label IS NOT NULL AND lg.score IS NOT NULL) h ON h.model = g.model AND h.bin = g.bin
+GROUP BY g.model, g.bin""")
     out["score_boxplot"] = S.with_ctes(*L, body="""
 SELECT model, round(q1, 6) + 0.0 AS q1, round(med, 6) + 0.0 AS median, round(q3, 6) + 0.0 AS q3,
        round(q3 - q1, 6) + 0.0 AS iqr,
@@ -464,10 +524,45 @@ SELECT count(*) AS total_tasks, CAST(coalesce(sum(anomaly_flag), 0) AS BIGINT) A
 SELECT 'anomaly_detected' AS type, task_id, engine_id, round(anomaly_score, 6) + 0.0 AS anomaly_score,
        actual_end_ts AS timestamp FROM scored WHERE anomaly_flag = 1""")
     out["calibration"] = S.with_ctes(*E, body="""
-SELECT CAST(least(greatest(floor(anomaly_score * 10), 0), 9) AS INTEGER) AS bin,
-       round(avg(anomaly_score), 6) + 0.0 AS mean_score,
-       round(avg(CAST(is_anomaly AS DOUBLE)), 6) + 0.0 AS fraction_positive, count(*) AS n
-FROM scored WHERE is_anomaly IS NOT NULL AND anomaly_score IS NOT NULL GROUP BY 1""")
+SELECT g.bin, round(avg(anomaly_score), 6) + 0.0 AS mean_score,
+       round(avg(CAST(is_anomaly AS DOUBLE)), 6) + 0.0 AS fraction_positive, count(s.task_id) AS n
+FROM (SELECT CAST(unnest(range(10)) AS INTEGER) AS bin) g
+LEFT JOIN (SELECT * FROM scored WHERE is_anomaly IS NOT NULL AND anomaly_score IS NOT NULL) s
+  ON g.bin = least(greatest(floor(anomaly_score * 10), 0), 9)
+GROUP BY g.bin""")
+    out["score_thresholds"] = S.with_ctes(*E, body="""
+SELECT round(quantile_cont(if_score, 0.93), 6) + 0.0 AS if_threshold,
+       round(greatest(quantile_cont(ae_score, 0.9), avg(ae_score) + 2 * stddev_pop(ae_score)), 6) + 0.0 AS ae_threshold
+FROM rs""")
+    text = """
+texts AS (
+  SELECT * REPLACE (CASE WHEN CAST(substr(task_id, 3) AS BIGINT) % 11 <> 0 THEN planned_start_ts END AS planned_start_ts,
+                    CASE WHEN CAST(substr(task_id, 3) AS BIGINT) % 17 <> 0 THEN actual_end_ts END AS actual_end_ts)
+  FROM tasks)"""
+    out["parsed_tasks"] = S.with_ctes(S.TASKS, text, body="""
+SELECT task_id, planned_start_ts, planned_end_ts, actual_start_ts, actual_end_ts FROM texts
+WHERE planned_start_ts IS NOT NULL AND actual_end_ts IS NOT NULL""")
+    out["rejected_tasks"] = S.with_ctes(S.TASKS, text, body="""
+SELECT task_id, concat_ws(',', CASE WHEN planned_start_ts IS NULL THEN 'planned_start_ts' END,
+                          CASE WHEN actual_end_ts IS NULL THEN 'actual_end_ts' END) AS missing_fields
+FROM texts WHERE planned_start_ts IS NULL OR actual_end_ts IS NULL""")
+    out["parsed_split"] = S.with_ctes(S.TASKS, text, body="""
+SELECT task_id, CASE WHEN planned_start_ts IS NULL THEN 'none'
+         WHEN row_number() OVER (ORDER BY planned_start_ts NULLS LAST, task_id)
+              <= (SELECT CAST(floor(count(planned_start_ts) * 0.8) AS BIGINT) FROM texts) THEN 'train' ELSE 'test' END AS part
+FROM texts""")
+    out["time_split_rejects"] = S.with_ctes(S.TASKS, text, body="SELECT task_id FROM texts WHERE planned_start_ts IS NULL")
+    out["cooldown_rules"] = S.with_ctes(*E, """
+al AS (SELECT engine_id, epoch_us(actual_end_ts) AS t, task_id FROM scored WHERE anomaly_flag = 1),
+sent AS (
+  SELECT engine_id, min({'t': t, 'id': task_id}) AS x FROM al GROUP BY engine_id
+  UNION ALL
+  SELECT engine_id, x FROM (
+    SELECT s.engine_id, min({'t': al.t, 'id': al.task_id}) AS x FROM sent s
+    JOIN al ON al.engine_id = s.engine_id AND al.t >= s.x.t + 1800000000 GROUP BY s.engine_id))""",
+        body="""
+SELECT al.task_id, al.engine_id, CAST(sent.x IS NOT NULL AS INTEGER) AS sent
+FROM al LEFT JOIN sent ON sent.engine_id = al.engine_id AND sent.x.id = al.task_id""").replace("WITH", "WITH RECURSIVE", 1)
     kpi_cols = [f"kpi_{c}_{a}" for c, aggs in KPI_SPEC[1] for a in aggs]
     out["kpi_rolling"] = S.with_ctes(*B, S.rolling_cte("kpi", KPI_SPEC[0], KPI_SPEC[1], S.FRAME_30D),
                                      body=f"SELECT task_id, {S.rounded(kpi_cols, set(kpi_cols))} FROM r_kpi")

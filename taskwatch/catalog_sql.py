@@ -9,8 +9,31 @@ summation order do not count as mismatches.
 
 from __future__ import annotations
 
-from taskwatch.functions.features import feature_names
-from taskwatch.operators.rolling import ROLLING_SPEC
+# Rolling aggregates per key, restated here so that the SQL does not follow the engine.
+ROLLING_SPEC = {
+    "task": ("task_name", [
+        ("actual_minutes", ["mean", "std", "median", "min", "max"]),
+        ("duration_ratio", ["mean", "std", "min", "max"]),
+        ("snag_count", ["mean", "sum", "max"]),
+        ("concurrent_tasks", ["mean", "max", "std"]),
+        ("snag_severity", ["mean", "max"]),
+        ("start_lag_minutes", ["mean", "std", "max"]),
+        ("end_lag_minutes", ["mean", "std", "max"]),
+    ]),
+    "module": ("module_id", [
+        ("actual_minutes", ["mean", "std", "median", "min", "max"]),
+        ("duration_ratio", ["mean", "std", "min", "max"]),
+        ("snag_count", ["mean", "sum", "max"]),
+        ("snag_severity", ["mean", "max"]),
+        ("concurrent_tasks", ["mean", "max"]),
+    ]),
+    "tech": ("tech_id", [
+        ("actual_minutes", ["mean", "std"]),
+        ("duration_ratio", ["mean", "std"]),
+        ("snag_count", ["mean", "sum"]),
+        ("concurrent_tasks", ["mean", "max"]),
+    ]),
+}
 
 FRAME_7D = 7 * 86_400_000_000 - 1
 FRAME_30D = 30 * 86_400_000_000 - 1
@@ -148,7 +171,30 @@ gm AS (
     avg(CAST(actual_minutes AS DOUBLE)) OVER (PARTITION BY task_name) AS task_complexity
   FROM rf)"""
 
-FEATURES = feature_names(["D", "N"])
+# The ordered feature names.
+FEATURES = (
+    "planned_minutes actual_minutes planned_duration_minutes actual_duration_minutes start_lag_minutes "
+    "end_lag_minutes duration_ratio duration_variance task_actual_minutes_mean task_actual_minutes_std "
+    "task_actual_minutes_median task_actual_minutes_min task_actual_minutes_max task_duration_ratio_mean "
+    "task_duration_ratio_std task_duration_ratio_min task_duration_ratio_max task_snag_count_mean "
+    "task_snag_count_sum task_snag_count_max task_concurrent_tasks_mean task_concurrent_tasks_max "
+    "task_concurrent_tasks_std task_snag_severity_mean task_snag_severity_max task_start_lag_minutes_mean "
+    "task_start_lag_minutes_std task_start_lag_minutes_max task_end_lag_minutes_mean "
+    "task_end_lag_minutes_std task_end_lag_minutes_max module_actual_minutes_mean "
+    "module_actual_minutes_std module_actual_minutes_median module_actual_minutes_min "
+    "module_actual_minutes_max module_duration_ratio_mean module_duration_ratio_std "
+    "module_duration_ratio_min module_duration_ratio_max module_snag_count_mean module_snag_count_sum "
+    "module_snag_count_max module_snag_severity_mean module_snag_severity_max "
+    "module_concurrent_tasks_mean module_concurrent_tasks_max tech_actual_minutes_mean "
+    "tech_actual_minutes_std tech_duration_ratio_mean tech_duration_ratio_std tech_snag_count_mean "
+    "tech_snag_count_sum tech_concurrent_tasks_mean tech_concurrent_tasks_max concurrent_tasks "
+    "tech_grade_encoded tech_overload tech_load_score tech_efficiency snag_count snag_severity "
+    "snag_severity_weighted has_snags high_severity_snags snag_rate snag_intensity tat_hours_engine "
+    "wip_count_shop mttr_hours_engine tat_efficiency wip_density mttr_efficiency kpi_stress hour_of_day "
+    "day_of_week month day_of_month hour_sin hour_cos day_sin day_cos month_sin month_cos is_overtime "
+    "is_weekend is_night_shift is_peak_hours duration_outlier extreme_delay schedule_deviation "
+    "bay_utilization module_complexity task_complexity shift_D shift_N "
+).split()
 
 
 def feature_matrix_cte() -> str:

@@ -130,8 +130,13 @@ def q_stream_cooldown(spark, sf):
 
 
 def q_newest_table(spark, sf):
-    """The newest Parquet file in the data folder."""
-    return newest_file(spark, sf)
+    """What the newest Parquet file in the data folder holds: its columns,
+    the rows and the non-null values of each."""
+    newest = spark.read.parquet(newest_file(spark, sf).first()["path"])
+    counts = newest.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"v{i}")
+                                                           for i, c in enumerate(newest.columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("values")) for i, c in enumerate(newest.columns)])
+    return counts.select("rows", F.inline(cells))
 
 
 MODEL_QUERIES = {

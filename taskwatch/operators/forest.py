@@ -182,22 +182,6 @@ class ForestModel:
                                            "leaf_h", "value"])
 
     # ---- vectorised scoring
-    def _leaves(self, X: np.ndarray):
-        B = X.shape[0]
-        rows = np.arange(B)
-        for t in range(self.feature_idx.shape[0]):
-            node = np.zeros(B, dtype=np.int32)
-            for _ in range(self.max_depth):
-                f = self.feature_idx[t, node]
-                internal = f >= 0
-                if not internal.any():
-                    break
-                x = X[rows, np.where(internal, f, 0)]
-                go_left = x <= self.threshold[t, node]
-                nxt = np.where(go_left, self.left[t, node], self.right[t, node])
-                node = np.where(internal, nxt, node)
-            yield t, node
-
     def path_length(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
         """Mean path length over all trees, walking every tree at once per level
         on a (rows x trees) index matrix; rows go in chunks to bound memory."""

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taskwatch.operators.prefix import global_prefix
 from taskwatch.operators.quantiles import exact_quantiles
+from taskwatch.session import pin
 
 
 def _i(col: str) -> Column:
@@ -85,58 +86,71 @@ def score_counts(long: DataFrame) -> DataFrame:
         F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
 
 
+def ranked_counts(long: DataFrame) -> DataFrame:
+    """``score_counts`` with running totals from the highest score down
+    (``cum_pos``, ``cum_neg``) and the totals ``P`` and ``N`` per model: the one
+    table that every rank metric and curve is read from."""
+    counts = pin(score_counts(long), "score-counts")
+    down = global_prefix(counts, ["score"], ["pos", "neg"], descending=True, group_cols=["model"])
+    totals = counts.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return down.join(totals, "model")
+
+
 def rank_metrics(long: DataFrame) -> DataFrame:
     """Per model, ROC AUC (ties = 1/2) and average precision."""
-    counts = score_counts(long)
-    asc = global_prefix(counts, ["score"], ["neg"], group_cols=["model"])
-    auc = asc.groupBy("model").agg(
-        F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") * 0.5)).alias("u"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = auc.select("model", F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                     F.col("u") / (F.col("P").cast("double") * F.col("N")))
-                     .otherwise(F.lit(0.5)).alias("auc_roc"))
-    desc = global_prefix(counts, ["score"], ["pos", "neg"], descending=True, group_cols=["model"])
-    ap = desc.groupBy("model").agg(
-        F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))).alias("s"),
-        F.sum("pos").alias("P"))
-    ap = ap.select("model", F.when(F.col("P") > 0, F.col("s") / F.col("P")).otherwise(F.lit(0.0))
-                   .alias("auc_pr"))
-    return auc.join(ap, "model")
+    c = ranked_counts(long)
+    below = F.col("N") - F.col("cum_neg") + F.col("neg") * 0.5   # negatives a positive beats
+    r = c.groupBy("model", "P", "N").agg(
+        F.sum(F.col("pos") * below).alias("u"),
+        F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))).alias("s"))
+    return r.select(
+        "model",
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P").cast("double") * F.col("N")))
+        .otherwise(F.lit(0.5)).alias("auc_roc"),
+        F.when(F.col("P") > 0, F.col("s") / F.col("P")).otherwise(F.lit(0.0)).alias("auc_pr"))
+
+
+def _share(part: str, whole: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
+
+
+def _with_end(points: DataFrame, **end: float) -> DataFrame:
+    """``points`` and, per model, the point at no threshold (NULL), where nothing is predicted."""
+    ends = points.select("model").distinct().select(
+        "model", F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(k) for k, v in end.items()])
+    return points.unionByName(ends)
 
 
 def roc_curve(long: DataFrame) -> DataFrame:
-    """One point per distinct threshold: predict 1 when score >= threshold."""
-    counts = score_counts(long)
-    d = global_prefix(counts, ["score"], ["pos", "neg"], descending=True, group_cols=["model"])
-    tot = counts.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    d = d.join(F.broadcast(tot), "model")
-    return d.select("model", F.col("score").alias("threshold"),
-                    F.coalesce(F.try_divide(F.col("cum_neg").cast("double"), F.col("N")), F.lit(0.0)).alias("fpr"),
-                    F.coalesce(F.try_divide(F.col("cum_pos").cast("double"), F.col("P")), F.lit(0.0)).alias("tpr"))
+    """One point per distinct threshold (predict 1 when score >= threshold), and (0, 0)."""
+    points = ranked_counts(long).select("model", F.col("score").alias("threshold"),
+                                        _share("cum_neg", "N").alias("fpr"), _share("cum_pos", "P").alias("tpr"))
+    return _with_end(points, fpr=0.0, tpr=0.0)
 
 
 def pr_curve(long: DataFrame) -> DataFrame:
-    """Precision and recall at every distinct threshold."""
-    counts = score_counts(long)
-    d = global_prefix(counts, ["score"], ["pos", "neg"], descending=True, group_cols=["model"])
-    tot = counts.groupBy("model").agg(F.sum("pos").alias("P"))
-    d = d.join(F.broadcast(tot), "model")
-    return d.select("model", F.col("score").alias("threshold"),
-                    (F.col("cum_pos").cast("double") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                    F.coalesce(F.try_divide(F.col("cum_pos").cast("double"), F.col("P")), F.lit(0.0)).alias("recall"))
+    """Precision and recall at every distinct threshold, and (recall 0, precision 1)."""
+    points = ranked_counts(long).select(
+        "model", F.col("score").alias("threshold"),
+        (F.col("cum_pos").cast("double") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+        _share("cum_pos", "P").alias("recall"))
+    return _with_end(points, precision=1.0, recall=0.0)
 
 
 def histogram(long: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width bins over [min, max] of each score; the max falls in the last bin."""
+    """Equal-width bins over [min, max] of each score, empty ones included;
+    the max falls in the last bin."""
     rng = long.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    x = long.join(F.broadcast(rng), "model")
+    x = long.join(rng, "model")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    out = x.withColumn("bin", b).groupBy("model", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("model", "bin",
-                      (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("lower"),
-                      "n")
+    found = x.withColumn("bin", b).groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return grid.join(found, ["model", "bin"], "left").select(
+        "model", "bin",
+        (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("lower"),
+        F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def boxplot(long: DataFrame) -> DataFrame:
@@ -156,14 +170,16 @@ def boxplot(long: DataFrame) -> DataFrame:
 
 def calibration(df: DataFrame, score: str = "anomaly_score", label: str = "is_anomaly",
                 bins: int = 10) -> DataFrame:
-    """Q2: reliability table over equal-width score bins on [0, 1]."""
+    """Q2: reliability table over equal-width score bins on [0, 1], empty ones included."""
     require_label(df, label)
     s = F.col(score).cast("double")
     b = F.least(F.greatest(F.floor(s * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return (df.where(F.col(label).isNotNull() & s.isNotNull()).withColumn("bin", b)
-            .groupBy("bin").agg(F.avg(s).alias("mean_score"),
-                                F.avg(F.col(label).cast("double")).alias("fraction_positive"),
-                                F.count(F.lit(1)).alias("n")))
+    found = (df.where(F.col(label).isNotNull() & s.isNotNull()).withColumn("bin", b)
+             .groupBy("bin").agg(F.avg(s).alias("mean_score"),
+                                 F.avg(F.col(label).cast("double")).alias("fraction_positive"),
+                                 F.count(F.lit(1)).alias("n")))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return grid.join(found, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 # Recommendation rules and texts of the reference.

@@ -57,15 +57,6 @@ REQUEST_TEXT_SCHEMA = T.StructType([f for f in TASK_TEXT_SCHEMA.fields if f.name
 
 IDENTITY_COLUMNS = ["engine_id", "module_id", "submodule_id", "task_id", "wo_id"]
 
-SCORE_SCHEMA = T.StructType([
-    T.StructField("task_id", T.StringType(), False),
-    T.StructField("if_score", T.DoubleType(), True),
-    T.StructField("ae_score", T.DoubleType(), True),
-    T.StructField("if_flag", T.IntegerType(), True),
-    T.StructField("ae_flag", T.IntegerType(), True),
-    T.StructField("is_anomaly", T.IntegerType(), True),
-])
-
 CONTRIBUTION_TYPE = T.ArrayType(T.StructType([
     T.StructField("feature", T.StringType(), True),
     T.StructField("contribution", T.DoubleType(), True),
