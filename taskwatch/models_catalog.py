@@ -88,18 +88,20 @@ def q_cooldown_alerts(spark, sf):
     return rounded(cooldown_batch(alerts, f.detector.params.alert_cooldown_minutes))
 
 
-def write_stream_source(spark, sf, n_files: int = 4) -> str:
-    """The task view as time-ordered Parquet files, written one after another
-    (file streams pick files up in modification order). Files split on whole
-    weeks, so tasks with the same start never straddle two files."""
-    t = tasks(spark, sf)
-    src = scratch_path(spark, "stream-source")
-    week = F.floor(F.datediff(F.to_date("planned_start_ts"), F.lit("1970-01-05")) / 7)
-    weeks = sorted(r[0] for r in t.select(week.alias("w")).distinct().collect())
-    chunk = max(1, -(-len(weeks) // n_files))
-    for i in range(0, len(weeks), chunk):
-        part = weeks[i:i + chunk]
-        t.where(week.isin(part)).coalesce(1).write.mode("append").parquet(src)
+FILES = 8
+
+
+def write_in_order(df: DataFrame, time_col: str, name: str, chunks: int = 4) -> str:
+    """``df`` as Parquet files written chunk after chunk in order of time (file
+    streams pick files up in modification order), ``FILES`` files each, so that
+    ``maxFilesPerTrigger=FILES`` gives one micro-batch per chunk. Chunks split on
+    whole weeks, so rows with the same time never straddle two of them."""
+    src = scratch_path(df.sparkSession, name)
+    week = F.floor(F.datediff(F.to_date(time_col), F.lit("1970-01-05")) / 7)
+    weeks = sorted(r[0] for r in df.select(week.alias("w")).distinct().collect())
+    size = max(1, -(-len(weeks) // chunks))
+    for i in range(0, len(weeks), size):
+        df.where(week.between(weeks[i], weeks[min(i + size, len(weeks)) - 1])).repartition(FILES).write.mode("append").parquet(src)
     return src
 
 
@@ -108,18 +110,17 @@ def q_stream_scores(spark, sf):
     f = fitted(spark, sf)
     root = scratch_path(spark, "models")
     publish_fitted(spark, f.features, f.detector, root)
-    src = write_stream_source(spark, sf)
+    src = write_in_order(tasks(spark, sf), "planned_start_ts", "stream-source")
     paths = run_scoring_stream(spark, src, root, scratch_path(spark, "stream-work"),
-                               max_files_per_trigger=2)
+                               max_files_per_trigger=FILES)
     return rounded(spark.read.parquet(paths["scores"]).drop("batch"))
 
 
 def q_stream_cooldown(spark, sf):
     """Q1 stream: scored tasks as an alert stream through the stateful cooldown."""
     f = fitted(spark, sf)
-    src = scratch_path(spark, "alert-source")
-    alert_rows(f.scored).write.parquet(src)
-    stream = spark.readStream.schema("engine_id string, task_id string, alert_time timestamp, "
+    src = write_in_order(alert_rows(f.scored), "alert_time", "alert-source")
+    stream = spark.readStream.option("maxFilesPerTrigger", FILES).schema("engine_id string, task_id string, alert_time timestamp, "
                                      "anomaly_score double").parquet(src)
     out = scratch_path(spark, "alert-sink")
     q = (cooldown_stream(stream, f.detector.params.alert_cooldown_minutes).writeStream

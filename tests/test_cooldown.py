@@ -43,3 +43,13 @@ def test_stream_cooldown_matches_batch(spark):
     stream = MC.q_stream_cooldown(spark, SF0001).select("task_id")
     assert batch.count() == stream.count()
     assert batch.exceptAll(stream).count() == 0
+
+
+def test_late_alerts_are_judged_by_their_neighbours():
+    from taskwatch.streaming.cooldown import allowed
+    sent = []
+    assert allowed([0, 10, 200], sent, 30) == [True, False, True]
+    assert allowed([20, 60, 175, 190], sent, 30) == [False, True, False, False] and sent == [0, 60, 200]
+    random.seed(2)
+    times = sorted(random.choices(range(2000), k=300))
+    assert allowed(times, [], 30) == [bool(x) for x in cooldown_reference(times, 30)]
