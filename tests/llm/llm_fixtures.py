@@ -1,3 +1,4 @@
+"""The fixture these tests share (imported by name, so that there is one conftest)."""
 import pytest
 
 

@@ -4,6 +4,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from taskwatch.llm import chat as C
+from llm_fixtures import make  # noqa: F401
 
 TURNS = "conv_id long, turn long, role string, text string"
 

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from taskwatch.llm import decontaminate as D
+from llm_fixtures import make  # noqa: F401
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"

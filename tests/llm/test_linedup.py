@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from taskwatch.llm import linedup as L
+from llm_fixtures import make  # noqa: F401
 
 DOCS = "doc_id long, source string, text string, n_chars long"
 

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from taskwatch.llm import mixing as M
+from llm_fixtures import make  # noqa: F401
 
 DOCS = "doc_id long, source string, text string"
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from taskwatch.llm import pages as P
+from llm_fixtures import make  # noqa: F401
 
 PAGES = "page_id long, url string, html string"
 PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><header><h1>Site</h1></header>"

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from taskwatch.llm import quality as Q
+from llm_fixtures import make  # noqa: F401
 
 DOCS = "doc_id long, lang string, text string"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from taskwatch.llm import ragged, simjoin as S
 from taskwatch.llm.components import components
+from llm_fixtures import make  # noqa: F401
 
 
 def shingles(text, width):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from taskwatch.llm import tokens as K
+from llm_fixtures import make  # noqa: F401
 
 PATH = public_tokenizers.path(K.VOCABULARY)
 
