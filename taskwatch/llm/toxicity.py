@@ -7,7 +7,9 @@ entries are whole words and word beginnings, so inflected and compounded
 languages need no list of all forms. One automaton finds all entries in one
 pass over a text; an exception phrase cancels the entries it covers.
 
-The lexicon is learned from labelled rows that are not held out. Spark counts,
+The lexicon is learned from labelled rows that are not held out, all of them up
+to ``TRAIN_ROWS`` and a hash sample of about that many beyond; this bounds the
+table of their keys, which is broadcast, so no text is shuffled. Spark counts,
 over all of them, in how many toxic and clean documents each candidate occurs
 and how often; an entry stays if its log odds over documents are positive by
 ``SURE`` standard errors, and its weight is the smoothed log ratio of its rates
@@ -38,6 +40,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from taskwatch.session import pin, ship_package
 
 FOLDS = 5
+#: labelled rows the lexicon is learned from, at most
+TRAIN_ROWS = 200_000
 CANDIDATES = 20_000
 ENTRIES = 2_000
 EXCEPTIONS = 2_000
@@ -283,12 +287,18 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and boolean ``toxic`` of the labelled documents not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
+    """``text`` and boolean ``toxic`` of the labelled documents not held out, of
+    about 0.95 ``limit`` of them (chosen by a hash of the key) if there are more."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id")
              .agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).where("low = high")
              .select("doc_id", (F.col("low") == 1).alias("toxic")))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    known = pin(known, "toxic-known")
+    rows = known.count()
+    if rows > limit:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.95 * limit / rows * (1 << 20)))
+    # at most ``limit`` rows of a key and a flag
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from taskwatch.llm import toxicity as X
+from llm_fixtures import make  # noqa: F401
 
 
 def test_folding():
@@ -53,6 +54,14 @@ def test_held_out_labels_are_never_used(make):
     assert X.learn(X.training_rows(docs, known)) == X.learn(X.training_rows(docs, flipped))
 
 
+def test_bounded_training_rows(make):
+    rows, labels = corpus(1500)
+    docs, known = make(rows, "doc_id long, text string"), make(labels, "doc_id long, toxic int")
+    all_rows = X.training_rows(docs, known).count()
+    some = X.training_rows(docs, known, 500).count()
+    assert all_rows > 1100 and 350 < some < 500
+
+
 def test_nulls_empty_and_missing_labels(make):
     docs = make([(1, None), (2, ""), (None, "text"), (3, "y " * 100000), (3, "y"), (3, "y")], "doc_id long, text string")
     none = make([], "doc_id long, toxic int")
