@@ -14,9 +14,10 @@ over all of them, in how many toxic and clean documents each candidate occurs
 and how often; an entry stays if its log odds over documents are positive by
 ``SURE`` standard errors, and its weight is the smoothed log ratio of its rates
 per word. A longer entry gives way to a shorter one that weighs about as much. Exceptions are learned the same way: an entry with its neighbouring word
-that occurs in clean documents almost only. Candidates are the ``CANDIDATES``
-most frequent in toxic documents; the automaton is broadcast, its size is
-bounded by ``ENTRIES``.
+that occurs in clean documents almost only. All candidates are counted in one
+aggregation and tested there; only what passes is collected, so that no entry
+or exception is lost for its rank. The automaton is broadcast; the tests over
+at most ``TRAIN_ROWS`` rows bound it.
 
 A document's score is a logistic function of its weights per square root of
 its words, fitted on the same rows from a histogram of that value.
@@ -30,7 +31,9 @@ come. Label, language, source and key are never inputs of a score.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -42,9 +45,8 @@ from taskwatch.session import pin, ship_package
 FOLDS = 5
 #: labelled rows the lexicon is learned from, at most
 TRAIN_ROWS = 200_000
-CANDIDATES = 20_000
-ENTRIES = 2_000
-EXCEPTIONS = 2_000
+#: features a task holds before it passes their counts on
+HELD = 200_000
 #: an entry's toxic documents at least, and the standard errors by which its log odds exceed ``LIFT``
 MIN_DOCS = 4
 SURE = 2.75
@@ -148,7 +150,9 @@ def hits(machine, folded: str) -> list[tuple[int, int, float]]:
             free.append((start, end))
         elif start not in best or weight > best[start][1]:
             best[start] = (end, weight)
-    return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e - 1 <= b for a, b in free)]
+    free.sort()
+    starts, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max, initial=-1))
+    return [(s, e, w) for s, (e, w) in best.items() if reach[bisect_right(starts, s)] < e - 1]
 
 
 def measure(machine, folded: str) -> float:
@@ -164,19 +168,25 @@ def measure(machine, folded: str) -> float:
 def _count(rows: DataFrame, of) -> DataFrame:
     """``(feature, toxic, clean, toxic_n, clean_n)``: documents of each class
     with a feature, and its occurrences in them. ``of(folded)`` counts a
-    document's features; sums are taken per batch before the shuffle."""
+    document's features; sums are taken per ``HELD`` features before the shuffle."""
     names = ["toxic", "clean", "toxic_n", "clean_n"]
 
+    def sums(n):
+        features = list(n["toxic"].keys() | n["clean"].keys())
+        return pa.RecordBatch.from_pydict({"feature": pa.array(features, pa.string())} | {
+            k: pa.array([n[k][f] for f in features], pa.int64()) for k in names})
+
     def run(batches):
+        n = {k: Counter() for k in names}
         for b in batches:
-            n = {k: Counter() for k in names}
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, side = of(fold(text)), "toxic" if toxic else "clean"
                 n[side].update(found.keys())
                 n[side + "_n"].update(found)
-            features = list(n["toxic"].keys() | n["clean"].keys())
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(features, pa.string())} | {
-                k: pa.array([n[k][f] for f in features], pa.int64()) for k in names})
+                if len(n["toxic"]) + len(n["clean"]) > HELD:
+                    yield sums(n)
+                    n = {k: Counter() for k in names}
+        yield sums(n)
 
     schema = "feature string, " + ", ".join(f"{k} long" for k in names)
     return (rows.select("text", "toxic").mapInArrow(run, schema)
@@ -192,23 +202,20 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], list[str], tuple[float, fl
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     if not n_toxic or not n_clean:
         return {}, [], (0.0, -40.0)
-    seen = _count(rows.where("toxic"), candidates).where(F.col("toxic") >= MIN_DOCS)
-    frequent = [r["feature"] for r in seen.orderBy(F.desc("toxic"), "feature").limit(CANDIDATES).select("feature").collect()]
-    wanted = spark.sparkContext.broadcast(frozenset(frequent) | {""})
 
     def listed(folded):  # and the words in all, as the feature ""
-        out = {f: n for f, n in candidates(folded).items() if f in wanted.value}
-        return out | {"": folded.count(" ")}
+        out = candidates(folded)
+        out[""] = folded.count(" ")
+        return out
 
-    counted = pin(_count(rows, listed), "toxic-counts")
+    counted = pin(_count(rows, listed).where((F.col("toxic") >= MIN_DOCS) | (F.col("feature") == "")), "toxic-counts")
     words = counted.where("feature = ''").first()
     odds = F.log((F.col("toxic") + 1) / (n_toxic + 2)) - F.log((F.col("clean") + 1) / (n_clean + 2))
     error = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     weight = (F.log((F.col("toxic_n") + 0.5) / float(words["toxic_n"]))
               - F.log((F.col("clean_n") + 0.5) / float(max(words["clean_n"], 1))))
     sure = counted.where((F.col("feature") != "") & (F.col("toxic") >= MIN_DOCS) & (odds - SURE * error > LIFT))
-    best = sure.select("feature", weight.alias("weight"), "toxic").where("weight > 0").orderBy(
-        F.desc("weight"), "feature").limit(CANDIDATES).collect()
+    best = sure.select("feature", weight.alias("weight")).where("weight > 0").collect()
     entries = _prune({r["feature"]: r["weight"] for r in best})
     machine = spark.sparkContext.broadcast(entries)
     exceptions = []
@@ -227,19 +234,19 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], list[str], tuple[float, fl
             return out
 
         fine = _count(rows, phrases).where((F.col("clean") >= MIN_DOCS) & (F.col("toxic") <= 0.1 * F.col("clean")))
-        exceptions = [r["feature"] for r in fine.orderBy(F.desc("clean"), "feature").limit(EXCEPTIONS).collect()]
+        exceptions = [r["feature"] for r in fine.orderBy(F.desc("clean"), "feature").collect()]
     return entries, exceptions, _scale(rows, entries, exceptions)
 
 
 def _prune(found: dict[str, float]) -> dict[str, float]:
-    """The heaviest entries, without those that a kept shorter beginning covers
+    """All entries, the heaviest first, without those that a kept shorter beginning covers
     at a weight less than ``MARGIN`` lower."""
     kept: dict[str, float] = {}
     for f in sorted(found, key=lambda f: (len(f.rstrip()), f)):
         stem = f.rstrip()
         if not any(kept.get(stem[:k], -MARGIN) > found[f] - MARGIN for k in range(4, len(stem) + 1)):
             kept[f] = found[f]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 def _scale(rows: DataFrame, entries, exceptions) -> tuple[float, float]:

@@ -79,3 +79,13 @@ def test_held_out_accuracy_on_the_tables(spark):
     r = out.where("held_out").agg(F.sum(F.expr("int(predicted = 1 and toxic = 1)")).alias("tp"), F.sum("toxic").alias("t"),
                                   F.sum(F.expr("int(predicted = 1 and toxic = 0)")).alias("fp"), F.sum(1 - F.col("toxic")).alias("c")).first()
     assert r["tp"] >= 0.88 * r["t"] and r["fp"] <= 0.01 * r["c"]
+
+
+def test_no_entry_is_lost_for_its_rank(make):
+    """More ordinary words than any list of the commonest features would hold."""
+    letters = "abcdefghijklm"
+    common = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters)
+    rows = [(i, f"{common if i < 16 else 'plain words here'} {'vileness' if i < 5 else ''}") for i in range(70)]
+    rows = make([(t, i < 6) for i, t in rows], "text string, toxic boolean")
+    assert list(X.learn(rows)[0]) == [" vile"]
+    assert len(X._prune({f" {a}{b}{c}{d} ": 1.0 for a in letters for b in letters for c in letters for d in letters})) == 13 ** 4
