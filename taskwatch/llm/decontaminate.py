@@ -13,11 +13,15 @@ Items go out in blocks of at most ``BLOCK_TOKENS`` tokens, each block bounded
 on the driver and in every task, and each document is read once per block. No
 row is shuffled: the decision about a document needs its text and the items.
 
+Tokens are runs of letters and digits; Unicode punctuation separates like the
+ASCII one, and in scripts written without spaces (``UNSPACED``) each character
+is a token, so the numbers of tokens below are numbers of characters there.
+
 Defined results: null or empty texts and items match nothing; items shorter
-than the widest mask are looked for as a whole, and below ``MIN_TOKENS`` tokens
-not at all; repeated items are one item with the smallest id; repeated rows
+than the widest mask are looked for with any one token left out (all that
+``MIN_SHARE`` allows), and below ``MIN_TOKENS`` tokens not at all; repeated items are one item with the smallest id; repeated rows
 are judged each by itself; a null key is returned as null; letter case and
-ASCII punctuation do not matter; extra columns do not matter to ``leaks`` and
+punctuation do not matter; extra columns do not matter to ``leaks`` and
 are passed through by ``clean``.
 """
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from taskwatch.llm import ragged
@@ -42,20 +47,40 @@ PENALTY = 2
 BLOCK_TOKENS = 200_000
 _BITS = 22
 
+#: letters of scripts without spaces between words (with the marks of long sounds)
+UNSPACED = (r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tai_Le}\p{New_Tai_Lue}"
+            r"\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}\x{30FC}\x{FF70}]")
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes and offsets of lowered texts (see ``ragged.words``)."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    wide = pc.invert(pc.string_is_ascii(texts)).fill_null(False)
+    if pc.any(wide).as_py():
+        spaced = pc.replace_substring_regex(texts.filter(wide), r"[\p{P}\p{S}\p{Z}]+", " ")
+        texts = pc.replace_with_mask(texts, wide, pc.replace_substring_regex(spaced, f"({UNSPACED})", r" \1 "))
+    return ragged.words(texts, ragged.NOT_ALNUM, lower=False)
+
+
+def _short(n: int) -> list[tuple[int, ...]]:
+    """Masks that find an item of ``n`` tokens with any one token left out: at
+    an end, which also finds all of it, or within."""
+    return [(1,) * (n - 1)] + [tuple(int(k != gap) for k in range(n)) for gap in range(1, n - 1)]
+
 
 class Block:
     """Items of one block: their tokens and the index of their masked windows."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        tokens, offsets = ragged.words(pa.array(texts, pa.string()), ragged.NOT_ALNUM, lower=False)
         self.ids = np.array(ids, dtype=np.int64)
-        self.tokens, self.offsets = tokens, offsets
-        n = np.diff(offsets)
+        self.tokens, self.offsets = tokens(pa.array(texts, pa.string()))
+        n = np.diff(self.offsets)
         self.masks = []
-        for mask in MASKS + [(1,) * k for k in range(MIN_TOKENS, SPAN)]:
-            whole = mask not in MASKS
-            h, item, pos = ragged.windows(tokens, offsets, mask)
-            use = (n[item] == len(mask)) if whole else (n[item] >= SPAN)
+        for mask, least, most in [(m, SPAN, np.inf) for m in MASKS] + [
+                (m, k, k) for k in range(MIN_TOKENS, SPAN) for m in _short(k)]:
+            h, item, pos = ragged.windows(self.tokens, self.offsets, mask)
+            use = (n[item] >= least) & (n[item] <= most)
             h, item, pos = h[use], item[use], pos[use]
             if len(h):
                 order = np.argsort(h, kind="stable")
@@ -97,9 +122,9 @@ class Block:
         """``(row, item id, start, tokens, matches)``, the best per row and item."""
         best: dict = {}
         for first, part in ragged.row_slices(texts):
-            tokens, offsets = ragged.words(part, ragged.NOT_ALNUM, lower=False)
-            for text, item, diagonal in self.candidates(tokens, offsets).tolist():
-                found = self.verify(tokens[offsets[text]:offsets[text + 1]], item, diagonal)
+            own, offsets = tokens(part)
+            for text, item, diagonal in self.candidates(own, offsets).tolist():
+                found = self.verify(own[offsets[text]:offsets[text + 1]], item, diagonal)
                 row = first + text
                 if found and (found[2], -found[0]) > best.get((row, item), (0, 0))[:2]:
                     best[row, item] = (found[2], -found[0], found)
@@ -111,7 +136,8 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text"):
     spark = items.sparkSession
     sized = (items.where(F.col(text).isNotNull()).groupBy(F.lower(F.col(text)).alias("text"))
              .agg(F.min(F.col(key).cast("long")).alias("id"))
-             .withColumn("n", (F.length("text") / 2 + 1).cast("long")))  # tokens at most
+             .withColumn("n", F.when(F.octet_length("text") > F.length("text"), F.length("text"))
+                         .otherwise(F.length("text") / 2 + 1).cast("long")))  # tokens at most
     total = sized.agg(F.sum("n")).first()[0] or 0
     parts = -(-total // BLOCK_TOKENS)
     for b in range(parts):

@@ -89,3 +89,30 @@ def test_blocks_and_rows(make, monkeypatch):
     assert left.where("doc_id = 900 or doc_id = 901").count() == 2
     assert D.leaks(make(docs, DOCS), make([], ITEMS)).count() == 0 and D.clean(odd, make([], ITEMS)).count() == len(docs)
     assert D.leaks(make([], DOCS), make(items, ITEMS)).count() == 0 and D.clean(odd.limit(0), make(items, ITEMS)).count() == 0
+
+
+def test_scripts_without_spaces_and_unicode_punctuation():
+    zh = "请问下列哪一个城市是中华人民共和国的首都，并说明理由。"
+    th = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    ja = "「コンピューター」の発明者は誰ですか？"
+    dash = "one—two “three” four…five six·seven « eight » nine, ten eleven twelve thirteen"
+    block = D.Block([1, 2, 3, 4], [zh, th, ja, dash])
+    docs = [f"前言{zh}后记", f"x{th}y", "昨日、コンピューターの発明者は誰ですかと聞いた", dash.replace("—", " - ").replace("“", "'"), "没有关系的文字", None, ""]
+    assert [(r, i) for r, i, *_ in block.leaks(pa.array(docs))] == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_short_items_with_one_token_substituted():
+    """All that ``verify`` accepts is found, as with every diagonal tried."""
+    for n in range(D.MIN_TOKENS, D.SPAN):
+        item = [f"w{k}" for k in range(n)]
+        block = D.Block([7], [" ".join(item)])
+        found = 0
+        for gap in range(n):
+            for before, after in (("", ""), ("a b ", " c d")):
+                changed = " ".join("other" if k == gap else w for k, w in enumerate(item))
+                own, _ = D.tokens(pa.array([before + changed + after]))
+                want = block.verify(own, 0, len(before.split())) is not None
+                assert bool(block.leaks(pa.array([before + changed + after]))) == want
+                found += want
+        assert found >= 4 and block.leaks(pa.array([" ".join(item[1:])])) and block.leaks(pa.array([" ".join(item[:-1])]))
+        assert not block.leaks(pa.array([" ".join(item[2:])]))
