@@ -49,6 +49,12 @@ NOISE = set("ad ads advert adverts advertisement advertising sponsor sponsored p
             "notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social "
             "comment comments respond disqus reply replies related recommended recommendations pagination pager "
             "toolbar masthead search skip alert toast contentinfo complementary".split())
+#: words that may stand beside those in one name: "main-nav", "cookie-bar" (fixed words)
+PLACES = set("site main top bottom left right page global primary secondary box bar list item link links inner".split())
+#: elements that are the page itself and never such a branch (fixed names)
+PAGE = {"html", "body", "main"}
+#: elements that no form of its own holds: a form around them is wrapped around the page (fixed names)
+WRAPPED = {"article", "main", "header", "nav", "footer"}
 #: elements that start and end a block of text (fixed names)
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
              "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
@@ -62,9 +68,9 @@ LISTS = set("ul ol dl table tbody thead tfoot select body article main section d
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]+|=)*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -100,6 +106,10 @@ def parse(text: str | None) -> Node:
             _end_within(stack, gone)
         node = Node(tag, f"{stack[-1].path}/{_style(tag, m[3])}" if len(stack) < 64 else stack[-1].path, _is_noise(tag, m[3]))
         stack[-1].items.append(node)
+        if tag in WRAPPED:
+            for holder in stack:
+                if holder.tag == "form":
+                    holder.noise = False
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(text, at)
             if end is None:
@@ -108,9 +118,22 @@ def parse(text: str | None) -> Node:
             at = size if close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    _unwrap(root)
     return root
 
 
+def _unwrap(root: Node) -> None:
+    """A form that is all there is in the body is the page, not a part of it."""
+    node = root
+    while True:
+        parts = [c for c in node.items if (c.tag not in RAW and c.tag not in VOID and c.tag != "head" if isinstance(c, Node) else c.strip())]
+        if len(parts) != 1 or not isinstance(parts[0], Node) or parts[0].tag not in ("html", "body", "form", "div"):
+            return
+        if parts[0].tag == "form" and node.tag != "#":
+            parts[0].noise = False
+        node = parts[0]
+
+
 def _add(node: Node, text: str) -> None:
     node.items.append(_html.unescape(text))
 
@@ -134,17 +157,36 @@ def _end_within(stack: list[Node], tag: str) -> None:
             return
 
 
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(attrs)]
+
+
 def _names(attrs: str) -> list[str]:
-    return [w for m in _ATTR.finditer(attrs) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())]
+    """The names in class, id and role."""
+    return [t for k, v in _attributes(attrs) if k in ("class", "id", "role") for t in v.split()]
 
 
 def _style(tag: str, attrs: str) -> str:
-    return ".".join([tag, *_names(attrs)]) if "=" in attrs else tag
+    return ".".join([tag, *(w for t in _names(attrs) for w in _WORD.findall(t))]) if "=" in attrs else tag
 
 
 def _is_noise(tag: str, attrs: str) -> bool:
-    return tag in DROPPED or (bool(attrs) and (
-        ("=" in attrs and not NOISE.isdisjoint(_names(attrs))) or bool(_HIDDEN.search(attrs))))
+    """Whether the prior removes such an element. A name counts as a whole: it
+    is noise if each word of it is, words of place aside ("cookie-notice" and
+    "main-nav", but not "no-sidebar" or "search-results")."""
+    if tag in PAGE:
+        return False
+    if tag in DROPPED:
+        return True
+    if not attrs or attrs.isspace():
+        return False
+    if any(k == "hidden" or k == "style" and _HIDDEN.search(v) for k, v in _attributes(attrs)):
+        return True
+    for t in _names(attrs):
+        w = set(_WORD.findall(t))
+        if w & NOISE and w <= NOISE | PLACES:
+            return True
+    return False
 
 
 def _nodes(node: Node):
@@ -158,19 +200,21 @@ def _nodes(node: Node):
 
 
 def content(root: Node) -> list[Node]:
-    """The outermost articles or mains outside noise; else the whole tree."""
-    for tags in (("article",), ("main",)):
-        found, pending = [], [root]
-        while pending:
-            n = pending.pop()
-            if n.noise:
-                continue
-            if n.tag in tags:
-                found.append(n)
-            else:
-                pending.extend(c for c in reversed(n.items) if isinstance(c, Node))
-        if found:
-            return found
+    """The outermost articles or mains outside noise; if there are none, those
+    within it, which is then around the page; else the whole tree."""
+    for noisy in (False, True):
+        for tag in ("article", "main"):
+            found, pending = [], [root]
+            while pending:
+                n = pending.pop()
+                if n.noise and not noisy:
+                    continue
+                if n.tag == tag:
+                    found.append(n)
+                else:
+                    pending.extend(c for c in reversed(n.items) if isinstance(c, Node))
+            if found:
+                return found
     return [root]
 
 
@@ -195,7 +239,7 @@ def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
                 close()
             elif isinstance(item, str):
                 run.append(item)
-            elif item.noise or whole and (item.tag == "header" or item.path in low):
+            elif item.noise and item is not part or whole and (item.tag == "header" or item.path in low):
                 if item.tag in BLOCKS:
                     close()
             elif item.tag == "br":

@@ -62,3 +62,19 @@ def test_copies_of_an_article_stay(make):
     assert P.extract(make([], PAGES)).count() == 0
 
 
+
+
+def test_the_prior_spares_what_holds_the_page():
+    art = "<article><h1>H</h1><p>text</p></article>"
+    for around in ("<body class='no-sidebar'>{}</body>", "<html class=search><body id=menu>{}</body></html>",
+                   "<body><main class='has-sidebar'>{}</main></body>", "<body><div id='search-results'>{}</div></body>",
+                   "<body><form action=x><div>{}</div></form></body>", "<body><form><nav>m</nav>{}<footer>f</footer></form></body>",
+                   "<body><div class=modal>{}</div></body>", "<body><nav>m</nav><form>Search</form>{}</body>",
+                   "<body><aside><article>other</article></aside>{}<section id=comments><article>Nice!</article></section></body>"):
+        assert text(around.format(art)) == "H\n\ntext", around
+        if "article" not in around and "modal" not in around:
+            assert text(around.format("<div><h1>H</h1><p>text</p></div>")) == "H\n\ntext", around
+    assert text("<article class='post ad-free'><p>a</p><p title='the hidden cost'>b</p><p title='x class=ad'>c</p></article>") == "a\n\nb\n\nc"
+    for gone in ("class=ad", "class='x cookie-notice'", "id=main-nav", "role='navigation'", "hidden", "HIDDEN=''", "class=a hidden",
+                 "style='color:red;display: none'"):
+        assert text(f"<article><p>a</p><div {gone}>b</div></article>") == "a", gone
