@@ -4,19 +4,21 @@ All pages of a host are merged into one style tree: a node is a path of tags
 with their class names, and it gathers the *presentations* seen there (the
 sequence of child elements) and the *contents* (hash of the node's own text).
 Per node and host Spark sums how often each presentation and content occurs,
-with partial sums per batch, so a host with a third of all pages is no heavier
-than its distinct nodes. The entropy of these counts, normalised by the number
-of pages, is the node's importance: a menu or notice that looks and reads the
-same everywhere has an importance near 0, an article's paragraphs near 1.
-Branches of low importance are removed from each page.
+over the host's distinct pages (copies of one article, whatever menus surround
+them, are one page), so a host with a third of all pages is spread over all
+tasks until its nodes are counted. The entropies of these counts, normalised by
+the number of pages, are the node's importance, the larger one of the two: a
+menu or notice that looks and reads the same everywhere has an importance near
+0, an article's paragraphs near 1. The text of nodes of low importance is
+removed from each page, inside an article too; the branches below such a node
+are judged each by its own importance.
 
 Entropy alone cannot remove everything the result must not have: a menu whose
 entries differ from page to page is as diverse as an article, and a host with
 one page has no entropy at all. So the tags and class names that say what a
 branch is (``DROPPED``, ``NOISE``) are a prior: those branches go in any case,
-and an ``article`` or ``main`` element, if there is one, is the content and is
-never removed for low entropy (copies of one article on a host would
-otherwise be taken for a notice).
+and an ``article`` or ``main`` element, if there is one, is the content, from which
+only the tree removes more.
 
 Defined results: null, empty or markup-only html gives empty text; broken and
 cut-off markup is read as far as it goes; a null url is a host of its own;
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -219,8 +220,8 @@ def content(root: Node) -> list[Node]:
 
 
 def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
-    """Blocks of text of the page's content. ``low`` holds paths of branches
-    of low importance; a page header outside the content goes, too."""
+    """Blocks of text of the page's content. ``low`` holds the paths of nodes
+    whose own text goes; a page header outside the content goes, too."""
     parts = content(root)
     whole = parts == [root]
     out, run = [], []
@@ -239,7 +240,7 @@ def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
                 close()
             elif isinstance(item, str):
                 run.append(item)
-            elif item.noise and item is not part or whole and (item.tag == "header" or item.path in low):
+            elif item.noise and item is not part or whole and item.tag == "header":
                 if item.tag in BLOCKS:
                     close()
             elif item.tag == "br":
@@ -249,7 +250,7 @@ def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
                 if block:
                     close()
                     pending.append(None)
-                pending.extend(reversed(item.items))
+                pending.extend(c for c in reversed(item.items) if item.path not in low or isinstance(c, Node))
         close()
     return out
 
@@ -277,24 +278,36 @@ def host(url) -> "F.Column":
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(host, path, n, presentation, content)``: pages with the node and the
-    normalised entropies of its presentations and contents."""
+    """``(host, path, n, presentation, content, texts)``: distinct pages with
+    the node and the normalised entropies of its presentations and contents. Of
+    the copies of one page the one with the largest nodes stands for all."""
     ship_package(pages.sparkSession)
 
+    names = ["path", "kind", "value"]
+
     def run(batches):
         for b in batches:
-            n = Counter()
+            hosts, pages_, found, ends, seen = [], [], [], [0], set()
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n.update((h, *f) for f in features(parse(text)))
-            keys = list(n)
-            yield pa.RecordBatch.from_pydict({
-                "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()),
-                "kind": pa.array([k[2] for k in keys], pa.string()), "value": pa.array([k[3] for k in keys], pa.int64()),
-                "n": pa.array([n[k] for k in keys], pa.int64())})
+                root = parse(text)
+                page = (h, _hash("\n\n".join(blocks(root))))
+                if page not in seen:
+                    seen.add(page)
+                    hosts.append(page[0])
+                    pages_.append(page[1])
+                    found.extend(features(root))
+                    ends.append(len(found))
+            columns = zip(*found) if found else ([], [], [])
+            nodes = pa.StructArray.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), nodes)], names=["host", "page", "nodes"])
 
     counted = (pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html"))
-               .mapInArrow(run, "host string, path string, kind string, value long, n long")
-               .groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")))
+               .mapInArrow(run, "host string, page long, nodes array<struct<path: string, kind: string, value: long>>")
+               .groupBy("host", "page").agg(F.max("nodes").alias("nodes"))
+               .select("host", F.inline("nodes"))
+               .groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
     # entropy of the values: ln(total) - sum(n ln n) / total
     by = counted.groupBy("host", "path", "kind").agg(
         F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nln"), F.max("n").alias("most"))
@@ -308,8 +321,8 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def unimportant(tree: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """``(host, paths)``: text-bearing nodes of low importance. A node whose
-    own text hardly varies over enough pages counts as a notice or menu."""
-    weak = tree.where((F.col("texts") >= min_pages) & (F.col("content") < low))
+    presentation and own text hardly vary over enough pages is a notice or menu."""
+    weak = tree.where((F.col("texts") >= min_pages) & (F.greatest("presentation", "content") < low))
     return weak.groupBy("host").agg(F.collect_set("path").alias("paths"))
 
 

@@ -78,3 +78,19 @@ def test_the_prior_spares_what_holds_the_page():
     for gone in ("class=ad", "class='x cookie-notice'", "id=main-nav", "role='navigation'", "hidden", "HIDDEN=''", "class=a hidden",
                  "style='color:red;display: none'"):
         assert text(f"<article><p>a</p><div {gone}>b</div></article>") == "a", gone
+
+
+def test_the_tree_acts_inside_articles(make):
+    """A notice on all pages goes; copies of one article, with other menus, and
+    what varies in the notice's place stay."""
+    page = "<body><nav>{m}</nav><article><h1>Title {i}</h1><p>Own words {i}</p><div class=x>Read us daily<b>{b}</b></div></article></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(m=i, i=i, b="now")) for i in range(30)]
+    rows += [(100 + i, f"https://h.example/c{i}", page.format(m=i, i="C", b="now")) for i in range(300)]
+    rows += [(500 + i, f"https://v.example/{i}", page.format(m=1, i=i, b=f"issue {i}")) for i in range(30)]
+    rows += [(600 + i, f"https://c.example/{i}", page.format(m=i, i="C", b="now")) for i in range(300)]
+    out = {r["page_id"]: r["text"] for r in P.extract(make(rows, PAGES)).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i] == f"Title {i}\n\nOwn words {i}" for i in range(30))
+    assert all(out[100 + i] == "Title C\n\nOwn words C" for i in range(300))
+    assert all(out[500 + i] == f"Title {i}\n\nOwn words {i}\n\nissue {i}" for i in range(30))
+    assert all(out[600 + i] == "Title C\n\nOwn words C\n\nRead us dailynow" for i in range(300))
