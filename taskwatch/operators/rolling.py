@@ -33,6 +33,8 @@ frame and get no statistics.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -70,6 +72,27 @@ ROLLING_SPEC: dict[str, tuple[str, list[tuple[str, list[str]]]]] = {
 TIME_COL = "planned_start_ts"
 
 
+@dataclass
+class Carry:
+    """What W17 needs when only the rows from ``since`` less one window on are
+    given: each key's last values before ``since``, per prefix. The filled
+    tables, exact from ``since`` on, are left in ``filled``."""
+    since: Column | None = None
+    before: dict[str, DataFrame] = field(default_factory=dict)
+    filled: dict[str, DataFrame] = field(default_factory=dict)
+
+    def last(self, prefix: str, key: str, until: Column, time_col: str = TIME_COL) -> DataFrame:
+        """Each key's last values before ``until``."""
+        t = self.filled[prefix]
+        names = [c for c in t.columns if c not in (key, time_col)]
+        rows = t.where((F.col(time_col) < until) & F.col(key).isNotNull()).select(
+            key, *names, epoch_us(time_col).alias("__t"))
+        if prefix in self.before:
+            rows = rows.unionByName(self.before[prefix].withColumn("__t", F.lit(None).cast("long")))
+        # rows carry filled values, so the latest one has all that is known
+        return rows.groupBy(key).agg(*[F.max_by(n, F.coalesce("__t", F.lit(-(1 << 62)))).alias(n) for n in names])
+
+
 def rolling_columns(prefix: str) -> list[str]:
     _, spec = ROLLING_SPEC[prefix]
     return [f"{prefix}_{col}_{agg}" for col, aggs in spec for agg in aggs]
@@ -175,7 +198,8 @@ def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int,
     return copies.groupBy("__b", "__c").applyInPandas(medians, f"{key} {key_type}, __t long, {name} double")
 
 
-def _stats(df: DataFrame, prefix: str, key: str, items: list, days: int, time_col: str) -> tuple[DataFrame, int]:
+def _stats(df: DataFrame, prefix: str, key: str, items: list, days: int, time_col: str,
+           carry: Carry | None = None) -> tuple[DataFrame, int]:
     """(stats table, exact number of buckets) of one key."""
     spark, width = df.sparkSession, days * US_PER_DAY
     need: dict[str, set[str]] = {}
@@ -204,23 +228,33 @@ def _stats(df: DataFrame, prefix: str, key: str, items: list, days: int, time_co
                        .withColumn("__t", epoch_us(time_col)))
             med = frame_medians(triples, key, c, f"{prefix}_{c}_median", days, n_parts)
             t = t.join(med, [key, "__t"], "left")
-    return _filled(pin(t, "rolling-stats"), key, time_col, names), rows
+    t = pin(t, "rolling-stats")
+    if carry is None:
+        return _filled(t, key, time_col, names), rows
+    if carry.since is not None:
+        t = t.where(F.col(time_col) >= carry.since)   # frames of earlier ones are cut off
+    carry.filled[prefix] = pin(_filled(t, key, time_col, names, carry.before.get(prefix)), "rolling-filled")
+    return carry.filled[prefix], rows
 
 
-def _filled(t: DataFrame, key: str, time_col: str, names: list[str]) -> DataFrame:
-    """Empty values take the key's latest earlier one."""
+def _filled(t: DataFrame, key: str, time_col: str, names: list[str], before: DataFrame | None = None) -> DataFrame:
+    """Empty values take the key's latest earlier one, at last that of ``before``."""
     ends = t.groupBy(key, "__c").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("__t"))).alias(n) for n in names])
     ahead = Window.partitionBy(key).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(key, "__c", *[F.last(n, ignorenulls=True).over(ahead).alias(f"__before_{n}") for n in names])
     prev = Window.partitionBy(key, "__c").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    return t.join(carry, [key, "__c"], "left").select(key, time_col, *[
+    out = t.join(carry, [key, "__c"], "left").select(key, time_col, *[
         F.coalesce(F.col(n), F.last(n, ignorenulls=True).over(prev), F.col(f"__before_{n}")).alias(n) for n in names])
+    if before is None:
+        return out
+    old = before.select(key, *[F.col(n).alias(f"__old_{n}") for n in names])
+    return out.join(old, key, "left").select(key, time_col, *[F.coalesce(n, f"__old_{n}").alias(n) for n in names])
 
 
 def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int = 7,
-                   time_col: str = TIME_COL) -> dict[str, tuple[DataFrame, int, str]]:
+                   time_col: str = TIME_COL, carry: Carry | None = None) -> dict[str, tuple[DataFrame, int, str]]:
     """{prefix: (stats table, exact row count, key)}."""
-    return {p: (*_stats(df, p, key, items, days, time_col), key) for p, (key, items) in specs.items()}
+    return {p: (*_stats(df, p, key, items, days, time_col, carry), key) for p, (key, items) in specs.items()}
 
 
 def rolling_stats(df: DataFrame, prefix: str, days: int = 7,
@@ -232,10 +266,10 @@ def rolling_stats(df: DataFrame, prefix: str, days: int = 7,
 
 def with_rolling_features(df: DataFrame, prefixes=("task", "module", "tech"), days: int = 7,
                           time_col: str = TIME_COL, broadcast_limit_bytes: int = 64 << 20,
-                          specs: dict | None = None) -> DataFrame:
+                          specs: dict | None = None, carry: Carry | None = None) -> DataFrame:
     """Attach every rolling column to its own row (joined on key + start)."""
     specs = specs or {p: ROLLING_SPEC[p] for p in prefixes}
     out = df
-    for prefix, (stats, rows, key) in rolling_tables(df, specs, days, time_col).items():
+    for prefix, (stats, rows, key) in rolling_tables(df, specs, days, time_col, carry).items():
         out = attach(out, stats, [key, time_col], broadcast_limit_bytes, rows=rows)
     return out

@@ -19,7 +19,7 @@ from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, encoding_
 from taskwatch.functions.features import feature_names
 from taskwatch.functions.time import with_time_features
 from taskwatch.operators.groups import apply_group_means, fit_global_means, fit_group_means
-from taskwatch.operators.rolling import with_rolling_features
+from taskwatch.operators.rolling import Carry, with_rolling_features
 from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
 from taskwatch.sources.schema import IDENTITY_COLUMNS
 
@@ -33,11 +33,12 @@ def row_features(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     return out.withColumns(context_features())
 
 
-def engineered(df: DataFrame, categories, group_tables, global_means, params: Params) -> DataFrame:
+def engineered(df: DataFrame, categories, group_tables, global_means, params: Params,
+               carry: Carry | None = None) -> DataFrame:
     """Row features + rolling windows + group means, still one row per task."""
     rows = row_features(df, categories)
     rows = with_rolling_features(rows, days=params.rolling_window_days,
-                                 broadcast_limit_bytes=params.broadcast_limit_bytes)
+                                 broadcast_limit_bytes=params.broadcast_limit_bytes, carry=carry)
     return apply_group_means(rows, group_tables, global_means, params.broadcast_limit_bytes)
 
 
@@ -71,17 +72,17 @@ class FeatureModel:
     scaler: dict[str, tuple[float, float]]
     features: list[str] = field(default_factory=list)
 
-    def raw(self, df: DataFrame, extra: list[str] | None = None) -> DataFrame:
-        eng = engineered(df, self.categories, self.group_tables, self.global_means, self.params)
+    def raw(self, df: DataFrame, extra: list[str] | None = None, carry: Carry | None = None) -> DataFrame:
+        eng = engineered(df, self.categories, self.group_tables, self.global_means, self.params, carry)
         return select_features(eng, self.features, extra=extra)
 
     def scale(self, raw: DataFrame) -> DataFrame:
         keep = [c for c in raw.columns if c not in self.features]
         return apply_robust_scaler(raw, self.scaler, self.features, keep)
 
-    def transform(self, df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, extra: list[str] | None = None, carry: Carry | None = None) -> DataFrame:
         """scaled feature table keyed by task_id."""
-        return self.scale(self.raw(df, extra))
+        return self.scale(self.raw(df, extra, carry))
 
     # Fitted state on disk
     def save(self, path: str) -> None:

@@ -7,8 +7,10 @@ T1  ``readStream`` of task records (Parquet or JSON) -> watermark on the planned
     (latest processed start minus the delay; ``dropDuplicatesWithinWatermark``
     only evicts state, it does not filter late rows) into a late sink:
     rolling features need history, so each micro-batch is unioned with the
-    stored tasks of the seven days before it (partition-pruned by start date),
-    transformed with the fitted feature model, scored, and only the new rows
+    stored tasks whose frames a coming row may still need (the delay and two
+    windows before the latest start, partition-pruned by start date), completed
+    for W17 by each key's last rolling values before them (one row per key and
+    table, written per batch id), transformed with the fitted feature model, scored, and only the new rows
     are kept.
 T3  flagged rows become alert events (JSON text).
 T4  every alert sink is written from the same micro-batch (fan-out).
@@ -20,6 +22,7 @@ retried micro-batch replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import time
 import uuid
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from taskwatch.config import Params
+from taskwatch.operators.rolling import ROLLING_SPEC, Carry
 from taskwatch.plans.detector import DetectorModel
 from taskwatch.plans.featurize import FeatureModel
 from taskwatch.plans.jobs import train_job
@@ -112,20 +116,44 @@ class BatchScorer:
     """The ``foreachBatch`` function of T1-T4."""
 
     def __init__(self, spark: SparkSession, model_root: str, history: str, scores: str,
-                 alert_sinks: list[str], rejects: str, late: str, days: int = 7, delay_days: int = 7):
+                 alert_sinks: list[str], rejects: str, late: str, days: int = 7, delay_days: int = 7,
+                 fills: str | None = None):
         self.spark, self.history, self.scores, self.alert_sinks = spark, history, scores, alert_sinks
         self.rejects, self.late, self.delay_days = rejects, late, delay_days
         self.max_seen = None   # latest planned start processed so far
         self.models = ModelCache(spark, model_root)
         self.days = days
-
-    def _history(self, lo, hi) -> DataFrame | None:
+        self.fills = fills or f"{history}-fills"
+
+    def _carry(self, batch_id: int) -> tuple[Carry, object, list[str]]:
+        """The last values that the newest earlier batch stored, the start
+        before which they were taken, and the folders of all earlier batches."""
+        ids = [b for b in batch_ids(self.spark, self.fills) if b < batch_id]
+        folders = [os.path.join(self.fills, f"batch={b}") for b in sorted(ids)]
+        if not folders:
+            return Carry(), None, folders
+        until = self.spark.read.parquet(os.path.join(folders[-1], "until")).first()["until"]
+        return Carry(ntz_literal(until), {p: self.spark.read.parquet(os.path.join(folders[-1], p)) for p in ROLLING_SPEC}), until, folders
+
+    def _store(self, carry: Carry, hi, batch_id: int) -> None:
+        """Each key's last values before the first start that a coming row's
+        fill may look at, and that start."""
+        until = ntz_literal(hi) - F.expr(f"INTERVAL {self.delay_days + self.days} DAYS")
+        folder = os.path.join(self.fills, f"batch={batch_id}")
+        for p, (key, _) in ROLLING_SPEC.items():
+            carry.last(p, key, until).write.mode("overwrite").parquet(os.path.join(folder, p))
+        self.spark.range(1).select(until.alias("until")).write.mode("overwrite").parquet(os.path.join(folder, "until"))
+
+    def _history(self, since, hi) -> DataFrame | None:
         if not path_exists(self.spark, self.history):
             return None   # nothing stored yet; any other failure is raised
         schema = T.StructType(TASK_SCHEMA.fields + [T.StructField("batch", T.LongType()),
                                                     T.StructField("start_date", T.DateType())])
         hist = self.spark.read.schema(schema).parquet(self.history)
-        lo_ts, hi_ts = ntz_literal(lo), ntz_literal(hi)
+        hi_ts = ntz_literal(hi)
+        if since is None:   # no values stored: all of the history
+            return hist.where((F.col("start_date") <= hi_ts.cast("date")) & (F.col("planned_start_ts") <= hi_ts))
+        lo_ts = ntz_literal(since)
         lo_date = F.date_sub(lo_ts.cast("date"), self.days)
         return hist.where((F.col("start_date") >= lo_date) & (F.col("start_date") <= hi_ts.cast("date"))
                           & (F.col("planned_start_ts") > lo_ts - F.expr(f"INTERVAL {self.days} DAYS"))
@@ -170,12 +198,13 @@ class BatchScorer:
         fm, det = self.models.get()
         cols = [c for c in TASK_SCHEMA.fieldNames() if c in tasks.columns]
         new = tasks.select(*cols).withColumn("__new", F.lit(1))
-        hist = self._history(span["lo"], span["hi"])
+        carry, since, earlier = self._carry(batch_id)
+        hist = self._history(since, span["hi"])
         union = new
         if hist is not None:
             old = hist.join(tasks.select("task_id"), "task_id", "left_anti")
             union = new.unionByName(old.select(*cols).withColumn("__new", F.lit(0)), allowMissingColumns=True)
-        X = fm.transform(union, extra=["__new"])
+        X = fm.transform(union, extra=["__new"], carry=carry)
         scored = det.score(X).where(F.col("__new") == 1).drop("__new")
         scored = scored.withColumn("batch", F.lit(batch_id).cast("long"))
         out = scored.select("batch", "task_id", "engine_id", "anomaly_flag", "anomaly_score",
@@ -186,11 +215,13 @@ class BatchScorer:
         alerts = alert_events(written.where(F.col("anomaly_flag") == 1))
         for sink in self.alert_sinks:                                        # T4 fan-out
             alerts.write.mode("overwrite").text(os.path.join(sink, f"batch={batch_id}"))
+        hi = span["hi"] if self.max_seen is None else max(self.max_seen, span["hi"])
+        self._store(carry, hi if since is None else max(hi, since + dt.timedelta(days=self.delay_days + self.days)), batch_id)
+        drop_paths(spark, earlier[:-1])   # a retry needs the newest earlier one only
         (new.drop("__new").withColumn("start_date", F.to_date("planned_start_ts"))
          .write.mode("overwrite").partitionBy("start_date")
          .parquet(os.path.join(self.history, f"batch={batch_id}")))
-        hi = span["hi"]
-        self.max_seen = hi if self.max_seen is None else max(self.max_seen, hi)
+        self.max_seen = hi
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -198,6 +229,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the ``batch=<id>`` folders of ``path`` that are whole (``until`` is written last)."""
+    if not path_exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    names = [f.getPath().getName() for f in found]
+    return [int(n[6:]) for n in names if n.startswith("batch=") and path_exists(spark, os.path.join(path, n, "until", "_SUCCESS"))]
+
+
 def ntz_literal(value):
     """A wall-clock literal that does not pass through the driver's time zone."""
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -215,12 +256,12 @@ def run_scoring_stream(spark: SparkSession, source: str, model_root: str, work:
                        n_alert_sinks: int = 2) -> dict[str, str]:
     """Run T1-T4 over everything in ``source`` (availableNow) and return the output paths."""
     paths = {"scores": os.path.join(work, "scores"), "history": os.path.join(work, "history"),
-             "rejects": os.path.join(work, "rejects"), "late": os.path.join(work, "late"),
+             "fills": os.path.join(work, "fills"), "rejects": os.path.join(work, "rejects"), "late": os.path.join(work, "late"),
              "checkpoint": os.path.join(work, "checkpoint"),
              "alerts": [os.path.join(work, f"alerts_{i}") for i in range(n_alert_sinks)]}
     stream = deduplicated(read_task_stream(spark, source, fmt, max_files_per_trigger))
     scorer = BatchScorer(spark, model_root, paths["history"], paths["scores"], paths["alerts"],
-                         rejects=paths["rejects"], late=paths["late"])
+                         rejects=paths["rejects"], late=paths["late"], fills=paths["fills"])
     q = (stream.writeStream.foreachBatch(scorer).option("checkpointLocation", paths["checkpoint"])
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -37,3 +37,26 @@ def test_json_stream_dedup_and_late(spark):
     alerts = spark.read.text(paths["alerts"][0]).count()
     assert alerts == scores.where(F.col("anomaly_flag") == 1).count()
     assert alerts == spark.read.text(paths["alerts"][1]).count()   # fan-out
+
+
+def test_a_key_silent_for_long_is_filled_as_in_batch(spark):
+    """W17 without limit: a technician's lone task long after two others."""
+    from taskwatch import models_catalog as MC
+    from taskwatch.catalog import tasks
+    f = MC.fitted(spark, SF0001)
+    root = scratch_path(spark, "models")
+    publish_fitted(spark, f.features, f.detector, root)
+    t = tasks(spark, SF0001)
+    order = [r["task_id"] for r in t.orderBy("planned_start_ts", "task_id").select("task_id").collect()]
+    silent, minutes = [order[5], order[6], order[-3]], F.col("actual_minutes")
+    t = t.withColumns({"tech_id": F.when(F.col("task_id").isin(silent), "T_SILENT").otherwise(F.col("tech_id")),
+                       "actual_minutes": F.when(F.col("task_id") == order[5], minutes + 500).otherwise(minutes)})
+    src = MC.write_in_order(t, "planned_start_ts", "silent-source")
+    paths = run_scoring_stream(spark, src, root, scratch_path(spark, "silent-work"), max_files_per_trigger=MC.FILES)
+    stream = spark.read.parquet(paths["scores"]).select("task_id", F.round("anomaly_score", 6).alias("s"), "anomaly_flag")
+    raw = f.features.raw(t)
+    row = raw.where(F.col("task_id") == order[-3]).select("tech_actual_minutes_std").first()
+    assert row[0] > 100                                      # the old value, which 0 would replace
+    batch = f.detector.score(f.features.transform(t)).select("task_id", F.round("anomaly_score", 6).alias("s"), "anomaly_flag")
+    assert stream.count() == batch.count() and stream.exceptAll(batch).count() == 0
+    assert len(os.listdir(paths["fills"].replace("file:", ""))) <= 2
