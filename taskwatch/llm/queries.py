@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from taskwatch.llm import (chat, decontaminate, licenses, linedup, mixing, pages, quality, simjoin, tokens,
-                           toxicity)
+from taskwatch.llm import (audit, bpe, chat, decontaminate, importance, licenses, linedup, mixing, pages, quality, simjoin,
+                           tokens, toxicity)
 from taskwatch.llm.sql import ORACLE  # noqa: F401
 
 QUERIES = {
@@ -17,5 +17,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_html_text": pages.query,
     "op10_ngram_jaccard": simjoin.query,
+    "op11_filter_audit": audit.query,
+    "op12_bpe_codec": bpe.query,
+    "op13_importance": importance.query,
 }
 

@@ -163,6 +163,77 @@ SELECT doc_id, license, n_hits, shared, total FROM (
   FROM b WINDOW w AS (PARTITION BY doc_id, license)) WHERE r = 1
 """
 
+AUDIT = r"""
+WITH f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS fs FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT array_to_string(fs, '') AS filter_order, fs, unnest(range(1, 6)) AS step FROM o),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, """ + WORDS.format("t") + r""" AS ws, doc_id > min(doc_id) OVER (PARTITION BY t) AS dup FROM t),
+l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c
+                     WHEN 'D' THEN d ELSE e END) AS fails
+  FROM (SELECT w.*, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+               100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+               regexp_matches(t, '[#$%&*|]') AS d, coalesce(dup, false) AS e FROM w) v LEFT JOIN l USING (doc_id)
+  GROUP BY ALL),
+g AS (
+  SELECT m.*, filter_order, fs, step, list_contains(fails, fs[step]) AS f,
+         len(list_intersect(fails, fs[1:step - 1])) > 0 AS early FROM m, s),
+r AS (
+  SELECT part, filter_order, step, fs[step] AS x,
+         coalesce(sum(n) FILTER (NOT f AND NOT early), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (f AND NOT early), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (f AND early), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = [fs[step]]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (f AND NOT early AND good = 1), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (f AND NOT early AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM g GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM r
+"""
+
+#: CRC-32 by its table, for each distinct word
+IMPORTANCE = r"""
+WITH RECURSIVE k AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS step FROM range(256) x(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM k WHERE step < 8),
+tbl AS (SELECT list(c ORDER BY byte) AS t FROM k WHERE step = 8),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT r, unnest(ws) AS w FROM d),
+u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM x UNION SELECT w FROM b)),
+z AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2),
+              lambda i: ('0x' || h[i:i + 1])::BIGINT)),
+            lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, tbl),
+s AS (SELECT bucket, count(*) AS n FROM x JOIN z USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN z USING (w) GROUP BY 1),
+g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM x) + 10000))::DOUBLE
+         / ((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM b) + 10000)))) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+v AS (SELECT r, sum(gain)::BIGINT AS weight FROM x JOIN z USING (w) JOIN g USING (bucket) GROUP BY 1),
+y AS (
+  SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+         (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN v USING (r)),
+q AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM q
+"""
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
     "op2_license_scan": LICENSES,
@@ -170,4 +241,6 @@ ORACLE = {
     "op6_line_dedup": LINES,
     "op9_html_text": PAGES,
     "op10_ngram_jaccard": JACCARD,
+    "op11_filter_audit": AUDIT,
+    "op13_importance": IMPORTANCE,
 }
