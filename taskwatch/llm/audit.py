@@ -6,16 +6,17 @@ documents per part, failure mask and labels says all. Four filters look at a
 text alone; the fifth, "an equal text has a smaller id", at the whole table.
 
 All files of the table are processed as available-now micro-batches. Each row
-becomes a digest of its text, its id, part and bits. Within an Arrow batch equal
-rows are combined first: only the smallest id of a text can still be the
-smallest of all, the others are certain duplicates and just counted, so a text
-that a third of all rows share reaches its key as a few rows per Arrow batch.
-The state of a text is its smallest id so far with the counts of its rows. When
-a smaller id arrives, the rows counted as originals are retracted from the part
-counters and counted again as duplicates. The deltas of a micro-batch are
-summed and written under its batch id (a retried batch replaces its own); the
-counters are the sums over all batches. Lost executors are no matter: the state
-is checkpointed with the stream, in the shared folder.
+becomes a digest of its text, its id, part and bits; rows that agree in all but
+the id are combined while their smallest id and its number of rows are kept, so
+a text that a third of all rows share reaches its key as a few rows per task.
+The state is a table keyed by digest in the shared folder: the smallest id of
+each text so far with the parts, bits and number of that id's rows. A micro-
+batch joins its digests with the state. When a smaller id arrives, the rows
+counted as originals are retracted from the part counters and counted again as
+duplicates, and the new smallest id is appended to the state; nothing else of
+it is written again. State and counter deltas are written per batch id, and a
+batch reads the state of earlier ids alone, so a retried batch replaces its own
+writes and repeats none. The counters are the sums of all deltas.
 
 The audit follows from the counters, at most 128 rows a part: for each order
 and step a mask is kept, removed here, or was removed earlier. Over all orders
@@ -31,16 +32,11 @@ from __future__ import annotations
 
 import itertools
 import os
-from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from taskwatch.llm.common import count_of, let, words
-from taskwatch.session import pin, scratch_path, ship_package
+from taskwatch.session import drop_paths, pin, pinned_scope, scratch_path
 
 #: micro-batches that all files are dealt to, about
 BATCHES = 4
@@ -48,18 +44,9 @@ FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 DUPLICATE, GOOD, TOXIC = BIT["E"], 1 << 5, 1 << 6
-#: what a row says of its text: its id may be the smallest, a smaller one is known, it has no id
-OPEN, SURE, NO_ID = 0, 1, 2
-_DELTAS = "part string, bits int, n long"
-
-#: state that lies on disk and is bounded in memory
-_STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-}
+_CELL = "part string, bits int, n long"
+_CELLS = "array<struct<part: string, bits: int, n: bigint>>"
+_STATE = f"digest binary, low long, batch long, rows {_CELLS}"
 
 
 def failures(text: Column) -> Column:
@@ -81,96 +68,79 @@ def label_bits(labels: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.coalesce(bit["quality"], F.lit(0)) * GOOD + F.coalesce(bit["toxic"], F.lit(0)) * TOXIC).alias("_labels"))
 
 
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal rows of an Arrow batch as one with its number; of rows of one text
-    only those of the smallest id stay open."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        low = t.group_by("digest", use_threads=False).aggregate([("id", "min")])
-        t = t.join(low, "digest", use_threads=False)
-        kind = pc.if_else(pc.is_null(t["id"]), NO_ID, pc.if_else(
-            pc.equal(t["id"], t["id_min"]), OPEN, SURE)).cast(pa.int32())
-        ident = pc.if_else(pc.equal(kind, OPEN), t["id"], pa.scalar(None, pa.int64()))
-        t = t.drop(["id", "id_min"]).append_column("id", ident).append_column("kind", kind)
-        t = t.group_by(["digest", "id", "kind", "part", "bits"], use_threads=False).aggregate([([], "count_all")])
-        t = t.rename_columns(["digest", "id", "kind", "part", "bits", "n"])
-        yield from t.combine_chunks().to_batches()
-
-
-def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counter deltas of one text; its state is the smallest id with the part,
-    bits and number of that id's rows."""
-    low, rows = None, {}
-    if state.exists:
-        low, parts, bits, ns = state.get
-        rows = dict(zip(zip(parts, bits), ns))
-    changed, deltas = False, {}
-
-    def add(part, bits, n):
-        deltas[part, bits] = deltas.get((part, bits), 0) + n
-
-    for pdf in frames:
-        cells = (pdf[c].tolist() for c in ("id", "kind", "part", "bits", "n"))
-        for ident, kind, part, bits, n in zip(*cells):
-            if kind == NO_ID:
-                add(part, bits, n)
-            elif kind == SURE or (low is not None and ident > low):
-                add(part, bits | DUPLICATE, n)
-            else:
-                if low is None or ident < low:
-                    for (p, b), m in rows.items():   # retract the former originals
-                        add(p, b, -m)
-                        add(p, b | DUPLICATE, m)
-                    low, rows = int(ident), {}
-                rows[part, bits] = rows.get((part, bits), 0) + n
-                add(part, bits, n)
-                changed = True
-    if changed:
-        state.update((low, [p for p, _ in rows], [b for _, b in rows], list(rows.values())))
-    out = [(p, b, n) for (p, b), n in deltas.items() if n]
-    yield pd.DataFrame({"part": [o[0] for o in out], "bits": [o[1] for o in out], "n": [o[2] for o in out]})
-
-
-def rows_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
-    """(digest, id, part, bits) of every row of ``docs``, a stream or not."""
-    narrow = docs.select(
-        F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"), F.col(key).cast("long").alias("id"),
-        F.coalesce(F.col(part), F.lit("")).alias("part"), failures(F.col(text)).alias("_fails"))
-    return narrow.join(labels, F.col("id") == F.col("_label_id"), "left").select(
-        F.unhex("digest").alias("digest"), "id", "part",
-        (F.col("_fails") + F.coalesce(F.col("_labels"), F.lit(0))).cast("int").alias("bits"))
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+    """(digest, id, part, fails) of every row of ``docs``, a stream or not."""
+    return docs.select(
+        F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(key).cast("long").alias("id"),
+        F.coalesce(F.col(part), F.lit("")).alias("part"), failures(F.col(text)).alias("fails"))
+
+
+def _cells(cells: Column, n, dup: bool = False) -> Column:
+    """``cells`` with the number ``n(cell)`` each, as duplicates or as they are."""
+    return F.transform(cells, lambda c: F.struct(
+        c["part"].alias("part"), (c["bits"].bitwiseOR(F.lit(DUPLICATE)) if dup else c["bits"]).alias("bits"), n(c).alias("n")))
+
+
+def merged(counted: DataFrame, state: DataFrame) -> DataFrame:
+    """What a micro-batch does to each of its texts: (digest, low, rows, fresh,
+    deltas). ``counted`` holds (digest, id, part, bits, n), one row per
+    combination; ``state`` the rows that earlier batches wrote."""
+    cells = counted.where(F.col("id").isNotNull()).groupBy("digest", "part", "bits").agg(
+        F.sum("n").alias("n"), F.min(F.struct("id", F.col("n").alias("ns"))).alias("first"))
+    texts = cells.groupBy("digest").agg(   # as many cells as parts and labels at most
+        F.collect_list(F.struct("part", "bits", "n", "first")).alias("cells"), F.min("first.id").alias("here"))
+    known = state.groupBy("digest").agg(F.min(F.struct("low", (-F.col("batch")).alias("age"), "rows")).alias("was"))
+    t = texts.join(known, "digest", "left").withColumn("low", F.least("here", "was.low"))
+    was = F.coalesce(F.col("was.rows"), F.expr(f"CAST(array() AS {_CELLS})"))
+    fell = F.coalesce(F.col("here") < F.col("was.low"), F.lit(False))
+
+    def open_rows(c):   # of a cell, those of the smallest id
+        return F.when(c["first"]["id"] == F.col("low"), c["first"]["ns"]).otherwise(0).cast("long")
+
+    opened = F.filter(_cells(F.col("cells"), open_rows), lambda c: c["n"] > 0)
+    closed = _cells(F.col("cells"), lambda c: c["n"] - open_rows(c), dup=True)
+    retracted = F.when(fell, F.concat(_cells(was, lambda c: -c["n"]), _cells(was, lambda c: c["n"], dup=True)))
+    return t.select("digest", "low", F.when(fell, opened).otherwise(F.concat(was, opened)).alias("rows"),
+                    (F.size(opened) > 0).alias("fresh"),
+                    F.concat(opened, closed, F.coalesce(retracted, F.slice(was, 1, 0))).alias("deltas"))
+
+
+class Retractor:
+    """The ``foreachBatch`` function: updates the state and writes the deltas."""
+
+    def __init__(self, labels: DataFrame, work: str):
+        self.labels, self.state, self.deltas = labels, os.path.join(work, "state"), os.path.join(work, "deltas")
+        spark = labels.sparkSession
+        for path, schema in ((self.state, _STATE), (self.deltas, _CELL)):   # a first, empty batch
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(os.path.join(path, "of=-1"))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with pinned_scope() as pinned:
+            self._process(batch, batch_id)
+        drop_paths(batch.sparkSession, pinned)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.join(self.labels, F.col("id") == F.col("_label_id"), "left").withColumn(
+            "bits", (F.col("fails") + F.coalesce(F.col("_labels"), F.lit(0))).cast("int"))
+        counted = pin(rows.groupBy("digest", "id", "part", "bits").agg(F.count(F.lit(1)).alias("n")), "audit-rows")
+        earlier = spark.read.schema(f"{_STATE}, of long").parquet(self.state).where(F.col("of") < batch_id)
+        done = pin(merged(counted, earlier.drop("of")), "audit-texts")
+        done.where("fresh").select("digest", "low", F.lit(batch_id).cast("long").alias("batch"), "rows") \
+            .write.mode("overwrite").parquet(os.path.join(self.state, f"of={batch_id}"))
+        deltas = done.select(F.inline("deltas")).unionByName(counted.where(F.col("id").isNull()).select("part", "bits", "n"))
+        deltas.groupBy("part", "bits").agg(F.sum("n").alias("n")).where("n <> 0") \
+            .write.mode("overwrite").parquet(os.path.join(self.deltas, f"of={batch_id}"))
 
 
 def count_stream(docs: DataFrame, labels: DataFrame, work: str, **columns) -> str:
     """Run the stream ``docs`` over all that is available; the folder of the
-    counter deltas (part, bits, n), one ``batch=<id>`` a micro-batch."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = rows_of(docs, labels, **columns).mapInArrow(
-        combine, "digest binary, id long, kind int, part string, bits int, n long")
-    deltas = rows.groupBy("digest").applyInPandasWithState(
-        update, _DELTAS, "low long, parts array<string>, bits array<int>, n array<long>",
-        "append", GroupStateTimeout.NoTimeout)
-    out = os.path.join(work, "deltas")
-    spark.createDataFrame([], _DELTAS).write.mode("overwrite").parquet(os.path.join(out, "batch=-1"))   # a stream without files has no batch
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("part", "bits").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
-            os.path.join(out, f"batch={batch_id}"))
-
-    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
-    try:
-        for k, v in _STATE_CONF.items():
-            spark.conf.set(k, v)
-        query = (deltas.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(work, "checkpoint"))
-                 .trigger(availableNow=True).start())
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return out
+    counter deltas (part, bits, n)."""
+    retractor = Retractor(labels, work)
+    query = (digests(docs, **columns).writeStream.foreachBatch(retractor)
+             .option("checkpointLocation", os.path.join(work, "checkpoint")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return retractor.deltas
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, **columns) -> DataFrame:
@@ -183,7 +153,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     stream = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
               .option("maxFileAge", "36500d").parquet(os.path.join(folder, f"{{{name}}}")))
     out = count_stream(stream, pin(label_bits(labels), "audit-labels"), scratch_path(spark, "audit"), **columns)
-    deltas = spark.read.schema(_DELTAS).parquet(out)
+    deltas = spark.read.schema(_CELL).parquet(out)
     return deltas.groupBy("part", "bits").agg(F.sum("n").alias("n")).where("n <> 0")
 
 

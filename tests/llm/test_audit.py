@@ -2,8 +2,6 @@ import itertools
 import random
 import re
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from taskwatch.llm import audit as A
@@ -112,38 +110,34 @@ def test_one_file_empty_tables_and_extra_columns(spark):
     assert got == {("en", 1): 1, ("en", 1 | A.DUPLICATE): 1}
 
 
-class State:
-    exists, get = False, None
-
-    def update(self, v):
-        self.exists, self.get = True, v
-
-
-def frame(rows):
-    return pd.DataFrame(rows, columns=["id", "kind", "part", "bits", "n"])
-
-
-def test_update_retracts_and_counts_again():
-    s = State()
-
-    def go(*rows):
-        return {(r.part, r.bits): r.n for f in A.update(None, iter([frame([x]) for x in rows]), s) for r in f.itertuples()}
-
-    e = A.DUPLICATE
-    assert go((9, A.OPEN, "en", 0, 1)) == {("en", 0): 1}
-    assert go((12, A.OPEN, "de", 1, 2)) == {("de", 1 | e): 2}
-    assert go((9, A.OPEN, "en", 0, 1)) == {("en", 0): 1}                       # the same id again: no duplicate
-    assert go((3, A.OPEN, "fr", 2, 1)) == {("en", 0): -2, ("en", e): 2, ("fr", 2): 1}
-    assert go((None, A.SURE, "en", 0, 4), (None, A.NO_ID, "en", 0, 1)) == {("en", e): 4, ("en", 0): 1}
-    assert s.get == (3, ["fr"], [2], [1])
-
-
-def test_combine_keeps_the_smallest_id_open():
-    b = pa.record_batch({"digest": [b"a", b"a", b"a", b"b", b"a"], "id": pa.array([5, 3, 3, 7, None], pa.int64()),
-                         "part": ["p"] * 5, "bits": pa.array([1, 1, 1, 0, 1], pa.int32())})
-    out = pa.Table.from_batches(list(A.combine(iter([b])))).to_pylist()
-    got = {(r["digest"], r["id"], r["kind"], r["n"]) for r in out}
-    assert got == {(b"a", 3, A.OPEN, 2), (b"a", None, A.SURE, 1), (b"a", None, A.NO_ID, 1), (b"b", 7, A.OPEN, 1)}
+def test_a_smaller_id_retracts_and_counts_again(spark):
+    """One text over several batches, each against the state of those before."""
+    cell = "digest binary, id long, part string, bits int, n long"
+    state = spark.createDataFrame([], A._STATE)
+    e, t, got = A.DUPLICATE, bytearray(b"t"), []
+    batches = [[(t, 9, "en", 0, 1)], [(t, 12, "de", 1, 2)], [(t, 9, "en", 0, 1), (t, 9, "fr", 0, 1)],
+               [(t, 3, "fr", 2, 1), (t, 5, "fr", 2, 1), (t, None, "fr", 2, 1)]]
+    for i, rows in enumerate(batches):
+        done = A.merged(spark.createDataFrame(rows, cell), state).cache()
+        sums = done.select(F.inline("deltas")).groupBy("part", "bits").agg(F.sum("n").alias("n")).where("n <> 0")
+        got.append({(r["part"], r["bits"]): r["n"] for r in sums.collect()})
+        state = state.unionByName(done.where("fresh").select("digest", "low", F.lit(i).cast("long").alias("batch"), "rows")).cache()
+    assert got == [{("en", 0): 1}, {("de", 1 | e): 2}, {("en", 0): 1, ("fr", 0): 1},
+                   {("en", 0): -2, ("en", e): 2, ("fr", 0): -1, ("fr", e): 1, ("fr", 2): 1, ("fr", 2 | e): 1}]
+    assert state.orderBy(F.desc("batch")).first()["low"] == 3
+
+
+def test_a_retried_batch_replaces_its_writes(spark):
+    labels = A.label_bits(spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    work = scratch_path(spark, "audit-retry")
+    r, frame = A.Retractor(labels, work), "doc_id long, text string, lang string"
+    first = A.digests(spark.createDataFrame([(5, "x", "en"), (6, "x", "en")], frame))
+    second = A.digests(spark.createDataFrame([(4, "x", "de")], frame))
+    r(first, 0)
+    for _ in range(3):
+        r(second, 1)
+    got = spark.read.parquet(r.deltas).groupBy("part", "bits").agg(F.sum("n").alias("n")).where("n <> 0").collect()
+    assert {(x["part"], x["bits"]): x["n"] for x in got} == {("de", 1): 1, ("en", 1 | A.DUPLICATE): 2}
 
 
 def test_a_stream_goes_on_where_it_stopped(spark):
