@@ -1,4 +1,4 @@
-"""Alert cooldown: distributed pointer doubling against the greedy rule."""
+"""Alert cooldown: maps of chunks, composed, against the greedy rule."""
 import random
 
 import pandas as pd
@@ -36,6 +36,58 @@ def test_random_against_greedy(spark):
     assert got == exp
 
 
+def test_hot_engine_ties_and_incomplete_alerts(spark):
+    """One engine with a third of all alerts, many of them at the same time, over
+    many chunks; alerts without engine, time or id are never sent."""
+    random.seed(9)
+    rows = []
+    for i in range(3000):
+        engine = "HOT" if i % 3 == 0 else f"E{i % 40}"
+        rows.append((engine, f"A{i:05d}", random.choice([random.randrange(20 * 1440), 30 * random.randrange(960)])))
+    pdf = pd.DataFrame(rows, columns=["engine_id", "task_id", "m"])
+    exp = {}
+    for _, g in pdf.sort_values(["engine_id", "m", "task_id"]).groupby("engine_id"):
+        exp.update(zip(g["task_id"], cooldown_reference(list(g["m"]), 30)))
+    df = _alerts(spark, pdf)
+    odd = df.limit(1).select(F.lit(None).cast("string").alias("engine_id"), "task_id", "alert_time").unionByName(
+        df.limit(1).select("engine_id", F.lit(None).cast("string").alias("task_id"), "alert_time")).unionByName(
+        df.limit(1).select("engine_id", F.lit("X").alias("task_id"), F.lit(None).cast("timestamp_ntz").alias("alert_time")))
+    out = cooldown_batch(df.withColumn("sent", F.lit(7)), 30).select("task_id", "sent").toPandas()
+    assert dict(out.values) == exp
+    out = cooldown_batch(odd, 30).toPandas()
+    assert len(out) == 3 and not out["sent"].any()
+    assert cooldown_batch(df.limit(0), 30).count() == 0
+
+
+def test_alerts_against_those_sent_before(spark):
+    """Late alerts: judged by their neighbours that were sent already."""
+    from taskwatch.streaming.cooldown import allowed
+    random.seed(11)
+    sent = sorted(random.sample(range(0, 3000, 45), 20))
+    new = sorted(random.sample(range(3000), 150))
+    pdf = pd.DataFrame([("E", f"A{m:04d}", m) for m in new], columns=["engine_id", "task_id", "m"])
+    old = pd.DataFrame([("E", f"S{m}", m) for m in sent], columns=["engine_id", "task_id", "m"])
+    out = cooldown_batch(_alerts(spark, pdf), 30, against=_alerts(spark, old)).toPandas().sort_values("task_id")
+    assert [bool(x) for x in out["sent"]] == allowed(new, list(sent), 30)
+
+
+def test_chunk_maps_compose_to_one_walk():
+    import numpy as np
+    from taskwatch.operators.cooldown import chain_steps, walk
+    random.seed(1)
+    for _ in range(100):
+        t = np.array(sorted(set(random.choices(range(2000), k=120))))
+        allowed, got = -10**9, []
+        for lo in range(0, 2000, 240):
+            part = t[(t >= lo) & (t < lo + 240)]
+            got += part[walk(part, allowed, 30)].tolist()
+            until, last = chain_steps(part, 30)
+            i = int(np.searchsorted(until, allowed, side="left"))
+            if i < len(last):
+                allowed = int(last[i]) + 30
+        assert got == t[walk(t, -10**9, 30)].tolist()
+
+
 def test_stream_cooldown_matches_batch(spark):
     from conftest import SF0001
     from taskwatch import models_catalog as MC
