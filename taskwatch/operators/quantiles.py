@@ -6,15 +6,31 @@ a range partitioning (``prefix.global_prefix``), and the values at the wanted
 ranks are read off with one aggregation. A group may hold any share of the
 rows. The interpolation is that of ``percentile``: linear between the two
 neighbouring ranks.
+
+Of whole columns (``column_quantiles``) not even the counted values are moved.
+A mergeable quantile summary of each column, made in one pass with map-side
+partial results, brackets every wanted rank between two values; a second pass
+counts what lies below each bracket and keeps the values inside it alone, a few
+``1 / ACCURACY`` of the rows. The counts say at which rank inside the bracket
+the answer lies, and those few values are ranked as above. A bracket is never
+trusted: where the counts show that a rank lies outside, that column is ranked
+whole.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taskwatch.operators.prefix import global_prefix
 from taskwatch.session import pin
 
+#: rows over the rank error of a column's summary
+ACCURACY = 10_000
+
 
 def exact_quantiles(long: DataFrame, probs: list[float], group: str = "feature",
                     value: str = "value") -> DataFrame:
@@ -39,8 +55,92 @@ def exact_quantiles(long: DataFrame, probs: list[float], group: str = "feature",
     return found.select(group, F.array(*out).alias("q"))
 
 
+def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict, dict]:
+    """Number of values of each column, and per column and probability two
+    values between which the wanted rank should lie."""
+    margin = 2 / ACCURACY
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
+    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{j}") for j, c in enumerate(columns)],
+                 *[F.percentile_approx(F.col(f"`{c}`").cast("double"), ends, ACCURACY).alias(f"q{j}")
+                   for j, c in enumerate(columns)]).first()
+    found = {c: (row[f"n{j}"], row[f"q{j}"]) for j, c in enumerate(columns)}
+    return ({c: n for c, (n, _) in found.items()},
+            {c: [(q[2 * i], q[2 * i + 1]) for i in range(len(probs))] for c, (n, q) in found.items() if n})
+
+
+def _inside(df: DataFrame, brackets: dict) -> DataFrame:
+    """(feature, i, value, n) of the values inside the brackets; a null value
+    stands for all below bracket ``i`` of the feature."""
+    columns = list(brackets)
+    low = np.array([[b[0] for b in brackets[c]] for c in columns])
+    high = np.array([[b[1] for b in brackets[c]] for c in columns])
+
+    def count(batches):
+        below = np.zeros(low.shape, dtype=np.int64)
+        for b in batches:
+            out = []
+            for j in range(len(columns)):
+                x = b.column(j).drop_null().to_numpy(zero_copy_only=False)
+                for i in range(low.shape[1]):
+                    less = x < low[j, i]
+                    below[j, i] += less.sum()
+                    values, n = np.unique(x[~less & (x <= high[j, i])], return_counts=True)
+                    out.append((np.full(len(n), j), np.full(len(n), i), values, n))
+            yield batch(*(np.concatenate(c) for c in zip(*out)))
+        j, i = np.nonzero(below)
+        yield batch(j, i, pa.nulls(len(j), pa.float64()), below[j, i])
+
+    def batch(j, i, values, n):
+        return pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(i, pa.int32()), pa.array(values, pa.float64()),
+                                           pa.array(n, pa.int64())], names=["feature", "i", "value", "n"])
+
+    rows = df.select(*[F.col(f"`{c}`").cast("double") for c in columns]).mapInArrow(
+        count, "feature int, i int, value double, n long")
+    return rows.groupBy("feature", "i", "value").agg(F.sum("n").alias("n"))
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    """The exact quantiles of each column, None for a column without values.
+    ``df`` is read twice."""
+    if not columns:
+        return {}
+    spark = df.sparkSession
+    total, brackets = _brackets(df, columns, probs)
+    out: dict[str, list[float] | None] = dict.fromkeys(columns)
+    if not brackets:
+        return out
+    names = list(brackets)
+    counted = pin(_inside(df, brackets), "quantile-brackets")
+    sums = counted.groupBy("feature", "i").agg(   # one row per column and probability
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("below"), F.sum("n").alias("upto")).collect()
+    seen = {(r["feature"], r["i"]): (r["below"], r["upto"]) for r in sums}
+    wanted, whole = [], set()
+    for j, c in enumerate(names):
+        for i, p in enumerate(probs):
+            pos = (total[c] - 1) * p
+            below, upto = seen.get((j, i), (0, 0))
+            if not below <= math.floor(pos) <= math.ceil(pos) < upto:
+                whole.add(c)
+            wanted.append((j, i, math.floor(pos) - below, math.ceil(pos) - below))
+    ranks = F.broadcast(spark.createDataFrame(wanted, "feature int, i int, a long, b long"))
+    cum = global_prefix(counted.where(F.col("value").isNotNull()), ["value"], ["n"], group_cols=["feature", "i"])
+    found = cum.join(ranks, ["feature", "i"]).groupBy("feature", "i").agg(
+        F.min(F.when(F.col("cum_n") > F.col("a"), F.col("value"))).alias("lo"),
+        F.min(F.when(F.col("cum_n") > F.col("b"), F.col("value"))).alias("hi")).collect()
+    at = {(r["feature"], r["i"]): (r["lo"], r["hi"]) for r in found}
+    for j, c in enumerate(names):
+        if c in whole:
+            long = df.select(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"))
+            out[c] = exact_quantiles(long, probs).first()["q"]
+            continue
+        out[c] = []
+        for i, p in enumerate(probs):
+            pos, (lo, hi) = (total[c] - 1) * p, at[j, i]
+            out[c].append(lo if lo == hi else (math.ceil(pos) - pos) * lo + (pos - math.floor(pos)) * hi)
+    return out
+
+
 def quantile_of(df: DataFrame, column: str, prob: float) -> float | None:
     """One exact quantile of one column."""
-    long = df.select(F.lit(column).alias("feature"), F.col(column).cast("double").alias("value"))
-    row = exact_quantiles(long, [prob]).first()
-    return None if row is None else float(row["q"][0])
+    q = column_quantiles(df, [column], [prob])[column]
+    return None if q is None else float(q[0])

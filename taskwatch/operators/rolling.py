@@ -11,15 +11,24 @@ Plan (built for a hot key holding a large share of all rows):
    columns this key needs, and, for medians, the triples ``(key, start,
    value)`` with their frequency. Partial aggregation runs map-side, so no task
    ever sees all rows of one key. The result is pinned and counted.
-2. RANGE windows over (key, 7-day chunk): a chunk holds its own buckets and a
-   copy of the previous chunk's, so every frame is whole inside one chunk, and
-   a key with few values still spreads over as many tasks as it has weeks.
-   Standard deviations add the buckets' squared deviations around one value
-   of the chunk, so large means do not cancel.
-3. Medians: exact, from the triples, in the same chunks. Inside
-   ``applyInPandas`` all frames of a group are sorted together, in blocks of
-   bounded size, and the middle ranks are read off the running frequencies
-   (linear interpolation between the two middle ranks, as ``percentile``).
+2. Chunks as wide as the frame. A frame that ends in a chunk is the end of the
+   previous chunk, from ``t`` less 7 days on, and the beginning of its own, so
+   its sums, minima and maxima are those of a suffix and a prefix (van Herk's
+   scheme). Each chunk holds its own buckets and those of the previous chunk,
+   the latter at the time when they leave the frames. Two running windows per
+   chunk, one forwards over its own buckets, one backwards over those not yet
+   left, give all statistics: constant work per bucket at any grain, and a
+   key with few values still spreads over as many tasks as it has weeks.
+   Nothing is subtracted, so nothing cancels; standard deviations add the
+   buckets' squared deviations around one value of the chunk. Where no frame
+   has more than ``DIRECT`` buckets (measured; hour-grain starts have at most
+   168), a RANGE window adds them in order of time instead, as SQL does.
+3. Medians: exact, from the triples, in the same chunks. A frame is a stretch
+   of the triples in order of (key, time); all middle ranks of a chunk are found
+   together in a wavelet matrix over the values (``kth_values``): every triple
+   is placed once per bit of the number of distinct values, whatever the number
+   of frames that hold it (linear interpolation between the two middle ranks,
+   as ``percentile``).
 4. Empty results (e.g. the std of a one-task frame) are forward filled from
    the previous bucket of the same key: inside the chunk by a window, and
    across chunks by each chunk's last values, one row per key and chunk.
@@ -116,63 +125,103 @@ def _parts(col: str, needs: set[str]) -> list[Column]:
 
 
 def chunked(df: DataFrame, width: int) -> DataFrame:
-    """Every row in its own chunk (``__own``) and, as history, in the next one (``__c``)."""
-    return (df.withColumn("__own", F.floor(F.col("__t") / F.lit(width)))
-            .withColumn("__c", F.explode(F.array(F.col("__own"), F.col("__own") + 1))))
+    """Every row in its own chunk (``__own`` equals ``__c``) and, as history, in
+    the next one; ``__at`` is when it enters the frames of the chunk, or leaves them."""
+    copies = df.withColumn("__own", F.floor(F.col("__t") / F.lit(width))).withColumn(
+        "__c", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    return copies.withColumn("__at", F.col("__t") + F.when(F.col("__own") == F.col("__c"), 0).otherwise(width))
 
 
-def _rolled(col: str, agg: str, frame) -> Column:
-    """One aggregate of one column over a frame of buckets."""
-    n = F.sum(f"n__{col}").over(frame)
+#: frames of at most so many buckets are evaluated one by one
+DIRECT = 512
+
+_COMBINE = {"lo": (F.min, F.least), "hi": (F.max, F.greatest)}
+
+
+def _source(part: str, col: str) -> Column:
+    return F.col(f"__{part}__{col}" if part in ("d", "sq") else f"{part}__{col}")
+
+
+def _framed(t: DataFrame, need: dict[str, set[str]], chunk, width: int, longest: int) -> DataFrame:
+    """``t`` with ``f__<part>__<col>``, the parts of each own bucket's frame.
+    Of short frames every bucket is added in order of time; longer ones
+    are put together from a running total of the own chunk and one,
+    backwards, of what has not left the previous chunk yet."""
+    wanted = [(p, c) for c, parts in need.items() for p in sorted(parts | ({"d", "sq"} if "m2" in parts else set()) - {"m2"})]
+    own = F.col("__own") == F.col("__c")
+    if longest <= DIRECT:
+        frame = chunk.orderBy("__t").rangeBetween(-(width - 1), 0)
+        return t.withColumns({f"f__{p}__{c}": _COMBINE.get(p, (F.sum,))[0](_source(p, c)).over(frame) for p, c in wanted}).where(own)
+    whole = (Window.unboundedPreceding, 0)
+    # a bucket that leaves at the very start of an own one has left: backwards it comes after that
+    ahead, back = chunk.orderBy("__at").rowsBetween(*whole), chunk.orderBy(F.desc("__at"), F.desc("__own")).rowsBetween(*whole)
+    t = t.withColumns({f"p__{p}__{c}": _COMBINE.get(p, (F.sum,))[0](F.when(own, _source(p, c))).over(ahead) for p, c in wanted})
+    t = t.withColumns({f"s__{p}__{c}": _COMBINE.get(p, (F.sum,))[0](F.when(~own, _source(p, c))).over(back) for p, c in wanted})
+
+    def both(p, c):
+        x, y = F.col(f"p__{p}__{c}"), F.col(f"s__{p}__{c}")
+        return _COMBINE[p][1](x, y) if p in _COMBINE else F.coalesce(x + y, x, y)
+
+    return t.where(own).withColumns({f"f__{p}__{c}": both(p, c) for p, c in wanted})
+
+
+def _rolled(col: str, agg: str) -> Column:
+    """One aggregate of one column from the parts of its frame."""
+    n, lo, hi = F.col(f"f__n__{col}"), F.col(f"f__lo__{col}"), F.col(f"f__hi__{col}")
     if agg == "mean":
-        return F.when(n > 0, F.sum(f"s__{col}").over(frame) / n)
+        return F.when(n > 0, F.col(f"f__s__{col}") / n)
     if agg == "sum":
-        return F.when(n > 0, F.sum(f"s__{col}").over(frame))
+        return F.when(n > 0, F.col(f"f__s__{col}"))
     if agg == "min":
-        return F.min(f"lo__{col}").over(frame)
+        return lo
     if agg == "max":
-        return F.max(f"hi__{col}").over(frame)
+        return hi
     if agg == "std":
-        s = F.sum(f"__d__{col}").over(frame)
-        q = F.sum(f"__sq__{col}").over(frame)
-        lo, hi = F.min(f"lo__{col}").over(frame), F.max(f"hi__{col}").over(frame)
+        s, q = F.col(f"f__d__{col}"), F.col(f"f__sq__{col}")
         # a constant frame has std 0 exactly; rounding must not say otherwise
         return (F.when(n < 2, F.lit(None).cast("double")).when(lo == hi, F.lit(0.0))
                 .otherwise(F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))))
     raise ValueError(f"unknown rolling aggregate {agg}")
 
 
-#: triples of all frames that are sorted at once
-MEDIAN_BLOCK = 2_000_000
+def kth_values(rank: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each query the ``k``-th smallest (from 0, counted by ``weight``) of
+    ``rank[start:end]``. A wavelet matrix, built and searched bit by bit from the
+    highest: a stable split by the bit keeps every stretch together, and running
+    sums say how much of it went to either side."""
+    found, start, end, k = np.zeros(len(k), dtype=np.int64), start.copy(), end.copy(), k.copy()
+    for bit in range(int(rank.max()).bit_length() - 1 if len(rank) else -1, -1, -1):
+        one = (rank >> bit) & 1 == 1
+        zeros = np.concatenate(([0], np.cumsum(~one)))
+        held = np.concatenate(([0], np.cumsum(np.where(one, 0, weight))))
+        below = held[end] - held[start]
+        up = k >= below
+        k -= np.where(up, below, 0)
+        found |= up.astype(np.int64) << bit
+        start = np.where(up, zeros[-1] + start - zeros[start], zeros[start])
+        end = np.where(up, zeros[-1] + end - zeros[end], zeros[end])
+        rank, weight = np.concatenate((rank[~one], rank[one])), np.concatenate((weight[~one], weight[one]))
+    return found
 
 
 def _medians(k, t, v, f, chunk: int, width: int):
     """``(row of the bucket, median)`` of the buckets of ``chunk``; the arrays
-    are sorted by (k, t)."""
+    are sorted by (k, t). A bucket without a value (``v`` is NaN) has a frame too;
+    the median of no values is NaN."""
+    f, v = np.where(np.isnan(v), 0, f), np.where(np.isnan(v), np.inf, v)
     base = t.min()
     at = k * (t.max() - base + width + 1) + (t - base)   # one order over (key, time)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     own = first[np.floor_divide(t[first], width) == chunk]
     start = np.maximum(np.searchsorted(at, at[own] - width, side="right"), np.searchsorted(k, k[own], side="left"))
     end = np.searchsorted(at, at[own], side="right")
-    size, out = end - start, np.empty(len(own))
-    ends, lo = np.cumsum(size), 0
-    while lo < len(own):
-        done = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, done + MEDIAN_BLOCK, side="right")))
-        part = size[lo:hi]
-        frame = np.repeat(np.arange(hi - lo), part)
-        idx = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part) + np.repeat(start[lo:hi], part)
-        order = np.lexsort((v[idx], frame))
-        values, cum = v[idx][order], np.cumsum(f[idx][order])
-        last = np.cumsum(part)
-        before = np.concatenate(([0], cum[last[:-1] - 1]))
-        middle = (cum[last - 1] - before - 1) / 2
-        a = values[np.searchsorted(cum, before + np.floor(middle), side="right")]
-        b = values[np.searchsorted(cum, before + np.ceil(middle), side="right")]
-        out[lo:hi] = np.where(a == b, a, (np.ceil(middle) - middle) * a + (middle - np.floor(middle)) * b)
-        lo = hi
-    return own, out
+    values, rank = np.unique(v, return_inverse=True)
+    held = np.concatenate(([0], np.cumsum(f)))
+    middle = held[end] - held[start] - 1
+    some = middle >= 0
+    ranks = (np.where(some, middle // 2, 0), np.where(some, (middle + 1) // 2, 0))
+    a, b = (values[np.minimum(kth_values(rank, f, start, end, r), len(values) - 1)] for r in ranks)
+    return own, np.where(some, np.where(a == b, a, (a + b) / 2), np.nan)
 
 
 def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int, n_buckets: int) -> DataFrame:
@@ -182,7 +231,7 @@ def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int,
     (one pandas call), a hot key still only brings two weeks of its values.
     """
     width = days * US_PER_DAY
-    copies = chunked(triples.where(F.col(val).isNotNull() & F.col("__t").isNotNull() & F.col(key).isNotNull()), width)
+    copies = chunked(triples.where(F.col("__t").isNotNull() & F.col(key).isNotNull()), width)
     copies = copies.select(key, "__t", val, "__f", "__c", F.pmod(F.hash(F.col(key)), F.lit(n_buckets)).alias("__b"))
     key_type = triples.schema[key].dataType.simpleString()
 
@@ -191,9 +240,10 @@ def frame_medians(triples: DataFrame, key: str, val: str, name: str, days: int,
         t = pdf["__t"].to_numpy()
         order = np.lexsort((t, codes))
         k, t = codes[order].astype("int64"), t[order]
-        own, out = _medians(k, t, pdf[val].to_numpy(dtype=float)[order], pdf["__f"].to_numpy(dtype=float)[order],
+        own, out = _medians(k, t, pdf[val].to_numpy(dtype=float)[order], pdf["__f"].to_numpy(dtype="int64")[order],
                             int(pdf["__c"].iloc[0]), width)
-        return pd.DataFrame({key: pd.Series(names.take(k[own]), dtype=object), "__t": t[own], name: out})
+        found = pd.Series(out).astype(object).where(~np.isnan(out), None)   # NaN is no null to Spark
+        return pd.DataFrame({key: pd.Series(names.take(k[own]), dtype=object), "__t": t[own], name: found})
 
     return copies.groupBy("__b", "__c").applyInPandas(medians, f"{key} {key_type}, __t long, {name} double")
 
@@ -206,21 +256,24 @@ def _stats(df: DataFrame, prefix: str, key: str, items: list, days: int, time_co
     for c, aggs in items:
         need.setdefault(c, set()).update(_needs(aggs))
     narrow = df.select(key, time_col, *[F.col(c).cast("double").alias(c) for c in need])
-    buckets = pin(narrow.groupBy(key, time_col).agg(*[e for c, n in need.items() for e in _parts(c, n)]), "rolling-buckets")
-    rows = buckets.count()
+    buckets = pin(narrow.groupBy(key, time_col).agg(*[e for c, n in need.items() for e in _parts(c, n)])
+                  .withColumn("__t", epoch_us(time_col)), "rolling-buckets")
+    # the buckets of a key and chunk bound a frame's: those of two chunks at most
+    size = (buckets.groupBy(key, F.floor(F.col("__t") / F.lit(width))).count()
+            .agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first())
+    rows, longest = size["rows"] or 0, 2 * (size["most"] or 0)
     n_parts = parts_for(spark, 2 * rows)
     # this is the windows' own exchange; the explicit count keeps AQE from
     # coalescing the CPU-heavy windows into few tasks
-    t = chunked(buckets.withColumn("__t", epoch_us(time_col)), width).repartition(n_parts, key, "__c")
+    t = chunked(buckets, width).repartition(n_parts, key, "__c")
     chunk = Window.partitionBy(key, "__c")
-    frame = chunk.orderBy("__t").rangeBetween(-(width - 1), 0)
     squared = [c for c, n in need.items() if "m2" in n]
     t = t.withColumns({f"__d__{c}": F.col(f"s__{c}") - F.col(f"n__{c}") * F.min(f"lo__{c}").over(chunk) for c in squared})
     t = t.withColumns({
         f"__sq__{c}": F.col(f"m2__{c}") + F.try_divide(F.col(f"__d__{c}") * F.col(f"__d__{c}"), F.col(f"n__{c}")) for c in squared})
     names = [f"{prefix}_{c}_{a}" for c, aggs in items for a in aggs]
-    t = t.withColumns({f"{prefix}_{c}_{a}": _rolled(c, a, frame) for c, aggs in items for a in aggs if a != "median"})
-    t = t.where(F.col("__own") == F.col("__c")).select(key, time_col, "__t", "__c", *[n for n in names if n in t.columns])
+    t = _framed(t, need, chunk, width, longest).select(key, time_col, "__t", "__c", *[
+        _rolled(c, a).alias(f"{prefix}_{c}_{a}") for c, aggs in items for a in aggs if a != "median"])
     for c, aggs in items:
         if "median" in aggs:
             ship_package(spark)

@@ -1,23 +1,20 @@
 """Robust scaler (F7 fit, F8 apply): (x - median) / IQR, IQR 0 -> divide by 1.
 
-The fit unpivots the columns to (feature, value) and takes the exact quantiles
-of every feature (``quantiles.exact_quantiles``), so no task holds all values
-of a feature. Only the fitted numbers (two per feature) reach the driver.
+The fit takes the exact quantiles of all columns together
+(``quantiles.column_quantiles``): two passes over the rows, no shuffle of them.
+Only the fitted numbers (two per feature) reach the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from taskwatch.operators.quantiles import exact_quantiles
+from taskwatch.operators.quantiles import column_quantiles
 
 
 def fit_robust_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Return {feature: (median, scale)} where scale = IQR, or 1 when IQR is 0."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
-        .unpivot([], columns, "feature", "value")
-    rows = exact_quantiles(long, [0.25, 0.5, 0.75]).collect()
-    found = {r["feature"]: r["q"] for r in rows}
+    found = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     out = {}
     for c in columns:
         q = found.get(c)

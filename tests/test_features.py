@@ -88,3 +88,46 @@ def test_shuffled_input_same_output(spark):
     # only the summation order may differ
     assert np.allclose(pa[vals].to_numpy(float), pb[vals].to_numpy(float), rtol=1e-12, atol=1e-9,
                        equal_nan=True)
+
+
+def test_second_grain_starts_against_brute_force(spark):
+    """Many buckets a frame: running totals and the wavelet matrix, for a key with
+    most rows and small ones, with ties, nulls and frames over chunk borders."""
+    import datetime as dt
+    import numpy as np
+    import pandas as pd
+    from taskwatch.operators import rolling as R
+    rng = np.random.default_rng(8)
+    n = 4000
+    base = dt.datetime(2024, 1, 3)
+    key = np.where(rng.random(n) < 0.8, "hot", rng.choice(["a", "b", "c"], n))
+    sec = rng.integers(0, 24 * 86400, n) // rng.choice([1, 3600], n) * 1
+    val = np.where(rng.random(n) < 0.1, np.nan, rng.choice([1.5, 2.0, 7.25, 90.0, 400.0], n) + rng.integers(0, 50, n))
+    pdf = pd.DataFrame({"k": key, "planned_start_ts": [base + dt.timedelta(seconds=int(s)) for s in sec], "v": val})
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).withColumn("planned_start_ts", F.col("planned_start_ts").cast("timestamp_ntz"))
+    aggs = ["mean", "std", "median", "min", "max", "sum"]
+    got = R.rolling_stats(df, "x", spec=("k", [("v", aggs)])).toPandas()
+    at = {(r.k, r.planned_start_ts): r for r in got.itertuples()}
+    assert len(at) == len(pdf[["k", "planned_start_ts"]].drop_duplicates()) and len(pdf[pdf.k == "hot"]) > 2 * R.DIRECT
+    for k, g in pdf.groupby("k"):
+        g = g.sort_values("planned_start_ts")
+        last = {}
+        for t in g["planned_start_ts"].drop_duplicates():
+            x = g.loc[(g.planned_start_ts > t - pd.Timedelta(days=7)) & (g.planned_start_ts <= t), "v"].dropna()
+            want = {"mean": x.mean(), "std": x.std(), "median": x.median(), "min": x.min(), "max": x.max(), "sum": x.sum() if len(x) else np.nan}
+            last |= {a: w for a, w in want.items() if not np.isnan(w)}
+            for a in aggs:
+                assert getattr(at[k, t], f"x_v_{a}") == pytest.approx(last.get(a, np.nan), rel=1e-9, abs=1e-9, nan_ok=True), (k, t, a)
+
+
+def test_kth_values_against_sorting():
+    import numpy as np
+    from taskwatch.operators.rolling import kth_values
+    rng = np.random.default_rng(1)
+    for values in (1, 2, 3, 17, 64):
+        rank, weight = rng.integers(0, values, 200), rng.integers(1, 4, 200)
+        start = rng.integers(0, 199, 300)
+        end = np.array([rng.integers(s + 1, 201) for s in start])
+        spread = [np.sort(np.repeat(rank[a:b], weight[a:b])) for a, b in zip(start, end)]
+        k = np.array([rng.integers(0, len(s)) for s in spread])
+        assert kth_values(rank, weight, start, end, k).tolist() == [int(s[i]) for s, i in zip(spread, k)]

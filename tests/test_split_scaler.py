@@ -4,6 +4,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
 from taskwatch.operators.split import time_split
@@ -49,3 +50,37 @@ def test_exact_quantiles_of_groups_with_ties_and_nulls(spark):
     got = {r["feature"]: r["q"] for r in exact_quantiles(df, probs).collect()}
     for f, x in pdf.dropna().groupby("feature")["value"]:
         assert got[f] == pytest.approx(list(np.quantile(x, probs)))
+
+
+def test_column_quantiles_against_numpy(spark, monkeypatch):
+    """Ties, skew, nulls, constants, infinities, an empty column, and brackets too narrow to hold a rank."""
+    from taskwatch.operators import quantiles as Q
+    rng = np.random.default_rng(3)
+    n, probs = 5000, [0.0, 0.07, 0.25, 0.5, 0.75, 0.93, 1.0]
+    pdf = pd.DataFrame({
+        "normal": rng.normal(size=n), "skew": np.exp(rng.normal(size=n) * 3), "few": rng.integers(0, 4, n).astype(float),
+        "constant": 7.0, "holes": np.where(rng.random(n) < 0.6, np.nan, rng.random(n)), "mostly": np.where(rng.random(n) < 0.9, 1.0, rng.random(n)),
+        "far": np.where(rng.random(n) < 0.01, -np.inf, rng.normal(size=n)), "whole": rng.integers(0, 10**6, n).astype(float)})
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).withColumn("none", F.lit(None).cast("double")).repartition(7)
+    columns = list(pdf.columns)
+
+    def check():
+        got = Q.column_quantiles(df, [*columns, "none"], probs)
+        assert got["none"] is None
+        for c in columns:
+            x = pdf[c].dropna().sort_values().to_numpy()
+            for p, q in zip(probs, got[c]):
+                pos = (len(x) - 1) * p
+                lo, hi = x[int(np.floor(pos))], x[int(np.ceil(pos))]
+                want = lo if lo == hi else (np.ceil(pos) - pos) * lo + (pos - np.floor(pos)) * hi
+                assert q == want, (c, p)
+
+    check()
+    monkeypatch.setattr(Q, "ACCURACY", 50)                      # a coarse summary: wide brackets
+    check()
+    first = Q._brackets
+    monkeypatch.setattr(Q, "_brackets", lambda *a: (first(*a)[0], {c: [(b[0][0], b[0][0])] * len(probs) for c, b in first(*a)[1].items()}))
+    check()                                                     # brackets that miss: ranked whole
+    assert Q.column_quantiles(df.limit(0), ["few"], [0.5]) == {"few": None}
+    one = Q.column_quantiles(df.limit(1), ["constant"], [0.1, 0.9])
+    assert one == {"constant": [7.0, 7.0]}
