@@ -113,7 +113,7 @@ def q_stream_scores(spark, sf):
     src = write_in_order(tasks(spark, sf), "planned_start_ts", "stream-source")
     paths = run_scoring_stream(spark, src, root, scratch_path(spark, "stream-work"),
                                max_files_per_trigger=FILES)
-    return rounded(spark.read.parquet(paths["scores"]).drop("batch"))
+    return rounded(spark.read.parquet(paths["scores"]).drop("batch", "model_version", "actual_end_ts"))
 
 
 def q_stream_cooldown(spark, sf):

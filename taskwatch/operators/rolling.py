@@ -42,10 +42,12 @@ frame and get no statistics.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taskwatch.functions.time import US_PER_DAY, epoch_us
@@ -306,8 +308,16 @@ def _filled(t: DataFrame, key: str, time_col: str, names: list[str], before: Dat
 
 def rolling_tables(df: DataFrame, specs: dict[str, tuple[str, list]], days: int = 7,
                    time_col: str = TIME_COL, carry: Carry | None = None) -> dict[str, tuple[DataFrame, int, str]]:
-    """{prefix: (stats table, exact row count, key)}."""
-    return {p: (*_stats(df, p, key, items, days, time_col, carry), key) for p, (key, items) in specs.items()}
+    """{prefix: (stats table, exact row count, key)}. The tables do not depend on
+    each other, so their jobs are submitted side by side and share the cores."""
+    def one(prefix):
+        key, items = specs[prefix]
+        return (*_stats(df, prefix, key, items, days, time_col, carry), key)
+
+    ship_package(df.sparkSession)
+    with ThreadPoolExecutor(max(1, len(specs))) as pool:
+        found = {p: pool.submit(inheritable_thread_target(df.sparkSession)(one), p) for p in specs}
+        return {p: f.result() for p, f in found.items()}
 
 
 def rolling_stats(df: DataFrame, prefix: str, days: int = 7,

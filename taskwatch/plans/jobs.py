@@ -105,7 +105,7 @@ def train_job(spark: SparkSession, data_path: str, artifacts: str, params: Param
 
 def _train(spark: SparkSession, data_path: str, artifacts: str, params: Params | None) -> dict:
     p = params or Params()
-    valid = _accepted(load_tasks(spark, data_path), os.path.join(artifacts, "rejects"))
+    valid = _accepted(load_tasks(spark, data_path, raw=True), os.path.join(artifacts, "rejects"))
     fitted = fit_and_score(valid, p)
     fitted.features.save(os.path.join(artifacts, "features"))
     fitted.detector.save(spark, os.path.join(artifacts, "detector"))
@@ -136,7 +136,7 @@ def evaluate_job(spark: SparkSession, data_path: str, artifacts: str, out_dir: s
 def _evaluate(spark: SparkSession, data_path: str, artifacts: str, out_dir: str) -> dict:
     fm = FeatureModel.load(spark, os.path.join(artifacts, "features"))
     det = DetectorModel.load(spark, os.path.join(artifacts, "detector"))
-    valid = _accepted(load_tasks(spark, data_path), os.path.join(out_dir, "rejects"))
+    valid = _accepted(load_tasks(spark, data_path, raw=True), os.path.join(out_dir, "rejects"))
     tasks = pin(time_split(valid, fm.params.test_size))
     X = fm.transform(tasks, extra=["is_train"])
     scored = pin(det.score(X))
@@ -208,7 +208,7 @@ def score_file_job(spark: SparkSession, data_path: str, artifacts: str, out_path
 def _score_file(spark: SparkSession, data_path: str, artifacts: str, out_path: str) -> dict:
     fm = FeatureModel.load(spark, os.path.join(artifacts, "features"))
     det = DetectorModel.load(spark, os.path.join(artifacts, "detector"))
-    valid = _accepted(load_tasks(spark, data_path), out_path + "_rejects")
+    valid = _accepted(load_tasks(spark, data_path, raw=True), out_path + "_rejects")
     scored = pin(det.score(fm.transform(valid)))
     out = scored.select("task_id", "engine_id", "anomaly_flag", "anomaly_score",
                         F.col("if_score_norm").alias("if_score"), F.col("ae_score_norm").alias("ae_score"),

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskwatch.functions.time import add_minutes, epoch_us, trunc_hour
-from taskwatch.sources.schema import TASK_COLUMNS, TASK_SCHEMA, TASK_TEXT_SCHEMA
+from taskwatch.sources.schema import RAW_RECORD, TASK_COLUMNS, TASK_SCHEMA, TASK_TEXT_SCHEMA, TIMESTAMP_COLUMNS, raw_text_schema
 from taskwatch.functions.time import parse_timestamps
 
 
@@ -25,20 +25,35 @@ def read_parquet_tasks(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path))
 
 
-def read_csv_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """S2. Header CSV with ISO-8601 timestamp strings."""
-    return conform(spark.read.schema(TASK_TEXT_SCHEMA).option("header", True).csv(path))
+def read_csv_tasks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+    """S2. Header CSV with ISO-8601 timestamp strings. With ``raw``, a line that
+    is no record of the schema is kept as it is in ``RAW_RECORD``."""
+    reader = spark.read.schema(raw_text_schema() if raw else TASK_TEXT_SCHEMA).option("header", True)
+    return conform((reader.option("columnNameOfCorruptRecord", RAW_RECORD) if raw else reader).csv(path))
 
 
-def load_tasks(spark: SparkSession, path: str) -> DataFrame:
+def read_json_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Request records, one JSON document a line; unreadable lines are kept in ``RAW_RECORD``."""
+    return conform(spark.read.schema(raw_text_schema()).option("columnNameOfCorruptRecord", RAW_RECORD).json(path))
+
+
+def load_tasks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     """S3: pick the reader by suffix, as the reference does."""
     if path.endswith(".parquet"):
         return read_parquet_tasks(spark, path)
-    return read_csv_tasks(spark, path)
+    return read_csv_tasks(spark, path, raw)
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast known columns to the task schema; absent optional columns stay absent."""
+    """Cast known columns to the task schema; absent optional columns stay absent.
+    Where ``RAW_RECORD`` is asked for, a record with a timestamp that does not
+    parse is kept there as it came."""
+    if RAW_RECORD in df.columns:
+        texts = [c for c in TIMESTAMP_COLUMNS if c in df.columns and df.schema[c].dataType.typeName() == "string"]
+        odd = F.exists(F.array(*[F.col(c).isNotNull() & F.try_to_timestamp(F.col(c)).isNull() for c in texts]), lambda x: x) \
+            if texts else F.lit(False)
+        record = F.to_json(F.struct(*[c for c in df.columns if c != RAW_RECORD]))
+        df = df.withColumn(RAW_RECORD, F.coalesce(F.col(RAW_RECORD), F.when(odd, record)))
     df = parse_timestamps(df)
     casts = {f.name: F.col(f.name).cast(f.dataType) for f in TASK_SCHEMA.fields
              if f.name in df.columns and df.schema[f.name].dataType != f.dataType}
@@ -46,15 +61,21 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def validate_records(df: DataFrame, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split records into (valid, rejected); a record is rejected when a
-    required request field is missing or a timestamp did not parse. The
-    rejected side carries the list of offending fields."""
+    """Split records into (valid, rejected); a record is rejected when its
+    text could not be read, a required request field is missing or a timestamp
+    did not parse. The rejected side carries the list of offending fields
+    (``RAW_RECORD`` for text that is no whole record) and the record as text: the line itself
+    where the reader kept it, else its fields as JSON."""
     from taskwatch.sources.schema import REQUEST_COLUMNS
     required = [c for c in (required or REQUEST_COLUMNS) if c in df.columns]
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    fields = [c for c in df.columns if c != RAW_RECORD]
+    line = F.col(RAW_RECORD) if RAW_RECORD in df.columns else F.lit(None).cast("string")
+    missing = F.array_compact(F.array(F.when(line.isNotNull(), F.lit(RAW_RECORD)),
+                                      *[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
     tagged = df.withColumn("__missing", missing)
-    valid = tagged.where(F.size("__missing") == 0).drop("__missing")
-    rejected = tagged.where(F.size("__missing") > 0).withColumnRenamed("__missing", "missing_fields")
+    valid = tagged.where(F.size("__missing") == 0).select(*fields)
+    rejected = tagged.where(F.size("__missing") > 0).select(
+        *fields, F.col("__missing").alias("missing_fields"), F.coalesce(line, F.to_json(F.struct(*fields))).alias("raw"))
     return valid, rejected
 
 
@@ -121,5 +142,5 @@ def tasks_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task_view(table(spark, sf_dir, "events"))
 
 
-__all__ = ["table", "load_tasks", "read_parquet_tasks", "read_csv_tasks", "conform",
+__all__ = ["table", "load_tasks", "read_parquet_tasks", "read_csv_tasks", "read_json_tasks", "conform",
            "newest_file", "task_view", "tasks_from_events", "epoch_us"]

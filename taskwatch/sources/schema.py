@@ -53,6 +53,15 @@ TASK_TEXT_SCHEMA = T.StructType([
     T.StructField(f.name, T.StringType() if f.name in TIMESTAMP_COLUMNS else f.dataType, True)
     for f in TASK_SCHEMA.fields
 ])
+#: column in which a text reader keeps a line that it cannot read as a record
+RAW_RECORD = "_raw_record"
+
+
+def raw_text_schema() -> T.StructType:
+    """``TASK_TEXT_SCHEMA`` with room for unreadable lines."""
+    return T.StructType(TASK_TEXT_SCHEMA.fields + [T.StructField(RAW_RECORD, T.StringType(), True)])
+
+
 REQUEST_TEXT_SCHEMA = T.StructType([f for f in TASK_TEXT_SCHEMA.fields if f.name in REQUEST_COLUMNS])
 
 IDENTITY_COLUMNS = ["engine_id", "module_id", "submodule_id", "task_id", "wo_id"]

@@ -1,173 +1,116 @@
-"""Structured Streaming scoring and alerting (T1-T5, Q1 stream side).
-
-T1  ``readStream`` of task records (Parquet or JSON) -> watermark on the planned
-    start -> ``dropDuplicatesWithinWatermark(task_id)`` (re-sent records are
-    dropped; state is bounded by the watermark) -> ``foreachBatch``, which
-    also sets aside records older than the watermark of the earlier batches
-    (latest processed start minus the delay; ``dropDuplicatesWithinWatermark``
-    only evicts state, it does not filter late rows) into a late sink:
-    rolling features need history, so each micro-batch is unioned with the
-    stored tasks whose frames a coming row may still need (the delay and two
-    windows before the latest start, partition-pruned by start date), completed
-    for W17 by each key's last rolling values before them (one row per key and
-    table, written per batch id), transformed with the fitted feature model, scored, and only the new rows
-    are kept.
-T3  flagged rows become alert events (JSON text).
+"""Structured Streaming scoring and alerting (T1-T5, Q1 on the stream's own alerts).
+
+T1  ``readStream`` of task records (Parquet, JSON or CSV) -> ``foreachBatch``.
+    Every record of a micro-batch is accounted for, in this order:
+    rejected (S15: unreadable or incomplete, kept with its raw text), late (its
+    start lies more than the delay before the latest one of earlier batches), a
+    duplicate (of a record of the batch or of an earlier one; named with its
+    number of copies), or scored.
+    Rolling features need history, so the scored tasks are unioned with the
+    stored ones whose frames a coming row may still need (the delay and two
+    windows before the latest start), completed for W17 by each key's last
+    rolling values before them (one row per key and table, written per batch id).
+T3  flagged rows become alert events, of which the cooldown (Q1) passes on those
+    that are not closer than it to an alert of their engine that was sent, in
+    this batch or an earlier one.
 T4  every alert sink is written from the same micro-batch (fan-out).
-T5  the newest published model version is looked up per micro-batch.
+T5  a micro-batch is bound to a model version when it is first tried
+    (``registry.BatchLedger``); its scores name the version.
 
-Every write is keyed by the batch id (overwrite of ``batch=<id>``), so a
-retried micro-batch replaces its own output instead of duplicating it.
+Every write is keyed by the batch id and replaces what an earlier try of the
+same batch wrote; a batch reads of its predecessors only what is bound to them.
+The history is stored by day (``start_date=<d>/batch=<id>``), so a batch lists
+the days it needs, however many batches there have been.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
-import time
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from taskwatch.config import Params
+from taskwatch.operators.cooldown import cooldown_batch
 from taskwatch.operators.rolling import ROLLING_SPEC, Carry
 from taskwatch.plans.detector import DetectorModel
 from taskwatch.plans.featurize import FeatureModel
-from taskwatch.plans.jobs import train_job
 from taskwatch.session import drop_paths, pin, pinned_scope
 from taskwatch.sources.readers import conform, validate_records
-from taskwatch.sources.schema import TASK_SCHEMA, TASK_TEXT_SCHEMA
-
-READY = "_READY"
-
-
-# ---------------------------------------------------------------- T5: versions
-
-def publish_model(spark: SparkSession, data_path: str, model_root: str,
-                  params: Params | None = None, version: str | None = None) -> str:
-    """Train into a new version folder, then write its ready marker last."""
-    version = version or _new_version()
-    path = os.path.join(model_root, f"version={version}")
-    train_job(spark, data_path, path, params)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite") \
-        .text(os.path.join(path, READY))
-    return path
-
-
-def _new_version() -> str:
-    """Ordered by time, and never the same for two publishes."""
-    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+from taskwatch.sources.schema import RAW_RECORD, TASK_SCHEMA, raw_text_schema
+from taskwatch.streaming.registry import BatchLedger, Files, ModelRegistry
 
 
 def publish_fitted(spark: SparkSession, features: FeatureModel, detector: DetectorModel,
                    model_root: str, version: str | None = None) -> str:
-    """Publish already-fitted models as a new version (ready marker last)."""
-    version = version or _new_version()
-    path = os.path.join(model_root, f"version={version}")
-    features.save(os.path.join(path, "features"))
-    detector.save(spark, os.path.join(path, "detector"))
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite") \
-        .text(os.path.join(path, READY))
-    return path
-
-
-def newest_version(spark: SparkSession, model_root: str) -> str:
-    """Path of the newest version whose ready marker exists."""
-    markers = spark.read.text(os.path.join(model_root, "version=*", READY))
-    row = markers.agg(F.max("value").alias("v")).first()
-    if row is None or row["v"] is None:
-        raise FileNotFoundError(f"no published model under {model_root}")
-    return os.path.join(model_root, f"version={row['v']}")
-
-
-class ModelCache:
-    def __init__(self, spark: SparkSession, model_root: str):
-        self.spark, self.root, self.path, self.models = spark, model_root, None, None
-
-    def get(self) -> tuple[FeatureModel, DetectorModel]:
-        path = newest_version(self.spark, self.root)
-        if path != self.path:
-            self.models = (FeatureModel.load(self.spark, os.path.join(path, "features")),
-                           DetectorModel.load(self.spark, os.path.join(path, "detector")))
-            self.path = path
-        return self.models
+    """Publish already-fitted models as a new version; its path."""
+    registry = ModelRegistry(spark, model_root)
+    return registry.path(registry.publish(features, detector, version))
 
 
 # ---------------------------------------------------------------- T1: the stream
 
 def read_task_stream(spark: SparkSession, path: str, fmt: str = "parquet",
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    schema = TASK_SCHEMA if fmt == "parquet" else TASK_TEXT_SCHEMA
-    reader = spark.readStream.schema(schema).format(fmt)
+    """Task records; of text that cannot be read as one, the line is kept in ``RAW_RECORD``."""
+    reader = spark.readStream.schema(TASK_SCHEMA if fmt == "parquet" else raw_text_schema()).format(fmt)
+    if fmt != "parquet":
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW_RECORD).option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return conform(reader.load(path))
 
 
-def deduplicated(stream: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """Event time = planned start; duplicates and too-late records are dropped."""
-    return (stream.withColumn("event_time", F.col("planned_start_ts").cast("timestamp"))
-            .withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(["task_id"]))
+class BatchScorer:
+    """The ``foreachBatch`` function of T1-T5 under the folder ``work``."""
 
+    def __init__(self, spark: SparkSession, model_root: str, paths: dict, days: int = 7, delay_days: int = 7):
+        self.spark, self.paths, self.days, self.delay_days = spark, paths, days, delay_days
+        self.registry, self.ledger = ModelRegistry(spark, model_root), BatchLedger(spark, paths["ledger"])
+        self.files = Files(spark)
 
-class BatchScorer:
-    """The ``foreachBatch`` function of T1-T4."""
-
-    def __init__(self, spark: SparkSession, model_root: str, history: str, scores: str,
-                 alert_sinks: list[str], rejects: str, late: str, days: int = 7, delay_days: int = 7,
-                 fills: str | None = None):
-        self.spark, self.history, self.scores, self.alert_sinks = spark, history, scores, alert_sinks
-        self.rejects, self.late, self.delay_days = rejects, late, delay_days
-        self.max_seen = None   # latest planned start processed so far
-        self.models = ModelCache(spark, model_root)
-        self.days = days
-        self.fills = fills or f"{history}-fills"
+    def _write(self, df: DataFrame, kind: str, batch_id: int) -> DataFrame:
+        path = os.path.join(self.paths[kind], f"batch={batch_id}")
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def _carry(self, batch_id: int) -> tuple[Carry, object, list[str]]:
         """The last values that the newest earlier batch stored, the start
         before which they were taken, and the folders of all earlier batches."""
-        ids = [b for b in batch_ids(self.spark, self.fills) if b < batch_id]
-        folders = [os.path.join(self.fills, f"batch={b}") for b in sorted(ids)]
+        fills = self.paths["fills"]
+        ids = [int(n[6:]) for n in self.files.names(fills) if n.startswith("batch=")]
+        whole = [b for b in ids if b < batch_id and self.files.exists(os.path.join(fills, f"batch={b}", "until", "_SUCCESS"))]
+        folders = [os.path.join(fills, f"batch={b}") for b in sorted(whole)]
         if not folders:
             return Carry(), None, folders
         until = self.spark.read.parquet(os.path.join(folders[-1], "until")).first()["until"]
         return Carry(ntz_literal(until), {p: self.spark.read.parquet(os.path.join(folders[-1], p)) for p in ROLLING_SPEC}), until, folders
 
-    def _store(self, carry: Carry, hi, batch_id: int) -> None:
+    def _store(self, carry: Carry, seen, batch_id: int) -> None:
         """Each key's last values before the first start that a coming row's
-        fill may look at, and that start."""
-        until = ntz_literal(hi) - F.expr(f"INTERVAL {self.delay_days + self.days} DAYS")
-        folder = os.path.join(self.fills, f"batch={batch_id}")
+        fill may look at, and that start (written last)."""
+        until = ntz_literal(seen) - F.expr(f"INTERVAL {self.delay_days + self.days} DAYS")
+        folder = os.path.join(self.paths["fills"], f"batch={batch_id}")
         for p, (key, _) in ROLLING_SPEC.items():
             carry.last(p, key, until).write.mode("overwrite").parquet(os.path.join(folder, p))
         self.spark.range(1).select(until.alias("until")).write.mode("overwrite").parquet(os.path.join(folder, "until"))
 
-    def _history(self, since, hi) -> DataFrame | None:
-        if not path_exists(self.spark, self.history):
-            return None   # nothing stored yet; any other failure is raised
-        schema = T.StructType(TASK_SCHEMA.fields + [T.StructField("batch", T.LongType()),
-                                                    T.StructField("start_date", T.DateType())])
-        hist = self.spark.read.schema(schema).parquet(self.history)
-        hi_ts = ntz_literal(hi)
-        if since is None:   # no values stored: all of the history
-            return hist.where((F.col("start_date") <= hi_ts.cast("date")) & (F.col("planned_start_ts") <= hi_ts))
-        lo_ts = ntz_literal(since)
-        lo_date = F.date_sub(lo_ts.cast("date"), self.days)
-        return hist.where((F.col("start_date") >= lo_date) & (F.col("start_date") <= hi_ts.cast("date"))
-                          & (F.col("planned_start_ts") > lo_ts - F.expr(f"INTERVAL {self.days} DAYS"))
-                          & (F.col("planned_start_ts") <= hi_ts))
-
-    def _recover_max_seen(self):
-        """After a restart: the latest start in the stored history (partition-pruned)."""
-        if not path_exists(self.spark, self.history):
-            return None
-        hist = self.spark.read.parquet(self.history)
-        last = hist.agg(F.max("start_date")).first()[0]
-        if last is None:
-            return None
-        return hist.where(F.col("start_date") == F.lit(last)).agg(F.max("planned_start_ts")).first()[0]
+    def _days(self, kind: str, lo: dt.datetime, hi: dt.datetime, schema: T.StructType, batch_id: int) -> DataFrame:
+        """What earlier batches stored for the days from ``lo`` to ``hi``."""
+        root = self.paths[kind]
+        full = T.StructType(schema.fields + [T.StructField("start_date", T.DateType()), T.StructField("batch", T.LongType())])
+        span = (hi.date() - lo.date()).days + 1
+        days = [os.path.join(root, f"start_date={lo.date() + dt.timedelta(days=i)}") for i in range(span)]
+        days = [d for d in days if self.files.exists(d)]
+        if not days:
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).option("basePath", root).parquet(*days).where(F.col("batch") < batch_id)
+
+    def _append_days(self, df: DataFrame, kind: str, time_col: str, batch_id: int) -> None:
+        """Store by day; a retried batch replaces its own part of each day."""
+        (df.withColumns({"start_date": F.to_date(time_col), "batch": F.lit(batch_id).cast("long")})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("start_date", "batch").parquet(self.paths[kind]))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # intermediate tables pinned for this batch are dropped once its outputs exist
@@ -176,93 +119,98 @@ class BatchScorer:
         drop_paths(self.spark, pinned)
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = self.spark
+        bound = self.ledger.open(batch_id, self.registry)
+        seen = dt.datetime.fromisoformat(bound["seen"]) if bound["seen"] else None
         # one evaluation of the micro-batch: what is scored, stored and rejected is the same
-        batch = pin(batch.drop("event_time"), "stream-batch")
-        tasks, rejected = validate_records(batch)                          # S15
-        rejected.write.mode("overwrite").parquet(os.path.join(self.rejects, f"batch={batch_id}"))
-        if self.max_seen is None:
-            self.max_seen = self._recover_max_seen()
-        if self.max_seen is not None:
-            limit = ntz_literal(self.max_seen) - F.expr(f"INTERVAL {self.delay_days} DAYS")
-            too_late = F.col("planned_start_ts") < limit
-            tasks.where(too_late).write.mode("overwrite").parquet(os.path.join(self.late, f"batch={batch_id}"))
+        tasks, rejected = validate_records(pin(batch, "stream-batch"))           # S15
+        self._write(rejected, "rejects", batch_id)
+        if seen is not None:
+            too_late = F.col("planned_start_ts") < ntz_literal(seen - dt.timedelta(days=self.delay_days))
+            self._write(tasks.where(too_late), "late", batch_id)
             tasks = tasks.where(~too_late)
+        cols = [c for c in TASK_SCHEMA.fieldNames() if c in tasks.columns]
         # of several records of one task the one that ended last counts, ties by all its fields
-        order = [F.col("actual_end_ts").desc(), F.xxhash64(*tasks.columns)]
-        tasks = pin(tasks.withColumn("__rn", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
-                    .where("__rn = 1").drop("__rn"), "stream-tasks")
-        span = tasks.agg(F.min("planned_start_ts").alias("lo"), F.max("planned_start_ts").alias("hi")).first()
-        if span is None or span["lo"] is None:
+        best = F.max(F.struct("actual_end_ts", F.xxhash64(*cols).alias("tie"), F.struct(*cols).alias("record")))
+        found = pin(tasks.groupBy("task_id").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")), "stream-tasks")
+        span = found.agg(F.min("best.record.planned_start_ts").alias("lo"), F.max("best.record.planned_start_ts").alias("hi")).first()
+        if span["lo"] is None:
+            self.ledger.close(batch_id, bound["seen"])
             return
-        fm, det = self.models.get()
-        cols = [c for c in TASK_SCHEMA.fieldNames() if c in tasks.columns]
-        new = tasks.select(*cols).withColumn("__new", F.lit(1))
+        hi = span["hi"] if seen is None else max(seen, span["hi"])
+        reach = dt.timedelta(days=self.delay_days + 2 * self.days)
+        hist = self._days("history", (span["lo"] if seen is None else min(seen, span["lo"])) - reach, hi, TASK_SCHEMA, batch_id)
+        known = found.join(hist.select("task_id", F.lit("earlier batch").alias("of")).distinct(), "task_id", "left")
+        known = pin(known, "stream-known")
+        copies = F.when(F.col("of").isNull(), F.col("copies") - 1).otherwise(F.col("copies"))
+        self._write(known.select("task_id", copies.alias("copies"), F.coalesce("of", F.lit("same batch")).alias("duplicate_of"))
+                    .where("copies > 0"), "duplicates", batch_id)
+        new = known.where(F.col("of").isNull()).select("best.record.*")
+        fm, det = self.registry.load(bound["version"])
         carry, since, earlier = self._carry(batch_id)
-        hist = self._history(since, span["hi"])
-        union = new
-        if hist is not None:
-            old = hist.join(tasks.select("task_id"), "task_id", "left_anti")
-            union = new.unionByName(old.select(*cols).withColumn("__new", F.lit(0)), allowMissingColumns=True)
-        X = fm.transform(union, extra=["__new"], carry=carry)
-        scored = det.score(X).where(F.col("__new") == 1).drop("__new")
-        scored = scored.withColumn("batch", F.lit(batch_id).cast("long"))
-        out = scored.select("batch", "task_id", "engine_id", "anomaly_flag", "anomaly_score",
+        if since is not None:
+            hist = hist.where(F.col("planned_start_ts") > ntz_literal(since) - F.expr(f"INTERVAL {self.days} DAYS"))
+        union = new.withColumn("__new", F.lit(1)).unionByName(hist.select(*cols).withColumn("__new", F.lit(0)))
+        X = fm.transform(union, extra=["__new", "actual_end_ts"], carry=carry)
+        scored = det.score(X.where(F.col("__new") == 1))
+        out = scored.select(F.lit(batch_id).cast("long").alias("batch"), F.lit(bound["version"]).alias("model_version"),
+                            "task_id", "engine_id", "anomaly_flag", "anomaly_score",
                             F.col("if_score_norm").alias("if_score"), F.col("ae_score_norm").alias("ae_score"),
-                            "if_flag", "ae_flag", "planned_start_ts")
-        out.write.mode("overwrite").parquet(os.path.join(self.scores, f"batch={batch_id}"))
-        written = spark.read.parquet(os.path.join(self.scores, f"batch={batch_id}"))
-        alerts = alert_events(written.where(F.col("anomaly_flag") == 1))
-        for sink in self.alert_sinks:                                        # T4 fan-out
-            alerts.write.mode("overwrite").text(os.path.join(sink, f"batch={batch_id}"))
-        hi = span["hi"] if self.max_seen is None else max(self.max_seen, span["hi"])
+                            "if_flag", "ae_flag", "planned_start_ts", "actual_end_ts")
+        self._alert(self._write(out, "scores", batch_id), det.params.alert_cooldown_minutes, batch_id)
         self._store(carry, hi if since is None else max(hi, since + dt.timedelta(days=self.delay_days + self.days)), batch_id)
-        drop_paths(spark, earlier[:-1])   # a retry needs the newest earlier one only
-        (new.drop("__new").withColumn("start_date", F.to_date("planned_start_ts"))
-         .write.mode("overwrite").partitionBy("start_date")
-         .parquet(os.path.join(self.history, f"batch={batch_id}")))
-        self.max_seen = hi
+        drop_paths(self.spark, earlier[:-1])   # a retry needs the newest earlier one only
+        self._append_days(new, "history", "planned_start_ts", batch_id)
+        self.ledger.close(batch_id, hi.isoformat())
+
+    def _alert(self, scored: DataFrame, minutes: int, batch_id: int) -> None:
+        """The alerts that the cooldown passes, to every sink."""
+        alerts = pin(alert_rows(scored), "stream-alerts")
+        span = alerts.agg(F.min("alert_time").alias("lo"), F.max("alert_time").alias("hi")).first()
+        if span["lo"] is not None:
+            near = dt.timedelta(minutes=minutes)
+            before = self._days("sent", span["lo"] - near, span["hi"] + near, alerts.schema, batch_id)
+            alerts = cooldown_batch(alerts, minutes, against=before)
+        else:
+            alerts = alerts.withColumn("sent", F.lit(0))
+        judged = self._write(alerts, "alerts", batch_id)
+        sent = judged.where("sent = 1").drop("sent")
+        for sink in self.paths["sinks"]:
+            alert_events(sent).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite") \
+                .text(os.path.join(sink, f"batch={batch_id}"))
+        self._append_days(sent, "sent", "alert_time", batch_id)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def ntz_literal(value):
+    """A wall-clock literal that does not pass through the driver's time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def batch_ids(spark: SparkSession, path: str) -> list[int]:
-    """Ids of the ``batch=<id>`` folders of ``path`` that are whole (``until`` is written last)."""
-    if not path_exists(spark, path):
-        return []
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-    names = [f.getPath().getName() for f in found]
-    return [int(n[6:]) for n in names if n.startswith("batch=") and path_exists(spark, os.path.join(path, n, "until", "_SUCCESS"))]
+def alert_rows(scored: DataFrame) -> DataFrame:
+    """Flagged tasks as alerts; an alert's time is the end of its task, when its record is complete."""
+    return scored.where(F.col("anomaly_flag") == 1).select(
+        "engine_id", "task_id", F.col("actual_end_ts").alias("alert_time"), "anomaly_score")
 
 
-def ntz_literal(value):
-    """A wall-clock literal that does not pass through the driver's time zone."""
-    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+def alert_events(alerts: DataFrame) -> DataFrame:
+    """One event per alert."""
+    return alerts.select(F.lit("anomaly_detected").alias("type"), "task_id", "engine_id", "anomaly_score",
+                         F.col("alert_time").alias("timestamp"))
 
 
-def alert_events(flagged: DataFrame) -> DataFrame:
-    """One JSON event per flagged task."""
-    return flagged.select(F.to_json(F.struct(
-        F.lit("anomaly_detected").alias("type"), "task_id", "engine_id", "anomaly_score",
-        F.date_format(F.col("planned_start_ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))).alias("value"))
+def stream_paths(work: str, n_alert_sinks: int = 2) -> dict:
+    """The folders of one scoring stream."""
+    names = ["scores", "alerts", "sent", "history", "fills", "rejects", "late", "duplicates", "ledger", "checkpoint"]
+    return {n: os.path.join(work, n) for n in names} | {
+        "sinks": [os.path.join(work, f"alerts_{i}") for i in range(n_alert_sinks)]}
 
 
 def run_scoring_stream(spark: SparkSession, source: str, model_root: str, work: str,
                        fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                       n_alert_sinks: int = 2) -> dict[str, str]:
-    """Run T1-T4 over everything in ``source`` (availableNow) and return the output paths."""
-    paths = {"scores": os.path.join(work, "scores"), "history": os.path.join(work, "history"),
-             "fills": os.path.join(work, "fills"), "rejects": os.path.join(work, "rejects"), "late": os.path.join(work, "late"),
-             "checkpoint": os.path.join(work, "checkpoint"),
-             "alerts": [os.path.join(work, f"alerts_{i}") for i in range(n_alert_sinks)]}
-    stream = deduplicated(read_task_stream(spark, source, fmt, max_files_per_trigger))
-    scorer = BatchScorer(spark, model_root, paths["history"], paths["scores"], paths["alerts"],
-                         rejects=paths["rejects"], late=paths["late"], fills=paths["fills"])
-    q = (stream.writeStream.foreachBatch(scorer).option("checkpointLocation", paths["checkpoint"])
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+                       n_alert_sinks: int = 2) -> dict:
+    """Run T1-T5 over everything in ``source`` (availableNow) and return the output paths."""
+    paths = stream_paths(work, n_alert_sinks)
+    query = (read_task_stream(spark, source, fmt, max_files_per_trigger).writeStream
+             .foreachBatch(BatchScorer(spark, model_root, paths)).option("checkpointLocation", paths["checkpoint"])
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
     return paths
