@@ -2,7 +2,8 @@
 
 ``attach`` never broadcasts on faith: the right side is first materialised
 in the shared checkpoint folder (which also cuts its lineage), counted, and
-its size estimated from the row count and the schema. Below the limit it is
+its size taken from the row count, the schema and the measured length of its
+strings, arrays and maps. Below the limit it is
 broadcast (no shuffle of the big side); above it, a plain equi-join lets
 Spark shuffle both sides, with AQE splitting skewed partitions.
 """
@@ -29,11 +30,25 @@ def row_width(schema: T.StructType, string_bytes: int = 32) -> int:
     return width
 
 
+def _held(f: T.StructField):
+    """Bytes in a value of variable length, as an expression; None for fixed ones."""
+    c, t = F.col(f"`{f.name}`"), f.dataType
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(t, T.ArrayType):
+        inner = next((w for k, w in _FIXED_WIDTH.items() if isinstance(t.elementType, k)), None)
+        return F.size(c) * inner if inner else F.octet_length(F.to_json(c))
+    if isinstance(t, (T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(c))
+    return None
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """Pin ``df`` and return it with its exact row count and estimated bytes."""
+    """Pin ``df`` and return it with its exact row count and its bytes."""
     pinned = pin(df)
-    rows = pinned.count()
-    return pinned, rows, rows * row_width(pinned.schema)
+    held = [e for e in map(_held, pinned.schema.fields) if e is not None]
+    row = pinned.agg(F.count(F.lit(1)).alias("n"), *[F.sum(e.cast("long")).alias(f"h{i}") for i, e in enumerate(held)]).first()
+    return pinned, row["n"], row["n"] * row_width(pinned.schema, 0) + sum(row[f"h{i}"] or 0 for i in range(len(held)))
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str],
@@ -42,7 +57,7 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str],
     """Join ``right`` onto ``left``; ``rows`` is the exact row count of ``right``
     when the caller already measured it (then ``right`` is not pinned again)."""
     if rows is None:
-        right, rows, size = measured(right)
+        right, _, size = measured(right)
     else:
         size = rows * row_width(right.schema)
     if size <= broadcast_limit_bytes:
