@@ -6,14 +6,20 @@ text as a whole. A unit's set of word bigrams is compared with the templates';
 Dice = 2 |A & B| / (|A| + |B|). A template of b bigrams can reach the
 threshold only for units of between b t / (2 - t) and b (2 - t) / t bigrams,
 so each template is listed once per size it can match and units meet their
-candidates in an equi-join on the size: all others are pruned unseen, and
-units with more spaces than ``ROOM`` times the widest bound, which would have
-to repeat every bigram, are dropped before their bigrams are made.
+candidates in an equi-join on the size: all others are pruned unseen.
 
-Templates are a parameter (a table of id and text). Their expanded list is
-broadcast if its measured size allows and joined by size otherwise. Bigrams
-are compared as 64-bit hashes. Each unit counts for its best template only,
-ties going to the smallest id.
+Before that, most text is set aside without being normalised. A match shares at
+least a bound of a template's bigrams (``_least``), so if all but fewer of them
+hold one of some words, every match holds one of these words. Such words are
+chosen for all templates, long ones first, and only texts, then units, that
+contain one are looked at. No match is lost, whatever words are chosen; the
+number of spaces or repeated words in a unit does not matter.
+
+Templates are a parameter (a table of id and text). The list of sizes and the
+bigrams, each template's once, are broadcast if their measured bytes allow and
+joined by shuffle otherwise; of more than ``FILTER_BIGRAMS`` template bigrams no
+words are chosen. Bigrams are compared as 64-bit hashes. Each unit counts for its
+best template only, ties going to the smallest id.
 
 Defined results: null or empty texts, units and templates with fewer than two
 words match nothing; a one-line text is one unit, not two; rows that repeat
@@ -24,14 +30,20 @@ are used.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from taskwatch.llm.common import let
 from taskwatch.operators.joins import attach
 from taskwatch.session import pin
 
 THRESHOLD = 0.8
-#: units with more spaces than this many times the widest bound are no notices
-ROOM = 4
+#: bigrams of all templates from which the words of the filter are chosen on the driver
+FILTER_BIGRAMS = 100_000
 
 #: license notices as they are commonly written (fixed values)
 TEMPLATES = [
@@ -93,27 +105,58 @@ def _bounds(b: Column, t: float) -> tuple[Column, Column]:
     return F.ceil(b * t / (2 - t) - 1e-9), F.floor(b * (2 - t) / t + 1e-9)
 
 
+def _least(b: int, t: float) -> int:
+    """Bigrams of a template with ``b`` that any unit reaching the threshold shares."""
+    return max(1, math.ceil(b * t / (2 - t) - 1e-9))
+
+
+def filter_words(templates: list[tuple[list[str], int]], threshold: float) -> list[str]:
+    """Words of which every match of a template holds one, from the templates'
+    (words in order, number of distinct bigrams)."""
+    chosen: set[str] = set()
+    for words, b in sorted(templates, key=lambda x: x[1]):
+        pairs = set(zip(words, words[1:]))
+        bare = {p for p in pairs if not chosen.intersection(p)}
+        for w in sorted({w for p in pairs for w in p}, key=lambda w: (-len(w), w)):
+            if len(bare) < _least(b, threshold):
+                break
+            if any(w in p for p in bare):
+                chosen.add(w)
+                bare = {p for p in bare if w not in p}
+    # a word that holds another chosen one is found with it
+    return sorted(w for w in chosen if not any(o != w and o in w for o in chosen))
+
+
+def _filter(theirs: DataFrame, threshold: float) -> Callable[[Column], Column]:
+    """A test that every matching unit, and every text with one, passes."""
+    if (theirs.agg(F.sum("b")).first()[0] or 0) > FILTER_BIGRAMS:
+        return lambda raw: raw.isNotNull()
+    words = filter_words([(r["clean"].split(" "), r["b"]) for r in theirs.select("clean", "b").collect()], threshold)
+    return lambda raw: let(F.lower(raw), lambda low: reduce(
+        or_, (F.contains(low, F.lit(w)) for w in words), F.lit(False)))
+
+
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text",
          threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, license, n_hits, shared, total)``: units per document whose
     best template is of that license, and the best unit's shared bigrams and
     sum of sizes, so that its Dice coefficient is 2 shared / total."""
     low, high = _bounds(F.col("b"), threshold)
-    listed = (known.select("license", bigrams(normalised(F.col("text"))).alias("theirs"))
-              .withColumn("b", F.size("theirs")).where("b > 0").distinct()
-              .withColumn("size", F.explode(F.sequence(F.greatest(low, F.lit(1)), high))))
-    listed = pin(listed.select("size", "license", "theirs", "b"), "license-templates")
-    widest = listed.agg(F.max("size")).first()[0] or 0
-    if not widest:
-        listed = listed.limit(0)
+    known = known.select("license", normalised(F.col("text")).alias("clean")).where("license IS NOT NULL AND clean IS NOT NULL")
+    theirs = pin(known.select("license", "clean", bigrams(F.col("clean")).alias("theirs"))
+                 .withColumn("b", F.size("theirs")).where("b > 0").dropDuplicates(["license", "theirs"])
+                 .withColumn("tid", F.xxhash64("license", "theirs")), "license-templates")
+    bodies = theirs.select("tid", "license", "theirs", "b")
+    sizes = theirs.select("tid", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("size"))
+    span = sizes.agg(F.max("size")).first()[0] or 0
+    held = _filter(theirs, threshold)
     t = F.col(text)
     lines = F.split(t, "\n")
     units = F.concat(lines, F.when(F.size(lines) > 1, F.array(t)).otherwise(F.array().cast("array<string>")))
-    rows = (docs.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("row"), F.posexplode(units).alias("pos", "raw"))
-            .where(F.length("raw") - F.length(F.translate("raw", " ", "")) <= ROOM * (widest + 1))
-            .withColumn("ours", bigrams(normalised(F.col("raw")))).drop("raw")
-            .withColumn("size", F.size("ours").cast("long")).where(F.col("size").between(1, widest)))
-    met = attach(rows, listed, ["size"], how="inner")
+    rows = (docs.where(held(t)).select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("row"), F.posexplode(units).alias("pos", "raw"))
+            .where(held(F.col("raw"))).withColumn("ours", bigrams(normalised(F.col("raw")))).drop("raw")
+            .withColumn("size", F.size("ours").cast("long")).where(F.col("size").between(1, span)))
+    met = attach(attach(rows, sizes, ["size"], how="inner"), bodies, ["tid"], how="inner")
     met = (met.withColumn("shared", F.size(F.array_intersect("ours", "theirs")))
            .withColumn("total", F.col("size") + F.col("b"))
            .where(2 * F.col("shared") >= threshold * F.col("total")))

@@ -141,14 +141,13 @@ n AS (
   SELECT license, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM k),
 t AS (
   SELECT DISTINCT license, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS theirs FROM n),
-wide AS (SELECT max(floor(len(theirs) * 1.5 + 1e-9)) AS widest FROM t),
 l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 u AS (
   SELECT doc_id, hash(text) AS h, unnest(list_concat(ls, CASE WHEN len(ls) > 1 THEN [text] ELSE [] END)) AS raw,
          unnest(range(len(ls) + (len(ls) > 1)::INT)) AS pos FROM l),
 v AS (
   SELECT doc_id, h, pos, string_split(trim(regexp_replace(lower(raw), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
-  FROM u, wide WHERE length(raw) - length(replace(raw, ' ', '')) <= 4 * (widest + 1)),
+  FROM u),
 o AS (
   SELECT doc_id, h, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ours FROM v),
 m AS (

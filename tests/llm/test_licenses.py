@@ -49,6 +49,38 @@ def test_matches_brute_force(make, spark):
     assert {tuple(r) for r in got} == brute(rows(), L.TEMPLATES) and len(got) == len({(r[0], r[1]) for r in got})
 
 
+def test_no_notice_is_lost_to_spaces_or_repeats(make, spark):
+    """Runs of spaces, and a notice whose bigrams are all said many times over."""
+    notes = [t for _, t in L.TEMPLATES]
+    given = [(i, n.replace(" ", " " * 8)) for i, n in enumerate(notes)]
+    given += [(100 + i, "x\n" + (n + " ") * 40 + "\ny") for i, n in enumerate(notes)]
+    got = L.scan(make(given, DOCS), L.templates(spark)).collect()
+    assert {tuple(r) for r in got} == brute(given, L.TEMPLATES)
+    assert {r["doc_id"] for r in got} >= set(range(len(notes)))
+
+
+def test_every_match_holds_a_word_of_the_filter():
+    """Whatever share of a template's bigrams a unit leaves out."""
+    import random
+    r, t = random.Random(2), 0.8
+    words = [re.sub(r"[\W_]+", " ", n.lower()).split() for _, n in L.TEMPLATES]
+    held = L.filter_words([(w, len(set(zip(w, w[1:])))) for w in words], t)
+    assert 0 < len(held) < 120
+    for w in words:
+        pairs = sorted(set(zip(w, w[1:])))
+        for _ in range(300):
+            some = r.sample(pairs, L._least(len(pairs), t))
+            assert any(h in x for p in some for x in p for h in held)
+        bare = [p for p in pairs if not any(h in x for x in p for h in held)]
+        assert len(bare) < L._least(len(pairs), t)
+
+
+def test_many_templates_do_without_the_filter(make, spark, monkeypatch):
+    monkeypatch.setattr(L, "FILTER_BIGRAMS", 10)
+    got = L.scan(make(rows(), DOCS), L.templates(spark)).collect()
+    assert {tuple(r) for r in got} == brute(rows(), L.TEMPLATES)
+
+
 def test_empty_tables_and_odd_templates(make, spark):
     known = L.templates(spark)
     assert L.scan(make([], DOCS), known).count() == 0 and L.scan(make(rows(), DOCS), known.limit(0)).count() == 0
