@@ -28,9 +28,10 @@ from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
 from taskwatch.operators.split import time_split, without_start
 from taskwatch.plans.featurize import row_features, select_features
 from taskwatch.functions.features import feature_names
-from taskwatch.sources.readers import conform, tasks_from_events, validate_records
-from taskwatch.session import pin
-from taskwatch.sources.schema import TASK_COLUMNS, TIMESTAMP_COLUMNS
+from taskwatch.sources.readers import conform, read_json_tasks, tasks_from_events, validate_records
+from taskwatch.session import pin, scratch_path
+from taskwatch.sources.schema import RAW_RECORD, TASK_COLUMNS, TIMESTAMP_COLUMNS
+from taskwatch.streaming.scoring import alert_events, alert_rows
 
 P = Params()
 
@@ -256,9 +257,8 @@ def q_scoring_summary(spark, sf):
 
 
 def q_alert_events(spark, sf):
-    s = scored(spark, sf).where(F.col("anomaly_flag") == 1)
-    return rounded(s.select(F.lit("anomaly_detected").alias("type"), "task_id", "engine_id",
-                            "anomaly_score", F.col("actual_end_ts").alias("timestamp")))
+    """The events that the scoring stream sends for its alerts."""
+    return rounded(alert_events(alert_rows(scored(spark, sf))))
 
 
 def q_calibration(spark, sf):
@@ -308,6 +308,20 @@ def q_rejected_tasks(spark, sf):
         "task_id", F.concat_ws(",", "missing_fields").alias("missing_fields"))
 
 
+def q_broken_lines(spark, sf):
+    """The tasks as JSON lines, some cut off and some without an id, read
+    back: the lines that are no records, as they came, and why others are refused."""
+    t = tasks(spark, sf)
+    n, fields = F.substring("task_id", 3, 20).cast("long"), t.columns
+    line = (F.when(n % 19 == 0, F.concat(F.lit('{"task_id": "'), F.col("task_id"), F.lit('", "planned')))
+            .when(n % 23 == 0, F.to_json(F.struct(*[c for c in fields if c != "task_id"]))).otherwise(F.to_json(F.struct(*fields))))
+    path = scratch_path(spark, "json-lines")
+    t.select(line.alias("value")).write.text(path)
+    rejected = validate_records(read_json_tasks(spark, path))[1]
+    return rejected.select(F.when(F.array_contains("missing_fields", RAW_RECORD), F.col("raw")).alias("line"),
+                           F.col("missing_fields")[0].alias("reason"))
+
+
 def q_parsed_split(spark, sf):
     """F13 where some tasks have no start: they are in neither part."""
     part = F.when(F.col("is_train") == 1, "train").when(F.col("is_train") == 0, "test").otherwise("none")
@@ -349,6 +363,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_thresholds": q_score_thresholds,
     "parsed_tasks": q_parsed_tasks,
     "rejected_tasks": q_rejected_tasks,
+    "broken_lines": q_broken_lines,
     "parsed_split": q_parsed_split,
     "time_split_rejects": q_time_split_rejects,
     "cooldown_rules": q_cooldown_rules,
@@ -546,6 +561,10 @@ WHERE planned_start_ts IS NOT NULL AND actual_end_ts IS NOT NULL""")
 SELECT task_id, concat_ws(',', CASE WHEN planned_start_ts IS NULL THEN 'planned_start_ts' END,
                           CASE WHEN actual_end_ts IS NULL THEN 'actual_end_ts' END) AS missing_fields
 FROM texts WHERE planned_start_ts IS NULL OR actual_end_ts IS NULL""")
+    out["broken_lines"] = S.with_ctes(S.TASKS, body="""
+SELECT CASE WHEN CAST(substr(task_id, 3) AS BIGINT) % 19 = 0 THEN '{"task_id": "' || task_id || '", "planned' END AS line,
+       CASE WHEN CAST(substr(task_id, 3) AS BIGINT) % 19 = 0 THEN '_raw_record' ELSE 'task_id' END AS reason
+FROM tasks WHERE CAST(substr(task_id, 3) AS BIGINT) % 19 = 0 OR CAST(substr(task_id, 3) AS BIGINT) % 23 = 0""")
     out["parsed_split"] = S.with_ctes(S.TASKS, text, body="""
 SELECT task_id, CASE WHEN planned_start_ts IS NULL THEN 'none'
          WHEN row_number() OVER (ORDER BY planned_start_ts NULLS LAST, task_id)
