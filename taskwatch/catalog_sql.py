@@ -245,15 +245,16 @@ rs AS (
 
 
 def ensemble_cte(static: bool = False, thr: float = 0.2, factor: float = 0.7,
-                 w_if: float = 0.5, w_ae: float = 0.5) -> str:
+                 w_if: float = 0.5, w_ae: float = 0.5, ranges: str | None = None) -> str:
     agree = repr(thr * factor)
     if static:
         blend = f"{w_if}::DOUBLE * if_n + {w_ae}::DOUBLE * ae_n"
     else:
         blend = (f"(abs(if_n - {thr}::DOUBLE) / (abs(if_n - {thr}::DOUBLE) + abs(ae_n - {thr}::DOUBLE) + 1e-6::DOUBLE)) * if_n"
                  f" + (abs(ae_n - {thr}::DOUBLE) / (abs(if_n - {thr}::DOUBLE) + abs(ae_n - {thr}::DOUBLE) + 1e-6::DOUBLE)) * ae_n")
+    ranges = ranges or "SELECT min(if_score) AS if_lo, max(if_score) AS if_hi, min(ae_score) AS ae_lo, max(ae_score) AS ae_hi FROM rs"
     return f"""
-rng AS (SELECT min(if_score) AS if_lo, max(if_score) AS if_hi, min(ae_score) AS ae_lo, max(ae_score) AS ae_hi FROM rs),
+rng AS ({ranges}),
 nrm AS (
   SELECT rs.*,
     CASE WHEN if_hi = if_lo THEN 0.0 ELSE least(greatest((if_score - if_lo) / (if_hi - if_lo), 0.0), 1.0) END AS if_n,

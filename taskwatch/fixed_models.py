@@ -68,11 +68,27 @@ def q_nested_results(spark, sf):
         F.col("result.model_flags.isolation_forest").alias("if_flag"), F.col("result.model_flags.autoencoder").alias("ae_flag")))
 
 
+def q_nested_explained(spark, sf):
+    """E8 with explanations, on the fixed model, read back from the nested
+    result: one row per task, model and rank."""
+    r = model().results(tasks(spark, sf))
+    e = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"result.explainability.{m}").alias("top"))
+                            for m in ("isolation_forest", "autoencoder")]))
+    cells = r.select("task_id", "result", e.alias("e")).select(
+        "task_id", "result", "e.model", F.posexplode("e.top").alias("rank", "c"))
+    return rounded(cells.select(
+        "task_id", "result.anomaly_flag", "result.anomaly_score",
+        F.col("result.model_scores.isolation_forest").alias("if_score"), F.col("result.model_scores.autoencoder").alias("ae_score"),
+        F.col("result.model_flags.isolation_forest").alias("if_flag"), F.col("result.model_flags.autoencoder").alias("ae_flag"),
+        "model", (F.col("rank") + 1).alias("rank"), "c.feature", "c.contribution", "c.signed_contribution"))
+
+
 FIXED_QUERIES = {
     "fixed_scores": q_fixed_scores,
     "fixed_explanations": q_fixed_explanations,
     "fixed_contributions": q_fixed_contributions,
     "nested_results": q_nested_results,
+    "nested_explained": q_nested_explained,
 }
 
 _C = "(2 * (ln({0} - 1.0::DOUBLE) + 0.5772156649::DOUBLE) - 2 * ({0} - 1.0::DOUBLE) / {0})"
@@ -116,6 +132,15 @@ SELECT task_id, model, CAST(rank AS INTEGER) AS rank, feature, round(contributio
 SELECT model, feature, round(mean_abs, 6) + 0.0 AS mean_abs_contribution, n,
        CAST(row_number() OVER (PARTITION BY model ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank
 FROM (SELECT model, feature, avg(abs(contribution)) AS mean_abs, count(*) AS n FROM top GROUP BY model, feature)"""),
+        "nested_explained": S.with_ctes(S.TASKS, _BASE, _CELLS, """
+rs AS (
+  SELECT task_id, if_score, (r0 * r0 + r1 * r1 + r2 * r2) / 3 AS ae_score, CAST(if_score > 0.55 AS INTEGER) AS if_flag,
+         CAST((r0 * r0 + r1 * r1 + r2 * r2) / 3 > 400 AS INTEGER) AS ae_flag FROM m)""", S.ensemble_cte(
+            ranges="SELECT 0.4::DOUBLE AS if_lo, 0.8::DOUBLE AS if_hi, 0.0::DOUBLE AS ae_lo, 5000.0::DOUBLE AS ae_hi"), body="""
+SELECT task_id, anomaly_flag, round(anomaly_score, 6) + 0.0 AS anomaly_score, round(if_n, 6) + 0.0 AS if_score,
+       round(ae_n, 6) + 0.0 AS ae_score, if_flag, ae_flag, model, CAST(rank AS INTEGER) AS rank, feature,
+       round(contribution, 6) + 0.0 AS contribution, round(signed_contribution, 6) + 0.0 AS signed_contribution
+FROM scored JOIN top USING (task_id)"""),
         "nested_results": S.with_ctes(S.TASKS, S.ROW_FEATURES, S.RULE_SCORES_CTE, S.ensemble_cte(), body="""
 SELECT task_id, anomaly_flag, round(anomaly_score, 6) + 0.0 AS anomaly_score, round(if_n, 6) + 0.0 AS if_score,
        round(ae_n, 6) + 0.0 AS ae_score, if_flag, ae_flag FROM scored"""),

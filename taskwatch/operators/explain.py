@@ -1,9 +1,10 @@
 """Per-row explanations (I5, R7) and their summary.
 
 Explanations are computed only for the rows that need them (the caller
-filters to flagged rows first), in one pandas UDF per model that returns the
-top-k list ``[{feature, contribution, signed_contribution}]`` ranked by
-absolute contribution.
+filters to flagged rows first). One Arrow UDF per model gives every row its
+credits as a flat array in feature order; they are ranked by absolute credit
+in the JVM, ties in feature order, and cut to the top-k list
+``[{feature, contribution, signed_contribution}]``.
 
 Forest: path attribution (see ``operators.forest``), contribution and
 signed contribution are both the signed credit, ranked by absolute value.
@@ -13,45 +14,40 @@ Reconstruction: contribution = |x - x_hat|, signed = x - x_hat.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taskwatch.session import broadcast_model
-from taskwatch.sources.schema import CONTRIBUTION_TYPE
 
 
-def _top_k(values: np.ndarray, signed: np.ndarray, names: list[str], k: int) -> list:
-    k = min(k, values.shape[1])
-    order = np.argsort(-np.abs(values), axis=1, kind="stable")[:, :k]
-    out = []
-    for i in range(values.shape[0]):
-        out.append([{"feature": names[j], "contribution": float(values[i, j]),
-                     "signed_contribution": float(signed[i, j])} for j in order[i]])
-    return out
+def _credits(bc, method: str, features: list[str]) -> Column:
+    """``method`` of the broadcast model over the feature columns: array<double> per row."""
 
+    @F.arrow_udf("array<double>")
+    def credit(*cols: pa.Array) -> pa.Array:
+        X = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols])
+        out = getattr(bc.value, method)(X)
+        offsets = np.arange(len(X) + 1, dtype=np.int32) * out.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
-def forest_top_column(model, features: list[str], k: int = 5) -> Column:
-    bc = broadcast_model(model)
+    return credit(*[F.col(f).cast("double") for f in features])
 
-    @F.pandas_udf(CONTRIBUTION_TYPE)
-    def if_top(*cols: pd.Series) -> pd.Series:
-        X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        contrib = bc.value.contributions(X)
-        return pd.Series(_top_k(contrib, contrib, features, k))
 
-    return if_top(*[F.col(f).cast("double") for f in features])
+def _top_k(credits: Column, features: list[str], k: int, absolute: bool) -> Column:
+    pairs = F.transform(credits, lambda v, i: F.struct((-F.abs(v)).alias("rank"), i.alias("i"), v.alias("v")))
+    names = F.array(*[F.lit(f) for f in features])
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: F.struct(
+        F.get(names, x["i"]).alias("feature"),
+        (F.abs(x["v"]) if absolute else x["v"]).alias("contribution"),
+        x["v"].alias("signed_contribution")))
 
 
-def reconstruction_top_column(model, features: list[str], k: int = 5) -> Column:
-    bc = broadcast_model(model)
+def forest_top_column(model, features: list[str], k: int = 5) -> Column:
+    return _top_k(_credits(broadcast_model(model), "contributions", features), features, k, False)
 
-    @F.pandas_udf(CONTRIBUTION_TYPE)
-    def ae_top(*cols: pd.Series) -> pd.Series:
-        X = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        r = bc.value.residuals(X)
-        return pd.Series(_top_k(np.abs(r), r, features, k))
 
-    return ae_top(*[F.col(f).cast("double") for f in features])
+def reconstruction_top_column(model, features: list[str], k: int = 5) -> Column:
+    return _top_k(_credits(broadcast_model(model), "residuals", features), features, k, True)
 
 
 def explanation_rows(df: DataFrame) -> DataFrame:

@@ -182,53 +182,58 @@ class ForestModel:
                                            "leaf_h", "value"])
 
     # ---- vectorised scoring
-    def path_length(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        """Mean path length over all trees, walking every tree at once per level
-        on a (rows x trees) index matrix; rows go in chunks to bound memory."""
+    def _walk(self, X: np.ndarray):
+        """All rows down all trees at once, level by level, on (rows x trees)
+        matrices: the flat node ids before and after the level, the split
+        feature, and where the node before is no leaf."""
         T, M = self.feature_idx.shape
-        if T == 0:
-            return np.zeros(X.shape[0])
         fi, th = self.feature_idx.ravel(), self.threshold.ravel()
-        le, ri, lh = self.left.ravel(), self.right.ravel(), self.leaf_h.ravel()
+        le, ri = self.left.ravel(), self.right.ravel()
         base = (np.arange(T, dtype=np.int64) * M)[None, :]
-        out = np.empty(X.shape[0])
+        rows = np.arange(X.shape[0])[:, None]
+        node = np.broadcast_to(base, (X.shape[0], T))
+        for _ in range(self.max_depth):
+            f = fi[node]
+            internal = f >= 0
+            if not internal.any():
+                return
+            f = np.where(internal, f, 0)
+            after = np.where(internal, base + np.where(X[rows, f] <= th[node], le[node], ri[node]), node)
+            yield node, after, f, internal
+            node = after
+
+    def path_length(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Mean path length over all trees; rows go in chunks to bound memory."""
+        T, M = self.feature_idx.shape
+        out = np.zeros(X.shape[0])
+        if T == 0:
+            return out
+        lh = self.leaf_h.ravel()
         for s0 in range(0, X.shape[0], chunk):
-            Xc = X[s0:s0 + chunk]
-            rows = np.arange(Xc.shape[0])[:, None]
-            node = np.zeros((Xc.shape[0], T), dtype=np.int64)
-            for _ in range(self.max_depth):
-                g = base + node
-                f = fi[g]
-                internal = f >= 0
-                if not internal.any():
-                    break
-                x = Xc[rows, np.where(internal, f, 0)]
-                node = np.where(internal, np.where(x <= th[g], le[g], ri[g]), node)
-            out[s0:s0 + chunk] = lh[base + node].mean(axis=1)
+            part = X[s0:s0 + chunk]
+            node = np.broadcast_to(np.arange(T, dtype=np.int64) * M, (len(part), T))
+            for _, node, _, _ in self._walk(part):
+                pass
+            out[s0:s0 + chunk] = lh[node].mean(axis=1)
         return out
 
     def score(self, X: np.ndarray) -> np.ndarray:
         return np.power(2.0, -self.path_length(X) / c_factor([self.psi])[0])
 
-    def contributions(self, X: np.ndarray) -> np.ndarray:
-        B, d = X.shape[0], len(self.features)
-        out = np.zeros((B, d))
-        rows = np.arange(B)
-        T_ = self.feature_idx.shape[0]
-        for t in range(T_):
-            node = np.zeros(B, dtype=np.int32)
-            for _ in range(self.max_depth):
-                f = self.feature_idx[t, node]
-                internal = f >= 0
-                if not internal.any():
-                    break
-                fs = np.where(internal, f, 0)
-                go_left = X[rows, fs] <= self.threshold[t, node]
-                nxt = np.where(go_left, self.left[t, node], self.right[t, node])
-                delta = np.where(internal, self.value[t, nxt] - self.value[t, node], 0.0)
-                np.add.at(out, (rows, fs), delta)
-                node = np.where(internal, nxt, node)
-        return out / max(T_, 1)
+    def contributions(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Per row and feature, the change of the expected path length along
+        the row's paths, credited to the feature split on; mean over the trees."""
+        T, d = self.feature_idx.shape[0], len(self.features)
+        out = np.zeros((X.shape[0], d))
+        value = self.value.ravel()
+        for s0 in range(0, X.shape[0], chunk):
+            part = X[s0:s0 + chunk]
+            cell = np.arange(len(part))[:, None] * d
+            for node, after, f, internal in self._walk(part):
+                credit = (value[after] - value[node])[internal]
+                out[s0:s0 + chunk] += np.bincount((cell + f)[internal], weights=credit,
+                                                  minlength=len(part) * d).reshape(len(part), d)
+        return out / max(T, 1)
 
 
 def fit_forest(X: DataFrame, features: list[str], params: Params | None = None,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskwatch.config import Params
 from taskwatch.operators.autoencoder import AutoencoderModel, fit_autoencoder, flatten, unflatten
-from taskwatch.operators.ensemble import ensemble
+from taskwatch.operators.ensemble import ensemble, nested_result, single
 from taskwatch.operators.explain import forest_top_column, reconstruction_top_column
 from taskwatch.operators.forest import ForestModel, fit_forest, score_column
 from taskwatch.operators.quantiles import quantile_of
@@ -62,6 +62,15 @@ class DetectorModel:
             "ae_top": reconstruction_top_column(self.recon, self.features, k),
         })
 
+    def results(self, X: DataFrame) -> DataFrame:
+        """Every task's nested result, explanations included."""
+        return nested_result(self.explain(self.score(X)))
+
+    def single_result(self, X: DataFrame, task_id: str) -> dict:
+        """One task's nested result; only its row is scored and explained.
+        Raises unless exactly one row of ``X`` has that id."""
+        return self.results(single(X, task_id)).first()["result"].asDict(recursive=True)
+
     # ---- S7-S9
     def save(self, spark: SparkSession, path: str) -> None:
         meta = {"params": self.params.to_dict(), "features": self.features,

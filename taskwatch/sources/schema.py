@@ -65,9 +65,3 @@ def raw_text_schema() -> T.StructType:
 REQUEST_TEXT_SCHEMA = T.StructType([f for f in TASK_TEXT_SCHEMA.fields if f.name in REQUEST_COLUMNS])
 
 IDENTITY_COLUMNS = ["engine_id", "module_id", "submodule_id", "task_id", "wo_id"]
-
-CONTRIBUTION_TYPE = T.ArrayType(T.StructType([
-    T.StructField("feature", T.StringType(), True),
-    T.StructField("contribution", T.DoubleType(), True),
-    T.StructField("signed_contribution", T.DoubleType(), True),
-]))

@@ -88,3 +88,35 @@ def test_autoencoder_gradients_and_training(spark):
                         time_col="none", val_fraction=0.0)
     base = np.mean(np.mean((Xs - Xs.mean(axis=0)) ** 2, axis=1))
     assert np.mean(m.errors(Xs)) < base
+
+
+def test_explanations_against_sorting(spark):
+    """Top lists from the JVM equal a stable sort of the model's credits, ties included."""
+    from taskwatch.operators.explain import forest_top_column, reconstruction_top_column
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(300, 6)).round(1)
+    X[:, 5] = 0.0                                 # never split on: credit 0, ties in feature order
+    df, feats = _frame(spark, X)
+    forest, recon = fit_forest(df, feats, P), fit_reconstruction(df, feats, Params(n_components=2))
+    for top, credit in ((forest_top_column(forest, feats, 6), forest.contributions(X)),
+                        (reconstruction_top_column(recon, feats, 6), recon.residuals(X))):
+        got = {r["task_id"]: r["top"] for r in df.select("task_id", top.alias("top")).collect()}
+        for i in range(len(X)):
+            order = np.argsort(-np.abs(credit[i]), kind="stable")
+            assert [c["feature"] for c in got[f"t{i}"]] == [feats[j] for j in order]
+            assert np.allclose([c["signed_contribution"] for c in got[f"t{i}"]], credit[i][order])
+    empty = df.limit(0).select(forest_top_column(forest, feats).alias("top"))
+    assert empty.count() == 0
+
+
+def test_single_result_is_the_row_of_the_batch(spark):
+    from conftest import SF0001
+    from taskwatch.catalog import tasks
+    from taskwatch.fixed_models import model
+    t = tasks(spark, SF0001)
+    batch = {r["task_id"]: r["result"].asDict(recursive=True) for r in model().results(t).collect()}
+    for task in list(batch)[:3]:
+        one = model().single_result(t, task)
+        assert one == batch[task] and len(one["explainability"]["autoencoder"]) == 2
+    with pytest.raises(ValueError):
+        model().single_result(t, "none such")
