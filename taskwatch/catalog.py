@@ -20,6 +20,7 @@ from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, fit_categ
 from taskwatch.operators import metrics as M
 from taskwatch.operators.cooldown import cooldown_batch
 from taskwatch.operators.ensemble import anomaly_summary, ensemble, fit_score_range
+from taskwatch.operators.fill import forward_fill
 from taskwatch.operators.groups import GROUP_MEANS, apply_group_means, dataset_profile, fit_group_means
 from taskwatch.operators.quantiles import quantile_of
 from taskwatch.operators.reconstruct import fit_error_threshold
@@ -287,6 +288,19 @@ def q_score_thresholds(spark, sf):
         "if_threshold double, ae_threshold double"))
 
 
+def q_forward_filled(spark, sf):
+    """the optional fill per key, on two columns with long and short gaps."""
+    n = F.substring("task_id", 3, 20).cast("long")
+    gaps = tasks(spark, sf).select(
+        "task_id", "engine_id", "planned_start_ts",
+        F.when(n % 37 == 0, F.col("tat_hours_engine")).alias("tat_hours_engine"),
+        F.when(n % 3 != 0, F.col("snag_count")).alias("snag_count"))
+    out = forward_fill(gaps, ["tat_hours_engine", "snag_count"], "engine_id", "planned_start_ts", "task_id",
+                       P.broadcast_limit_bytes)
+    return rounded(out.select("task_id", F.coalesce("tat_hours_engine", F.lit(0.0)).alias("tat_hours_engine"),
+                              F.coalesce("snag_count", F.lit(0)).alias("snag_count")))
+
+
 def text_tasks(spark, sf) -> DataFrame:
     """The task view as a text file would bring it: ISO strings, some broken or empty."""
     t = tasks(spark, sf)
@@ -347,6 +361,7 @@ def q_scoring_results(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "forward_filled": q_forward_filled,
     "task_view": q_task_view,
     "time_features": q_time_features,
     "encodings": q_encodings,
@@ -583,6 +598,20 @@ sent AS (
 SELECT al.task_id, al.engine_id, CAST(sent.x IS NOT NULL AS INTEGER) AS sent
 FROM al LEFT JOIN sent ON sent.engine_id = al.engine_id AND sent.x.id = al.task_id""").replace("WITH", "WITH RECURSIVE", 1)
     kpi_cols = [f"kpi_{c}_{a}" for c, aggs in KPI_SPEC[1] for a in aggs]
+    out["forward_filled"] = S.with_ctes(S.TASKS, body="""
+SELECT task_id,
+       round(coalesce(last_value(CASE WHEN CAST(substr(task_id, 3) AS BIGINT) % 37 = 0 THEN tat_hours_engine END IGNORE NULLS) OVER w, 0), 6) + 0.0 AS tat_hours_engine,
+       coalesce(last_value(CASE WHEN CAST(substr(task_id, 3) AS BIGINT) % 3 <> 0 THEN snag_count END IGNORE NULLS) OVER w, 0) AS snag_count
+FROM tasks
+WINDOW w AS (PARTITION BY engine_id ORDER BY planned_start_ts, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+    out["late_labels"] = S.with_ctes(S.TASKS, S.ROW_FEATURES, S.RULE_SCORES_CTE, S.ensemble_cte(), """
+given AS (
+  SELECT task_id, CAST(substr(task_id, 3) AS BIGINT) % 9 AS days, is_anomaly AS label FROM scored
+  UNION ALL
+  SELECT task_id, 6, 1 - is_anomaly FROM scored WHERE CAST(substr(task_id, 3) AS BIGINT) % 10 = 0)""", body="""
+SELECT task_id, any_value(anomaly_flag) AS anomaly_flag, round(any_value(anomaly_score), 6) + 0.0 AS anomaly_score,
+       CAST(max(days * 2 + label) % 2 AS INTEGER) AS is_anomaly, count(*) AS n_labels
+FROM scored JOIN given USING (task_id) WHERE days <= 7 GROUP BY task_id""")
     out["kpi_rolling"] = S.with_ctes(*B, S.rolling_cte("kpi", KPI_SPEC[0], KPI_SPEC[1], S.FRAME_30D),
                                      body=f"SELECT task_id, {S.rounded(kpi_cols, set(kpi_cols))} FROM r_kpi")
     out["scoring_results"] = S.with_ctes(*E, body="""

@@ -50,6 +50,7 @@ class Params:
     test_size: float = 0.2
     alert_cooldown_minutes: int = 30
     top_k: int = 5
+    fill_key: str | None = None         # column whose last value fills a gap before 0 does; None: 0 alone
 
     # largest side (bytes, estimated) we are willing to broadcast after checking
     broadcast_limit_bytes: int = 64 * 1024 * 1024

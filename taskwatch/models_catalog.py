@@ -11,15 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taskwatch.catalog import rounded, tasks
+from taskwatch.catalog import rounded, scored, tasks
 from taskwatch.config import Params
 from taskwatch.operators import metrics as M
 from taskwatch.operators.explain import explanation_rows, top_feature_summary
 from taskwatch.operators.cooldown import cooldown_batch
 from taskwatch.plans.jobs import Fitted, evaluation_tables, fit_and_score, training_metrics
-from taskwatch.session import scratch_path
+from taskwatch.session import pin, scratch_path
 from taskwatch.sources.readers import newest_file
 from taskwatch.streaming.cooldown import alert_rows, cooldown_stream
+from taskwatch.streaming.labels import labelled, latest_label
 from taskwatch.streaming.scoring import publish_fitted, run_scoring_stream
 
 _FITS: dict[tuple[str, str], Fitted] = {}
@@ -130,6 +131,33 @@ def q_stream_cooldown(spark, sf):
     return rounded(spark.read.parquet(out))
 
 
+def late_label_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Rule scores at the task's end, and labels that come 0 to 8 days after it;
+    every tenth task is labelled anew, the other way, six days after it."""
+    s = pin(scored(spark, sf).select("task_id", F.col("actual_end_ts").cast("timestamp").alias("scored_at"),
+                                     "anomaly_flag", "anomaly_score", "is_anomaly"), "late-scores")
+    n = F.substring("task_id", 3, 20).cast("long")
+    later = lambda days: F.timestamp_add("DAY", days, F.col("scored_at"))
+    labels = s.select("task_id", later(n % 9).alias("labelled_at"), "is_anomaly").unionByName(
+        s.where(n % 10 == 0).select("task_id", later(F.lit(6)).alias("labelled_at"), (1 - F.col("is_anomaly")).alias("is_anomaly")))
+    return s.drop("is_anomaly"), labels
+
+
+def q_late_labels(spark, sf):
+    """Scores and late labels as two streams, joined; the label that came
+    last of those within seven days."""
+    tables = dict(zip(("scored_at", "labelled_at"), late_label_tables(spark, sf)))
+    streams = {}
+    for time, table in tables.items():
+        src = write_in_order(table, time, "late-" + time)
+        streams[time] = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES).parquet(src)
+    out = scratch_path(spark, "late-joined")
+    q = (labelled(streams["scored_at"], streams["labelled_at"]).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-ckpt").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return rounded(latest_label(spark.read.parquet(out).drop("scored_at")))
+
+
 def q_newest_table(spark, sf):
     """What the newest Parquet file in the data folder holds: its columns,
     the rows and the non-null values of each."""
@@ -141,6 +169,7 @@ def q_newest_table(spark, sf):
 
 
 MODEL_QUERIES = {
+    "late_labels": q_late_labels,
     "iforest_scores": q_iforest_scores,
     "reconstruction_scores": q_reconstruction_scores,
     "hybrid_scores": q_hybrid_scores,

@@ -18,9 +18,11 @@ from taskwatch.functions.context import context_features
 from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, encoding_features, fit_categories
 from taskwatch.functions.features import feature_names
 from taskwatch.functions.time import with_time_features
+from taskwatch.operators.fill import forward_fill
 from taskwatch.operators.groups import apply_group_means, fit_global_means, fit_group_means
 from taskwatch.operators.rolling import Carry, with_rolling_features
 from taskwatch.operators.scaling import apply_robust_scaler, fit_robust_scaler
+from taskwatch.session import pin
 from taskwatch.sources.schema import IDENTITY_COLUMNS
 
 LABEL = "is_anomaly"
@@ -43,8 +45,10 @@ def engineered(df: DataFrame, categories, group_tables, global_means, params: Pa
 
 
 def select_features(df: DataFrame, features: list[str], strict: bool = True,
-                    extra: list[str] | None = None) -> DataFrame:
-    """Identity + label + ordered features, missing -> 0.
+                    extra: list[str] | None = None, fill_key: str | None = None) -> DataFrame:
+    """Identity + label + ordered features, missing -> 0, or
+    with ``fill_key`` (F4) first the last value of that key before the task's
+    start and 0 where there is none.
 
     The reference drops unknown names silently (F2); here a missing feature is
     an error unless ``strict=False``.
@@ -59,6 +63,8 @@ def select_features(df: DataFrame, features: list[str], strict: bool = True,
     if "planned_start_ts" in df.columns:
         keep.append("planned_start_ts")
     keep += [c for c in (extra or []) if c in df.columns and c not in keep]
+    if fill_key is not None:
+        df = forward_fill(df, present, fill_key, "planned_start_ts", "task_id")
     return df.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
                               for f in present])
 
@@ -73,8 +79,10 @@ class FeatureModel:
     features: list[str] = field(default_factory=list)
 
     def raw(self, df: DataFrame, extra: list[str] | None = None, carry: Carry | None = None) -> DataFrame:
+        if carry is not None and self.params.fill_key is not None:
+            raise ValueError("a fill per key looks back without limit: it is for batch jobs, not for a stream")
         eng = engineered(df, self.categories, self.group_tables, self.global_means, self.params, carry)
-        return select_features(eng, self.features, extra=extra)
+        return select_features(eng, self.features, extra=extra, fill_key=self.params.fill_key)
 
     def scale(self, raw: DataFrame) -> DataFrame:
         keep = [c for c in raw.columns if c not in self.features]
@@ -110,23 +118,33 @@ class FeatureModel:
 
 
 class FeaturePipeline:
-    """fit on training rows; ``fit_transform`` returns the model and the scaled table."""
+    """fit the feature state, and transform the same rows without computing
+    their features a second time. With ``train_col``, the state is fitted on the
+    rows that have 1 there; rolling features see all rows, as their frames only
+    look back in time."""
 
     def __init__(self, params: Params | None = None):
         self.params = params or Params()
 
-    def fit(self, train: DataFrame, engineered_train: DataFrame | None = None) -> FeatureModel:
+    def fit(self, tasks: DataFrame, train_col: str | None = None) -> FeatureModel:
+        return self._fit(tasks, train_col)[0]
+
+    def fit_transform(self, tasks: DataFrame, train_col: str | None = None) -> tuple[FeatureModel, DataFrame]:
+        model, raw = self._fit(tasks, train_col)
+        return model, model.scale(raw)
+
+    def _fit(self, tasks: DataFrame, train_col: str | None) -> tuple[FeatureModel, DataFrame]:
         p = self.params
-        categories = fit_categories(train, LABEL_COLUMNS + ONE_HOT_COLUMNS)
-        group_tables = fit_group_means(train)
-        global_means = fit_global_means(train)
+
+        def train(df):
+            return df if train_col is None else df.where(F.col(train_col) == 1)
+
+        rows = train(tasks)
+        categories = fit_categories(rows, LABEL_COLUMNS + ONE_HOT_COLUMNS)
+        group_tables = fit_group_means(rows)
+        global_means = fit_global_means(rows)
         features = feature_names(categories.get("shift", []))
-        if engineered_train is None:
-            engineered_train = engineered(train, categories, group_tables, global_means, p)
-        raw = select_features(engineered_train, features)
-        scaler = fit_robust_scaler(raw, features)
-        return FeatureModel(p, categories, group_tables, global_means, scaler, features)
-
-    def fit_transform(self, train: DataFrame) -> tuple[FeatureModel, DataFrame]:
-        model = self.fit(train)
-        return model, model.transform(train)
+        eng = engineered(tasks, categories, group_tables, global_means, p)
+        raw = pin(select_features(eng, features, extra=[train_col] if train_col else None, fill_key=p.fill_key))
+        scaler = fit_robust_scaler(train(raw), features)
+        return FeatureModel(p, categories, group_tables, global_means, scaler, features), raw

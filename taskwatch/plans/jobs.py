@@ -18,15 +18,11 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskwatch.config import Params
-from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, fit_categories
-from taskwatch.functions.features import feature_names
 from taskwatch.operators import metrics as M
 from taskwatch.operators.ensemble import anomaly_summary
-from taskwatch.operators.groups import fit_global_means, fit_group_means
-from taskwatch.operators.scaling import fit_robust_scaler
 from taskwatch.operators.split import time_split
 from taskwatch.plans.detector import DetectorModel, HybridDetector
-from taskwatch.plans.featurize import FeatureModel, engineered, select_features
+from taskwatch.plans.featurize import FeatureModel, FeaturePipeline
 from taskwatch.session import drop_paths, pin, pinned_scope
 from taskwatch.sources.readers import conform, load_tasks, validate_records
 
@@ -43,17 +39,9 @@ def fit_and_score(tasks: DataFrame, params: Params | None = None) -> Fitted:
     p = params or Params()
     tasks = conform(tasks)
     split = pin(time_split(tasks, p.test_size))
-    train_rows = split.where(F.col("is_train") == 1)
-    cats = fit_categories(train_rows, LABEL_COLUMNS + ONE_HOT_COLUMNS)
-    groups = fit_group_means(train_rows)
-    gmeans = fit_global_means(train_rows)
-    names = feature_names(cats.get("shift", []))
-    eng = engineered(split, cats, groups, gmeans, p)
-    raw = pin(select_features(eng, names, extra=["is_train"]))
-    scaler = fit_robust_scaler(raw.where(F.col("is_train") == 1), names)
-    fm = FeatureModel(p, cats, groups, gmeans, scaler, names)
-    X = pin(fm.scale(raw))
-    det, raw_scores = HybridDetector(p).fit_scored(X, names, "is_train")
+    fm, X = FeaturePipeline(p).fit_transform(split, "is_train")
+    X = pin(X)
+    det, raw_scores = HybridDetector(p).fit_scored(X, fm.features, "is_train")
     scored = det.score(raw_scores, raw=False)   # flags and ensemble: projections only
     return Fitted(fm, det, scored, X)
 
@@ -225,11 +213,21 @@ def _accepted(tasks: DataFrame, rejects: str) -> DataFrame:
     return valid
 
 
+def ingest_job(spark: SparkSession, data_path: str, out: str) -> dict:
+    """Read a task file, write its valid records as the task
+    table and the others as rejects; the counts of what was written."""
+    valid = _accepted(load_tasks(spark, data_path, raw=True), os.path.join(out, "rejects"))
+    write_tasks(valid, out)
+    return {name: spark.read.parquet(os.path.join(out, path)).count()
+            for name, path in (("accepted", "tasks.parquet"), ("rejected", "rejects"))}
+
+
 def write_tasks(tasks: DataFrame, path: str) -> None:
     """The task table as Parquet partitioned by start date, and as CSV with
-    a header, under ``path``."""
+    a header, under ``path``. A day is written by few tasks, a large one by more."""
     dated = tasks.withColumn("start_date", F.to_date("planned_start_ts"))
-    dated.write.mode("overwrite").partitionBy("start_date").parquet(os.path.join(path, "tasks.parquet"))
+    dated.hint("rebalance", "start_date").write.mode("overwrite").partitionBy("start_date") \
+        .parquet(os.path.join(path, "tasks.parquet"))
     tasks.write.mode("overwrite").option("header", True).csv(os.path.join(path, "tasks_csv"))
 
 

@@ -25,6 +25,13 @@ def read_parquet_tasks(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path))
 
 
+def read_task_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """The tasks of a table that ``jobs.write_tasks`` wrote, started on the days
+    ``first`` to ``last`` (ISO dates, inclusive); only these days are read."""
+    days = F.col("start_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return conform(spark.read.parquet(path).where(days)).drop("start_date")
+
+
 def read_csv_tasks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     """S2. Header CSV with ISO-8601 timestamp strings. With ``raw``, a line that
     is no record of the schema is kept as it is in ``RAW_RECORD``."""
@@ -142,5 +149,5 @@ def tasks_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task_view(table(spark, sf_dir, "events"))
 
 
-__all__ = ["table", "load_tasks", "read_parquet_tasks", "read_csv_tasks", "read_json_tasks", "conform",
+__all__ = ["table", "load_tasks", "read_parquet_tasks", "read_task_days", "read_csv_tasks", "read_json_tasks", "conform",
            "newest_file", "task_view", "tasks_from_events", "epoch_us"]
