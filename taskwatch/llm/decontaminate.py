@@ -7,7 +7,11 @@ the test side; every masked window of every document is looked up in it, by a
 join against a broadcast block of items. Around the hits, item and document
 are aligned on the hit's diagonal and compared token by token: the best
 segment, matches counting +1 and substitutions ``-PENALTY``, is a leak if it
-has enough matching tokens.
+has enough matching tokens. An item of at most ``SHORT``
+tokens is judged whole: it leaked where ``MIN_SHARE`` of its tokens match on the
+diagonal, wherever the substituted ones stand. Such items have more seeds, and
+all of these placements are found; the four seeds of longer items can miss an
+overlap of 16 tokens with four substitutions (one in 255 of those accepted).
 
 Items go out in blocks of at most ``BLOCK_TOKENS`` tokens, each block bounded
 on the driver and in every task, and each document is read once per block. No
@@ -19,7 +23,9 @@ is a token, so the numbers of tokens below are numbers of characters there.
 
 Defined results: null or empty texts and items match nothing; items shorter
 than the widest mask are looked for with any one token left out (all that
-``MIN_SHARE`` allows), and below ``MIN_TOKENS`` tokens not at all; repeated items are one item with the smallest id; repeated rows
+``MIN_SHARE`` allows), and below ``MIN_TOKENS`` tokens as the whole sequence, of
+which ``leaks`` reports the first place and which are no reason for ``clean`` to
+remove a document (a word or two are in many); repeated items are one item with the smallest id; repeated rows
 are judged each by itself; a null key is returned as null; letter case and
 punctuation do not matter; extra columns do not matter to ``leaks`` and
 are passed through by ``clean``.
@@ -37,12 +43,18 @@ from taskwatch.llm.common import fresh
 from taskwatch.session import ship_package
 
 #: 1: the token counts, 0: it is ignored (fixed seeds, weight 6)
-MASKS = [(1, 1, 0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1, 0, 1, 1), (1, 1, 1, 0, 0, 1, 0, 1, 0, 1)]
+MASKS = [(1, 1, 0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1, 0, 1, 1), (1, 1, 1, 0, 0, 1, 0, 1, 0, 1),
+         (1, 1, 0, 0, 1, 0, 0, 1, 1, 1)]
+#: with these, any substitutions ``MIN_SHARE`` allows to items of ``SPAN`` to ``SHORT`` tokens are found (fixed seeds)
+MORE = [(1, 1, 1, 1, 1, 1), (1, 0, 0, 1, 0, 0, 1, 1, 1, 1), (1, 1, 1, 0, 1, 1, 1)]
 SPAN = max(map(len, MASKS))
+#: shorter items are looked for as they are
 MIN_TOKENS = 5
 #: matching tokens a leak needs, or this share of a shorter item
 MIN_MATCH = 12
 MIN_SHARE = 0.8
+#: the longest item of which ``MIN_SHARE`` is no more than ``MIN_MATCH``
+SHORT = int(MIN_MATCH / MIN_SHARE)
 PENALTY = 2
 BLOCK_TOKENS = 200_000
 _BITS = 22
@@ -72,27 +84,28 @@ def _short(n: int) -> list[tuple[int, ...]]:
 class Block:
     """Items of one block: their tokens and the index of their masked windows."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], least_tokens: int = 1):
         self.ids = np.array(ids, dtype=np.int64)
         self.tokens, self.offsets = tokens(pa.array(texts, pa.string()))
         n = np.diff(self.offsets)
         self.masks = []
-        for mask, least, most in [(m, SPAN, np.inf) for m in MASKS] + [
-                (m, k, k) for k in range(MIN_TOKENS, SPAN) for m in _short(k)]:
+        for mask, least, most in [(m, SPAN, np.inf) for m in MASKS] + [(m, SPAN, SHORT) for m in MORE] + [
+                (m, k, k) for k in range(MIN_TOKENS, SPAN) for m in _short(k)] + [
+                ((1,) * k, k, k) for k in range(1, MIN_TOKENS)]:
             h, item, pos = ragged.windows(self.tokens, self.offsets, mask)
-            use = (n[item] >= least) & (n[item] <= most)
+            use = (n[item] >= max(least, least_tokens)) & (n[item] <= most)
             h, item, pos = h[use], item[use], pos[use]
             if len(h):
                 order = np.argsort(h, kind="stable")
                 h = h[order]
                 bits = np.zeros(1 << _BITS, dtype=bool)
                 bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-                self.masks.append((mask, h, item[order], pos[order], bits))
+                self.masks.append((mask, h, item[order], pos[order], bits, most < MIN_TOKENS))
 
     def candidates(self, tokens, offsets):
         """Distinct ``(text, item, diagonal)`` of all hits."""
         out = []
-        for mask, index, item, ipos, bits in self.masks:
+        for mask, index, item, ipos, bits, whole in self.masks:
             h, text, pos = ragged.windows(tokens, offsets, mask)
             near = np.flatnonzero(bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(index, h[near], "left"), np.searchsorted(index, h[near], "right")
@@ -101,7 +114,10 @@ class Block:
                 continue
             at = np.repeat(near, count)
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            out.append(np.stack([text[at], item[k], pos[at] - ipos[k]]))
+            hits = np.stack([text[at], item[k], pos[at] - ipos[k]])
+            if whole:  # the first place of each text and item is enough
+                hits = hits[:, np.unique(hits[:2], axis=1, return_index=True)[1]]
+            out.append(hits)
         return np.unique(np.concatenate(out, axis=1), axis=1).T if out else np.empty((0, 3), dtype=np.int64)
 
     def verify(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
@@ -109,12 +125,17 @@ class Block:
         own = self.tokens[self.offsets[item]:self.offsets[item + 1]]
         lo, hi = max(0, diagonal), min(len(doc), diagonal + len(own))
         same = doc[lo:hi] == own[lo - diagonal:hi - diagonal]
+        if len(own) <= SHORT:
+            at = np.flatnonzero(same)
+            if len(at) < np.ceil(MIN_SHARE * len(own)):
+                return None
+            return lo + int(at[0]), int(at[-1] - at[0]) + 1, len(at)
         total = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
         floor = np.minimum.accumulate(total)
         end = int(np.argmax(total - floor))
         start = int(np.argmin(total[:end + 1])) if end else 0
         matches = int(same[start:end].sum())
-        if matches < min(MIN_MATCH, np.ceil(MIN_SHARE * len(own))):
+        if matches < MIN_MATCH:
             return None
         return lo + start, end - start, matches
 
@@ -131,8 +152,8 @@ class Block:
         return [(t, int(self.ids[i]), *f) for (t, i), (_, _, f) in sorted(best.items())]
 
 
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text"):
-    """Broadcast blocks of the items, made one after the other."""
+def blocks(items: DataFrame, key: str = "item_id", text: str = "text", least_tokens: int = 1):
+    """Broadcast blocks of the items of at least ``least_tokens``, made one after the other."""
     spark = items.sparkSession
     sized = (items.where(F.col(text).isNotNull()).groupBy(F.lower(F.col(text)).alias("text"))
              .agg(F.min(F.col(key).cast("long")).alias("id"))
@@ -143,7 +164,7 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text"):
     for b in range(parts):
         rows = sized.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == b).select("id", "text").orderBy("id").collect()
         if rows:
-            yield spark.sparkContext.broadcast(Block([r["id"] for r in rows], [r["text"] for r in rows]))
+            yield spark.sparkContext.broadcast(Block([r["id"] for r in rows], [r["text"] for r in rows], least_tokens))
 
 
 LEAKS = "doc_id long, item_id long, start long, n_tokens long, n_matches long"
@@ -171,10 +192,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a leak, with the columns they came with."""
+    """The rows of ``docs`` without a leak of an item of ``MIN_TOKENS`` or more,
+    with the columns they came with."""
     ship_package(docs.sparkSession)
     columns, lowered = docs.columns, fresh(docs, "_lowered")
-    for block in blocks(items):
+    for block in blocks(items, least_tokens=MIN_TOKENS):
         def run(batches, block=block):
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
