@@ -10,8 +10,13 @@ tasks until its nodes are counted. The entropies of these counts, normalised by
 the number of pages, are the node's importance, the larger one of the two: a
 menu or notice that looks and reads the same everywhere has an importance near
 0, an article's paragraphs near 1. The text of nodes of low importance is
-removed from each page, inside an article too; the branches below such a node
-are judged each by its own importance.
+removed from each page; the branches below such a node are judged each by its
+own importance. A heading goes with the branch it heads: its text is removed only
+if nothing else is left in its parent on that page, so "Ingredients" on all
+recipes stays. Inside an article or main element a node of low importance must be
+a notice besides: one and the same text, once a page, on nearly all pages of the
+host (``NEARLY``). Fewer values than pages alone (alternating labels, cells that
+repeat) do not remove anything there.
 
 Entropy alone cannot remove everything the result must not have: a menu whose
 entries differ from page to page is as diverse as an article, and a host with
@@ -40,6 +45,12 @@ from taskwatch.session import ship_package
 #: pages a host needs before its entropies count, and the importance below which a branch goes
 MIN_PAGES = 8
 LOW = 0.25
+#: share of a host's pages that hold a notice inside an article
+NEARLY = 0.9
+#: a path of more characters continues from its hash, so deep nodes stay apart at a bounded length
+MAX_PATH = 512
+
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: elements that are never text of an article (fixed names)
 DROPPED = set("nav footer aside form script style noscript template iframe svg canvas button select option "
@@ -105,7 +116,7 @@ def parse(text: str | None) -> Node:
             continue
         for gone in ({"p"} if tag in BLOCKS else set()) | CLOSES.get(tag, set()):
             _end_within(stack, gone)
-        node = Node(tag, f"{stack[-1].path}/{_style(tag, m[3])}" if len(stack) < 64 else stack[-1].path, _is_noise(tag, m[3]))
+        node = Node(tag, f"{_short(stack[-1].path)}/{_style(tag, m[3])}", _is_noise(tag, m[3]))
         stack[-1].items.append(node)
         if tag in WRAPPED:
             for holder in stack:
@@ -123,6 +134,10 @@ def parse(text: str | None) -> Node:
     return root
 
 
+def _short(path: str) -> str:
+    return path if len(path) <= MAX_PATH else f"~{_hash(path) & (2 ** 64 - 1):x}"
+
+
 def _unwrap(root: Node) -> None:
     """A form that is all there is in the body is the page, not a part of it."""
     node = root
@@ -219,11 +234,33 @@ def content(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
+def _gone(part: Node, low: frozenset) -> set[int]:
+    """Ids of the nodes below ``part`` whose own text goes: those of ``low``
+    paths, headings only where their parent holds no other text that stays."""
+    order, alive, gone = [], set(), set()
+    pending = [(part, None)]
+    while pending:
+        node, parent = pending.pop()
+        order.append((node, parent))
+        pending.extend((c, node) for c in node.items if isinstance(c, Node) and not c.noise)
+    for node, parent in reversed(order):  # children before parents
+        if node.tag not in HEADINGS and node.path not in low and any(isinstance(c, str) and c.strip() for c in node.items):
+            alive.add(id(node))
+        if parent is not None and id(node) in alive:
+            alive.add(id(parent))
+    for node, parent in order:
+        if node.path in low and not (node.tag in HEADINGS and id(parent) in alive):
+            gone.add(id(node))
+    return gone
+
+
+def blocks(root: Node, low: frozenset = frozenset(), notices: frozenset = frozenset()) -> list[str]:
     """Blocks of text of the page's content. ``low`` holds the paths of nodes
-    whose own text goes; a page header outside the content goes, too."""
+    whose own text goes, ``notices`` those whose text goes inside an article
+    or main; a page header outside the content goes, too."""
     parts = content(root)
     whole = parts == [root]
+    low = low if whole else notices
     out, run = [], []
 
     def close():
@@ -233,6 +270,7 @@ def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
         run.clear()
 
     for part in parts:
+        gone = _gone(part, low) if low else ()
         pending: list = [part]
         while pending:
             item = pending.pop()
@@ -250,21 +288,23 @@ def blocks(root: Node, low: frozenset = frozenset()) -> list[str]:
                 if block:
                     close()
                     pending.append(None)
-                pending.extend(c for c in reversed(item.items) if item.path not in low or isinstance(c, Node))
+                pending.extend(c for c in reversed(item.items) if id(item) not in gone or isinstance(c, Node))
         close()
     return out
 
 
 def features(root: Node) -> list[tuple[str, str, int]]:
     """``(path, kind, hash)`` of each node of a page once: ``p`` for the
-    presentation, ``c`` for its own text."""
-    out = set()
+    presentation, ``c`` for its own text, ``m`` if several nodes of the path have text."""
+    out, texts = set(), {}
     for n in _nodes(root):
         shape = ">".join(dict.fromkeys(c.tag for c in n.items if isinstance(c, Node)))
         own = SPACE.sub(" ", "".join(c for c in n.items if isinstance(c, str))).strip()
         out.add((n.path, "p", _hash(shape)))
         if own:
             out.add((n.path, "c", _hash(own)))
+            texts[n.path] = texts.get(n.path, 0) + 1
+    out.update((path, "m", 0) for path, k in texts.items() if k > 1)
     return list(out)
 
 
@@ -278,8 +318,10 @@ def host(url) -> "F.Column":
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(host, path, n, presentation, content, texts)``: distinct pages with
-    the node and the normalised entropies of its presentations and contents. Of
+    """``(host, path, n, presentation, content, texts, most, multi)``: distinct
+    pages with the node, the normalised entropies of its presentations and
+    contents, contents in all, those of the commonest one, and pages on which
+    several such nodes have text. The row of the empty path counts all pages. Of
     the copies of one page the one with the largest nodes stands for all."""
     ship_package(pages.sparkSession)
 
@@ -316,14 +358,22 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.max(F.when(F.col("kind") == "p", F.col("total"))).alias("n"),
         F.max(F.when(F.col("kind") == "p", entropy)).alias("presentation"),
         F.max(F.when(F.col("kind") == "c", entropy)).alias("content"),
-        F.max(F.when(F.col("kind") == "c", F.col("total"))).alias("texts"))
+        F.max(F.when(F.col("kind") == "c", F.col("total"))).alias("texts"),
+        F.max(F.when(F.col("kind") == "c", F.col("most"))).alias("most"),
+        F.coalesce(F.max(F.when(F.col("kind") == "m", F.col("total"))), F.lit(0)).alias("multi"))
 
 
 def unimportant(tree: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``(host, paths)``: text-bearing nodes of low importance. A node whose
-    presentation and own text hardly vary over enough pages is a notice or menu."""
+    """``(host, paths, notices)``: text-bearing nodes of low importance, whose
+    presentation and own text hardly vary over enough pages, and those of them
+    that are notices inside an article, too: one text, once a page, nearly everywhere."""
     weak = tree.where((F.col("texts") >= min_pages) & (F.greatest("presentation", "content") < low))
-    return weak.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    weak = weak.groupBy("host").agg(F.collect_list(F.struct("path", "texts", "most", "multi")).alias("weak"))
+    pages = tree.where("path = ''").select("host", F.col("n").alias("pages"))
+    once = lambda w: ((w["most"] >= NEARLY * F.col("pages")) & (w["most"] >= NEARLY * w["texts"])
+                      & (w["multi"] <= (1 - NEARLY) * w["texts"]))
+    return weak.join(pages, "host").select(
+        "host", F.col("weak.path").alias("paths"), F.filter("weak", once)["path"].alias("notices"))
 
 
 #: a table of low branches up to this size goes to all tasks, a larger one is joined by host
@@ -332,17 +382,17 @@ BROADCAST_BYTES = 16 << 20
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` per page."""
-    found, rows, _ = measured(unimportant(style_tree(pages, url, html)).select(F.col("host").alias("_host"), "paths"))
+    found, rows, _ = measured(unimportant(style_tree(pages, url, html)).select(F.col("host").alias("_host"), "paths", "notices"))
     size = found.agg(F.sum(F.length(F.array_join("paths", " ")))).first()[0] or 0
     source = pages.select(F.col(key), F.col(url), host(F.col(url)).alias("_host"), F.col(html).alias("_html"))
     joined = source.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "_host", "left").select(
-        key, url, "_html", "paths")
+        key, url, "_html", "paths", "notices")
     key_type, url_type = pages.schema[key].dataType.simpleString(), pages.schema[url].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            texts = ["\n\n".join(blocks(parse(t), frozenset(p or ())))
-                     for t, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = ["\n\n".join(blocks(parse(t), frozenset(p or ()), frozenset(q or ())))
+                     for t, p, q in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
                                              names=[key, url, "text"])
 

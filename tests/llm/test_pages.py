@@ -94,3 +94,38 @@ def test_the_tree_acts_inside_articles(make):
     assert all(out[100 + i] == "Title C\n\nOwn words C" for i in range(300))
     assert all(out[500 + i] == f"Title {i}\n\nOwn words {i}\n\nissue {i}" for i in range(30))
     assert all(out[600 + i] == "Title C\n\nOwn words C\n\nRead us dailynow" for i in range(300))
+
+
+def test_repeated_headings_and_labels_of_articles_stay(make):
+    """Section headings, alternating labels and cells that repeat are the article's, with
+    or without an ``article`` element; a notice and a menu that stand alone go."""
+    recipe = ("<h1>Dish {i}</h1><h2>Ingredients</h2><p>Take {i} eggs</p><h2>Method</h2><p>Boil {i} minutes</p>"
+              "<div class=kind>{k}</div><table><tr><td>yes</td><td>yes</td></tr></table>")
+    want = "Dish {i}\n\nIngredients\n\nTake {i} eggs\n\nMethod\n\nBoil {i} minutes\n\n{k}\n\nyes\n\nyes"
+    rows, wanted = [], {}
+    for i in range(40):
+        k = "sweet" if i % 2 else "salty"
+        rows.append((i, "http://a.example/", "<body><article>" + recipe.format(i=i, k=k) + "<div class=x>Print this page</div></article></body>"))
+        wanted[i] = want.format(i=i, k=k)
+        rows.append((100 + i, "http://d.example/", f"<body><div class=top><h2>Topics</h2><a>Home</a><a>Shop</a></div><div class=text><h1>Dish {i}</h1>"
+                     f"<h2>Ingredients</h2><p>Take {i} eggs</p><h2>Method</h2><p>Boil {i} minutes</p></div><div class=end>All rights reserved</div></body>"))
+        wanted[100 + i] = f"Dish {i}\n\nIngredients\n\nTake {i} eggs\n\nMethod\n\nBoil {i} minutes"
+    out = {r["page_id"]: r["text"] for r in P.extract(make(rows, PAGES)).collect()}
+    assert out == wanted
+
+
+def test_a_notice_on_some_pages_of_a_host_stays_in_articles(make):
+    rows = [(i, "http://a.example/", f"<body><article><p>Own words {i}</p>{'<div class=x>Print this page</div>' if i % 3 else ''}</article></body>")
+            for i in range(60)]
+    out = {r["page_id"]: r["text"] for r in P.extract(make(rows, PAGES)).collect()}
+    assert out == {i: f"Own words {i}" + ("\n\nPrint this page" if i % 3 else "") for i in range(60)}
+
+
+def test_deep_nodes_are_judged_apart(make):
+    """Below any depth a notice goes and the text beside it stays."""
+    rows = [(i, "http://deep.example/", "<body>" + "<div class=level>" * 300 + f"<div class=x>Print this page</div><p>Own words {i}</p>" + "</div>" * 300)
+            for i in range(40)]
+    out = {r["page_id"]: r["text"] for r in P.extract(make(rows, PAGES)).collect()}
+    assert out == {i: f"Own words {i}" for i in range(40)}
+    paths = [n.path for n in P._nodes(P.parse(rows[0][2]))]
+    assert len(set(paths)) == len(paths) and max(map(len, paths)) < 600
