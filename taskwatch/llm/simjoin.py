@@ -29,6 +29,15 @@ only members not linked to the centre need it, and a block gives back at most
 a spanning forest. Classes with different centres in one list are verified in
 pairs, centres first, and only across components.
 
+A passage that many otherwise different texts share makes one list, hence one
+cluster, of classes that are not linked, and blocks of them would grow with the
+square of their number. A cluster whose blocks would cost more than reading its
+members' sets is therefore listed anew, by (centre, element): the frequencies
+are now exact within the cluster for all elements, not only those of the region,
+so the shared passage comes last and only sets that consist of common elements
+almost throughout post any of it. What remains together goes through the same
+steps (``LEVELS``), the last of which are the blocks.
+
 Defined results: a null or empty text has an empty set, n_shingles 0, no link,
 and itself as component; texts with fewer words than n are one shingle, their
 whole sequence; a null key is returned as null and is never the smallest of a
@@ -56,6 +65,8 @@ BITS = 50
 SMALL = 24
 #: members of a cluster in one block
 BLOCK = 128
+#: times that a cluster is listed anew by the frequencies within it
+LEVELS = 2
 
 
 def region(percent: int) -> float:
@@ -194,8 +205,7 @@ def _lists(sketches: DataFrame, percent: int) -> DataFrame:
     classes = some.groupBy("c", "n").agg(F.first("inside").alias("inside"), F.first("stored").alias("stored"))
     limit = int(region(percent) * (1 << BITS))
     large = classes.where(F.col("n") >= -(-percent * (x + 1) // 100)).select("c", "n", "inside", F.explode("stored").alias("key"))
-    met = (large.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("key")))
-           .where("df > 1").withColumn("out", F.col("key") >= limit))
+    met = _counted(large, "df").withColumn("out", F.col("key") >= limit)
     own = Window.partitionBy("c", "n", "out")
     need = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     large = (met.withColumns({"_multi": F.count(F.lit(1)).over(own),
@@ -203,14 +213,37 @@ def _lists(sketches: DataFrame, percent: int) -> DataFrame:
              .where(F.col("out") | (F.col("inside") - F.col("_multi") + F.col("_rank") <= need)))
     small = _subset_keys(some.where(F.col("n") <= x).groupBy("c", "n").agg(F.first("small").alias("small")), percent)
     both = large.select("key", "c", "n").unionByName(small).distinct()
-    return (both.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-            .select("key", F.struct("c", "n").alias("id"), "size"))
+    return _counted(both, "size").select("key", F.struct("c", "n").alias("id"), "size")
+
+
+def _counted(entries: DataFrame, name: str) -> DataFrame:
+    """``entries`` of the keys that come more than once, with their number. Counted
+    before they meet, so a frequent key is one row a task until it is joined."""
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
+    return entries.join(counts, "key")
+
+
+def _lists_within(clusters: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``(key, id, size)``: inverted lists of the classes of ``clusters(id, centre)``, one
+    per centre and element, each set's elements in the order of their number in the cluster."""
+    sets = clusters.join(members, "id")
+    entries = sets.select("id", F.explode("set").alias("e"), F.xxhash64("centre").alias("_at")).select(
+        "id", F.xxhash64("_at", "e").alias("key"))
+    met = _counted(entries, "df")
+    n = F.col("id.n")
+    # elements of one class alone come first in the order and are in no list
+    own = Window.partitionBy("id")
+    alone = n - F.count(F.lit(1)).over(own)
+    need = n - F.floor((percent * n + 99) / 100) + 1
+    met = met.withColumns({"_alone": alone, "_rank": F.row_number().over(own.orderBy("df", "key"))}).where(
+        F.col("_alone") + F.col("_rank") <= need)
+    return _counted(met.select("key", "id"), "size")
 
 
 def _members(docs: DataFrame, sketches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``(id, set)`` of the wanted classes, from one row of each."""
-    rows = (sketches.select("row", F.struct("c", "n").alias("id")).join(wanted, "id")
-            .groupBy("id").agg(F.min("row").alias("row")).select("row"))
+    rows = (sketches.select("row", F.struct("c", "n").alias("id")).groupBy("id").agg(F.min("row").alias("row"))
+            .join(wanted, "id").select("row"))
 
     def run(batches):
         for b in batches:
@@ -320,11 +353,26 @@ def _centres(lists: DataFrame) -> DataFrame:
     return t
 
 
+def _costly(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``(centre)`` of the clusters whose blocks hold more rows than their members' sets have elements."""
+    sums = edges.groupBy("centre").agg(
+        F.sum((~F.col("linked")).cast("long")).alias("u"), F.sum(F.col("linked").cast("long")).alias("k"),
+        F.sum(F.col("id.n").cast("long")).alias("elements")).where(F.col("u") > BLOCK)
+    ub, kb = F.ceil(F.col("u") / BLOCK), F.ceil(F.col("k") / BLOCK)
+    return sums.where(F.col("u") * (ub + kb) + F.col("k") * ub > F.col("elements")).select("centre")
+
+
 def class_links(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """``(node, root)`` of the classes that are linked to another class."""
     lists = pin(_lists(sketches, percent), "ngram-lists")
     centres = _centres(lists)
     members = pin(_members(docs, sketches, centres.select("id"), width), "ngram-members")
+    return _connect(lists, centres, members, percent, LEVELS)[1]
+
+
+def _connect(lists: DataFrame, centres: DataFrame, members: DataFrame, percent: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``, links that connect all classes which are linked and share a
+    list, and their components ``(node, root)``."""
     spokes = centres.where(F.col("id") != F.col("centre"))
     x = members.select("id", F.col("set").alias("_x"))
     y = members.select(F.col("id").alias("centre"), F.col("set").alias("_y"))
@@ -333,6 +381,13 @@ def class_links(docs: DataFrame, sketches: DataFrame, width: int, percent: int)
     edges = pin(spokes.join(x, "id").join(y, "centre").withColumn("delta", delta).withColumn(
         "linked", _linked((n + m - F.size("delta")) / 2, n, m, percent)).drop("_x", "_y"), "ngram-edges")
     links = edges.where("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    blocks = edges
+    if levels:
+        costly = pin(_costly(edges, members), "ngram-costly")
+        if costly.limit(1).count():
+            blocks = edges.join(costly, "centre", "left_anti")
+            again = pin(_lists_within(edges.join(costly, "centre").select("id", "centre"), members, percent), "ngram-within")
+            links = links.unionByName(_connect(again, _centres(again), members, percent, levels - 1)[0])
     # different centres that meet in a list: centres first, then members across components
     at = lists.select("key", "id").join(centres, "id")
     groups = pin(at.select("key", "centre").distinct(), "ngram-groups")
@@ -340,7 +395,7 @@ def class_links(docs: DataFrame, sketches: DataFrame, width: int, percent: int)
     meet = pin(g.join(h, (F.col("g.key") == F.col("h.key")) & (F.col("g.centre") < F.col("h.centre"))).select(
         F.col("g.key").alias("key"), F.col("g.centre").alias("ca"), F.col("h.centre").alias("cb")), "ngram-meet")
     first = meet.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where(_fits("a", "b", percent)).distinct()
-    links = pin(links.unionByName(_verify(first, members, percent)).unionByName(_in_blocks(edges, percent)), "ngram-links")
+    links = pin(links.unionByName(_verify(first, members, percent)).unionByName(_in_blocks(blocks, percent)), "ngram-links")
     found = components(links)
     root = found.select(F.col("node").alias("id"), "root")
     at = at.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -350,8 +405,9 @@ def class_links(docs: DataFrame, sketches: DataFrame, width: int, percent: int)
             .where((F.col("ra") != F.col("rb")) & _fits("a", "b", percent)).select("a", "b").distinct())
     more = pin(_verify(rest, members, percent), "ngram-more")
     if more.limit(1).count():
-        found = components(links.unionByName(more))
-    return found
+        links = links.unionByName(more)
+        found = components(links)
+    return links, found
 
 
 def cluster(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:

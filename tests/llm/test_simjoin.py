@@ -85,6 +85,48 @@ def test_cluster_of_unlinked_near_copies(make, monkeypatch):
     assert sorted(repr((x["doc_id"], x["n_shingles"], x["component_id"])) for x in got) == brute(rows, 3, 90)
 
 
+def shared_notice(count, seed, notice=13):
+    """Unrelated texts of 27 words that share a notice; every 20th has a near copy."""
+    r = random.Random(seed)
+    common = [f"n{i}" for i in range(notice)]
+    rows = []
+    for k in range(count):
+        w = [f"o{r.randrange(10 ** 9)}" for _ in range(27 - notice)]
+        at = r.randrange(len(w) + 1)
+        rows.append((k, " ".join(w[:at] + common + w[at:])))
+        if k % 20 == 0:
+            rows.append((10000 + k, " ".join((w[:at] + common + w[at:])[:-1])))
+    return rows
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_notice_shared_by_unlinked_texts(make, monkeypatch, width, percent):
+    """The blocks of one cluster do not grow with the texts that share a passage, and no link is lost."""
+    monkeypatch.setattr(S, "BLOCK", 4)
+    met, blocks = [], S._in_blocks
+
+    def counted(edges, percent):
+        met.append(edges.where("not linked").count())
+        return blocks(edges, percent)
+
+    monkeypatch.setattr(S, "_in_blocks", counted)
+    within, lists = [], S._lists_within
+    monkeypatch.setattr(S, "_lists_within", lambda *a: within.append(1) or lists(*a))
+    rows = shared_notice(700, 3)
+    got = S.cluster(make(rows, "doc_id long, text string"), width, percent).collect()
+    assert sorted(repr((x["doc_id"], x["n_shingles"], x["component_id"])) for x in got) == brute(rows, width, percent)
+    assert within and sum(met) < 100
+
+
+def test_clusters_listed_anew_match_brute_force(make, monkeypatch):
+    """Every cluster with an unlinked pair goes through all levels."""
+    monkeypatch.setattr(S, "BLOCK", 1)
+    monkeypatch.setattr(S, "_costly", lambda edges, members: edges.select("centre").distinct())
+    rows = corpus(11)
+    got = S.cluster(make(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted(repr((x["doc_id"], x["n_shingles"], x["component_id"])) for x in got) == brute(rows, 2, 80)
+
+
 def test_required_overlap_and_boundary():
     for n in range(1, 60):
         for m in range(n, 70):
