@@ -205,7 +205,10 @@ def _lists(sketches: DataFrame, percent: int) -> DataFrame:
     classes = some.groupBy("c", "n").agg(F.first("inside").alias("inside"), F.first("stored").alias("stored"))
     limit = int(region(percent) * (1 << BITS))
     large = classes.where(F.col("n") >= -(-percent * (x + 1) // 100)).select("c", "n", "inside", F.explode("stored").alias("key"))
-    met = _counted(large, "df").withColumn("out", F.col("key") >= limit)
+    # counted where the entries are, as a second shuffle of all keys, most of them of one class, costs
+    # half as much disk again; a frequent key's rows pass one task, which spills them
+    met = (large.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("key")))
+           .where("df > 1").withColumn("out", F.col("key") >= limit))
     own = Window.partitionBy("c", "n", "out")
     need = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     large = (met.withColumns({"_multi": F.count(F.lit(1)).over(own),
