@@ -1,9 +1,9 @@
 """Per-row explanations (I5, R7) and their summary.
 
 Explanations are computed only for the rows that need them (the caller
-filters to flagged rows first). One Arrow UDF per model gives every row its
-credits as a flat array in feature order; they are ranked by absolute credit
-in the JVM, ties in feature order, and cut to the top-k list
+filters to flagged rows first). One Arrow UDF per model works out every row's
+credits, ranks them by absolute value, ties in feature order, and hands back
+only the first k of them, from which the JVM makes the top-k list
 ``[{feature, contribution, signed_contribution}]``.
 
 Forest: path attribution (see ``operators.forest``), contribution and
@@ -20,49 +20,50 @@ from pyspark.sql import Column, DataFrame, functions as F
 from taskwatch.session import broadcast_model
 
 
-def _credits(bc, method: str, features: list[str]) -> Column:
-    """``method`` of the broadcast model over the feature columns: array<double> per row."""
+def top_credits(credits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the places and values of the ``k`` largest absolute credits, ties
+    in feature order, NaN last."""
+    at = np.argsort(-np.abs(credits), axis=1, kind="stable")[:, :k]
+    return at, np.take_along_axis(credits, at, axis=1)
 
-    @F.arrow_udf("array<double>")
-    def credit(*cols: pa.Array) -> pa.Array:
-        X = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols])
-        out = getattr(bc.value, method)(X)
-        offsets = np.arange(len(X) + 1, dtype=np.int32) * out.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
-    return credit(*[F.col(f).cast("double") for f in features])
+def _lists(a: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(a.ravel(), kind))
+
 
+def _top(bc, method: str, features: list[str], k: int, absolute: bool) -> Column:
+    """The top-k list from ``method`` of the broadcast model over the feature columns."""
+
+    @F.arrow_udf("struct<i array<int>, v array<double>>")
+    def top(*cols: pa.Array) -> pa.Array:
+        X = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols])
+        at, v = top_credits(getattr(bc.value, method)(X), k)
+        return pa.StructArray.from_arrays([_lists(at, pa.int32()), _lists(v, pa.float64())], names=["i", "v"])
 
-def _top_k(credits: Column, features: list[str], k: int, absolute: bool) -> Column:
-    pairs = F.transform(credits, lambda v, i: F.struct((-F.abs(v)).alias("rank"), i.alias("i"), v.alias("v")))
+    found = top(*[F.col(f).cast("double") for f in features])
     names = F.array(*[F.lit(f) for f in features])
-    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: F.struct(
+    return F.transform(F.arrays_zip(found["i"].alias("i"), found["v"].alias("v")), lambda x: F.struct(
         F.get(names, x["i"]).alias("feature"),
         (F.abs(x["v"]) if absolute else x["v"]).alias("contribution"),
         x["v"].alias("signed_contribution")))
 
 
 def forest_top_column(model, features: list[str], k: int = 5) -> Column:
-    return _top_k(_credits(broadcast_model(model), "contributions", features), features, k, False)
+    return _top(broadcast_model(model), "contributions", features, k, False)
 
 
 def reconstruction_top_column(model, features: list[str], k: int = 5) -> Column:
-    return _top_k(_credits(broadcast_model(model), "residuals", features), features, k, True)
+    return _top(broadcast_model(model), "residuals", features, k, True)
 
 
 def explanation_rows(df: DataFrame) -> DataFrame:
     """Flatten ``if_top`` / ``ae_top`` to (task_id, model, rank, feature, contribution, signed)."""
-    parts = []
-    for model, col in (("isolation_forest", "if_top"), ("autoencoder", "ae_top")):
-        if col in df.columns:
-            parts.append(df.select("task_id", F.lit(model).alias("model"),
-                                   F.posexplode(col).alias("rank", "c"))
-                         .select("task_id", "model", (F.col("rank") + 1).alias("rank"),
-                                 "c.feature", "c.contribution", "c.signed_contribution"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    held = [(m, c) for m, c in (("isolation_forest", "if_top"), ("autoencoder", "ae_top")) if c in df.columns]
+    # one pass gives the lists of both models
+    tops = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("top")) for m, c in held]))
+    return (df.select("task_id", tops.alias("t")).select("task_id", "t.model", F.posexplode("t.top").alias("rank", "c"))
+            .select("task_id", "model", (F.col("rank") + 1).alias("rank"), "c.feature", "c.contribution", "c.signed_contribution"))
 
 
 def top_feature_summary(rows: DataFrame, k: int = 10) -> DataFrame:

@@ -15,8 +15,8 @@ Fit (I1)
     parameters, so it is collected and broadcast.
 
 Score (I2)
-    A vectorised pandas UDF walks all trees level by level for a whole Arrow
-    batch: s(x) = 2 ** (-E[h(x)] / c(psi)), higher = more anomalous.
+    A vectorised pandas UDF walks the trees level by level, a block of rows
+    and trees at a time: s(x) = 2 ** (-E[h(x)] / c(psi)), higher = more anomalous.
 
 Threshold and flag (I3, I4)
     The (1 - contamination) quantile of the positive training score.
@@ -182,57 +182,79 @@ class ForestModel:
                                            "leaf_h", "value"])
 
     # ---- vectorised scoring
-    def _walk(self, X: np.ndarray):
-        """All rows down all trees at once, level by level, on (rows x trees)
-        matrices: the flat node ids before and after the level, the split
-        feature, and where the node before is no leaf."""
-        T, M = self.feature_idx.shape
-        fi, th = self.feature_idx.ravel(), self.threshold.ravel()
-        le, ri = self.left.ravel(), self.right.ravel()
-        base = (np.arange(T, dtype=np.int64) * M)[None, :]
-        rows = np.arange(X.shape[0])[:, None]
-        node = np.broadcast_to(base, (X.shape[0], T))
-        for _ in range(self.max_depth):
-            f = fi[node]
-            internal = f >= 0
-            if not internal.any():
-                return
-            f = np.where(internal, f, 0)
-            after = np.where(internal, base + np.where(X[rows, f] <= th[node], le[node], ri[node]), node)
-            yield node, after, f, internal
-            node = after
-
-    def path_length(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        """Mean path length over all trees; rows go in chunks to bound memory."""
-        T, M = self.feature_idx.shape
+    def _tables(self):
+        """Flat node tables of the walk: split feature, rank of the threshold
+        among those of its feature, the two children (right, left), and the
+        thresholds of each feature. A leaf is its own child."""
+        if "_flat" not in self.__dict__:
+            T, M = self.feature_idx.shape
+            leaf, base = self.feature_idx < 0, (np.arange(T) * M)[:, None]
+            own = base + np.arange(M)[None, :]
+            cuts = [np.unique(self.threshold[self.feature_idx == j]) for j in range(len(self.features))]
+            dtype = np.int16 if max(map(len, cuts), default=0) < np.iinfo(np.int16).max else np.int32
+            rank = np.zeros((T, M), dtype=dtype)
+            for j, c in enumerate(cuts):
+                at = self.feature_idx == j
+                rank[at] = np.searchsorted(c, self.threshold[at])
+            child = np.stack([np.where(leaf, own, base + self.right), np.where(leaf, own, base + self.left)], axis=2)
+            self._flat = (np.where(leaf, 0, self.feature_idx).astype(np.int32).ravel(), rank.ravel(),
+                          child.astype(np.int32).ravel(), cuts)
+        return self._flat
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_flat"}   # made anew where it is used
+
+    def _walk(self, X: np.ndarray, rows: int = 1024, trees: int = 16):
+        """All rows down all trees, a block of rows and trees at a time so that
+        its tables stay in the processor's cache. Yields per block and level the
+        rows as a slice and, as (trees x rows) matrices, the flat node ids before
+        and after the level and the split feature; a block's last level has
+        ``last``. ``x <= threshold`` holds exactly if at most ``rank`` thresholds
+        of the feature are below ``x``, so small ranks are compared."""
+        (T, M), d = self.feature_idx.shape, len(self.features)
+        feature, rank, child, cuts = self._tables()
+        for s in range(0, len(X), rows):
+            part = X[s:s + rows]
+            below = np.empty((len(part), d), dtype=rank.dtype)
+            for j, c in enumerate(cuts):
+                below[:, j] = np.searchsorted(c, part[:, j], side="left")
+            below, cell = below.ravel(), (np.arange(len(part), dtype=np.int32) * d)[None, :]
+            for b in range(0, T, trees):
+                node = np.repeat((np.arange(b, min(b + trees, T), dtype=np.int32) * M)[:, None], len(part), axis=1)
+                for level in range(self.max_depth):
+                    f = feature.take(node)
+                    after = child.take(2 * node + (below.take(f + cell) <= rank.take(node)))
+                    yield slice(s, s + len(part)), node, after, f, level == self.max_depth - 1
+                    node = after
+
+    def path_length(self, X: np.ndarray) -> np.ndarray:
+        """Mean path length over all trees."""
+        T = self.feature_idx.shape[0]
         out = np.zeros(X.shape[0])
         if T == 0:
             return out
         lh = self.leaf_h.ravel()
-        for s0 in range(0, X.shape[0], chunk):
-            part = X[s0:s0 + chunk]
-            node = np.broadcast_to(np.arange(T, dtype=np.int64) * M, (len(part), T))
-            for _, node, _, _ in self._walk(part):
-                pass
-            out[s0:s0 + chunk] = lh[node].mean(axis=1)
-        return out
+        if self.max_depth == 0:
+            return out + self.leaf_h[:, 0].mean()
+        for at, _, node, _, last in self._walk(X):
+            if last:
+                out[at] += lh.take(node).sum(axis=0)
+        return out / T
 
     def score(self, X: np.ndarray) -> np.ndarray:
         return np.power(2.0, -self.path_length(X) / c_factor([self.psi])[0])
 
-    def contributions(self, X: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    def contributions(self, X: np.ndarray) -> np.ndarray:
         """Per row and feature, the change of the expected path length along
         the row's paths, credited to the feature split on; mean over the trees."""
         T, d = self.feature_idx.shape[0], len(self.features)
         out = np.zeros((X.shape[0], d))
         value = self.value.ravel()
-        for s0 in range(0, X.shape[0], chunk):
-            part = X[s0:s0 + chunk]
-            cell = np.arange(len(part))[:, None] * d
-            for node, after, f, internal in self._walk(part):
-                credit = (value[after] - value[node])[internal]
-                out[s0:s0 + chunk] += np.bincount((cell + f)[internal], weights=credit,
-                                                  minlength=len(part) * d).reshape(len(part), d)
+        for at, node, after, f, _ in self._walk(X):
+            n = at.stop - at.start
+            cells = f + np.arange(n, dtype=np.int32)[None, :] * d
+            credit = value.take(after) - value.take(node)   # 0 at a leaf, which is its own child
+            out[at] += np.bincount(cells.ravel(), weights=credit.ravel(), minlength=n * d).reshape(n, d)
         return out / max(T, 1)
 
 
