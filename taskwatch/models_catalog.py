@@ -120,7 +120,8 @@ def q_stream_scores(spark, sf):
 def q_stream_cooldown(spark, sf):
     """Q1 stream: scored tasks as an alert stream through the stateful cooldown."""
     f = fitted(spark, sf)
-    src = write_in_order(alert_rows(f.scored), "alert_time", "alert-source")
+    alerts = pin(alert_rows(f.scored), "stream-alerts")   # the wide scored table is read once, its alerts chunk by chunk
+    src = write_in_order(alerts, "alert_time", "alert-source")
     stream = spark.readStream.option("maxFilesPerTrigger", FILES).schema("engine_id string, task_id string, alert_time timestamp, "
                                      "anomaly_score double").parquet(src)
     out = scratch_path(spark, "alert-sink")

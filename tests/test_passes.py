@@ -24,3 +24,17 @@ def test_top_credits_are_ranked_as_a_sort_by_size_and_place():
     for row, i, x in zip(credits, at, v):
         want = sorted(range(12), key=lambda j: (-abs(row[j]), j))[:5]
         assert list(i) == want and list(x) == [row[j] for j in want]
+
+
+def test_the_cooldown_stream_reads_the_scored_table_once(spark, monkeypatch):
+    from types import SimpleNamespace
+    from taskwatch import models_catalog as C
+    from taskwatch.config import Params
+    scored = spark.createDataFrame([("E1", f"W{i}", 0.5, 1) for i in range(9)], "engine_id string, task_id string, anomaly_score double, anomaly_flag int") \
+        .withColumn("planned_start_ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    given = []
+    monkeypatch.setattr(C, "fitted", lambda *_: SimpleNamespace(scored=scored, detector=SimpleNamespace(params=Params())))
+    first = C.write_in_order
+    monkeypatch.setattr(C, "write_in_order", lambda df, *a: given.append(df.inputFiles()) or first(df, *a))
+    assert [r["task_id"] for r in C.q_stream_cooldown(spark, SF0001).collect()] == ["W0"]
+    assert given[0] and all("stream-alerts" in f for f in given[0])
