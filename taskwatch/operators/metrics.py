@@ -96,9 +96,10 @@ def ranked_counts(long: DataFrame) -> DataFrame:
     return down.join(totals, "model")
 
 
-def rank_metrics(long: DataFrame) -> DataFrame:
-    """Per model, ROC AUC (ties = 1/2) and average precision."""
-    c = ranked_counts(long)
+def rank_metrics(long: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """Per model, ROC AUC (ties = 1/2) and average precision. Here and
+    in the curves, ``ranked`` is the ``ranked_counts`` of ``long`` where a caller has them."""
+    c = ranked_counts(long) if ranked is None else ranked
     below = F.col("N") - F.col("cum_neg") + F.col("neg") * 0.5   # negatives a positive beats
     r = c.groupBy("model", "P", "N").agg(
         F.sum(F.col("pos") * below).alias("u"),
@@ -121,16 +122,16 @@ def _with_end(points: DataFrame, **end: float) -> DataFrame:
     return points.unionByName(ends)
 
 
-def roc_curve(long: DataFrame) -> DataFrame:
+def roc_curve(long: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """One point per distinct threshold (predict 1 when score >= threshold), and (0, 0)."""
-    points = ranked_counts(long).select("model", F.col("score").alias("threshold"),
-                                        _share("cum_neg", "N").alias("fpr"), _share("cum_pos", "P").alias("tpr"))
+    points = (ranked_counts(long) if ranked is None else ranked).select("model", F.col("score").alias("threshold"),
+                       _share("cum_neg", "N").alias("fpr"), _share("cum_pos", "P").alias("tpr"))
     return _with_end(points, fpr=0.0, tpr=0.0)
 
 
-def pr_curve(long: DataFrame) -> DataFrame:
+def pr_curve(long: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Precision and recall at every distinct threshold, and (recall 0, precision 1)."""
-    points = ranked_counts(long).select(
+    points = (ranked_counts(long) if ranked is None else ranked).select(
         "model", F.col("score").alias("threshold"),
         (F.col("cum_pos").cast("double") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
         _share("cum_pos", "P").alias("recall"))

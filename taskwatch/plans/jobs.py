@@ -70,12 +70,13 @@ def evaluation_tables(scored: DataFrame, params: Params | None = None) -> dict[s
     test = scored.where((F.col("is_train") == 0) & F.col("is_anomaly").isNotNull())
     long = M.long_scores(test, {"ensemble": "anomaly_score", "isolation_forest": "if_score_norm",
                                 "autoencoder": "ae_score_norm"})
+    ranked = M.ranked_counts(long)   # counted and ranked once for the three tables that read it
     return {
         "classification": M.classification_metrics(test),
-        "rank": M.rank_metrics(long),
+        "rank": M.rank_metrics(long, ranked),
         "confusion": M.confusion_matrix(test),
-        "roc": M.roc_curve(long),
-        "pr": M.pr_curve(long),
+        "roc": M.roc_curve(long, ranked),
+        "pr": M.pr_curve(long, ranked),
         "histogram": M.histogram(long),
         "boxplot": M.boxplot(long),
         "calibration": M.calibration(test),

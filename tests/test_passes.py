@@ -26,6 +26,20 @@ def test_top_credits_are_ranked_as_a_sort_by_size_and_place():
         assert list(i) == want and list(x) == [row[j] for j in want]
 
 
+def test_one_ranking_serves_all_rank_tables(spark, monkeypatch):
+    from taskwatch.operators import metrics as M
+    from taskwatch.plans.jobs import evaluation_tables
+    calls, first = [], M.ranked_counts
+    monkeypatch.setattr(M, "ranked_counts", lambda long: calls.append(1) or first(long))
+    df = spark.range(200).select(F.lit(0).alias("is_train"), (F.col("id") % 5 == 0).cast("int").alias("is_anomaly"), *[
+        (F.abs(F.hash("id", F.lit(i))) % 50 / 50).alias(c) for i, c in enumerate(("anomaly_score", "if_score_norm", "ae_score_norm"))],
+        (F.col("id") % 4 == 0).cast("int").alias("anomaly_flag"))
+    tables = evaluation_tables(df)
+    assert len(calls) == 1
+    long = M.long_scores(df, {"ensemble": "anomaly_score", "isolation_forest": "if_score_norm", "autoencoder": "ae_score_norm"})
+    assert sorted(tables["rank"].collect()) == sorted(M.rank_metrics(long).collect())
+
+
 def test_the_cooldown_stream_reads_the_scored_table_once(spark, monkeypatch):
     from types import SimpleNamespace
     from taskwatch import models_catalog as C
