@@ -4,7 +4,7 @@ The reference trains a dense autoencoder with an 8-unit bottleneck. Here the
 default is its linear counterpart: the top-8 principal subspace of the
 centred training features (Baldi and Hornik 1989: a linear autoencoder with
 squared loss learns exactly this subspace). Fit is one distributed pass:
-every partition computes (n, sum x, X^T X) with numpy in ``mapInPandas``;
+every partition computes (n, sum x, X^T X) with numpy in ``mapInArrow``;
 the partials are summed in a two-level tree (``coalesce`` without shuffle,
 then a final sum), so only d x d numbers per level move (d = 96). The
 eigen-decomposition of the d x d covariance runs on the driver.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +56,13 @@ def gram_stats(X: DataFrame, features: list[str], fan_in: int = 64) -> tuple[int
 
     def partial(batches):
         n, s, g = 0, np.zeros(d), np.zeros((d, d))
-        for pdf in batches:
-            M = pdf[features].to_numpy(dtype=float)
+        for b in batches:
+            M = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
             n += M.shape[0]
             s += M.sum(axis=0)
             g += M.T @ M
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()]), pa.array([g.ravel().tolist()])],
+                                         names=["n", "s", "g"])
 
     def combine(batches):
         n, s, g = 0, np.zeros(d), np.zeros(d * d)
@@ -73,7 +75,7 @@ def gram_stats(X: DataFrame, features: list[str], fan_in: int = 64) -> tuple[int
 
     schema = "n long, s array<double>, g array<double>"
     parts = X.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]) \
-        .mapInPandas(partial, schema)
+        .mapInArrow(partial, schema)
     level = parts.coalesce(fan_in).mapInPandas(combine, schema)   # no shuffle
     n, s, g = 0, np.zeros(d), np.zeros(d * d)
     for r in level.collect():                                      # at most fan_in rows

@@ -1,8 +1,8 @@
 """Hybrid detector: isolation forest + reconstruction model + ensemble
 (E8-E11, I1-I5, R1-R7, S7-S9).
 
-``HybridDetector.fit`` runs two fits over one pinned training matrix, scores
-the training rows once (pinned) and derives every threshold and score range
+``HybridDetector.fit_scored`` runs two fits over the training part of one matrix,
+scores every row once (pinned) and derives every threshold and score range
 from that table with aggregations. ``DetectorModel.score`` is one projection
 with two pandas UDFs (evaluated in a single Arrow round trip) followed by
 the ensemble expressions; ``explain`` runs only on the rows it is given.
@@ -114,18 +114,21 @@ class HybridDetector:
 
     def fit(self, X_train: DataFrame, features: list[str], id_col: str = "task_id") -> DetectorModel:
         """Both fits on one pinned matrix, thresholds from one scored table."""
-        model, _ = self.fit_scored(X_train, features, None, id_col)
+        extra = ["planned_start_ts"] if "planned_start_ts" in X_train.columns else []
+        model, _ = self.fit_scored(pin(X_train.select(id_col, *extra, *features)), features, None, id_col)
         return model
 
     def fit_scored(self, X: DataFrame, features: list[str], train_col: str | None = "is_train",
                    id_col: str = "task_id") -> tuple[DetectorModel, DataFrame]:
         """Fit on the rows with ``train_col == 1`` (all rows if None) and score
         every row of ``X`` once; thresholds and ranges come from the training
-        part of that one scored table. Returns (model, raw scores of all rows)."""
+        part of that one scored table. Returns (model, raw scores of all rows).
+        ``X`` is read four times: a pinned table or a projection of one (the many
+        epochs of the MLP read a copy of the training rows)."""
         p = self.params
-        train = X if train_col is None else X.where(F.col(train_col) == 1)
-        extra = ["planned_start_ts"] if "planned_start_ts" in X.columns else []
-        Xt = pin(train.select(id_col, *extra, *features))
+        Xt = X if train_col is None else X.where(F.col(train_col) == 1)
+        if p.recon_model == "mlp" and train_col is not None:
+            Xt = pin(Xt.select(id_col, *(c for c in ["planned_start_ts"] if c in X.columns), *features))
         n = Xt.count()
         forest = fit_forest(Xt, features, p, n, id_col)
         if p.recon_model == "mlp":

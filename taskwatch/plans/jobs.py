@@ -39,8 +39,7 @@ def fit_and_score(tasks: DataFrame, params: Params | None = None) -> Fitted:
     p = params or Params()
     tasks = conform(tasks)
     split = pin(time_split(tasks, p.test_size))
-    fm, X = FeaturePipeline(p).fit_transform(split, "is_train")
-    X = pin(X)
+    fm, X = FeaturePipeline(p).fit_transform(split, "is_train")   # X is a projection of the pinned raw features
     det, raw_scores = HybridDetector(p).fit_scored(X, fm.features, "is_train")
     scored = det.score(raw_scores, raw=False)   # flags and ensemble: projections only
     return Fitted(fm, det, scored, X)

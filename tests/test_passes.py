@@ -40,6 +40,22 @@ def test_one_ranking_serves_all_rank_tables(spark, monkeypatch):
     assert sorted(tables["rank"].collect()) == sorted(M.rank_metrics(long).collect())
 
 
+def test_the_fit_writes_the_features_twice_raw_and_scored(spark, monkeypatch):
+    from taskwatch.plans import detector, featurize, jobs
+    from taskwatch.catalog import tasks
+    wide = []
+    for module in (detector, featurize, jobs):
+        def pin(df, name="pinned", first=module.pin):
+            if len(df.columns) > 90:
+                wide.append(len(df.columns))
+            return first(df, name)
+        monkeypatch.setattr(module, "pin", pin)
+    fitted = jobs.fit_and_score(tasks(spark, SF0001))
+    assert len(wide) == 2
+    one = fitted.X.join(fitted.scored.select("task_id", F.col("if_score").alias("s")), "task_id").limit(50).toPandas()
+    assert one["s"].to_numpy() == pytest.approx(fitted.detector.forest.score(one[fitted.features.features].to_numpy(dtype=float)))
+
+
 def test_the_cooldown_stream_reads_the_scored_table_once(spark, monkeypatch):
     from types import SimpleNamespace
     from taskwatch import models_catalog as C
