@@ -8,8 +8,8 @@ rows. The interpolation is that of ``percentile``: linear between the two
 neighbouring ranks.
 
 Of whole columns (``column_quantiles``) not even the counted values are moved.
-A mergeable quantile summary of each column, made in one pass with map-side
-partial results, brackets every wanted rank between two values; a second pass
+A quantile summary of each column, made in one pass and merged per column (no
+task sees the summaries of more than one), brackets every wanted rank between two values; a second pass
 counts what lies below each bracket and keeps the values inside it alone, a few
 ``1 / ACCURACY`` of the rows. The counts say at which rank inside the bracket
 the answer lies, and those few values are ranked as above. A bracket is never
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from taskwatch.operators.prefix import global_prefix
-from taskwatch.session import pin
+from taskwatch.session import pin, ship_package
 
-#: rows over the rank error of a column's summary
-ACCURACY = 10_000
+#: values a column's summary keeps of a batch; a whole task's keeps half of it
+ACCURACY = 4_000
+#: so many summaries of one level are merged to one of the next
+FAN_IN = 8
 
 
 def exact_quantiles(long: DataFrame, probs: list[float], group: str = "feature",
@@ -55,17 +57,90 @@ def exact_quantiles(long: DataFrame, probs: list[float], group: str = "feature",
     return found.select(group, F.array(*out).alias("q"))
 
 
+def summary(values: np.ndarray, weight: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """About ``size`` of the distinct ``values``, ascending, each with its weight
+    and that of the values passed over since the one before, and the error: by so
+    much at most the weight up to any value falls short (it never exceeds it)."""
+    order = np.argsort(values, kind="stable") if weight is not None else None
+    v = values[order] if weight is not None else np.sort(values)
+    last = np.flatnonzero(np.append(v[1:] != v[:-1], True)) if len(v) else np.zeros(0, dtype=np.int64)
+    upto = np.cumsum(weight[order])[last] if weight is not None else last + 1
+    v = v[last]
+    if len(v) <= size:
+        return v, np.diff(upto, prepend=0), 0.0
+    own = np.diff(upto, prepend=0)
+    cell = upto * size // upto[-1]
+    kept = np.flatnonzero(np.append(cell[1:] != cell[:-1], True))
+    weight = np.diff(upto[kept], prepend=0)
+    return v[kept], weight, float((weight - own[kept]).max())
+
+
+class _Summary:
+    """The summary of a stream of batches of one column, merged level by level."""
+
+    def __init__(self):
+        self.levels, self.error = [[]], 0.0
+
+    def add(self, values: np.ndarray, weight: np.ndarray | None = None, level: int = 0) -> None:
+        v, w, e = summary(values, weight, ACCURACY)
+        self.error += e
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append((v, w))
+        if len(self.levels[level]) == FAN_IN:
+            parts, self.levels[level] = self.levels[level], []
+            self.add(*(np.concatenate(x) for x in zip(*parts)), level + 1)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, float]:
+        parts = [p for level in self.levels for p in level]
+        v, w, e = summary(*(np.concatenate(x) for x in zip(*parts)), max(1, ACCURACY // 2))
+        return v, w, self.error + e
+
+
+def _summaries(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value[], weight[], error): per task and column the summary of its values."""
+
+    def summarise(batches):
+        held = [_Summary() for _ in columns]
+        for b in batches:
+            for j, h in enumerate(held):
+                x = b.column(j).drop_null().to_numpy(zero_copy_only=False)
+                if len(x):
+                    h.add(x)
+        rows = [(j, *h.whole()) for j, h in enumerate(held) if any(h.levels)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+             pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.float64())],
+            names=["feature", "value", "weight", "error"])
+
+    return df.select(*[F.col(f"`{c}`").cast("double") for c in columns]).mapInArrow(
+        summarise, "feature int, value array<double>, weight array<long>, error double")
+
+
 def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict, dict]:
     """Number of values of each column, and per column and probability two
-    values between which the wanted rank should lie."""
-    margin = 2 / ACCURACY
-    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{j}") for j, c in enumerate(columns)],
-                 *[F.percentile_approx(F.col(f"`{c}`").cast("double"), ends, ACCURACY).alias(f"q{j}")
-                   for j, c in enumerate(columns)]).first()
-    found = {c: (row[f"n{j}"], row[f"q{j}"]) for j, c in enumerate(columns)}
-    return ({c: n for c, (n, _) in found.items()},
-            {c: [(q[2 * i], q[2 * i + 1]) for i in range(len(probs))] for c, (n, q) in found.items() if n})
+    values between which the wanted rank lies."""
+    def bracket(table: pa.Table) -> pa.Table:
+        value = table.column("value").combine_chunks().flatten().to_numpy()
+        weight = table.column("weight").combine_chunks().flatten().to_numpy()
+        error = sum(table.column("error").to_pylist())
+        order = np.argsort(value, kind="stable")
+        value, upto = value[order], np.cumsum(weight[order])
+        ends = []
+        for p in probs:
+            pos = (int(upto[-1]) - 1) * p
+            low = math.floor(pos) - error   # up to ``error`` more values lie before one than their weights say
+            ends += [value[np.searchsorted(upto, low, side="right")] if low >= 0 else -math.inf,
+                     value[min(np.searchsorted(upto, math.ceil(pos), side="right"), len(value) - 1)]]
+        return pa.table({"feature": pa.array([table.column("feature")[0].as_py()], pa.int32()),
+                         "n": pa.array([int(upto[-1])], pa.int64()), "q": pa.array([ends], pa.list_(pa.float64()))})
+
+    ship_package(df.sparkSession)
+    rows = _summaries(df, columns).groupBy("feature").applyInArrow(
+        bracket, "feature int, n long, q array<double>").collect()   # one row a column
+    found = {columns[r["feature"]]: (r["n"], r["q"]) for r in rows}
+    return ({c: found[c][0] if c in found else 0 for c in columns},
+            {c: [(q[2 * i], q[2 * i + 1]) for i in range(len(probs))] for c, (_, q) in sorted(found.items(), key=lambda x: columns.index(x[0]))})
 
 
 def _inside(df: DataFrame, brackets: dict) -> DataFrame:

@@ -84,3 +84,34 @@ def test_column_quantiles_against_numpy(spark, monkeypatch):
     assert Q.column_quantiles(df.limit(0), ["few"], [0.5]) == {"few": None}
     one = Q.column_quantiles(df.limit(1), ["constant"], [0.1, 0.9])
     assert one == {"constant": [7.0, 7.0]}
+
+
+def test_summaries_hold_the_rank_and_stay_small():
+    """The error that a merged summary states bounds how far it falls short, and
+    its size does not grow with the values."""
+    from taskwatch.operators import quantiles as Q
+    rng = np.random.default_rng(5)
+    for draw in (lambda: rng.normal(size=10_000), lambda: rng.integers(0, 50, 10_000).astype(float), lambda: np.full(10_000, 3.0)):
+        held, seen = Q._Summary(), []
+        for _ in range(70):
+            seen.append(draw())
+            held.add(seen[-1])
+        value, weight, error = held.whole()
+        x = np.sort(np.concatenate(seen))
+        short = np.searchsorted(x, value, side="right") - np.cumsum(weight)
+        before = np.searchsorted(x, value, side="left") - (np.cumsum(weight) - weight)
+        assert weight.sum() == len(x) and short.min() >= 0 and max(short.max(), before.max()) <= error + weight.max()
+        assert short.max() <= error <= len(x) / 500 and len(value) <= Q.ACCURACY // 2 + 1
+
+
+def test_brackets_are_narrow_and_hold_the_quantiles(spark, monkeypatch):
+    from taskwatch.operators import quantiles as Q
+    monkeypatch.setattr(Q, "ACCURACY", 100)
+    df = spark.range(0, 60_000, 1, 6).selectExpr("cast(hash(id) as double) a", "cast(id % 7 as double) b")
+    n, found = Q._brackets(df, ["a", "b"], [0.25, 0.5, 0.75])
+    assert n == {"a": 60_000, "b": 60_000}
+    for c, x in df.toPandas().items():
+        x = np.sort(x)
+        for (lo, hi), p in zip(found[c], [0.25, 0.5, 0.75]):
+            assert lo <= x[int(59_999 * p)] and x[int(np.ceil(59_999 * p))] <= hi
+            assert np.mean((x >= lo) & (x <= hi)) <= (0.12 if c == "a" else 0.3)
