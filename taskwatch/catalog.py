@@ -68,8 +68,8 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def engineered_all(spark: SparkSession, sf: str) -> DataFrame:
     r = rows(spark, sf)
-    out = with_rolling_features(r, broadcast_limit_bytes=P.broadcast_limit_bytes)
-    return apply_group_means(out, fit_group_means(r), None, P.broadcast_limit_bytes)
+    out = with_rolling_features(r, broadcast_limit_bytes=P.broadcast_limit_bytes, onto=tasks(spark, sf))
+    return apply_group_means(row_features(out, categories(spark, sf)), fit_group_means(r), None, P.broadcast_limit_bytes)
 
 
 def features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:

@@ -30,8 +30,9 @@ Plan (built for a hot key holding a large share of all rows):
    of frames that hold it (linear interpolation between the two middle ranks,
    as ``percentile``).
 4. Empty results (e.g. the std of a one-task frame) are forward filled from
-   the previous bucket of the same key: inside the chunk by a window, and
-   across chunks by each chunk's last values, one row per key and chunk.
+   the previous bucket of the same key: inside the chunk by a window beside
+   those of step 2, and across chunks by each chunk's last values, one row per
+   key and chunk, joined only where a chunk still has gaps and an earlier value.
    Then the caller fills 0.
 
 Each stats table is keyed by ``(key, start)`` and joined back to the rows.
@@ -42,6 +43,8 @@ frame and get no statistics.
 
 from __future__ import annotations
 
+import functools
+import operator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -283,23 +286,32 @@ def _stats(df: DataFrame, prefix: str, key: str, items: list, days: int, time_co
                        .withColumn("__t", epoch_us(time_col)))
             med = frame_medians(triples, key, c, f"{prefix}_{c}_median", days, n_parts)
             t = t.join(med, [key, "__t"], "left")
+    if carry is not None and carry.since is not None:
+        t = t.where(F.col(time_col) >= carry.since)   # frames of earlier ones are cut off
+    # the fill inside a chunk, on the windows' own partitions and order
+    ahead = chunk.orderBy("__t")
+    t = t.withColumns({n: F.coalesce(n, F.last(n, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1))) for n in names}
+                      | {"__ends": F.lead("__t").over(ahead).isNull()})
     t = pin(t, "rolling-stats")
     if carry is None:
         return _filled(t, key, time_col, names), rows
-    if carry.since is not None:
-        t = t.where(F.col(time_col) >= carry.since)   # frames of earlier ones are cut off
     carry.filled[prefix] = pin(_filled(t, key, time_col, names, carry.before.get(prefix)), "rolling-filled")
     return carry.filled[prefix], rows
 
 
 def _filled(t: DataFrame, key: str, time_col: str, names: list[str], before: DataFrame | None = None) -> DataFrame:
-    """Empty values take the key's latest earlier one, at last that of ``before``."""
-    ends = t.groupBy(key, "__c").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("__t"))).alias(n) for n in names])
-    ahead = Window.partitionBy(key).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(key, "__c", *[F.last(n, ignorenulls=True).over(ahead).alias(f"__before_{n}") for n in names])
-    prev = Window.partitionBy(key, "__c").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    out = t.join(carry, [key, "__c"], "left").select(key, time_col, *[
-        F.coalesce(F.col(n), F.last(n, ignorenulls=True).over(prev), F.col(f"__before_{n}")).alias(n) for n in names])
+    """W17 across chunks: values still empty in a chunk take the key's latest of an
+    earlier one (each chunk's last row has all that is known there), at last that
+    of ``before``. Only what chunks with such gaps inherit is joined."""
+    def some(found):
+        return functools.reduce(operator.or_, found)
+
+    gaps = t.where(some(F.col(n).isNull() for n in names)).select(key, "__c").distinct()
+    earlier = Window.partitionBy(key).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    held = t.where("__ends").select(key, "__c", *[F.last(n, ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in names])
+    held = held.where(some(F.col(f"__before_{n}").isNotNull() for n in names)).join(gaps, [key, "__c"], "left_semi")
+    out = attach(t, held, [key, "__c"], rows=held.count()).withColumns({n: F.coalesce(n, f"__before_{n}") for n in names})
+    out = out.select(key, time_col, *names)
     if before is None:
         return out
     old = before.select(key, *[F.col(n).alias(f"__old_{n}") for n in names])
@@ -329,10 +341,13 @@ def rolling_stats(df: DataFrame, prefix: str, days: int = 7,
 
 def with_rolling_features(df: DataFrame, prefixes=("task", "module", "tech"), days: int = 7,
                           time_col: str = TIME_COL, broadcast_limit_bytes: int = 64 << 20,
-                          specs: dict | None = None, carry: Carry | None = None) -> DataFrame:
-    """Attach every rolling column to its own row (joined on key + start)."""
+                          specs: dict | None = None, carry: Carry | None = None,
+                          onto: DataFrame | None = None) -> DataFrame:
+    """Attach every rolling column to its own row (joined on key + start): to
+    the rows of ``df``, or of ``onto`` where they are given with fewer columns.
+    The largest table comes first: where it takes a shuffle, rows are still narrow."""
     specs = specs or {p: ROLLING_SPEC[p] for p in prefixes}
-    out = df
-    for prefix, (stats, rows, key) in rolling_tables(df, specs, days, time_col, carry).items():
+    out = df if onto is None else onto
+    for stats, rows, key in sorted(rolling_tables(df, specs, days, time_col, carry).values(), key=lambda t: -t[1]):
         out = attach(out, stats, [key, time_col], broadcast_limit_bytes, rows=rows)
     return out

@@ -17,7 +17,7 @@ from taskwatch.config import Params
 from taskwatch.functions.context import context_features
 from taskwatch.functions.encode import LABEL_COLUMNS, ONE_HOT_COLUMNS, encoding_features, fit_categories
 from taskwatch.functions.features import feature_names
-from taskwatch.functions.time import with_time_features
+from taskwatch.functions.time import parse_timestamps, with_time_features
 from taskwatch.operators.fill import forward_fill
 from taskwatch.operators.groups import apply_group_means, fit_global_means, fit_group_means
 from taskwatch.operators.rolling import Carry, with_rolling_features
@@ -37,11 +37,12 @@ def row_features(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
 
 def engineered(df: DataFrame, categories, group_tables, global_means, params: Params,
                carry: Carry | None = None) -> DataFrame:
-    """Row features + rolling windows + group means, still one row per task."""
-    rows = row_features(df, categories)
-    rows = with_rolling_features(rows, days=params.rolling_window_days,
-                                 broadcast_limit_bytes=params.broadcast_limit_bytes, carry=carry)
-    return apply_group_means(rows, group_tables, global_means, params.broadcast_limit_bytes)
+    """Row features + rolling windows + group means, still one row per task. The
+    rolling tables are joined to the tasks as they came; features that are
+    projections are worked out after the joins, not moved through them."""
+    rows = with_rolling_features(row_features(df, categories), days=params.rolling_window_days,
+                                 broadcast_limit_bytes=params.broadcast_limit_bytes, carry=carry, onto=parse_timestamps(df))
+    return apply_group_means(row_features(rows, categories), group_tables, global_means, params.broadcast_limit_bytes)
 
 
 def select_features(df: DataFrame, features: list[str], strict: bool = True,

@@ -56,6 +56,22 @@ def test_the_fit_writes_the_features_twice_raw_and_scored(spark, monkeypatch):
     assert one["s"].to_numpy() == pytest.approx(fitted.detector.forest.score(one[fitted.features.features].to_numpy(dtype=float)))
 
 
+def test_rolling_tables_join_the_largest_first_and_narrow_rows(spark, monkeypatch):
+    from taskwatch.catalog import tasks, rows
+    from taskwatch.operators import rolling as R
+    seen, first = [], R.attach
+
+    def attach(left, right, keys, *a, **k):
+        if "__c" not in keys:
+            seen.append((k["rows"], len(left.columns)))
+        return first(left, right, keys, *a, **k)
+
+    monkeypatch.setattr(R, "attach", attach)
+    t = tasks(spark, SF0001)
+    R.with_rolling_features(rows(spark, SF0001), onto=t)
+    assert [n for n, _ in seen] == sorted((n for n, _ in seen), reverse=True) and seen[0][1] == len(t.columns)
+
+
 def test_the_cooldown_stream_reads_the_scored_table_once(spark, monkeypatch):
     from types import SimpleNamespace
     from taskwatch import models_catalog as C
